@@ -1,0 +1 @@
+"""No streaming operators: every feature of this engine judges a finished table."""
