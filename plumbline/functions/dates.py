@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.steps import Steps, apply_steps
-from plumbline.functions.text import WS
+from plumbline.functions.steps import Steps, read_with
+from plumbline.functions.text import WS, trim
 
 # The formats in bit order, bit 0 first.
 DATE_FORMATS = (
@@ -64,15 +64,16 @@ def _field(fields: Column, index: int) -> Column:
     return F.get(fields, F.lit(index))
 
 
-def date_steps(text: Column, mask: str, moment: str) -> Steps:
-    """Projections giving the formats that read ``text`` (a bit mask, 0 for none) and its value.
+def date_steps(text: Column) -> Steps:
+    """Projections giving the formats that read ``text`` and its value.
 
-    ``text`` must already be trimmed. The value is a zone-less timestamp; when several
-    readings are possible ISO wins over day-first, and day-first over month-first.
+    ``mask`` has a bit per format, 0 for none; ``moment`` is a zone-less timestamp. The text
+    must already be trimmed. When several readings are possible ISO wins over day-first, and
+    day-first over month-first.
     """
 
     def part(name: str) -> str:
-        return f"__{moment}_{name}"
+        return f"__date_{name}"
 
     shape, fields = F.col(part("shape")), F.col(part("fields"))
     shaped = (
@@ -151,13 +152,14 @@ def date_steps(text: Column, mask: str, moment: str) -> Steps:
         {part("shape"): shaped},
         {part("fields"): split},
         readings,
-        {mask: F.when(shape.isNull(), 0).otherwise(bits)},
-        {moment: F.when(F.col(mask) != 0, stamp.try_cast("timestamp_ntz"))},
+        {"mask": F.when(shape.isNull(), 0).otherwise(bits)},
+        {"moment": F.when(F.col("mask") != 0, stamp.try_cast("timestamp_ntz"))},
     ]
 
 
-def with_dates(df: DataFrame, text: Column, mask: str, moment: str) -> DataFrame:
-    return apply_steps(df, date_steps(text, mask, moment))
+def with_dates(df: DataFrame, value: Column, mask: str, moment: str) -> DataFrame:
+    """Add the format mask and the moment of the text ``value``."""
+    return read_with(df, trim(value), date_steps, mask=mask, moment=moment)
 
 
 def format_labels(mask: Column) -> Column:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.steps import Steps, apply_steps
+from plumbline.functions.steps import Steps, read_with
 from plumbline.functions.text import WS, WS_INNER, trim
 
 # Currency signs and the kinds of space removed inside a number.
@@ -50,16 +50,17 @@ def _signed(bare: Column, point: Column) -> Column:
     return F.when(bare.rlike(r"\A[~-]"), -size).otherwise(size)
 
 
-def number_steps(value: Column, out: str) -> Steps:
-    """Projections that read the text ``value`` as a double, null when it is no number."""
-    bare, body, point = (f"__{out}_{part}" for part in ("bare", "body", "point"))
+def number_steps(value: Column) -> Steps:
+    """Projections that read text as a double, ``number``; null when it is no number."""
+    bare, body, point = "__bare", "__body", "__point"
     return [
         {bare: _bare(value)},
         {body: _unsigned(F.col(bare))},
         {point: _with_point(F.col(body))},
-        {out: _signed(F.col(bare), F.col(point))},
+        {"number": _signed(F.col(bare), F.col(point))},
     ]
 
 
 def with_number(df: DataFrame, value: Column, out: str) -> DataFrame:
-    return apply_steps(df, number_steps(value, out))
+    """Add ``out``: the text ``value`` as a double."""
+    return read_with(df, value, number_steps, number=out)

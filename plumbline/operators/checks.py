@@ -11,7 +11,9 @@ import logging
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from datetime import date
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,7 +111,7 @@ def run_checks(context: Context, only: Iterable[str] | None = None) -> DataFrame
     for check_id, (issue, build) in sorted(COLUMN_CHECKS.items()):
         if check_id in wanted:
             try:
-                structs.append(_column_finding(check_id, issue, build()))
+                structs.append(_column_finding(check_id, issue, build, context.data.spark.sparkContext))
             except Exception:  # noqa: BLE001 - one broken check must not cost the others
                 log.exception("Check %s could not be built", check_id)
     found = as_findings(context.facts, structs) if structs else no_findings(context.data.spark)
@@ -122,7 +124,10 @@ def run_checks(context: Context, only: Iterable[str] | None = None) -> DataFrame
     return found
 
 
-def _column_finding(check_id: str, issue: str, verdict: Verdict) -> Column:
+@lru_cache(maxsize=256)
+def _column_finding(check_id: str, issue: str, build: Callable[[], Verdict], _: SparkContext) -> Column:
+    """A check's finding; the expression is the same for every table, so it is kept."""
+    verdict = build()
     struct = finding(
         check_id, issue, verdict.severity, F.col("column"), verdict.title, verdict.explanation,
         verdict.affected, F.col("row_count"), verdict.details, verdict.confidence,
@@ -599,7 +604,7 @@ def identity_groups(data: Dataset, columns: list[str]) -> tuple[DataFrame, DataF
     """
     keyed = data.frame.select(
         ROW_ID, tx.blocking_key([col(name) for name in columns]).alias("identity"), _folded_digest(data).alias("digest")
-    ).filter("identity IS NOT NULL")
+    )
     distinct = keyed.groupBy("identity", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias(ROW_ID))
     colliding = (
         distinct.groupBy("identity")
@@ -608,7 +613,7 @@ def identity_groups(data: Dataset, columns: list[str]) -> tuple[DataFrame, DataF
             F.count_if(F.col("n") == 1).alias("singles"),
             F.min(F.when(F.col("n") == 1, F.col(ROW_ID))).alias("first_single"),
         )
-        .filter("rows > 1 AND singles > 0")
+        .filter("identity IS NOT NULL AND rows > 1 AND singles > 0")
     )
     return distinct, colliding
 

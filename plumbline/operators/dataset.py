@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 from dataclasses import dataclass, replace
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -109,18 +113,38 @@ def _nullable(data_type: T.DataType) -> T.DataType:
     return data_type
 
 
+@cache
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="plumbline-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """Where intermediate tables may be written: the session's checkpoint folder.
+
+    Where none is set, a local master gets a temporary folder; a cluster gets none, since a
+    folder of one machine is no use to the others.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    return _local_folder() if spark.sparkContext.master.startswith("local") else None
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once for several readers.
 
-    Written to the cluster's shared checkpoint folder when there is one, so that a lost
-    executor does not cost a recomputation; otherwise persisted with its lineage intact.
+    Written as a table to the shared folder, so a lost executor costs no recomputation and
+    later plans start from a plain scan. Without such a folder it is persisted, lineage
+    intact.
     """
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not root:
+    root = shared_folder(df.sparkSession)
+    if root is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     path = f"{root.rstrip('/')}/plumbline/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lookup(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

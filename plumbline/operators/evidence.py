@@ -41,8 +41,7 @@ def attach_rows(data: Dataset, findings: DataFrame, facts: list, as_of: date, li
         if check in _NEEDS_DATE and f"moment_{position}" not in df.columns:
             out = f"moment_{position}"
             if text:
-                trimmed = f"__trimmed_{position}"
-                df = with_dates(df.withColumn(trimmed, tx.trim(col(name))), F.col(trimmed), f"__mask_{position}", out)
+                df = with_dates(df, col(name), "__mask", out).drop("__mask")
             else:
                 df = df.withColumn(out, col(name).cast("timestamp_ntz"))
         hit = _predicate(check, data, name, by_column[name], as_of)

@@ -7,9 +7,8 @@ fills a third of the table arrives as one row per map task.
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+from functools import reduce
 
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +16,7 @@ from pyspark.sql import types as T
 from plumbline.functions import text as tx
 from plumbline.functions.dates import date_steps
 from plumbline.functions.numbers import number_steps
-from plumbline.functions.steps import Steps, apply_steps, side_by_side
+from plumbline.functions.steps import Steps, read_with, side_by_side
 from plumbline.operators.dataset import ROW_ID, Dataset, col
 
 #: Text longer than this travels as a digest plus the judgements made on the whole text.
@@ -101,14 +100,8 @@ def folded_form(value: Column) -> Column:
     return _shorten(tx.fold(tx.trim(value)))
 
 
-@lru_cache(maxsize=2)
-def _judgement_steps(context: SparkContext) -> Steps:
-    """Projections for everything the checks ask about the text in column ``s``.
-
-    Building these few hundred expressions takes longer than planning them, so they are kept
-    for as long as the Spark context lives.
-    """
-    value = F.col("s")
+def judgement_steps(value: Column) -> Steps:
+    """Projections for everything the checks ask about one text value."""
     trimmed, folded, squashed = F.col("__t"), F.col("__fold"), F.col("__key")
     is_filler = squashed.isin(*tx.FILLER_WORDS)
     short = F.length(squashed) <= tx.SHORT_TOKEN
@@ -117,8 +110,8 @@ def _judgement_steps(context: SparkContext) -> Steps:
     return [
         {"__t": tx.trim(value)},
         *side_by_side(
-            number_steps(trimmed, "number"),
-            date_steps(trimmed, "mask", "moment"),
+            number_steps(trimmed),
+            date_steps(trimmed),
             [
                 {"__fold": tx.fold(trimmed)},
                 {"__key": F.regexp_replace(folded, r"[^\p{L}\p{N}]+", "")},
@@ -145,7 +138,8 @@ def _judgement_steps(context: SparkContext) -> Steps:
 
 
 def with_judgements(df: DataFrame) -> DataFrame:
-    return apply_steps(df, _judgement_steps(df.sparkSession.sparkContext))
+    """Judge the text in column ``s``."""
+    return read_with(df, F.col("s"), judgement_steps)
 
 
 def long_text_positions(data: Dataset, positions: list[int]) -> set[int]:

@@ -251,8 +251,7 @@ def _with_parsed(data: Dataset, rules: list[Rule]) -> DataFrame:
         if any(_reads(rule, name, "date") for rule in rules):
             out = f"moment_{position}"
             if text:
-                df = df.withColumn("__trimmed", tx.trim(col(name)))
-                df = with_dates(df, F.col("__trimmed"), "__mask", out).drop("__trimmed", "__mask")
+                df = with_dates(df, col(name), "__mask", out).drop("__mask")
             else:
                 df = df.withColumn(out, _native_moment(data, name))
     return df
