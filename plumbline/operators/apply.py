@@ -23,6 +23,7 @@ from plumbline.operators.dataset import (
     digest_part,
     first_per_group,
     lookup,
+    materialise,
     row_digest,
     small_table,
 )
@@ -213,7 +214,8 @@ def apply_corrections(data: Dataset, proposals: Proposals, decisions: DataFrame)
         kept = [F.col("__after").alias(name) if column == name else col(column) for column in data.frame.columns]
         offers[flag] = offer
         current = _Stepped(df.select(*kept, *offers), data.name)
-    corrected = current.frame
+    # Counts, duplicate removal and the new analysis all read the corrected rows.
+    corrected = materialise(current.frame) if offers else current.frame
     counted = corrected.agg(*[F.count_if(flag).alias(flag) for flag in offers]).first() if offers else {}
     applied = [{**offer, "rows_changed": counted[flag]} for flag, offer in offers.items() if counted[flag]]
     result = data.with_frame(corrected.select(*map(col, data.frame.columns)))

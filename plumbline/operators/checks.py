@@ -139,7 +139,7 @@ def _column_finding(check_id: str, issue: str, build: Callable[[], Verdict], _:
 
 
 def _share(count: str) -> Column:
-    return F.col(count) / F.col("row_count")
+    return F.try_divide(F.col(count), F.col("row_count"))
 
 
 def _examples(check: str) -> Column:
@@ -366,7 +366,7 @@ def _inconsistent_capitalization() -> Verdict:
 def _mixed_datatypes() -> Verdict:
     total = F.nullif(F.col("present_count"), F.lit(0))
     kinds = ("numbers", "dates", "booleans", "text")
-    shares = {kind: F.coalesce(F.col(f"kind_{kind}") / total, F.lit(0.0)) for kind in kinds}
+    shares = {kind: F.coalesce(F.try_divide(F.col(f"kind_{kind}"), total), F.lit(0.0)) for kind in kinds}
     large = sum((F.when(share >= KIND_SHARE, 1).otherwise(0) for share in shares.values()), F.lit(0))
     parts = [
         F.when(share >= KIND_SHARE, F.concat(F.format_string("%.0f%% ", share * 100), F.lit(kind)))
@@ -524,7 +524,7 @@ def example_facts(values: DataFrame, facts: DataFrame) -> DataFrame:
         "numeric_stored_as_text": (text & F.col("is_numeric") & number.isNotNull() & ~F.col("plain"), raw),
         "impossible_numeric": (F.col("is_numeric") & impossible, number.cast("string")),
         "suspicious_numeric": (
-            F.col("is_numeric") & (F.col("std_dev") > 0) & (F.abs(number - F.col("mean")) / F.col("std_dev") > SIGMA),
+            F.col("is_numeric") & (F.col("std_dev") > 0) & (F.try_divide(F.abs(number - F.col("mean")), F.col("std_dev")) > SIGMA),
             number.cast("string"),
         ),
         "future_date": (
@@ -572,7 +572,7 @@ def exact_duplicates(context: Context) -> DataFrame:
     )
     totals = groups.agg(F.sum(F.col("n") - 1).alias("affected"), F.count(F.lit(1)).alias("groups"))
     total = totals.withColumn("row_count", F.lit(context.row_count))
-    ratio = F.col("affected") / F.col("row_count")
+    ratio = F.try_divide(F.col("affected"), F.col("row_count"))
     struct = finding(
         "exact_duplicate_rows", "exact_duplicate_rows", F.when(ratio > 0.05, "high").otherwise("medium"),
         F.lit(None), F.lit("Exact duplicate rows"),
@@ -629,7 +629,7 @@ def probable_duplicates(context: Context) -> DataFrame:
     totals = colliding.agg(F.sum("singles").alias("affected"), F.count(F.lit(1)).alias("groups")).withColumn(
         "row_count", F.lit(context.row_count)
     )
-    ratio = F.col("affected") / F.col("row_count")
+    ratio = F.try_divide(F.col("affected"), F.col("row_count"))
     listed = F.array(*map(F.lit, columns))
     examples = _identity_examples(data, columns, colliding) if context.row_ids else None
     if examples is not None:

@@ -77,7 +77,7 @@ def missing_counts(data: Dataset) -> DataFrame:
         for position, field in enumerate(data.fields)
     ]
     return wide.select("row_count", F.inline(F.array(*pairs))).select(
-        "column", "missing_count", "row_count", (F.col("missing_count") / F.col("row_count")).alias("missing_ratio")
+        "column", "missing_count", "row_count", F.try_divide(F.col("missing_count"), F.col("row_count")).alias("missing_ratio")
     )
 
 
@@ -155,23 +155,24 @@ def deviations(values: DataFrame, measured: DataFrame, sigma: float = 5.0) -> Da
     precision when the mean is large.
     """
     numbers = values.filter("number IS NOT NULL").select("pos", "number", "n")
-    means = measured.select("pos", (F.col("total_number") / F.col("number_count")).alias("mean"), "number_count")
+    means = measured.select("pos", F.try_divide(F.col("total_number"), F.col("number_count")).alias("mean"), "number_count")
     spread = (
         numbers.join(F.broadcast(means), "pos")
         .groupBy("pos")
         .agg(
             F.first("mean").alias("mean"),
-            (
-                F.sqrt(F.sum(F.pow(F.col("number") - F.col("mean"), 2) * F.col("n")))
-                / F.sqrt(F.nullif(F.first("number_count") - 1, F.lit(0)))
+            F.sqrt(
+                F.try_divide(
+                    F.sum(F.pow(F.col("number") - F.col("mean"), 2) * F.col("n")), F.first("number_count") - 1
+                )
             ).alias("std_dev"),
         )
     )
-    far = F.abs(F.col("number") - F.col("mean")) / F.col("std_dev") > sigma
+    far = F.try_divide(F.abs(F.col("number") - F.col("mean")), F.col("std_dev")) > sigma
     return (
         numbers.join(F.broadcast(spread), "pos")
         .groupBy("pos", "mean", "std_dev")
-        .agg(F.coalesce(F.sum(F.when(far & (F.col("std_dev") > 0), F.col("n"))), F.lit(0)).alias("extreme_count"))
+        .agg(F.coalesce(F.sum(F.when(far, F.col("n"))), F.lit(0)).alias("extreme_count"))
     )
 
 
@@ -311,10 +312,10 @@ def semantic_type(facts: DataFrame) -> DataFrame:
     Every value votes. Shares are taken over given values, blank text included.
     """
     total = F.nullif(F.col("given_count"), F.lit(0)).cast("double")
-    share = lambda name: F.coalesce(F.col(name) / total, F.lit(0.0))
+    share = lambda name: F.coalesce(F.try_divide(F.col(name), total), F.lit(0.0))
     kind, email, dates, numbers = F.col("kind"), share("email_count"), share("date_count"), share("number_count")
     distinct = F.coalesce(F.col("distinct_text"), F.lit(0)) + F.when(F.col("blank_count") > 0, 1).otherwise(0)
-    unique = F.coalesce(distinct / total, F.lit(0.0))
+    unique = F.coalesce(F.try_divide(distinct, total), F.lit(0.0))
     rules = [
         (kind == "boolean", "boolean", F.lit(1.0)),
         (kind == "date", "date", F.lit(1.0)),
@@ -403,7 +404,7 @@ def profiles(facts: DataFrame, medians: DataFrame, tops: DataFrame, samples: Dat
     texts = F.struct(
         F.coalesce("min_length", F.lit(0)).alias("min_length"),
         F.coalesce("max_length", F.lit(0)).alias("max_length"),
-        F.round(F.coalesce(F.col("total_length") / F.col("given_count"), F.lit(0.0)), 2).alias("mean_length"),
+        F.round(F.coalesce(F.try_divide(F.col("total_length"), F.col("given_count")), F.lit(0.0)), 2).alias("mean_length"),
         F.col("padded_count"),
         F.col("blank_count"),
     )

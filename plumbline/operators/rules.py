@@ -435,7 +435,7 @@ def business_rules(context: Context) -> DataFrame:
             "business_rule", "business_rule_violation", F.col("rule_severity"), F.col("column"),
             phrase("Business rule failed: %s", F.col("rule")),
             phrase("%,d rows (%s) break the rule '%s'. %s", F.col("affected"),
-                   percent(F.col("affected") / F.col("row_count")), F.col("rule"), F.col("demand")),
+                   percent(F.try_divide(F.col("affected"), F.col("row_count"))), F.col("rule"), F.col("demand")),
             F.col("affected"), F.col("row_count"),
             details(rule_name=F.col("rule"), rule_type=F.col("rule_type"), columns=F.col("columns")),
             fingerprint=F.col("rule"),

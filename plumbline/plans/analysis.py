@@ -128,7 +128,7 @@ def structural_findings(data: Dataset, rules: RuleSet | None = None, as_of: date
     grouping for duplicates, one scan for all single-row rules.
     """
     measured = structural_measures(data)
-    ratio = F.col("missing_count") / F.col("row_count")
+    ratio = F.try_divide(F.col("missing_count"), F.col("row_count"))
     missing = finding(
         "missing_values", "missing_values", ratio_severity(ratio), F.col("column"),
         phrase("Missing values in '%s'", F.col("column")),
