@@ -21,7 +21,17 @@ from plumbline.functions import naming
 from plumbline.functions import text as tx
 from plumbline.functions.dates import DATE_FORMATS
 from plumbline.functions.severity import percent, ratio_severity
-from plumbline.operators.dataset import ROW_ID, Dataset, col, digest_part, first_per_group, lookup, row_digest
+from plumbline.operators.dataset import (
+    ROW_ID,
+    Dataset,
+    col,
+    digest_part,
+    first_per_group,
+    lookup,
+    materialise,
+    pinned,
+    row_digest,
+)
 from plumbline.operators.findings import (
     EVIDENCE_ROWS,
     FINDING_COLUMNS,
@@ -565,13 +575,15 @@ def exact_duplicates(context: Context) -> DataFrame:
     """Rows that repeat an earlier one once text is trimmed and case ignored."""
     data = context.data
     rows = data.frame.select(ROW_ID, _folded_digest(data).alias("digest"))
-    groups = (
+    groups = materialise(
         rows.groupBy("digest")
         .agg(F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias("kept"))
         .filter("n > 1")
     )
-    totals = groups.agg(F.sum(F.col("n") - 1).alias("affected"), F.count(F.lit(1)).alias("groups"))
-    total = totals.withColumn("row_count", F.lit(context.row_count))
+    totals = groups.agg(F.sum(F.col("n") - 1).alias("affected"), F.count(F.lit(1)).alias("groups")).filter("groups > 0")
+    total, seen = pinned(totals.withColumn("row_count", F.lit(context.row_count)))
+    if not seen:
+        return no_findings(data.spark)
     ratio = F.try_divide(F.col("affected"), F.col("row_count"))
     struct = finding(
         "exact_duplicate_rows", "exact_duplicate_rows", F.when(ratio > 0.05, "high").otherwise("medium"),
@@ -581,7 +593,7 @@ def exact_duplicates(context: Context) -> DataFrame:
         F.col("affected"), F.col("row_count"),
         details(duplicate_groups=F.col("groups"), comparison=F.lit("trimmed, case-folded")),
     )
-    found = as_findings(total, [F.when(F.col("affected") > 0, struct)])
+    found = as_findings(total, [struct])
     if not context.row_ids:
         return found
     repeats = rows.join(lookup(groups.select("digest", "kept")), "digest").filter(F.col(ROW_ID) > F.col("kept"))
@@ -595,27 +607,35 @@ def _with_rows(found: DataFrame, rows: DataFrame) -> DataFrame:
     return found.crossJoin(F.broadcast(listed)).withColumn("row_ids", F.col("ids")).drop("ids")
 
 
-def identity_groups(data: Dataset, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows by identity key, and the keys shared by rows that are not exact copies.
-
-    The first table has one row per (key, distinct row) with its copies counted; the second
-    one row per colliding key. Both are map-side combined, so a key that covers a third of
-    the table reaches the second grouping as one partial row per task.
-    """
-    keyed = data.frame.select(
+def _identities(data: Dataset, columns: list[str]) -> DataFrame:
+    """Each row's id, identity key and folded digest."""
+    return data.frame.select(
         ROW_ID, tx.blocking_key([col(name) for name in columns]).alias("identity"), _folded_digest(data).alias("digest")
     )
-    distinct = keyed.groupBy("identity", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias(ROW_ID))
-    colliding = (
-        distinct.groupBy("identity")
+
+
+def _distinct_rows(identities: DataFrame) -> DataFrame:
+    return identities.groupBy("identity", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias(ROW_ID))
+
+
+def colliding_identities(data: Dataset, columns: list[str]) -> DataFrame:
+    """Identity keys shared by rows that are not exact copies, one row per key.
+
+    Rows are first merged per (key, distinct row), then per key. Both steps combine on the
+    map side, so a key that covers a third of the table reaches the second one as a single
+    partial row per task.
+    """
+    single = F.col("n") == 1
+    return (
+        _distinct_rows(_identities(data, columns))
+        .groupBy("identity")
         .agg(
             F.sum("n").alias("rows"),
-            F.count_if(F.col("n") == 1).alias("singles"),
-            F.min(F.when(F.col("n") == 1, F.col(ROW_ID))).alias("first_single"),
+            F.count_if(single).alias("singles"),
+            F.min(F.when(single, F.col(ROW_ID))).alias("first_single"),
         )
         .filter("identity IS NOT NULL AND rows > 1 AND singles > 0")
     )
-    return distinct, colliding
 
 
 @dataset_check("probable_duplicate_rows")
@@ -625,16 +645,19 @@ def probable_duplicates(context: Context) -> DataFrame:
     columns = naming.identity_columns(data.columns)
     if not columns:
         return no_findings(data.spark)
-    distinct, colliding = identity_groups(data, columns)
-    totals = colliding.agg(F.sum("singles").alias("affected"), F.count(F.lit(1)).alias("groups")).withColumn(
-        "row_count", F.lit(context.row_count)
-    )
+    colliding = materialise(colliding_identities(data, columns))
+    totals = colliding.agg(F.sum("singles").alias("affected"), F.count(F.lit(1)).alias("groups")).filter("groups > 0")
+    total, seen = pinned(totals.withColumn("row_count", F.lit(context.row_count)))
+    if not seen:
+        return no_findings(data.spark)
+    # The lowest row ids lie in the groups that start first, so that many groups suffice.
+    first = colliding.orderBy("first_single").limit(EVIDENCE_ROWS).select("identity", "first_single")
+    extra = {}
+    if context.row_ids:
+        total = total.crossJoin(F.broadcast(_identity_examples(data, columns, first)))
+        extra["examples"] = F.col("examples")
     ratio = F.try_divide(F.col("affected"), F.col("row_count"))
     listed = F.array(*map(F.lit, columns))
-    examples = _identity_examples(data, columns, colliding) if context.row_ids else None
-    if examples is not None:
-        totals = totals.crossJoin(F.broadcast(examples))
-    extra = {"examples": F.col("examples")} if examples is not None else {}
     struct = finding(
         "probable_duplicate_rows", "probable_duplicate_rows", F.when(ratio > 0.02, "high").otherwise("medium"),
         F.lit(None), F.lit("Probable duplicate records"),
@@ -645,16 +668,16 @@ def probable_duplicates(context: Context) -> DataFrame:
         details(key_columns=listed, duplicate_groups=F.col("groups"), **extra),
         0.8,
     )
-    found = as_findings(totals, [F.when(F.col("affected") > 0, struct)])
+    found = as_findings(total, [struct])
     if not context.row_ids:
         return found
-    singles = distinct.filter("n = 1").join(lookup(colliding.select("identity")), "identity", "left_semi")
-    return _with_rows(found, singles)
+    members = _identities(data, columns).join(F.broadcast(first), "identity")
+    return _with_rows(found, _distinct_rows(members).filter("n = 1"))
 
 
-def _identity_examples(data: Dataset, columns: list[str], colliding: DataFrame, groups: int = 5, rows: int = 4) -> DataFrame:
+def _identity_examples(data: Dataset, columns: list[str], first: DataFrame, groups: int = 5, rows: int = 4) -> DataFrame:
     """The first few groups with the first rows of each, as one array."""
-    chosen = colliding.orderBy("first_single").limit(groups).select("identity", "first_single")
+    chosen = first.orderBy("first_single").limit(groups)
     keyed = data.frame.select(
         ROW_ID,
         tx.blocking_key([col(name) for name in columns]).alias("identity"),

@@ -188,9 +188,13 @@ def medians(values: DataFrame, measured: DataFrame, window: int = MEDIAN_WINDOW)
         row.pos: row
         for row in measured.filter("number_count > 0").select("pos", "number_count", "distinct_raw").collect()
     }
-    slices = {pos: _narrow(numbers, pos, row, window) for pos, row in sizes.items()}
+    small = [pos for pos, row in sizes.items() if row.distinct_raw <= window]
+    direct = numbers.filter(F.col("pos").isin(small)).groupBy("pos").agg(
+        F.percentile("number", F.lit(0.5), F.col("n")).alias("median")
+    )
+    slices = {pos: _narrow(numbers, pos, row, window) for pos, row in sizes.items() if row.distinct_raw > window}
     if not slices:
-        return numbers.sparkSession.createDataFrame([], "pos int, median double")
+        return direct
     schema = T.StructType(
         [T.StructField("pos", T.IntegerType()), T.StructField("low", T.DoubleType()),
          T.StructField("high", T.DoubleType()), T.StructField("below", T.LongType()),
@@ -207,7 +211,7 @@ def medians(values: DataFrame, measured: DataFrame, window: int = MEDIAN_WINDOW)
     merged = inside.groupBy("pos", "number", "below", "total").agg(F.sum("n").alias("n"))
     reached = F.col("below") + F.sum("n").over(Window.partitionBy("pos").orderBy("number"))
     total = F.col("total")
-    return (
+    ranked = (
         merged.withColumn("reached", reached)
         .groupBy("pos")
         .agg(
@@ -216,6 +220,7 @@ def medians(values: DataFrame, measured: DataFrame, window: int = MEDIAN_WINDOW)
         )
         .select("pos", ((F.col("lower") + F.col("upper")) / 2).alias("median"))
     )
+    return direct.unionByName(ranked)
 
 
 def _narrow(numbers: DataFrame, pos: int, size, window: int) -> tuple[float | None, float | None, int]:
