@@ -90,15 +90,16 @@ def find_determinants(data: Dataset, targets: list[str], facts: list[dict] | Non
     keeps at least its distinct values less the target's gaps, and that may not exceed half
     of the rows both columns fill.
     """
-    if len(data.columns) > MAX_COLUMNS or not targets:
-        return data.spark.createDataFrame(
-            [], "determinant string, target string, evidence_rows bigint, distinct_keys bigint, "
-            "recoverable_rows bigint, unrecoverable_rows bigint",
-        )
     names = data.columns
     if facts is not None:
         known = {fact["column"]: fact for fact in facts}
         names = [name for name in names if any(_may_decide(known[name], known[target]) for target in targets)]
+    paired = any(name != target for name in names for target in targets)
+    if len(data.columns) > MAX_COLUMNS or not paired:
+        return data.spark.createDataFrame(
+            [], "determinant string, target string, evidence_rows bigint, distinct_keys bigint, "
+            "recoverable_rows bigint, unrecoverable_rows bigint",
+        )
     return best_determinants(dependencies(pair_statistics(data, targets, names)))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.text import WHITESPACE
+from plumbline.functions.text import CP1252_BYTES, CP1252_CHARACTERS, WHITESPACE
 from plumbline.operators.dataset import ROW_ID, Dataset, ShapeError, col
 
 # Encodings and delimiters tried, in order.
@@ -46,12 +46,24 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return ENCODINGS[0] if verdict.utf8 else ENCODINGS[1] if verdict.windows else ENCODINGS[2]
 
 
+def _charset(encoding: str) -> str:
+    """The charset a file is read with. Spark has no code page 1252; it is read as Latin-1,
+    which keeps every byte, and the characters that differ are exchanged afterwards."""
+    return "ISO-8859-1" if encoding == ENCODINGS[1] else encoding
+
+
+def _decoded_1252(text: str, encoding: str) -> str:
+    if encoding != ENCODINGS[1]:
+        return text
+    return text.translate(str.maketrans(CP1252_BYTES, CP1252_CHARACTERS))
+
+
 def _first_lines(spark: SparkSession, path: str, encoding: str) -> list[str]:
     rows = (
-        spark.read.option("encoding", encoding).option("header", "false").option("sep", "\x00").option("quote", "")
+        spark.read.option("encoding", _charset(encoding)).option("header", "false").option("sep", "\x00").option("quote", "")
         .schema("line string").csv(path).limit(HEADER_LINES * 4).collect()
     )
-    lines = [(row.line or "").lstrip("\N{ZERO WIDTH NO-BREAK SPACE}") for row in rows]
+    lines = [_decoded_1252(row.line or "", encoding).lstrip("\N{ZERO WIDTH NO-BREAK SPACE}") for row in rows]
     return [line for line in lines if line.strip()][:HEADER_LINES]
 
 
@@ -129,14 +141,19 @@ def read_csv(
     raw = [f"c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*raw, _OVERFLOW]])
     df = spark.read.csv(
-        path, schema=schema, header=True, sep=layout.delimiter, encoding=layout.encoding, quote='"', escape='"',
+        path, schema=schema, header=True, sep=layout.delimiter, encoding=_charset(layout.encoding), quote='"', escape='"',
         multiLine=multi_line, enforceSchema=True,
     )
     # A short row is filled up, as if its last cells were empty; a long one spills over.
     if not df.filter(F.col(_OVERFLOW).isNotNull()).isEmpty():
         raise ShapeError("Some rows have more fields than the header.")
     kept = df.withColumn(ROW_ID, F.monotonically_increasing_id())
-    frame = kept.select(*[F.coalesce(F.col(r), F.lit("")).alias(n) for r, n in zip(raw, names)], ROW_ID)
+
+    def cell(name: str):
+        text = F.coalesce(F.col(name), F.lit(""))
+        return F.translate(text, CP1252_BYTES, CP1252_CHARACTERS) if layout.encoding == ENCODINGS[1] else text
+
+    frame = kept.select(*[cell(r).alias(n) for r, n in zip(raw, names)], ROW_ID)
     data = Dataset(frame, name or path.rstrip("/").rsplit("/", 1)[-1], tuple(notes), content_hash(spark, path) if with_hash else None)
     data.check_shape(max_rows, None)
     return data
