@@ -500,6 +500,80 @@ ORACLES["correction_previews"] = (
     "ORDER BY row_key LIMIT 10))"
 )
 
+_REWRITTEN = f"signup_date <> coalesce(strftime({_day('signup_date')}, '%Y-%m-%d'), '')"
+_DAMAGED = "count(*) FILTER (WHERE city = 'MalmÃ¶')"
+
+
+def _offer(action: str, column: str, affected: str, destructive: bool, confidence: float, source: str = "dirty_customer") -> str:
+    return (
+        f"SELECT '{action}' AS action, '{column}' AS \"column\", {affected} AS affected_rows, "
+        f"{str(destructive).lower()} AS destructive, CAST({confidence} AS DOUBLE) AS confidence FROM {source}"
+    )
+
+
+ORACLES["proposals"] = _union(
+    [
+        _offer("parse_dates", "signup_date", f"count(*) FILTER (WHERE {_REWRITTEN})", True, 0.7),
+        _offer("cast_to_numeric", "revenue", f"count({_MONEY})", True, 1),
+        _offer("normalize_case", "segment", "sum(n)", False, 1, f"({_CASE_MAP})"),
+        _offer("map_category", "segment", "sum(n)", False, 1, f"({_CATEGORY_MAP})"),
+        _offer("strip_whitespace", "full_name", "count(*) FILTER (WHERE trim(full_name) <> full_name)", False, 1),
+        _offer("clear_invalid_values", "email", f"count(*) FILTER (WHERE NOT {_gap('email')} AND NOT {_EMAIL})", True, 1),
+        _offer("clear_invalid_values", "signup_date", f"count(*) FILTER (WHERE {_day('signup_date')} IS NULL)", True, 1),
+        _offer("clear_invalid_values", "segment", "count(*) FILTER (WHERE segment = 'unknown')", True, 1),
+        _offer("fill_missing", "age", f"count(*) FILTER (WHERE {_gap('age')})", False, 0.5),
+        _offer("repair_encoding", "city", _DAMAGED, False, 0.95),
+    ]
+)
+ORACLES["proposals_with_status"] = (
+    "SELECT action, \"column\", CASE WHEN action = 'strip_whitespace' THEN 'approved' ELSE 'pending' END AS status FROM ("
+    + ORACLES["proposals"] + ")"
+)
+_MANUAL = " + ".join(
+    f"(SELECT count(*) FROM ({ORACLES['check_' + check]}) WHERE {test})"
+    for check, test in (
+        ("constant_column", "true"), ("future_date", "true"), ("impossible_numeric", "true"), ("suspicious_numeric", "true"),
+        ("missing_values", "\"column\" = 'email'"),
+    )
+)
+ORACLES["decision_counts"] = (
+    "SELECT actionable + manual_review AS total, actionable, approved, CAST(0 AS BIGINT) AS rejected, actionable + manual_review - approved AS pending, "
+    "manual_review, CAST(0 AS BIGINT) AS advisory, actionable - approved AS pending_actionable FROM (SELECT count(*) AS actionable, "
+    f"count(*) FILTER (WHERE action IN ('strip_whitespace', 'parse_dates')) AS approved, {_MANUAL} AS manual_review FROM ({ORACLES['proposals']}))"
+)
+_MERGED = (
+    f"(SELECT s0, s1, coalesce(c.to_value, s1) AS s2 FROM (SELECT segment AS s0, coalesce(m.to_value, segment) AS s1 FROM dirty_customer "
+    f"LEFT JOIN ({_CASE_MAP}) m ON segment = m.from_value) LEFT JOIN ({_CATEGORY_MAP}) c ON s1 = c.from_value)"
+)
+
+
+def _applied(action: str, column: str, changed: str, source: str = "dirty_customer") -> str:
+    return f"SELECT '{action}' AS action, '{column}' AS \"column\", {changed} AS rows_changed FROM {source}"
+
+
+ORACLES["applied_changes"] = "SELECT * FROM (" + _union(
+    [
+        _applied("repair_encoding", "city", _DAMAGED),
+        _applied("strip_whitespace", "full_name", "count(*) FILTER (WHERE trim(full_name) <> full_name)"),
+        _applied("normalize_case", "segment", "count(*) FILTER (WHERE s0 <> s1)", _MERGED),
+        _applied("map_category", "segment", "count(*) FILTER (WHERE s1 <> s2)", _MERGED),
+        _applied("cast_to_numeric", "revenue", "count(*)"),
+        _applied("parse_dates", "signup_date", f"count(*) FILTER (WHERE {_REWRITTEN})"),
+        _applied("clear_invalid_values", "email", f"count(*) FILTER (WHERE email IS NOT NULL AND NOT {_EMAIL})"),
+        _applied("clear_invalid_values", "segment", "count(*) FILTER (WHERE s2 = 'unknown')", _MERGED),
+        _applied("fill_missing", "age", f"count(*) FILTER (WHERE {_gap('age')})"),
+    ]
+) + ") WHERE rows_changed > 0"
+_ORDERS = {
+    "invalid_date": _brief("order_date", _severity(_RATIO), f"count(*) FILTER (WHERE {_day('order_date')} IS NULL)", "dirty_orders"),
+    "inconsistent_date_format": ORACLES["check_mixed_date_format_orders"],
+    "future_date": _brief("order_date", "'high'", f"count(*) FILTER (WHERE {_day('order_date')} > {TODAY})", "dirty_orders"),
+    "numeric_stored_as_text": _brief("amount", "'medium'", f"count({_AMOUNT})", "dirty_orders"),
+    "impossible_numeric": ORACLES["check_impossible_amounts"],
+    "inconsistent_capitalization": _variants("priority", "lower(trim(priority))", "trim(priority)", "low").replace("dirty_customer", "dirty_orders"),
+}
+ORACLES["analysis_orders"] = _union(f"SELECT '{check}' AS check_id, * FROM ({sql})" for check, sql in _ORDERS.items())
+
 # ------------------------------------------------------------------ suggestions and reports
 
 ORACLES["level_counts"] = (
