@@ -603,7 +603,26 @@ ORACLES["redacted_details"] = (
 ORACLES["audit_log"] = f"SELECT count(*) AS rows, CAST({len(CUSTOMER)} AS BIGINT) AS columns FROM dirty_customer"
 
 
-def oracle_sql() -> dict[str, str]:
-    return {name: with_views(sql) for name, sql in ORACLES.items()}
+#: DuckDB sums integers into 128 bits; these results are ordinary integers.
+_INTEGERS = {
+    "dataset_totals": ("total_cells", "missing_cells"),
+    "duplicate_rows": ("duplicate_rows",),
+    "duplicate_line_items": ("duplicate_rows",),
+    "check_inconsistent_category": ("affected_rows",),
+    "check_inconsistent_capitalization": ("affected_rows",),
+    "check_exact_duplicates": ("affected_rows", "row_count"),
+    "rule_unique": ("affected",),
+    "pair_statistics": ("evidence_rows", "recoverable_rows", "unrecoverable_rows"),
+    "functional_dependencies": ("evidence_rows", "recoverable_rows", "unrecoverable_rows"),
+    "proposals": ("affected_rows",),
+    "analysis_orders": ("affected_rows",),
+}
+
 
+def _as_integers(name: str, sql: str) -> str:
+    casts = ", ".join(f"CAST({column} AS BIGINT) AS {column}" for column in _INTEGERS.get(name, ()))
+    return f"SELECT * REPLACE ({casts}) FROM ({sql})" if casts else sql
 
+
+def oracle_sql() -> dict[str, str]:
+    return {name: with_views(_as_integers(name, sql)) for name, sql in ORACLES.items()}
