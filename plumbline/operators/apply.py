@@ -177,7 +177,7 @@ def without_repeats(data: Dataset) -> DataFrame:
     """
     digest = row_digest([digest_part(col(f.name), f.dataType, True) for f in data.fields])
     keyed = data.frame.withColumn("__digest", digest)
-    repeated = (
+    repeated = materialise(
         keyed.groupBy("__digest")
         .agg(F.count(F.lit(1)).alias("__n"), F.min(ROW_ID).alias("__kept"))
         .filter("__n > 1")

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import naming
 from plumbline.functions.severity import proposal_id
-from plumbline.operators.dataset import Dataset, first_per_group, pinned, small_table
+from plumbline.operators.dataset import Dataset, first_per_group, materialise, pinned, small_table
 from plumbline.operators.dependencies import find_determinants, lookup_table
 from plumbline.operators.findings import worst_first
 
@@ -347,7 +347,7 @@ def _mappings(data: Dataset, table: DataFrame, evidence: Evidence, maps: dict[st
         else:
             continue
         result = result.unionByName(pairs.withColumn("proposal_id", F.lit(offer.proposal_id)))
-    return result
+    return materialise(result)
 
 
 # ------------------------------------------------------------------ decisions

@@ -22,7 +22,7 @@ from plumbline.functions.dates import with_dates
 from plumbline.functions.numbers import with_number
 from plumbline.functions.severity import SEVERITIES, percent
 from plumbline.operators.checks import Context, dataset_check
-from plumbline.operators.dataset import ROW_ID, Dataset, col, first_per_group, lookup, row_digest, small_table
+from plumbline.operators.dataset import ROW_ID, Dataset, col, first_per_group, lookup, materialise, row_digest, small_table
 from plumbline.operators.findings import EVIDENCE_ROWS, as_findings, details, finding, no_findings, phrase
 
 log = logging.getLogger(__name__)
@@ -410,7 +410,8 @@ def violating_rows(data: Dataset, rules: list[Rule], as_of: date, limit: int = E
         if isinstance(rule, Unique):
             keyed = data.frame.select(ROW_ID, unique_key(rule, data).alias("digest"))
             first = keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias("kept"))
-            repeats = keyed.join(lookup(first.filter("n > 1").select("digest", "kept")), "digest")
+            repeated = materialise(first.filter("n > 1").select("digest", "kept"))
+            repeats = keyed.join(lookup(repeated), "digest")
             hits.append(repeats.filter(F.col(ROW_ID) > F.col("kept")).select(ROW_ID, F.lit(rule.name).alias("rule")))
     rows = hits[0]
     for more in hits[1:]:

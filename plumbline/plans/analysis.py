@@ -10,16 +10,16 @@ from datetime import date, datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-import plumbline.operators.rules  # noqa: F401 - registers the business rule check
+from plumbline.functions import text as tx
+from plumbline.functions.severity import percent, ratio_severity
 from plumbline.operators import checks, profile
 from plumbline.operators.checks import Context, run_checks
-from plumbline.operators.dataset import Dataset, materialise, pinned
+from plumbline.operators.dataset import Dataset, col, materialise, pinned
 from plumbline.operators.evidence import attach_rows
-from plumbline.operators.findings import FINDING_COLUMNS, finding, as_findings, details, no_findings, phrase
+from plumbline.operators.findings import FINDING_COLUMNS, as_findings, details, finding, phrase
 from plumbline.operators.frequency import folded_counts, trimmed_counts, value_counts
-from plumbline.operators.rules import RuleSet, evaluate, rule_table
+from plumbline.operators.rules import RuleSet, business_rules
 from plumbline.operators.score import column_scores, quality_score
-from plumbline.functions.severity import percent, ratio_severity
 
 
 @dataclass
@@ -75,7 +75,7 @@ def measure(data: Dataset, as_of: date | None = None) -> Review:
     """Value frequencies, per-column facts and profiles of a table."""
     as_of = as_of or date.today()
     values = materialise(value_counts(data))
-    trimmed = trimmed_counts(values)
+    trimmed = materialise(trimmed_counts(values))
     folded = folded_counts(trimmed)
     measured, _ = pinned(profile.measures(values, as_of))
     spread = profile.deviations(values, measured)
@@ -127,7 +127,8 @@ def structural_findings(data: Dataset, rules: RuleSet | None = None, as_of: date
     No value frequencies and no row ids: one scan for the first two checks, one narrow
     grouping for duplicates, one scan for all single-row rules.
     """
-    measured = structural_measures(data)
+    measured, rows = pinned(structural_measures(data))
+    row_count = rows[0]["row_count"] if rows else 0
     ratio = F.try_divide(F.col("missing_count"), F.col("row_count"))
     missing = finding(
         "missing_values", "missing_values", ratio_severity(ratio), F.col("column"),
@@ -146,12 +147,9 @@ def structural_findings(data: Dataset, rules: RuleSet | None = None, as_of: date
     found = as_findings(
         measured, [F.when(F.col("missing_count") > 0, missing), F.when(is_constant, constant)]
     )
-    row_count = data.frame.count()
     context = Context(data, measured, row_count, as_of or date.today(), rules, row_ids=False, notes=data.notes)
     found = found.unionByName(checks.exact_duplicates(context))
     if rules is not None:
-        from plumbline.operators.rules import business_rules
-
         found = found.unionByName(business_rules(context))
     return found.select(*FINDING_COLUMNS)
 
@@ -161,9 +159,6 @@ def structural_measures(data: Dataset) -> DataFrame:
 
     Equal extremes mean a constant column; no distinct count is needed.
     """
-    from plumbline.functions import text as tx
-    from plumbline.operators.dataset import col
-
     sums, rows = [F.count(F.lit(1)).alias("row_count")], []
     for position, field_ in enumerate(data.fields):
         gap = tx.missing(col(field_.name), field_.dataType)
