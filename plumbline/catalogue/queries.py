@@ -17,14 +17,13 @@ from plumbline.functions.numbers import with_number
 from plumbline.operators import checks, dependencies, ground, profile, report
 from plumbline.operators.apply import apply_corrections, previews, without_repeats
 from plumbline.operators.checks import Context, run_checks
-from plumbline.operators.dataset import ROW_ID, Dataset, first_per_group, materialise, pinned, preview_rows
+from plumbline.operators.dataset import ROW_ID, pinned, preview_rows
 from plumbline.operators.findings import by_severity, worst_first
-from plumbline.operators.frequency import folded_counts, trimmed_counts, value_counts
 from plumbline.operators.propose import decide, decision_counts, propose, spelling_map, with_status
 from plumbline.operators.sampling import evenly_spaced_sample
 from plumbline.operators.score import column_scores, quality_score, worst_columns
 from plumbline.plans.analysis import Review, analyze, measure, structural_findings
-from plumbline.plans.review import advise, clean, occurring_levels, offer
+from plumbline.plans.review import advise, clean, offer
 from plumbline.sources.history import redact
 
 #: The day that future dates are judged against.

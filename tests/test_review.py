@@ -10,7 +10,7 @@ from plumbline import History, advise, analyze, clean, decide, load_rules, offer
 from plumbline.operators import dependencies, ground, report
 from plumbline.operators import rules as rl
 from plumbline.operators.apply import apply_corrections, approved_in_order
-from plumbline.operators.dataset import ROW_ID, Dataset, ShapeError
+from plumbline.operators.dataset import ROW_ID, ShapeError
 from plumbline.operators.propose import Proposals, may_impute, propose
 from plumbline.sources import readers, writers
 from plumbline.sources.history import redact
