@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, license_scan, mixing, simhash, toxicity
+from plumbline.llm import decontaminate, license_scan, mixing, pii, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,10 +17,18 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.grade_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(_table(spark, folder, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.rate(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(_table(spark, folder, "documents"))
 
@@ -35,7 +43,9 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op3_pii": op3_pii,
     "op4_decontamination": op4_decontamination,
+    "op7_quality": op7_quality,
     "op8_licenses": op8_licenses,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
