@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, license_scan, mixing, pii, quality, simhash, toxicity
+from plumbline.llm import decontaminate, license_scan, lm_score, mixing, pii, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op5_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.score(_table(spark, folder, "documents"))
+
+
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.rate(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
     "op4_decontamination": op4_decontamination,
+    "op5_lm_scoring": op5_lm_scoring,
     "op7_quality": op7_quality,
     "op8_licenses": op8_licenses,
     "op9_mixing": op9_mixing,
