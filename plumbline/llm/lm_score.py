@@ -16,8 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import as_bytes, column, written
-from plumbline.llm.tallies import answered, answers, blocks, expand, squeeze, squeeze_sorted, told
+from plumbline.llm.common import as_bytes, column
+from plumbline.llm.tallies import answered, answers, blocks, expand, squeeze, told
 
 #: Documents whose id has this remainder are not learned from.
 FOLDS, HELD_OUT = 5, 1
@@ -40,7 +40,7 @@ def _pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _block(batch: pa.RecordBatch) -> dict[str, bytes | int]:
-    """The tokens of a block's documents as places in its list of keys, and the block's counts."""
+    """The tokens of a block's documents, as places in its list of words; the end has place 0."""
     places: dict[bytes, int] = {}
     sizes, tokens = [], []
     for text in as_bytes(batch):
@@ -48,30 +48,43 @@ def _block(batch: pa.RecordBatch) -> dict[str, bytes | int]:
         sizes.append(len(words) + 1)
         tokens.append(np.fromiter((places.setdefault(word, len(places) + 1) for word in words), np.int32, len(words)))
         tokens.append(np.zeros(1, np.int32))
-    hashed = np.array([_END, *(xxhash.xxh64_intdigest(word) | 1 for word in places)], np.uint64)
-    token = np.concatenate(tokens)
-    before = np.concatenate([np.zeros(1, np.int32), token[:-1]])
-    pairs = _pair_keys(hashed[before], hashed[token])
-    keys, place = np.unique(np.concatenate([hashed[token], pairs]), return_inverse=True)
-    single, pair = place[: len(token)].astype(np.int32), place[len(token) :].astype(np.int32)
-    held_out = np.array(column(batch, "held_out").to_pylist(), bool)
-    learned = np.repeat(~held_out, sizes)
-    counts = np.bincount(np.concatenate([single[learned], pair[learned]]), minlength=len(keys))
-    ids = column(batch, "doc_id").to_pylist()
+    ids, held_out = column(batch, "doc_id").to_pylist(), column(batch, "held_out").to_pylist()
     return {
         "n_docs": len(sizes),
-        "n_keys": len(keys),
-        "keys": squeeze_sorted(keys),
-        "weights": squeeze(counts.astype(np.uint32)),
+        "n_keys": sum(sizes),
+        "words": squeeze(np.array([_END, *(xxhash.xxh64_intdigest(word) | 1 for word in places)], np.uint64)),
         "ids": squeeze(np.array([i or 0 for i in ids], np.int64)),
-        "flags": squeeze(np.array([held + 2 * (i is None) for held, i in zip(held_out.tolist(), ids, strict=True)], np.uint8)),
+        "flags": squeeze(np.array([held + 2 * (i is None) for held, i in zip(held_out, ids, strict=True)], np.uint8)),
         "sizes": squeeze(np.array(sizes, np.int32)),
-        "singles": squeeze(single),
-        "pairs": squeeze(pair),
+        "tokens": squeeze(np.concatenate(tokens)),
     }
 
 
-_FIELDS = "n_docs bigint, n_keys bigint, keys binary, weights binary, ids binary, flags binary, sizes binary, singles binary, pairs binary"
+_FIELDS = "n_docs bigint, n_keys bigint, words binary, ids binary, flags binary, sizes binary, tokens binary"
+
+
+class _Tokens:
+    """The tokens of a block: the keys of words and pairs, and each token's places among them."""
+
+    def __init__(self, row: dict):
+        self.flags, self.sizes = expand(row["flags"], np.uint8), expand(row["sizes"], np.int32)
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        word, token = expand(row["words"], np.uint64), expand(row["tokens"], np.int32)
+        # A text's first word follows an end; so does the block's first token, whose last one is an end.
+        before = np.concatenate([token[-1:], token[:-1]])
+        singles, place = np.unique(word, return_inverse=True)
+        place = place.astype(np.int32)
+        pairs, self.pair = np.unique(_pair_keys(word[before], word[token]), return_inverse=True)
+        self.single, self.before, self.pair = place[token], place[before], self.pair.astype(np.int32)
+        self.singles, self.pairs = singles, pairs
+
+    def listed(self) -> tuple[np.ndarray, np.ndarray]:
+        """All keys in order, and how often each occurs in documents that are learned from."""
+        learned = (self.flags & 1)[self.doc] == 0
+        counts = [np.bincount(place[learned], minlength=len(keys)) for place, keys in ((self.single, self.singles), (self.pair, self.pairs))]
+        keys = np.concatenate([self.singles, self.pairs])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.concatenate(counts).astype(np.uint32)[order]
 
 
 def _sums(keys: np.ndarray, weights: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, dict[str, int]]:
@@ -81,18 +94,15 @@ def _sums(keys: np.ndarray, weights: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return total[place], {"tokens": int(total[words].sum()), "known": int(np.count_nonzero(total[words]))}
 
 
-class _Counts:
+class _Counts(_Tokens):
     """The corpus counts of every token of a block: of its word, of the word before and of the pair."""
 
     def __init__(self, row: dict):
-        total = told(row["answers"], np.uint64)
-        self.flags, self.sizes = expand(row["flags"], np.uint8), expand(row["sizes"], np.int32)
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.single, self.pair = expand(row["singles"], np.int32), expand(row["pairs"], np.int32)
-        self.first = np.cumsum(self.sizes) - self.sizes
-        # The word before a text's first word is the end; every text's last token has the end's place.
-        self.before = np.concatenate([self.single[-1:], self.single[:-1]])
-        self.word, self.context, self.both = total[self.single], total[self.before], total[self.pair]
+        super().__init__(row)
+        total = np.empty(len(self.singles) + len(self.pairs), np.uint64)
+        total[np.argsort(np.concatenate([self.singles, self.pairs]), kind="stable")] = told(row["answers"], np.uint64)
+        singles, pairs = total[: len(self.singles)], total[len(self.singles) :]
+        self.word, self.context, self.both = singles[self.single], singles[self.before], pairs[self.pair]
 
     def deleted(self) -> tuple[np.ndarray, ...]:
         """The counts without the token's own document, for tokens of documents that were learned from."""
@@ -126,7 +136,7 @@ def _histogram(table: DataFrame, tokens: int, known: int) -> dict[tuple[int, int
                 found, n = np.unique((_frequency(context) << 32) + np.floor(cell).astype(np.int64) + 1, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["cell", "n"])
 
-    rows = table.drop("ids", "n_docs").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    rows = table.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     return {(row["cell"] >> 32, (row["cell"] & 0xFFFFFFFF) - 1): float(row["n"]) for row in rows}
 
 
@@ -169,10 +179,10 @@ def score(docs: DataFrame) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     packed = blocks(rows, _block, _FIELDS)
-    pieces = answers(packed, _sums, ("tokens", "known"))
+    pieces = answers(packed, lambda row: _Tokens(row).listed(), _sums, ("tokens", "known"))
     sums = pieces.agg(F.sum("tokens"), F.sum("known")).first()
     tokens, known = int(sums[0] or 0), int(sums[1] or 0)
-    table = written(answered(packed, pieces))
+    table = answered(packed, pieces)
     weights = mixture_weights(_histogram(table, tokens, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ of the lists and go back to the blocks without the keys.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,17 +50,18 @@ def expand_sorted(data: bytes) -> np.ndarray:
 
 
 def blocks(rows: DataFrame, build: Callable[[pa.RecordBatch], dict[str, bytes | int]], fields: str) -> DataFrame:
-    """A written table with one row a block: ``block`` and the ``fields`` that ``build`` makes of its rows.
+    """A table with one row a block: ``block`` and the ``fields`` that ``build`` makes of its rows.
 
-    ``fields`` must hold ``n_keys bigint, keys binary, weights binary``; the keys sorted, distinct and
-    squeezed, the weights squeezed ``uint32``. A block never spans two tasks.
+    ``fields`` must hold ``n_keys``, the number of distinct keys. A block never spans two tasks. The
+    table lies in the warehouse, bucketed by block, so that answers come to the blocks and not the
+    other way round.
     """
     names = [part.split()[0] for part in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
 
-        def made(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        def packed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             nonlocal number
             whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
             out = {"block": number, **build(whole)}
@@ -73,19 +75,24 @@ def blocks(rows: DataFrame, build: Callable[[pa.RecordBatch], dict[str, bytes |
                     continue
                 more = pa.compute.sum(pa.compute.binary_length(column(part, "text"))).as_py()
                 if held and size + more > BLOCK_BYTES:
-                    yield made(held)
+                    yield packed(held)
                     held, size = [], 0
                 held.append(part)
                 size += more
         if held:
-            yield made(held)
+            yield packed(held)
 
-    return written(rows.mapInArrow(run, f"block bigint, {fields}"))
+    spark = rows.sparkSession
+    name = f"plumbline_blocks_{uuid.uuid4().hex}"
+    made = rows.mapInArrow(run, f"block bigint, {fields}").write.format("parquet")
+    made.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(name)
+    return spark.table(name)
 
 
-def answers(table: DataFrame, combine: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, dict[str, int]]], stats: tuple[str, ...] = ()) -> DataFrame:
+def answers(table: DataFrame, listed: Callable[[dict], tuple[np.ndarray, np.ndarray]], combine: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, dict[str, int]]], stats: tuple[str, ...] = ()) -> DataFrame:
     """``block, answers`` and the ``stats``: what ``combine`` says of every key of every block.
 
+    ``listed(row)`` gives the keys of a block, sorted and distinct, and their weights (``uint32``).
     ``combine(keys, weights, ends)`` gets all entries of a bucket, block after block in the order of
     their numbers (``ends`` are the places where blocks end), and returns a number for each entry and
     sums over the bucket. ``answers`` lists the buckets' pieces in order; a sum stands in one of the
@@ -97,8 +104,8 @@ def answers(table: DataFrame, combine: Callable[[np.ndarray, np.ndarray, np.ndar
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, keys, weights in zip(*(column(batch, n).to_pylist() for n in ("block", "keys", "weights")), strict=True):
-                keys, weights = expand_sorted(keys), expand(weights, np.uint32)
+            for row in batch.to_pylist():
+                block, (keys, weights) = row["block"], listed(row)
                 ends = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
                 runs = [(i, a, b) for i, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
                 yield pa.RecordBatch.from_arrays(
@@ -123,15 +130,15 @@ def answers(table: DataFrame, combine: Callable[[np.ndarray, np.ndarray, np.ndar
         return out
 
     sums = "".join(f", {name} bigint" for name in stats)
-    asked = table.select("block", "keys", "weights").mapInArrow(ask, "bucket bigint, block bigint, keys binary, weights binary")
+    asked = table.mapInArrow(ask, "bucket bigint, block bigint, keys binary, weights binary")
     pieces = asked.groupBy("bucket").applyInPandas(answer, f"bucket bigint, block bigint, answers binary{sums}")
     return written(pieces)
 
 
 def answered(table: DataFrame, pieces: DataFrame) -> DataFrame:
     """The blocks, each with its ``answers`` as an array in the order of its keys."""
-    listed = pieces.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "answers"))), lambda p: p["answers"]).alias("answers"))
-    return table.drop("keys", "weights").join(listed, "block", "left")
+    whole = pieces.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "answers"))), lambda p: p["answers"]).alias("answers"))
+    return table.join(whole, "block", "left")
 
 
 def told(parts: list[bytes] | None, kind: type) -> np.ndarray:
