@@ -11,11 +11,11 @@ are verified bit by bit.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -83,14 +83,14 @@ def pivots(count: int = PIVOTS) -> np.ndarray:
 
 
 def _near(fps: np.ndarray, max_bits: int, references: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of fingerprints within ``max_bits``, by pivot table and verification."""
-    table = np.bitwise_count(fps[:, None] ^ references[None, :]).astype(np.int8)
-    a, b = np.triu_indices(len(fps), 1)
-    for pivot in range(table.shape[1]):
-        alike = np.abs(table[a, pivot] - table[b, pivot]) <= max_bits
-        a, b = a[alike], b[alike]
-    close = np.bitwise_count(fps[a] ^ fps[b]) <= max_bits
-    return a[close], b[close]
+    """Pairs within ``max_bits`` in any row of ``fps`` (buckets by members), by pivot table and verification."""
+    table = np.bitwise_count(fps[:, :, None] ^ references).astype(np.int8)
+    row, a, b = (each.ravel() for each in np.broadcast_arrays(np.arange(len(fps))[:, None], *(i[None, :] for i in np.triu_indices(fps.shape[1], 1))))
+    for pivot in range(len(references)):
+        alike = np.abs(table[row, a, pivot] - table[row, b, pivot]) <= max_bits
+        row, a, b = row[alike], a[alike], b[alike]
+    close = np.bitwise_count(fps[row, a] ^ fps[row, b]) <= max_bits
+    return fps[row, a][close], fps[row, b][close]
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
@@ -105,10 +105,17 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> Dat
     references = pivots()
     found = []
 
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        fp = group["fp"].to_numpy().view(np.uint64)
-        a, b = _near(fp, max_bits, references)
-        return pd.DataFrame({"a": fp[a].view(np.int64), "b": fp[b].view(np.int64)})
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            sizes, values = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy().view(np.uint64)
+            starts = np.cumsum(sizes) - sizes
+            for size in np.unique(sizes).tolist():
+                first = starts[sizes == size]
+                step = max(1, 2_000_000 // (size * size))
+                for at in range(0, len(first), step):
+                    a, b = _near(values[first[at : at + step, None] + np.arange(size)], max_bits, references)
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     while True:
         last = min(64 - len(held) for held in masks.values()) <= 8
@@ -116,7 +123,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> Dat
         sizes = keyed.groupBy("mask", "bits").agg(F.count("*").alias("n")).filter("n > 1")
         keyed = written(keyed.join(sizes, ["mask", "bits"]))
         small = keyed if last else keyed.filter(F.col("n") <= bucket)
-        found.append(small.groupBy("mask", "bits").applyInPandas(pairs, "a bigint, b bigint"))
+        found.append(small.groupBy("mask", "bits").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(pairs, "a bigint, b bigint"))
         large = keyed.filter(F.col("n") > bucket).select("fp", "mask")
         if last or large.isEmpty():
             break
