@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, mixing, simhash, toxicity
+from plumbline.llm import decontaminate, line_dedup, mixing, simhash, toxicity
 from plumbline.llm.common import written
 
 
@@ -13,6 +13,11 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier line stands for go; documents that have nothing else go with them."""
+    return line_dedup.without_repeated_lines(docs)
+
+
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash near-duplicates, the one with the smallest id."""
     return simhash.one_of_each(docs)
@@ -30,6 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", remove_toxic),
+    ("line dedup", remove_repeated_lines),
     ("simhash", remove_near_copies),
     ("decontamination", remove_benchmark_text),
     ("mixing", mix_sources),

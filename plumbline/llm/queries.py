@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, license_scan, lm_score, mixing, pii, quality, simhash, toxicity
+from plumbline.llm import decontaminate, license_scan, line_dedup, lm_score, mixing, pii, quality, simhash, substring_dedup, toxicity
+from plumbline.llm.common import ROW_KEY
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, folder, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.grade_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -29,6 +34,10 @@ def op5_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm_score.score(_table(spark, folder, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.passages(_table(spark, folder, "documents")).drop(*ROW_KEY)
+
+
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.rate(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -46,10 +55,12 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
     "op4_decontamination": op4_decontamination,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_quality": op7_quality,
     "op8_licenses": op8_licenses,
     "op9_mixing": op9_mixing,
