@@ -73,13 +73,14 @@ HINTS = ("licen", "permission", "redistribution", "warranty", "rights reserved",
 _KNOWN = [(name, re.compile(pattern.replace("{v}", r"(?P<v>[0-9]+(?:\.[0-9]+)*)") + r"\Z")) for name, pattern in SENTENCES]
 #: Sentences end at a line's end or at a full stop, exclamation or question mark before white space.
 _SENTENCE = re.compile(r"[^\n]*?(?:[.!?;](?=\s)|\n|\Z)")
-_QUOTES = re.compile(r"[\"'“”‘’`*#/]+(?=\s|\Z)|(?<!\S)[\"'“”‘’`*#/]+|[\"“”‘’`]")
+_QUOTES = re.compile(r"[\"“”‘’`]|(?<!\w)'|'(?!\w)")
+_MARKS = re.compile(r"(?<!\S)[*#/;%-]+(?=\s|\Z|\w)|[*#/]+(?=\s|\Z)")
 _SPACES = re.compile(r"\s+")
 
 
 def normalised(sentence: str) -> str:
     """Lower case, single blanks, no quotes or comment marks, no final punctuation."""
-    return _SPACES.sub(" ", _QUOTES.sub(" ", sentence.lower())).strip(" .!?;,:")
+    return _SPACES.sub(" ", _MARKS.sub(" ", _QUOTES.sub("", sentence.lower()))).strip(" .!?;,:")
 
 
 def sentences(text: str) -> list[tuple[str, dict[str, str]]]:

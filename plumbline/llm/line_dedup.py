@@ -423,13 +423,13 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     ``n_chars``, where there is such a column, follows the text.
     """
     rows = with_row_key(docs)
-    changed = written(kept_lines(rows).filter("n_kept < n_lines").select(*ROW_KEY, "kept"))
+    changed = written(kept_lines(rows).filter("n_kept < n_lines").select(*ROW_KEY, F.col("kept").alias("__kept")))
     lines = F.split("text", "\n")
-    stays = F.filter(lines, lambda line, i: F.array_contains("kept", i) | ~line.rlike(r"\S"))
-    joined = rows.join(changed, ROW_KEY, "left").filter("kept is null or size(kept) > 0")
-    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
+    stays = F.filter(lines, lambda line, i: F.array_contains("__kept", i) | ~line.rlike(r"\S"))
+    joined = rows.join(changed, ROW_KEY, "left").filter("__kept is null or size(__kept) > 0")
+    text = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         size = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(size))
+        out = out.withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(size))
     return out.select(*docs.columns)

@@ -82,8 +82,8 @@ def trusted_ids(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """The logarithm of the ratio of target to raw probability of every bucket.
 
-    Both multinomials are smoothed by one count a bucket. Without trusted documents, or without
-    any, all ratios are near one.
+    Both multinomials are smoothed by one count a bucket. Without trusted documents all ratios
+    are one.
     """
     marked = docs.select("doc_id", "text").join(
         F.broadcast(trusted.select(F.col("doc_id").alias("__trusted"))), F.col("doc_id") == F.col("__trusted"), "left"
@@ -96,6 +96,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> l
     for row in counts:
         raw[row["bucket"]] += row["raw"]
         target[row["bucket"]] += row["target"]
+    if sum(target) == buckets:
+        return [0.0] * buckets
     total = sum(raw) / sum(target)
     return [log(t / r * total) for t, r in zip(target, raw, strict=True)]
 

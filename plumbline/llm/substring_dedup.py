@@ -46,6 +46,9 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
 
 def _cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
     """Document, begin and end of every chunk, and the bytes they lie in."""
+    if not texts:
+        none = np.zeros(0, np.int64)
+        return none, none, none, b""
     whole = _APART + _APART.join(texts) + _APART
     data = np.frombuffer(whole, np.uint8)
     sizes = np.array([len(text) for text in texts], np.int64)
@@ -194,12 +197,13 @@ def passages(docs: DataFrame, least_words: int = LEAST_WORDS, keyed: bool = Fals
 def without_later_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` whose texts have lost every passage that an earlier row holds; the first copy stays."""
     rows = with_row_key(docs)
-    gone = written(passages(rows, least_words, keyed=True).filter("later_spans <> ''").select(*ROW_KEY, "later_spans"))
+    gone = written(passages(rows, least_words, keyed=True).filter("later_spans <> ''").select(*ROW_KEY, F.col("later_spans").alias("__later")))
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, spans in zip(column(batch, "text").to_pylist(), column(batch, "later_spans").to_pylist(), strict=True):
+            for text, spans in zip(column(batch, "text").to_pylist(), column(batch, "__later").to_pylist(), strict=True):
                 if spans:
                     data, kept, at = text.encode(), [], 0
                     for begin, end in (map(int, span.split(":")) for span in spans.split(",")):
@@ -207,7 +211,7 @@ def without_later_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> D
                         at = end
                     text = b"".join([*kept, data[at:]]).decode()
                 texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else column(batch, n) for n in docs.columns], docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else column(batch, n) for n in names], names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return rows.join(gone, ROW_KEY, "left").mapInArrow(run, schema)

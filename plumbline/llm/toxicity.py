@@ -26,7 +26,7 @@ MIN_DOCUMENTS = 3
 #: Strength of the penalties on absolute and on squared weights.
 L1, L2 = 0.0001, 0.00002
 #: A document is toxic if its expected severity is above this.
-REJECT_ABOVE = 0.5
+REJECT_ABOVE = 0.4
 #: Lengths of the word beginnings used as features, beside whole words.
 BEGINNINGS = (4, 5, 6)
 #: Features are numbered by hash.
@@ -87,11 +87,13 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def fit_grades(examples: list[tuple[np.ndarray, int]], rounds: int = 300) -> OrdinalModel:
     """The model of ``(features, grade)`` rows, by accelerated proximal gradient steps.
 
-    Without rows, or with one grade only, no weight is learned and the thresholds follow the share
-    of the grades.
+    With one grade only, no weight is learned and the thresholds follow the share of the grades;
+    without rows nothing is toxic.
     """
     grades = np.array([grade for _, grade in examples], np.int64)
     n, top = len(grades), int(max([1, *grades]))
+    if not n:
+        return OrdinalModel({}, (40.0,))
     above = np.array([(np.sum(grades > k) + 0.5) / (n + 1) for k in range(top)])
     thresholds = np.maximum.accumulate(np.log((1 - above) / above))
     if len(set(grades.tolist())) < 2:
