@@ -87,7 +87,7 @@ ORACLES["profile_numeric"] = _union(
     f"SELECT '{c}' AS \"column\", min({c}) AS minimum, max({c}) AS maximum, round(avg({c}), 4) AS mean, "
     f"round(median({c}), 4) AS median, round(stddev_samp({c}), 4) AS std_dev, count(*) FILTER (WHERE {c} = 0) AS zero_count, "
     f"count(*) FILTER (WHERE {c} < 0) AS negative_count FROM lineitem"
-    for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 )
 ORACLES["profile_numeric_text"] = _union(
     f"SELECT '{c}' AS \"column\", min({x}) AS minimum, max({x}) AS maximum, round(avg({x}), 4) AS mean, "
@@ -116,7 +116,7 @@ ORACLES["cardinality"] = _union(
 )
 ORACLES["cardinality_events"] = _union(
     f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS unique_count FROM events"
-    for c in ("ts", "user_id", "event_type", "value", "props")
+    for c in ("event_id", "ts", "user_id", "event_type", "value", "props")
 )
 ORACLES["top_values"] = (
     "SELECT \"column\", rank, value, n FROM (SELECT *, row_number() OVER (PARTITION BY \"column\" ORDER BY n DESC, value) - 1 AS rank FROM ("
@@ -141,6 +141,7 @@ _TYPES = {
 ORACLES["infer_types"] = _union(f"SELECT '{c}' AS \"column\", '{t}' AS semantic_type" for c, t in _TYPES.items())
 ORACLES["infer_types_native"] = (
     "SELECT 'o_custkey' AS \"column\", 'integer' AS semantic_type, CAST(1 AS DOUBLE) AS confidence "
+    "UNION ALL SELECT 'o_orderkey', 'integer', 1 "
     "UNION ALL SELECT 'o_totalprice', 'float', 1 UNION ALL SELECT 'o_orderdate', 'datetime', 1 "
     "UNION ALL SELECT 'o_orderstatus', 'categorical', round(1 - count(DISTINCT o_orderstatus) / count(*), 4) FROM orders "
     "UNION ALL SELECT 'o_orderpriority', 'categorical', round(1 - count(DISTINCT o_orderpriority) / count(*), 4) FROM orders"
@@ -158,11 +159,11 @@ ORACLES["dataset_totals"] = (
 )
 ORACLES["duplicate_rows"] = (
     "SELECT coalesce(sum(n - 1), 0) AS duplicate_rows, count(*) FILTER (WHERE n > 1) AS duplicate_groups "
-    "FROM (SELECT count(*) AS n FROM documents GROUP BY lang, text)"
+    "FROM (SELECT count(*) AS n FROM repeated_orders GROUP BY customer, status, priority)"
 )
 ORACLES["duplicate_line_items"] = (
     "SELECT coalesce(sum(n - 1), 0) AS duplicate_rows, count(*) FILTER (WHERE n > 1) AS duplicate_groups "
-    "FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey, l_linenumber, l_quantity, l_discount)"
+    "FROM (SELECT count(*) AS n FROM repeated_lines GROUP BY line, flag, status, lot)"
 )
 
 
@@ -282,7 +283,7 @@ ORACLES["check_corrupted_encoding"] = _brief(
     "count(*) FILTER (WHERE city = 'MalmÃ¶' OR contains(city, chr(65533)))",
 )
 ORACLES["check_mixed_datatypes"] = _brief("mixed", "'medium'", "count(*)", "dirty_part")
-_DOCUMENT_KEYS = "lower(trim(lang)), lower(trim(text))"
+_ORDER_KEYS = "customer, lower(trim(status)), lower(trim(priority))"
 _DUPLICATE_SUMMARY = (
     "SELECT CASE WHEN affected_rows / row_count > {limit} THEN 'high' ELSE 'medium' END AS severity, affected_rows, row_count, duplicate_groups FROM ({body}) "
     "WHERE affected_rows > 0"
@@ -290,7 +291,7 @@ _DUPLICATE_SUMMARY = (
 ORACLES["check_exact_duplicates"] = _DUPLICATE_SUMMARY.format(
     limit=0.05,
     body="SELECT sum(n - 1) FILTER (WHERE n > 1) AS affected_rows, sum(n) AS row_count, count(*) FILTER (WHERE n > 1) AS duplicate_groups "
-    f"FROM (SELECT count(*) AS n FROM documents GROUP BY {_DOCUMENT_KEYS})",
+    f"FROM (SELECT count(*) AS n FROM repeated_orders GROUP BY {_ORDER_KEYS})",
 )
 _COMPANY_ROWS = (
     f"SELECT row_key, {_COMPANY_KEY} AS k, count(*) OVER (PARTITION BY {_COMPANY_KEY}) AS same_key, "
@@ -306,8 +307,8 @@ ORACLES["probable_duplicate_rows_first"] = (
     f"SELECT row_key AS row_id FROM ({_COMPANY_ROWS}) WHERE same_key > 1 AND same_row = 1 ORDER BY row_key LIMIT 200"
 )
 ORACLES["exact_duplicate_rows_first"] = (
-    f"SELECT doc_id AS row_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY {_DOCUMENT_KEYS} ORDER BY doc_id) AS rn FROM documents) "
-    "WHERE rn > 1 ORDER BY doc_id LIMIT 200"
+    f"SELECT row_key AS row_id FROM (SELECT row_key, row_number() OVER (PARTITION BY {_ORDER_KEYS} ORDER BY row_key) AS rn FROM repeated_orders) "
+    "WHERE rn > 1 ORDER BY row_key LIMIT 200"
 )
 
 # ------------------------------------------------------------------ rules
@@ -489,7 +490,53 @@ ORACLES["recovered_nations"] = (
     "SELECT row_key AS row_id, nation_key, coalesce(nation_name, l.value) AS nation_name FROM gappy_nation "
     f"LEFT JOIN ({ORACLES['lookup_table']}) l ON nation_key = l.key"
 )
-ORACLES["drop_duplicates"] = f"SELECT min(doc_id) AS row_id FROM documents GROUP BY {_DOCUMENT_KEYS}"
+ORACLES["drop_duplicates"] = f"SELECT min(row_key) AS row_id FROM repeated_orders GROUP BY {_ORDER_KEYS}"
+ORACLES["drop_duplicates_shared_ids"] = "SELECT DISTINCT customer, status, lower(priority) AS priority FROM shared_ids"
+ORACLES["clipped_ages"] = f"SELECT row_key AS row_id, CASE WHEN {_AGE} IS NOT NULL THEN greatest(0, least(75, {_AGE})) END AS clipped FROM dirty_customer"
+ORACLES["proposed_removal"] = (
+    "SELECT 'drop_duplicate_rows' AS action, affected AS rows_removed, affected AS affected_rows, true AS destructive FROM "
+    f"(SELECT CAST(sum(n - 1) AS BIGINT) AS affected FROM (SELECT count(*) AS n FROM repeated_orders GROUP BY {_ORDER_KEYS}))"
+)
+_LONG_GROUPS = (
+    "SELECT row_key, note, lower(trim(note)) AS k, count(DISTINCT trim(note)) OVER (PARTITION BY lower(trim(note))) AS forms FROM long_notes"
+)
+_LONG_FORMS = "SELECT note, lower(note) AS k, count(*) AS n FROM long_notes GROUP BY 1, 2"
+_LONG_MAP = (
+    "SELECT from_value, to_value, n FROM (SELECT note AS from_value, n, first_value(note) OVER (PARTITION BY k ORDER BY n DESC, note) AS to_value, "
+    "max(n) OVER (PARTITION BY k) AS most, count(*) OVER (PARTITION BY k, n) AS alike, n AS own FROM "
+    f"({_LONG_FORMS})) x WHERE from_value <> to_value AND most > own"
+)
+ORACLES["long_value_findings"] = (
+    "SELECT 'inconsistent_capitalization' AS check_id, 'note' AS \"column\", 'low' AS severity, count(*) FILTER (WHERE forms > 1) AS affected_rows, "
+    f"count(*) AS row_count FROM ({_LONG_GROUPS})"
+)
+ORACLES["long_value_evidence"] = (
+    f"SELECT 'inconsistent_capitalization' AS check_id, 'note' AS \"column\", row_key AS row_id FROM ({_LONG_GROUPS}) WHERE forms > 1 ORDER BY row_key LIMIT 200"
+)
+ORACLES["long_value_mapping"] = f"SELECT md5(to_value) AS to_digest, n FROM ({_LONG_MAP})"
+ORACLES["long_value_correction"] = (
+    "SELECT row_key AS row_id, md5(coalesce(to_value, note)) AS note, CAST(length(code) AS INTEGER) AS code_length FROM long_notes "
+    f"LEFT JOIN ({_LONG_MAP}) ON note = from_value"
+)
+_BRAND_FORMS = f"SELECT brand, {_key('brand')} AS k, lower(trim(brand)) AS f, count(*) AS n FROM marked_parts WHERE NOT {_gap('brand')} GROUP BY 1, 2, 3"
+ORACLES["marks_stay_gaps"] = (
+    "SELECT f.brand AS from_value, w.brand AS to_value, f.n FROM "
+    f"({_BRAND_FORMS}) f JOIN (SELECT k, max(n) AS most, count(*) AS forms FROM ({_BRAND_FORMS}) WHERE k <> '' GROUP BY k) m ON f.k = m.k "
+    f"JOIN (SELECT k, n, min(brand) AS brand, count(*) AS leaders FROM ({_BRAND_FORMS}) GROUP BY k, n) w ON w.k = f.k AND w.n = m.most "
+    "WHERE leaders = 1 AND f.brand <> w.brand"
+)
+ORACLES["tied_spellings"] = (
+    "SELECT m.f AS key, count(*) AS leaders FROM "
+    f"({_BRAND_FORMS}) b JOIN (SELECT f, max(n) AS most FROM ({_BRAND_FORMS}) GROUP BY f HAVING count(*) > 1) m ON b.f = m.f AND b.n = m.most GROUP BY 1"
+)
+ORACLES["wide_dependencies"] = ORACLES["functional_dependencies"].replace("gappy_nation", "wide_nation")
+ORACLES["dataset_profile"] = (
+    "SELECT t.*, d.* FROM (SELECT max(row_count) AS row_count, count(*) AS column_count, CAST(sum(row_count) AS BIGINT) AS total_cells, "
+    "CAST(sum(missing) AS BIGINT) AS missing_cells, sum(missing) / sum(row_count) AS missing_ratio FROM ("
+    + _union(f"SELECT count(*) AS row_count, count(*) FILTER (WHERE {_gap(c)}) AS missing FROM repeated_orders" for c in ("customer", "status", "priority"))
+    + ")) t, (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows, count(*) FILTER (WHERE n > 1) AS duplicate_groups "
+    "FROM (SELECT count(*) AS n FROM repeated_orders GROUP BY customer, status, priority)) d"
+)
 ORACLES["correction_previews"] = (
     "SELECT action, row_id, \"column\", before, after FROM ("
     "(SELECT 'strip_whitespace' AS action, row_key AS row_id, 'full_name' AS \"column\", concat('[', full_name, ']') AS before, trim(full_name) AS after "
@@ -576,6 +623,18 @@ ORACLES["analysis_orders"] = _union(f"SELECT '{check}' AS check_id, * FROM ({sql
 
 # ------------------------------------------------------------------ suggestions and reports
 
+_LEVELS = f"(SELECT DISTINCT trim(segment) AS t FROM dirty_customer WHERE NOT {_gap('segment')})"
+#: Each spelling is suggested to become its capital form, and each capital form to become its small one.
+_FORWARD = f"SELECT t AS source, upper(t) AS target FROM {_LEVELS} WHERE t <> upper(t)"
+_BACKWARD = f"SELECT DISTINCT upper(t) AS source, lower(t) AS target FROM {_LEVELS}"
+_OCCUR = f"source IN {_LEVELS} AND target IN {_LEVELS}"
+ORACLES["ground_mappings"] = (
+    f"SELECT 'segment' AS \"column\", source, target, source <> target AND {_OCCUR} AS accepted FROM ({_BACKWARD}) UNION ALL "
+    f"SELECT 'segment', t, upper(t), t <> upper(t) AND NOT starts_with(t, 'b') AND upper(t) IN {_LEVELS} AND NOT (lower(t) = t AND upper(t) IN {_LEVELS}) "
+    f"FROM {_LEVELS} UNION ALL SELECT 'nowhere', t, 'X', false FROM {_LEVELS}"
+)
+ORACLES["table_preview"] = f"SELECT {', '.join(CUSTOMER)} FROM dirty_customer ORDER BY row_key LIMIT 50"
+
 ORACLES["level_counts"] = (
     f"SELECT trim(segment) AS value, count(*) AS count FROM dirty_customer WHERE NOT {_gap('segment')} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 60"
 )

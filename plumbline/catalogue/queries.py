@@ -15,11 +15,12 @@ from plumbline.functions import text as tx
 from plumbline.functions.dates import format_labels, with_dates
 from plumbline.functions.numbers import with_number
 from plumbline.operators import checks, dependencies, ground, profile, report
-from plumbline.operators.apply import apply_corrections, previews, without_repeats
+from plumbline.operators.apply import apply_corrections, previews, with_correction, without_repeats
 from plumbline.operators.checks import Context, run_checks
 from plumbline.operators.dataset import ROW_ID, pinned, preview_rows
+from plumbline.operators.evidence import attach_rows
 from plumbline.operators.findings import by_severity, worst_first
-from plumbline.operators.propose import decide, decision_counts, propose, spelling_map, with_status
+from plumbline.operators.propose import decide, decision_counts, propose, spelling_leaders, spelling_map, with_status
 from plumbline.operators.sampling import evenly_spaced_sample
 from plumbline.operators.score import column_scores, quality_score, worst_columns
 from plumbline.plans.analysis import Review, analyze, measure, structural_findings
@@ -56,14 +57,14 @@ def query(name: str):
 
 
 @lru_cache(maxsize=64)
-def _measured(application: str, spark: SparkSession, sf_dir: str, name: str, row_id: str, columns: tuple[str, ...] | None) -> Review:
-    data = dataset(spark, sf_dir, name, row_id, list(columns) if columns else None)
+def _measured(application: str, spark: SparkSession, sf_dir: str, name: str) -> Review:
+    data = dataset(spark, sf_dir, name)
     return measure(data, AS_OF)
 
 
-def review_of(spark: SparkSession, sf_dir: str, name: str, row_id: str = "row_key", columns: tuple[str, ...] | None = None) -> Review:
+def review_of(spark: SparkSession, sf_dir: str, name: str) -> Review:
     """The measured state of a table; queries over the same table share it."""
-    return _measured(spark.sparkContext.applicationId, spark, sf_dir, name, row_id, columns)
+    return _measured(spark.sparkContext.applicationId, spark, sf_dir, name)
 
 
 def _context(review: Review, rules=None, row_ids: bool = False) -> Context:
@@ -88,10 +89,9 @@ def missing_counts(spark, sf_dir):
 
 @query("profile_numeric")
 def profile_numeric(spark, sf_dir):
-    columns = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    review = review_of(spark, sf_dir, "lineitem", "l_orderkey", columns)
+    review = review_of(spark, sf_dir, "lineitem")
     stats = F.col("numeric")
-    return review.profiles.select(
+    return review.profiles.filter("numeric IS NOT NULL").select(
         "column", stats["minimum"].alias("minimum"), stats["maximum"].alias("maximum"),
         F.round(stats["mean"], 4).alias("mean"), F.round(stats["median"], 4).alias("median"),
         F.round(stats["std_dev"], 4).alias("std_dev"), stats["zero_count"].alias("zero_count"),
@@ -111,9 +111,9 @@ def profile_numeric_text(spark, sf_dir):
 
 @query("profile_text")
 def profile_text(spark, sf_dir):
-    review = review_of(spark, sf_dir, "documents", "doc_id", ("lang", "source", "text"))
+    review = review_of(spark, sf_dir, "documents")
     stats = F.col("text")
-    return review.profiles.select(
+    return review.profiles.filter("text IS NOT NULL").select(
         "column", stats["min_length"].alias("min_length"), stats["max_length"].alias("max_length"),
         stats["mean_length"].alias("mean_length"), stats["blank_count"].alias("blank_count"), "missing_count",
     )
@@ -131,7 +131,7 @@ def profile_temporal(spark, sf_dir):
 
 @query("profile_native_dates")
 def profile_native_dates(spark, sf_dir):
-    review = review_of(spark, sf_dir, "orders", "o_orderkey")
+    review = review_of(spark, sf_dir, "orders")
     return review.profiles.filter("temporal IS NOT NULL").select(
         "column", "semantic_type", F.col("temporal.minimum").alias("earliest"), F.col("temporal.maximum").alias("latest"),
         "unique_count",
@@ -145,7 +145,7 @@ def cardinality(spark, sf_dir):
 
 @query("cardinality_events")
 def cardinality_events(spark, sf_dir):
-    return review_of(spark, sf_dir, "events", "event_id").profiles.select("column", "unique_count")
+    return review_of(spark, sf_dir, "events").profiles.select("column", "unique_count")
 
 
 @query("top_values")
@@ -170,7 +170,7 @@ def infer_types(spark, sf_dir):
 
 @query("infer_types_native")
 def infer_types_native(spark, sf_dir):
-    return review_of(spark, sf_dir, "orders", "o_orderkey").profiles.select("column", "semantic_type", "confidence")
+    return review_of(spark, sf_dir, "orders").profiles.select("column", "semantic_type", "confidence")
 
 
 @query("columns_per_type")
@@ -191,13 +191,12 @@ def dataset_totals(spark, sf_dir):
 
 @query("duplicate_rows")
 def duplicate_rows(spark, sf_dir):
-    return profile.duplicate_rows(dataset(spark, sf_dir, "documents", "doc_id", ["lang", "text"]))
+    return profile.duplicate_rows(dataset(spark, sf_dir, "repeated_orders"))
 
 
 @query("duplicate_line_items")
 def duplicate_line_items(spark, sf_dir):
-    data = dataset(spark, sf_dir, "lineitem", "l_orderkey", ["l_partkey", "l_linenumber", "l_quantity", "l_discount"])
-    return profile.duplicate_rows(data)
+    return profile.duplicate_rows(dataset(spark, sf_dir, "repeated_lines"))
 
 
 @query("kind_shares")
@@ -282,10 +281,10 @@ def plain_numbers(spark, sf_dir):
 # ------------------------------------------------------------------ checks
 
 
-def _check_query(name: str, check: str, view: str, row_id: str = "row_key", columns: tuple[str, ...] | None = None) -> None:
+def _check_query(name: str, check: str, view: str) -> None:
     @query(name)
     def run(spark, sf_dir):
-        return run_checks(_context(review_of(spark, sf_dir, view, row_id, columns)), [check]).select(*BRIEF)
+        return run_checks(_context(review_of(spark, sf_dir, view)), [check]).select(*BRIEF)
 
 
 for _name, _check, _view in (
@@ -312,7 +311,7 @@ for _name, _check, _view in (
 
 @query("check_exact_duplicates")
 def check_exact_duplicates(spark, sf_dir):
-    data = dataset(spark, sf_dir, "documents", "doc_id", ["lang", "text"])
+    data = dataset(spark, sf_dir, "repeated_orders")
     context = Context(data, None, data.frame.count(), AS_OF, row_ids=False)
     found = checks.exact_duplicates(context)
     return found.select("severity", "affected_rows", "row_count",
@@ -338,7 +337,7 @@ def probable_duplicate_rows_first(spark, sf_dir):
 
 @query("exact_duplicate_rows_first")
 def exact_duplicate_rows_first(spark, sf_dir):
-    data = dataset(spark, sf_dir, "documents", "doc_id", ["lang", "text"])
+    data = dataset(spark, sf_dir, "repeated_orders")
     context = Context(data, None, data.frame.count(), AS_OF, row_ids=True)
     return checks.exact_duplicates(context).select(F.explode("row_ids").alias("row_id"))
 
@@ -353,12 +352,10 @@ def check_business_rules(spark, sf_dir):
 
 @query("evidence_rows")
 def evidence_rows(spark, sf_dir):
-    from plumbline.operators.evidence import attach_rows
-
     review = review_of(spark, sf_dir, "dirty_customer")
     wanted = ["invalid_email", "leading_trailing_whitespace", "missing_values", "impossible_numeric", "future_date", "placeholder_values"]
     found, _ = pinned(run_checks(_context(review), wanted))
-    filled = attach_rows(review.data, found, review.fact_rows, review.as_of)
+    filled = attach_rows(review, found)
     return filled.select("check_id", "column", F.explode("row_ids").alias("row_id"))
 
 
@@ -371,23 +368,23 @@ def structural(spark, sf_dir):
 # ------------------------------------------------------------------ rules
 
 
-def _rule_query(name: str, view: str, row_id: str, rule: rl.Rule) -> None:
+def _rule_query(name: str, view: str, rule: rl.Rule) -> None:
     @query(name)
     def run(spark, sf_dir):
-        data = dataset(spark, sf_dir, view, row_id, list(dict.fromkeys(rule.used)))
+        data = dataset(spark, sf_dir, view)
         return rl.evaluate(data, rl.RuleSet((rule,)), AS_OF)
 
 
-_rule_query("rule_not_null", "dirty_customer", "row_key", rl.NotNull("email_required", column="email"))
-_rule_query("rule_range", "lineitem", "l_orderkey", rl.Range("quantity_range", column="l_quantity", minimum=5, maximum=45))
-_rule_query("rule_range_text", "dirty_customer", "row_key", rl.Range("revenue_range", column="revenue", minimum=2000, maximum=8000))
-_rule_query("rule_allowed_values", "orders", "o_orderkey", rl.AllowedValues("status_known", column="o_orderstatus", values=("f", "O")))
-_rule_query("rule_no_future_dates", "dirty_customer", "row_key", rl.NoFutureDates("signup_past", column="signup_date", tolerance_days=30))
-_rule_query("rule_regex", "dirty_company", "row_key", rl.Regex("vat_format", column="vat_code", pattern="[A-Z]{2}[0-9]{9}$"))
-_rule_query("rule_unique", "lineitem", "l_suppkey", rl.Unique("line_unique", columns=("l_orderkey", "l_linenumber")))
-_rule_query("rule_comparison_dates", "dirty_orders", "row_key",
+_rule_query("rule_not_null", "dirty_customer", rl.NotNull("email_required", column="email"))
+_rule_query("rule_range", "lineitem", rl.Range("quantity_range", column="l_quantity", minimum=5, maximum=45))
+_rule_query("rule_range_text", "dirty_customer", rl.Range("revenue_range", column="revenue", minimum=2000, maximum=8000))
+_rule_query("rule_allowed_values", "orders", rl.AllowedValues("status_known", column="o_orderstatus", values=("f", "O")))
+_rule_query("rule_no_future_dates", "dirty_customer", rl.NoFutureDates("signup_past", column="signup_date", tolerance_days=30))
+_rule_query("rule_regex", "dirty_company", rl.Regex("vat_format", column="vat_code", pattern="[A-Z]{2}[0-9]{9}$"))
+_rule_query("rule_unique", "lineitem", rl.Unique("line_unique", columns=("l_orderkey", "l_linenumber")))
+_rule_query("rule_comparison_dates", "dirty_orders",
             rl.Comparison("delivered_later", left="delivery_date", operator=">=", right="order_date", compare_as="date"))
-_rule_query("rule_comparison_numbers", "lineitem", "l_orderkey",
+_rule_query("rule_comparison_numbers", "lineitem",
             rl.Comparison("discount_below_tax", left="l_discount", operator="<", right="l_tax"))
 
 
@@ -578,7 +575,84 @@ def recovered_nations(spark, sf_dir):
 
 @query("drop_duplicates")
 def drop_duplicates(spark, sf_dir):
-    return without_repeats(dataset(spark, sf_dir, "documents", "doc_id", ["lang", "text"])).select(F.col(ROW_ID).alias("row_id"))
+    return without_repeats(dataset(spark, sf_dir, "repeated_orders")).select(F.col(ROW_ID).alias("row_id"))
+
+
+@query("drop_duplicates_shared_ids")
+def drop_duplicates_shared_ids(spark, sf_dir):
+    kept = without_repeats(dataset(spark, sf_dir, "shared_ids"))
+    return kept.select("customer", "status", F.lower("priority").alias("priority"))
+
+
+@query("clipped_ages")
+def clipped_ages(spark, sf_dir):
+    data = dataset(spark, sf_dir, "dirty_customer")
+    clipped = with_correction(data.frame, data, "clip_to_range", "age", {"minimum": "0", "maximum": "75"}, None, "clipped")
+    return clipped.select(F.col(ROW_ID).alias("row_id"), "clipped")
+
+
+@query("proposed_removal")
+def proposed_removal(spark, sf_dir):
+    analysis = analyze(dataset(spark, sf_dir, "repeated_orders"), None, AS_OF, row_ids=False, only=["exact_duplicate_rows"])
+    offers = propose(analysis)
+    done = apply_corrections(analysis.data, offers, _approve(spark, offers, "drop_duplicate_rows"))
+    applied = done.applied.select("action", F.col("rows_changed").alias("rows_removed"))
+    return applied.join(offers.table.select("action", "affected_rows", "destructive"), "action")
+
+
+# ------------------------------------------------------------------ long values, marks and wide tables
+
+_LONG_CHECKS = ["inconsistent_capitalization", "inconsistent_category"]
+
+
+@query("long_value_findings")
+def long_value_findings(spark, sf_dir):
+    return run_checks(_context(review_of(spark, sf_dir, "long_notes")), _LONG_CHECKS).select("check_id", *BRIEF)
+
+
+@query("long_value_evidence")
+def long_value_evidence(spark, sf_dir):
+    review = review_of(spark, sf_dir, "long_notes")
+    found, _ = pinned(run_checks(_context(review), _LONG_CHECKS))
+    return attach_rows(review, found).select("check_id", "column", F.explode("row_ids").alias("row_id"))
+
+
+@query("long_value_mapping")
+def long_value_mapping(spark, sf_dir):
+    review = review_of(spark, sf_dir, "long_notes")
+    mapping = spelling_map(review.values.filter(F.col("pos") == review.data.columns.index("note")), "fold", review.data)
+    return mapping.select(F.md5("to_value").alias("to_digest"), "n")
+
+
+@query("long_value_correction")
+def long_value_correction(spark, sf_dir):
+    analysis = analyze(dataset(spark, sf_dir, "long_notes"), None, AS_OF, row_ids=False, only=_LONG_CHECKS)
+    offers = propose(analysis)
+    cleaned = apply_corrections(analysis.data, offers, _approve(spark, offers, "normalize_case"))
+    return cleaned.data.frame.select(F.col(ROW_ID).alias("row_id"), F.md5("note").alias("note"), F.length("code").alias("code_length"))
+
+
+@query("marks_stay_gaps")
+def marks_stay_gaps(spark, sf_dir):
+    review = review_of(spark, sf_dir, "marked_parts")
+    return spelling_map(review.values, "key").select("from_value", "to_value", "n")
+
+
+@query("tied_spellings")
+def tied_spellings(spark, sf_dir):
+    review = review_of(spark, sf_dir, "marked_parts")
+    return spelling_leaders(review.values, "fold").select("key", F.col("leaders").cast("bigint").alias("leaders"))
+
+
+@query("wide_dependencies")
+def wide_dependencies(spark, sf_dir):
+    return dependencies.find_determinants(dataset(spark, sf_dir, "wide_nation"), ["nation_name"])
+
+
+@query("dataset_profile")
+def dataset_profile(spark, sf_dir):
+    review = review_of(spark, sf_dir, "repeated_orders")
+    return profile.dataset_profile(review.data, review.profiles)
 
 
 @query("decision_counts")

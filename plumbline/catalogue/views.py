@@ -7,9 +7,9 @@ rows. Defects follow the keys: every tenth date is written differently, and so o
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.operators.dataset import ROW_ID, Dataset
-from plumbline.sources.readers import spread
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
@@ -86,6 +86,37 @@ VIEWS = {
                WHEN p_partkey % 12 = 2 THEN '-42.5' ELSE p_name END AS remark,
           CASE WHEN p_partkey % 2 = 0 THEN 'Yes' WHEN p_partkey % 5 = 0 THEN 'oui' ELSE 'no' END AS in_stock
         FROM part""",
+    "repeated_orders": f"""
+        SELECT o_orderkey AS row_key, concat('C', {_text("o_custkey % 40")}) AS customer, o_orderstatus AS status,
+          CASE WHEN o_orderkey % 9 = 0 THEN lower(o_orderpriority) WHEN o_orderkey % 11 = 0 THEN concat(' ', o_orderpriority)
+               ELSE o_orderpriority END AS priority
+        FROM orders""",
+    "shared_ids": f"""
+        SELECT o_orderkey % 100 AS row_key, concat('C', {_text("o_custkey % 40")}) AS customer, o_orderstatus AS status,
+          CASE WHEN o_orderkey % 9 = 0 THEN lower(o_orderpriority) ELSE o_orderpriority END AS priority
+        FROM orders""",
+    "repeated_lines": """
+        SELECT l_orderkey * 10 + l_linenumber AS row_key, l_linenumber AS line, l_returnflag AS flag, l_linestatus AS status,
+          CAST(l_quantity AS BIGINT) % 7 AS lot
+        FROM lineitem""",
+    "long_notes": """
+        SELECT o_orderkey AS row_key,
+          CASE WHEN o_orderkey % 7 = 0 THEN upper(repeat(concat(o_orderpriority, ' and so on '), 20))
+               ELSE lower(repeat(concat(o_orderpriority, ' and so on '), 20)) END AS note,
+          CASE WHEN o_orderkey % 5 = 0 THEN repeat(concat(o_orderstatus, ' '), 200) ELSE o_orderstatus END AS code
+        FROM orders""",
+    "marked_parts": """
+        SELECT p_partkey AS row_key,
+          CASE WHEN p_partkey % 10 = 0 THEN '-' WHEN p_partkey % 10 = 1 THEN '?' WHEN p_partkey % 10 = 2 THEN '  '
+               WHEN p_partkey % 10 = 3 THEN concat(substr(p_brand, 1, 5), '-', substr(p_brand, 6))
+               WHEN p_partkey % 10 = 4 THEN lower(p_brand) ELSE p_brand END AS brand
+        FROM part""",
+    "wide_nation": f"""
+        SELECT c_custkey AS row_key, c_mktsegment AS segment,
+          CASE WHEN c_custkey % 70 = 0 THEN NULL ELSE {_text("c_nationkey")} END AS nation_key,
+          CASE WHEN c_custkey % 14 = 0 THEN NULL ELSE n_name END AS nation_name,
+          {", ".join(f"{_text(f'c_custkey % {i}')} AS extra_{i}" for i in range(2, 60))}
+        FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "gappy_nation": f"""
         SELECT c_custkey AS row_key, c_mktsegment AS segment,
           CASE WHEN c_custkey % 70 = 0 THEN NULL ELSE {_text("c_nationkey")} END AS nation_key,
@@ -94,10 +125,15 @@ VIEWS = {
 }
 
 
+#: A unique integer for the rows of given tables whose first column is none.
+ROW_NUMBERS = {"lineitem": "l_orderkey * 10 + l_linenumber", "labels": "doc_id", "conversations": "conv_id * 10000 + turn"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, spread over the cores when its files are too small to be split."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, df.columns[0])
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,10 +148,12 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **{k: v for k, v in sources.items() if f"{{{k}}}" in sql})
 
 
-def dataset(spark: SparkSession, sf_dir: str, name: str, row_id: str = "row_key", columns: list[str] | None = None) -> Dataset:
-    """A table or view as a dataset whose rows are ordered by a key column."""
-    df = frame(spark, sf_dir, name).withColumnRenamed(row_id, ROW_ID)
-    kept = [column for column in df.columns if column != ROW_ID] if columns is None else columns
+def dataset(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> Dataset:
+    """A table with all its columns, or a view without its made-up key, rows numbered by a unique key."""
+    df = frame(spark, sf_dir, name)
+    number = ROW_NUMBERS.get(name, df.columns[0])
+    df = df.withColumn(ROW_ID, F.expr(number).cast("bigint"))
+    kept = [column for column in df.columns if column not in (ROW_ID, "row_key")] if columns is None else columns
     return Dataset(df.select(ROW_ID, *kept), name)
 
 

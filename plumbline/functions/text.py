@@ -36,9 +36,11 @@ LEGAL_FORMS = (
     "holdings",
 )
 
-_ATOM = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+"
-_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
-EMAIL_PATTERN = rf"\A{_ATOM}(?:\.{_ATOM})*@{_LABEL}(?:\.{_LABEL})+\z"
+# The shape of an email address, and of a number without decoration.
+EMAIL_PATTERN = (
+    r"\A[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+(?:\.[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+)*"
+    r"@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)+\z"
+)
 PLAIN_NUMBER_PATTERN = r"\A[-+]?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?\z"
 
 # The characters of code page 1252 that differ from Latin-1, and their bytes.

@@ -28,11 +28,12 @@ from plumbline.operators.dataset import (
     small_table,
 )
 from plumbline.operators.evidence import filler_rows
+from plumbline.operators.frequency import short_form
 from plumbline.operators.propose import LIST_MARK, Proposals
 
 log = logging.getLogger(__name__)
 
-#: Later steps see what earlier ones did; removing rows comes last.
+# The order of the corrections. Later steps see what earlier ones did; removing rows comes last.
 APPLICATION_ORDER = (
     "repair_encoding",
     "strip_whitespace",
@@ -99,7 +100,7 @@ def with_correction(
     elif action == "strip_whitespace":
         after = tx.trim(text)
     elif action in ("normalize_case", "map_category"):
-        df = _joined(df, text, mapping)
+        df = _joined(df, short_form(text), mapping)
         after = F.coalesce("__to", text)
     elif action == "cast_to_numeric":
         df, after = _as_number(df, name, data_type)
@@ -134,7 +135,11 @@ def _joined(df: DataFrame, key: Column, mapping: DataFrame | None) -> DataFrame:
     if mapping is None:
         raise CorrectionError("The proposal carries no value mapping.")
     pairs = mapping.select(F.col("from_value").alias("__from"), F.col("to_value").alias("__to"))
-    return df.join(lookup(pairs), key == F.col("__from"), "left")
+    # A null key finds nothing; with a number of its own, each goes where it likes.
+    apart = F.when(key.isNull(), F.col(ROW_ID))
+    return df.withColumns({"__key": key, "__apart": apart}).join(
+        lookup(pairs).withColumn("__none", F.lit(None).cast("bigint")), (F.col("__key") == F.col("__from")) & F.col("__apart").eqNullSafe(F.col("__none")), "left"
+    ).drop("__key", "__apart", "__none")
 
 
 def _as_number(df: DataFrame, name: str, data_type: T.DataType) -> tuple[DataFrame, Column]:
@@ -169,24 +174,26 @@ def changed(before: Column, after: Column) -> Column:
     return ~before.cast("string").eqNullSafe(after.cast("string"))
 
 
-def without_repeats(data: Dataset) -> DataFrame:
+def repeated_rows(data: Dataset) -> DataFrame:
+    """Digests of rows that occur more than once: ``__digest``, their number and the first row id."""
+    digest = row_digest([digest_part(col(f.name), f.dataType, True) for f in data.fields])
+    groups = data.frame.select(ROW_ID, digest.alias("__digest")).groupBy("__digest")
+    return materialise(groups.agg(F.count(F.lit(1)).alias("__n"), F.min(ROW_ID).alias("__kept")).filter("__n > 1"))
+
+
+def without_repeats(data: Dataset, repeated: DataFrame | None = None) -> DataFrame:
     """The table without rows that repeat an earlier one, text compared trimmed and folded.
 
-    Only digests that really repeat are joined back. When they are few the join is a
-    broadcast and the rows are not shuffled at all.
+    Exactly one row of each group stays, even where row ids repeat. Only digests that really
+    repeat are joined back. When they are few the join is a broadcast and no other row is
+    shuffled.
     """
+    repeated = repeated_rows(data) if repeated is None else repeated
     digest = row_digest([digest_part(col(f.name), f.dataType, True) for f in data.fields])
-    keyed = data.frame.withColumn("__digest", digest)
-    repeated = materialise(
-        keyed.groupBy("__digest")
-        .agg(F.count(F.lit(1)).alias("__n"), F.min(ROW_ID).alias("__kept"))
-        .filter("__n > 1")
-        .drop("__n")
-    )
-    kept = keyed.join(lookup(repeated), "__digest", "left").filter(
-        F.col("__kept").isNull() | (F.col("__kept") == F.col(ROW_ID))
-    )
-    return kept.select(*map(col, data.frame.columns))
+    keyed = data.frame.withColumn("__digest", digest).join(lookup(repeated.select("__digest", "__kept")), "__digest", "left")
+    alone = keyed.filter(F.col("__kept").isNull())
+    first = keyed.filter(F.col("__kept") == F.col(ROW_ID)).dropDuplicates(["__digest"])
+    return alone.unionByName(first).select(*map(col, data.frame.columns))
 
 
 def apply_corrections(data: Dataset, proposals: Proposals, decisions: DataFrame) -> Cleaned:
@@ -223,11 +230,11 @@ def apply_corrections(data: Dataset, proposals: Proposals, decisions: DataFrame)
     removed = 0
     for offer in chosen:
         if offer["action"] == "drop_duplicate_rows":
-            slim = data.with_frame(without_repeats(result))
-            removed = result.frame.count() - slim.frame.count()
+            repeated = repeated_rows(result)
+            removed = repeated.agg(F.sum(F.col("__n") - 1)).first()[0] or 0
             if removed:
                 applied.append({**offer, "rows_changed": removed})
-                result = slim
+                result = data.with_frame(materialise(without_repeats(result, repeated)))
     rows = [{name: row[name] for name in APPLIED_SCHEMA.names} for row in applied]
     return Cleaned(result, small_table(data.spark, rows, APPLIED_SCHEMA), removed, sum(r["rows_changed"] for r in rows))
 

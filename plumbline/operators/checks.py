@@ -46,8 +46,6 @@ log = logging.getLogger(__name__)
 
 SIGMA = 5.0
 MIN_NUMBERS_FOR_EXTREMES = 20
-CATEGORY_LEVELS = 100
-CAPITALISATION_LEVELS = 200
 KIND_SHARE = 0.1
 EXAMPLES = 5
 LISTED = 20
@@ -353,7 +351,7 @@ def _inconsistent_category() -> Verdict:
         F.col("category_rows"),
         _titled("Inconsistent categories in '%s'"),
         phrase("%,d groups of values in '%s' differ only in spacing or punctuation (%,d rows): %s. Grouping by "
-               "the column splits each of them.", F.size("category_groups"), F.col("column"),
+               "the column splits each of them.", F.col("category_group_count"), F.col("column"),
                F.col("category_rows"), _groups_shown("category_groups")),
         details(variant_groups=_groups_listed("category_groups")),
     )
@@ -367,7 +365,7 @@ def _inconsistent_capitalization() -> Verdict:
         F.col("case_rows"),
         _titled("Mixed capitalisation in '%s'"),
         phrase("%,d values of '%s' are written in more than one letter case (%,d rows): %s.",
-               F.size("case_groups"), F.col("column"), F.col("case_rows"), _groups_shown("case_groups")),
+               F.col("case_group_count"), F.col("column"), F.col("case_rows"), _groups_shown("case_groups")),
         details(variant_groups=_groups_listed("case_groups")),
     )
 
@@ -489,35 +487,54 @@ def filler_facts(folded: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def _spelling_groups(trimmed: DataFrame, columns: DataFrame, key: str, compared: str, rows: str, groups: str) -> DataFrame:
-    # Only columns with few levels get here, so the collected forms are bounded.
-    grouped = (
-        trimmed.join(F.broadcast(columns.select("pos")), "pos")
-        .groupBy("pos", key)
-        .agg(
-            F.sum("n").alias("n"),
-            F.min("first_row").alias("first_row"),
-            F.array_sort(F.collect_list("t")).alias("forms"),
-            F.size(F.collect_set(compared)).alias("different"),
-        )
-        .filter("different > 1")
+def spelling_variants(trimmed: DataFrame, columns: DataFrame, key: str, compared: str) -> DataFrame:
+    """Keys written in several ways: ``pos, name, n, first_row, forms`` with the first few forms.
+
+    Values without a key, such as lone punctuation, are variants of nothing. Counts and the
+    listed forms combine on the map side, so a key with very many forms is no large group.
+    """
+    keyed = trimmed.join(F.broadcast(columns.select("pos")), "pos").filter(F.col(key) != "")
+    grouped = keyed.groupBy("pos", F.col(key).alias("name")).agg(
+        F.sum("n").alias("n"),
+        F.min("first_row").alias("first_row"),
+        F.min(compared).alias("__low"),
+        F.max(compared).alias("__high"),
+    )
+    return grouped.filter("__low <> __high").drop("__low", "__high")
+
+
+def _spelling_groups(trimmed: DataFrame, columns: DataFrame, key: str, compared: str, kind: str) -> DataFrame:
+    """Rows and number of variant groups per column, and the first groups with their first forms."""
+    grouped = materialise(spelling_variants(trimmed, columns, key, compared))
+    totals = grouped.groupBy("pos").agg(F.sum("n").alias(f"{kind}_rows"), F.count(F.lit(1)).alias(f"{kind}_group_count"))
+    listed = first_per_group(grouped, ["pos"], [F.asc("first_row"), F.asc("name")], LISTED, "place")
+    forms = trimmed.withColumn("name", F.col(key)).join(F.broadcast(listed.select("pos", "name", "first_row", "place").withColumnRenamed("first_row", "opened")), ["pos", "name"])
+    few = first_per_group(forms, ["pos", "name"], [F.asc("t")], LISTED)
+    entries = few.groupBy("pos", "name", "place").agg(F.array_sort(F.collect_list("t")).alias("forms"))
+    groups = entries.groupBy("pos").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "name", "forms"))), lambda g: F.struct(g["name"].alias("name"), g["forms"].alias("forms"))).alias(f"{kind}_groups")
     )
-    entry = F.struct("first_row", F.col(key).alias("name"), "forms")
-    return grouped.groupBy("pos").agg(F.sum("n").alias(rows), F.array_sort(F.collect_list(entry)).alias(groups))
+    return totals.join(groups, "pos")
+
+
+def case_columns(facts: DataFrame) -> DataFrame:
+    """Columns whose values are compared by letter case."""
+    return facts.filter(F.col("is_text") & (F.col("unique_count") >= 1))
+
+
+def category_columns(facts: DataFrame) -> DataFrame:
+    """Columns whose values are compared by letters and digits."""
+    return facts.filter(F.col("is_text") & F.col("semantic_type").isin("categorical", "boolean"))
 
 
 def case_facts(trimmed: DataFrame, facts: DataFrame) -> DataFrame:
-    """Values written in more than one letter case, for columns with few values."""
-    few = facts.filter(F.col("is_text") & F.col("unique_count").between(1, CAPITALISATION_LEVELS))
-    return _spelling_groups(trimmed, few, "fold", "t", "case_rows", "case_groups")
+    """Values written in more than one letter case."""
+    return _spelling_groups(trimmed, case_columns(facts), "fold", "t", "case")
 
 
 def category_facts(trimmed: DataFrame, facts: DataFrame) -> DataFrame:
     """Category levels that differ only by spacing or punctuation."""
-    few = facts.filter(
-        F.col("is_text") & F.col("semantic_type").isin("categorical", "boolean") & (F.col("unique_count") <= CATEGORY_LEVELS)
-    )
-    return _spelling_groups(trimmed, few, "key", "fold", "category_rows", "category_groups")
+    return _spelling_groups(trimmed, category_columns(facts), "key", "fold", "category")
 
 
 def example_facts(values: DataFrame, facts: DataFrame) -> DataFrame:
@@ -544,7 +561,7 @@ def example_facts(values: DataFrame, facts: DataFrame) -> DataFrame:
         "leading_trailing_whitespace": (text & F.col("padded"), F.concat(F.lit("["), raw, F.lit("]"))),
         "corrupted_encoding": (
             text & F.col("repairable"),
-            F.concat(raw, F.lit(" -> "), tx.repair_encoding(F.col("s"))),
+            F.concat(raw, F.lit(" -> "), F.coalesce(tx.repair_encoding(F.col("s")), raw)),
         ),
     }
     flags = [

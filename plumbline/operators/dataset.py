@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, replace
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,8 +18,8 @@ from pyspark.storagelevel import StorageLevel
 from plumbline.functions import text as tx
 
 ROW_ID = "__row_id"
-#: Rows of a lookup that may be broadcast; at under 200 bytes a row this stays below 40 MB.
-BROADCAST_ROWS = 200_000
+#: Bytes of a lookup that may be broadcast; they are counted before.
+BROADCAST_BYTES = 32 << 20
 
 
 class ShapeError(ValueError):
@@ -36,6 +35,8 @@ class Dataset:
     notes: tuple[str, ...] = ()
     content_hash: str | None = None
     size_bytes: int = 0
+    encoding: str | None = None
+    delimiter: str | None = None
 
     @classmethod
     def of(cls, df: DataFrame, name: str = "dataset", row_id: str | None = None, **known) -> Dataset:
@@ -84,8 +85,8 @@ def col(name: str) -> Column:
 
 
 def preview_rows(data: Dataset, limit: int = 50) -> DataFrame:
-    """A handful of rows to look at."""
-    return data.frame.select(*map(col, data.columns)).limit(limit)
+    """The first few rows, by row id."""
+    return data.frame.orderBy(ROW_ID).limit(limit).select(*map(col, data.columns))
 
 
 def small_table(spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataFrame:
@@ -113,23 +114,40 @@ def _nullable(data_type: T.DataType) -> T.DataType:
     return data_type
 
 
-@cache
-def _local_folder() -> str:
-    folder = tempfile.mkdtemp(prefix="plumbline-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return folder
+def shared_folder(spark: SparkSession) -> str | None:
+    """Where intermediate tables may be written: the session's checkpoint folder, if it has one."""
+    return spark.conf.get("spark.checkpoint.dir", None)
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """Where intermediate tables may be written: the session's checkpoint folder.
+class Intermediates:
+    """Tables computed on the way; :meth:`release` gives their space back."""
+
+    def __init__(self):
+        self.kept: list[DataFrame] = []
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def release(self) -> None:
+        for df in self.kept:
+            df.unpersist()
+        for spark, path in self.paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.kept, self.paths = [], []
 
-    Where none is set, a local master gets a temporary folder; a cluster gets none, since a
-    folder of one machine is no use to the others.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    return _local_folder() if spark.sparkContext.master.startswith("local") else None
+
+#: Collects what is computed while a plan is run; see :func:`collecting`.
+_COLLECTING: ContextVar[Intermediates | None] = ContextVar("collecting", default=None)
+
+
+@contextmanager
+def collecting() -> Iterator[Intermediates]:
+    """Gather the intermediate tables of a plan, so that its result can release them."""
+    owner = Intermediates()
+    token = _COLLECTING.set(owner)
+    try:
+        yield owner
+    finally:
+        _COLLECTING.reset(token)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -139,21 +157,30 @@ def materialise(df: DataFrame) -> DataFrame:
     later plans start from a plain scan. Without such a folder it is persisted, lineage
     intact.
     """
-    root = shared_folder(df.sparkSession)
+    owner, root = _COLLECTING.get(), shared_folder(df.sparkSession)
     if root is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+        if owner is not None:
+            owner.kept.append(kept)
+        return kept
     path = f"{root.rstrip('/')}/plumbline/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if owner is not None:
+        owner.paths.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lookup(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast when it is proven small.
+def lookup(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast when its bytes are counted and few.
 
-    The size is counted up to ``limit`` only. Anything larger is returned unmarked and joins
-    by shuffle, where adaptive execution splits skewed keys.
+    Anything larger is returned unmarked and joins by shuffle, where adaptive execution splits
+    skewed keys.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    width = sum(
+        (F.coalesce(F.octet_length(col(f.name)), F.lit(0)) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(0) for f in df.schema),
+        F.lit(16 * len(df.columns)),
+    )
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= limit else df
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], limit: int, rank: str = "__rank") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from plumbline.operators.dataset import Dataset, col
 MIN_EVIDENCE = 20
 #: A column with more distinct values than this share of its rows decides everything trivially.
 MAX_KEY_SHARE = 0.5
-#: Wider tables are not searched; every pair of columns is a candidate.
-MAX_COLUMNS = 60
+#: Targets in one pass, and a quarter of the determinants; more in one plan outgrow generated methods.
+TOGETHER = 8
 
 
 def _normal(data: Dataset, name: str) -> Column:
@@ -23,39 +25,45 @@ def _normal(data: Dataset, name: str) -> Column:
 def pair_statistics(data: Dataset, targets: list[str], determinants: list[str] | None = None) -> DataFrame:
     """Evidence for every (determinant, target) pair of columns.
 
-    One pass unpivots the candidate pairs; the first grouping is per key, so a frequent key
-    is combined on the map side, the second per pair.
+    Each row is expanded over the determinants only, and one grouping by determinant and key
+    gathers what is known of all targets at once. It combines on the map side, so a frequent key
+    arrives as one row per task. Very wide tables take a few such passes.
     """
     names = data.columns if determinants is None else determinants
-    pairs = [
-        F.struct(
-            F.lit(source).alias("determinant"),
-            F.lit(target).alias("target"),
-            _digest(_normal(data, source)).alias("key"),
-            _digest(_normal(data, target)).alias("value"),
-        )
-        for target in targets
-        for source in names
-        if source != target
+    parts = [
+        _statistics(data, targets[t : t + TOGETHER], names[n : n + 4 * TOGETHER])
+        for t in range(0, len(targets), TOGETHER)
+        for n in range(0, len(names), 4 * TOGETHER)
     ]
-    cells = data.frame.select(F.inline(F.array(*pairs)))
-    per_key = cells.groupBy("determinant", "target", "key").agg(
-        F.count("value").alias("filled"),
-        F.count_if(F.col("value").isNull()).alias("gaps"),
-        F.min("value").alias("lowest"),
-        F.max("value").alias("highest"),
-    )
-    taught = F.col("key").isNotNull() & (F.col("filled") > 0)
-    per_pair = per_key.groupBy("determinant", "target").agg(
-        F.coalesce(F.sum(F.when(taught, F.col("filled"))), F.lit(0)).alias("evidence_rows"),
-        F.count_if(taught).alias("distinct_keys"),
-        F.coalesce(F.bool_and(F.when(taught, F.col("lowest") == F.col("highest"))), F.lit(False)).alias("decides"),
-        F.coalesce(F.sum(F.when(taught, F.col("gaps"))), F.lit(0)).alias("recoverable_rows"),
-        F.sum("gaps").alias("gap_rows"),
-        F.min("lowest").alias("lowest"),
-        F.max("highest").alias("highest"),
-    )
-    return per_pair.withColumn("unrecoverable_rows", F.col("gap_rows") - F.col("recoverable_rows"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _statistics(data: Dataset, targets: list[str], names: list[str]) -> DataFrame:
+    keys = [F.struct(F.lit(name).alias("determinant"), _digest(_normal(data, name)).alias("key")) for name in names]
+    values = [_digest(_normal(data, target)).alias(f"v{i}") for i, target in enumerate(targets)]
+    cells = data.frame.select(*values, F.inline(F.array(*keys)))
+    sums = [F.count(F.lit(1)).alias("rows")]
+    for i in range(len(targets)):
+        sums += [F.count(f"v{i}").alias(f"n{i}"), F.min(f"v{i}").alias(f"a{i}"), F.max(f"v{i}").alias(f"z{i}")]
+    per_key = cells.groupBy("determinant", "key").agg(*sums)
+    totals = []
+    for i, target in enumerate(targets):
+        filled, gaps = F.col(f"n{i}"), F.col("rows") - F.col(f"n{i}")
+        taught = F.col("key").isNotNull() & (filled > 0)
+        totals.append(
+            F.struct(
+                F.lit(target).alias("target"),
+                F.coalesce(F.sum(F.when(taught, filled)), F.lit(0)).alias("evidence_rows"),
+                F.count_if(taught).alias("distinct_keys"),
+                F.coalesce(F.bool_and(F.when(taught, F.col(f"a{i}") == F.col(f"z{i}"))), F.lit(False)).alias("decides"),
+                F.coalesce(F.sum(F.when(taught, gaps)), F.lit(0)).alias("recoverable_rows"),
+                F.sum(gaps).alias("gap_rows"),
+                F.min(f"a{i}").alias("lowest"),
+                F.max(f"z{i}").alias("highest"),
+            )
+        )
+    pairs = per_key.groupBy("determinant").agg(F.array(*totals).alias("pairs")).select("determinant", F.inline("pairs"))
+    return pairs.filter("determinant <> target").withColumn("unrecoverable_rows", F.col("gap_rows") - F.col("recoverable_rows"))
 
 
 def _digest(text: Column) -> Column:
@@ -95,7 +103,7 @@ def find_determinants(data: Dataset, targets: list[str], facts: list[dict] | Non
         known = {fact["column"]: fact for fact in facts}
         names = [name for name in names if any(_may_decide(known[name], known[target]) for target in targets)]
     paired = any(name != target for name in names for target in targets)
-    if len(data.columns) > MAX_COLUMNS or not paired:
+    if not paired:
         return data.spark.createDataFrame(
             [], "determinant string, target string, evidence_rows bigint, distinct_keys bigint, "
             "recoverable_rows bigint, unrecoverable_rows bigint",

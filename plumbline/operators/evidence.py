@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,21 +11,23 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as tx
 from plumbline.functions.dates import with_dates
 from plumbline.functions.numbers import with_number
-from plumbline.operators.checks import SIGMA
+from plumbline.operators.checks import SIGMA, case_columns, category_columns, spelling_variants
 from plumbline.operators.dataset import ROW_ID, Dataset, col, first_per_group
 from plumbline.operators.findings import EVIDENCE_ROWS, FINDING_COLUMNS
-from plumbline.operators.frequency import folded_form
+from plumbline.operators.frequency import folded_form, short_form, text_cells
 
 _NEEDS_NUMBER = {"impossible_numeric", "suspicious_numeric"}
 _NEEDS_DATE = {"invalid_date", "future_date"}
 
 
-def attach_rows(data: Dataset, findings: DataFrame, facts: list, as_of: date, limit: int = EVIDENCE_ROWS) -> DataFrame:
+def attach_rows(review, findings: DataFrame, limit: int = EVIDENCE_ROWS) -> DataFrame:
     """Fill ``row_ids`` of column findings with the lowest ids of the rows at fault.
 
     One pass over the table tests only the columns that have a finding, with the predicate
-    of that finding. ``facts`` are the collected facts, one row per column.
+    of that finding. Rows of spelling variants are found by a join with the variants, of which
+    there may be any number.
     """
+    data, facts, as_of = review.data, review.fact_rows, review.as_of
     by_column = {fact["column"]: fact for fact in facts}
     fired = [
         (row.check_id, row.column)
@@ -47,9 +50,11 @@ def attach_rows(data: Dataset, findings: DataFrame, facts: list, as_of: date, li
         hit = _predicate(check, data, name, by_column[name], as_of)
         if hit is not None:
             flags.append(F.when(hit, F.struct(F.lit(check).alias("check_id"), F.lit(name).alias("column"))))
-    if not flags:
+    parts = [df.select(ROW_ID, F.inline(F.array_compact(F.array(*flags))))] if flags else []
+    parts += [_variant_rows(review, check, names) for check in _VARIANTS if (names := [n for c, n in fired if c == check])]
+    if not parts:
         return findings
-    hits = df.select(ROW_ID, F.inline(F.array_compact(F.array(*flags))))
+    hits = reduce(DataFrame.unionByName, parts)
     ranked = first_per_group(hits, ["check_id", "column"], [F.asc(ROW_ID)], limit)
     rows = ranked.groupBy("check_id", "column").agg(F.array_sort(F.collect_list(ROW_ID)).alias("ids"))
     return (
@@ -71,8 +76,24 @@ def filler_rows(value: Column, fact) -> Column:
     return word | dash | (folded_form(value).isin(*repeated) if repeated else F.lit(False))
 
 
-def _forms(groups, key: str = "forms") -> list[str]:
-    return [form for group in groups or [] for form in group[key]]
+#: Check -> the columns it looks at, the key of a group and what differs within one.
+_VARIANTS = {
+    "inconsistent_category": (category_columns, "key", "fold"),
+    "inconsistent_capitalization": (case_columns, "fold", "t"),
+}
+
+
+def _variant_rows(review, check: str, names: list[str]) -> DataFrame:
+    """Rows whose value belongs to a group of spelling variants: row id, check and column."""
+    data, (columns, key, compared) = review.data, _VARIANTS[check]
+    chosen = columns(review.facts).filter(F.col("column").isin(names))
+    groups = spelling_variants(review.trimmed, chosen, key, compared).select("pos", "name")
+    value = F.col("s")
+    name = folded_form(value) if key == "fold" else short_form(tx.squash(value))
+    cells = text_cells(data, [data.columns.index(n) for n in names]).withColumn("name", name)
+    known = F.broadcast(chosen.select("pos", "column"))
+    found = cells.join(groups, ["pos", "name"], "left_semi").join(known, "pos")
+    return found.select(ROW_ID, F.lit(check).alias("check_id"), "column")
 
 
 def _predicate(check: str, data: Dataset, name: str, fact, as_of: date) -> Column | None:
@@ -94,13 +115,9 @@ def _predicate(check: str, data: Dataset, name: str, fact, as_of: date) -> Colum
         return F.abs(number - F.lit(fact["mean"])) / F.lit(fact["std_dev"]) > SIGMA
     if check == "future_date":
         return moment > F.lit(as_of).cast("timestamp_ntz")
-    if check == "inconsistent_category":
-        return present & tx.trim(value).isin(*_forms(fact["category_groups"]))
-    if check == "inconsistent_capitalization":
-        return present & tx.trim(value).isin(*_forms(fact["case_groups"]))
     if check == "leading_trailing_whitespace":
         return present & (tx.trim(value) != value)
     if check == "corrupted_encoding":
         return tx.has_lost_characters(value) | tx.repair_encoding(value).isNotNull()
-    # The remaining checks judge a column as a whole and point at no row.
+    # The remaining checks judge a column as a whole, or are answered by :func:`_variant_rows`.
     return None

@@ -19,8 +19,10 @@ from plumbline.functions.numbers import number_steps
 from plumbline.functions.steps import Steps, read_with, side_by_side
 from plumbline.operators.dataset import ROW_ID, Dataset, col
 
-#: Text longer than this travels as a digest plus the judgements made on the whole text.
+#: Text longer than this travels in a short form plus the judgements made on the whole text.
 LONG_TEXT = 256
+#: Characters that the short form shows; a digest of the whole text follows them.
+SHOWN_OF_LONG = 200
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _MOMENT = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -91,13 +93,18 @@ def _unpivot(data: Dataset, slots: dict[int, dict[str, Column]], letters: str) -
     return table.withColumn("pos", F.col("pos").cast("int"))
 
 
-def _shorten(text: Column) -> Column:
-    return F.when(F.length(text) <= LONG_TEXT, text).otherwise(F.concat(F.lit("long:"), F.md5(text)))
+def short_form(text: Column) -> Column:
+    """The text itself or, when it is long, its first characters and a digest of all of it.
+
+    Short forms are equal where texts are, so they stand for them in groupings and joins.
+    """
+    digest = F.concat(F.left(text, F.lit(SHOWN_OF_LONG)), F.lit("… #"), F.md5(text))
+    return F.when(F.length(text) <= LONG_TEXT, text).otherwise(digest)
 
 
 def folded_form(value: Column) -> Column:
     """A raw text as it appears in the ``fold`` column of the frequency table."""
-    return _shorten(tx.fold(tx.trim(value)))
+    return short_form(tx.fold(tx.trim(value)))
 
 
 def judgement_steps(value: Column) -> Steps:
@@ -116,9 +123,9 @@ def judgement_steps(value: Column) -> Steps:
                 {"__fold": tx.fold(trimmed)},
                 {"__key": F.regexp_replace(folded, r"[^\p{L}\p{N}]+", "")},
                 {
-                    "t": _shorten(trimmed),
-                    "fold": _shorten(folded),
-                    "key": _shorten(squashed),
+                    "t": short_form(trimmed),
+                    "fold": short_form(folded),
+                    "key": short_form(squashed),
                     "size": F.length(value),
                     "tsize": F.length(trimmed),
                     "padded": trimmed != value,
@@ -156,17 +163,18 @@ def text_cells(data: Dataset, positions: list[int]) -> DataFrame:
 
 
 def _text_counts(data: Dataset, positions: list[int], long: bool) -> DataFrame:
-    """Distinct texts of columns that do, or do not, hold long values.
+    """Distinct texts of some columns: either the long values or all others.
 
     Short text is counted first and judged once per distinct value. Long text is judged
-    where it is read and travels as digests, so a shuffle never carries whole documents.
+    where it is read and travels in its short form, so a shuffle never carries whole documents.
     """
     table = text_cells(data, positions)
+    table = table.filter(F.length("s") > LONG_TEXT) if long else table.filter(F.col("s").isNull() | (F.length("s") <= LONG_TEXT))
     counts = [F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias("first_row")]
     is_long = F.coalesce(F.col("size") > LONG_TEXT, F.lit(False))
     if long:
         packed = with_judgements(table).select(
-            ROW_ID, "pos", F.when(~is_long, F.col("s")).alias("s"), F.struct(*JUDGEMENTS).alias("j")
+            ROW_ID, "pos", short_form(F.col("s")).alias("s"), F.struct(*JUDGEMENTS).alias("j")
         )
         values = packed.groupBy("pos", "s", "j").agg(*counts).select("pos", "s", "n", "first_row", "j.*")
     else:
@@ -231,7 +239,7 @@ def _native_counts(data: Dataset, kinds: dict[int, str]) -> DataFrame:
 def value_counts(data: Dataset, columns: list[str] | None = None) -> DataFrame:
     """Distinct values per column with their judgements, count and first row.
 
-    Columns: ``pos``; ``s``, the raw text (null when long); ``shown``, the trimmed value for
+    Columns: ``pos``; ``s``, the raw text in its short form; ``shown``, the trimmed value for
     display; the judgements; ``n``; ``first_row``. Missing values stay in, one row a column.
     """
     names = data.columns if columns is None else columns
@@ -239,11 +247,7 @@ def value_counts(data: Dataset, columns: list[str] | None = None) -> DataFrame:
     texts = [position for position, kind in kinds.items() if kind == "text"]
     natives = {position: kind for position, kind in kinds.items() if kind != "text"}
     long = long_text_positions(data, texts)
-    parts = [
-        _text_counts(data, chosen, bool(long.intersection(chosen)))
-        for chosen in ([p for p in texts if p not in long], sorted(long))
-        if chosen
-    ]
+    parts = [_text_counts(data, chosen, is_long) for chosen, is_long in ((texts, False), (sorted(long), True)) if chosen]
     if natives:
         parts.append(_native_counts(data, natives))
     return reduce(DataFrame.unionByName, parts)

@@ -7,20 +7,18 @@ score and changes nothing until approved.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
 from plumbline.functions.severity import proposal_id
+from plumbline.operators.dataset import materialise
 from plumbline.operators.findings import ADVISORY, as_findings, details, finding, phrase
 
 MINIMUM_CONFIDENCE = 0.6
 # The rule types a suggestion may propose.
 SUGGESTIBLE_RULES = ("not_null", "range", "allowed_values", "no_future_dates", "regex", "unique")
 
-_RESOLVED_DDL = "suggestion bigint, clash string"
-
 
 def _reason(*tests: tuple[Column, Column]) -> Column:
     """The first reason that applies, or null."""
@@ -56,34 +54,45 @@ def ground_mappings(suggestions: DataFrame, columns: DataFrame, levels: DataFram
             ),
         )
     )
-    # Whether a mapping clashes depends on which earlier ones were accepted. Suggestions come
-    # by the dozen, and each column is settled on its own.
-    clashes = (
-        checked.filter("basic IS NULL")
-        .select("suggestion", "column", "source", "target")
-        .groupBy("column")
-        .applyInPandas(_clashes, _RESOLVED_DDL)
-    )
+    clashes = _clashes(checked.filter("basic IS NULL").select("suggestion", "column", "source", "target"))
     reason = F.coalesce("basic", "clash")
     return checked.join(clashes, "suggestion", "left").select(
         "suggestion", "column", "source", "target", "confidence", reason.isNull().alias("accepted"), reason.alias("reason")
     )
 
 
-def _clashes(group: pd.DataFrame) -> pd.DataFrame:
-    """First come, first served: one mapping per source, and never both directions."""
-    accepted: dict[str, str] = {}
-    rows = []
-    for row in group.sort_values("suggestion").itertuples(index=False):
-        clash = None
-        if row.source in accepted:
-            clash = f"'{row.source}' already has a mapping."
-        elif accepted.get(row.target) == row.source:
-            clash = f"'{row.source}' and '{row.target}' map to each other."
-        else:
-            accepted[row.source] = row.target
-        rows.append((row.suggestion, clash))
-    return pd.DataFrame(rows, columns=["suggestion", "clash"])
+def _clashes(sound: DataFrame) -> DataFrame:
+    """``suggestion, clash``: one mapping per source and never both directions, earlier ones first.
+
+    Whether a mapping stands depends on earlier ones, so it is settled in rounds. In each, a
+    mapping falls if an earlier one of its source, or of the opposite direction, stands, and it
+    stands if none of these is open. The first open mapping of every column is settled in any case.
+    """
+    none = F.lit(None).cast("string")
+    state = materialise(sound.withColumns({"clash": none, "settled": F.lit(False)}))
+    stands = F.col("settled") & F.col("clash").isNull()
+    while not state.filter("NOT settled").isEmpty():
+        marks = lambda suffix: [
+            F.min(F.when(stands, F.col("suggestion"))).alias(f"stands_{suffix}"),
+            F.min(F.when(~F.col("settled"), F.col("suggestion"))).alias(f"open_{suffix}"),
+        ]
+        same = state.groupBy("column", "source").agg(*marks("same"))
+        back = state.groupBy("column", F.col("source").alias("target"), F.col("target").alias("source")).agg(*marks("back"))
+        seen = state.join(same, ["column", "source"]).join(back, ["column", "source", "target"], "left")
+        falls_same = F.col("stands_same") < F.col("suggestion")
+        falls_back = F.col("stands_back") < F.col("suggestion")
+        waits = (F.col("open_same") < F.col("suggestion")) | (F.coalesce("open_back", "suggestion") < F.col("suggestion"))
+        clash = F.when(falls_same, phrase("A mapping of '%s' came before.", F.col("source"))).when(
+            falls_back, phrase("The opposite mapping, of '%s' to '%s', came before.", F.col("target"), F.col("source"))
+        )
+        settled = F.col("settled") | F.coalesce(falls_same | falls_back, F.lit(False)) | F.coalesce(falls_same, F.lit(False)) | F.coalesce(falls_back, F.lit(False)) | ~waits
+        state = materialise(
+            seen.select(
+                "suggestion", "column", "source", "target",
+                F.when(F.col("settled"), F.col("clash")).otherwise(clash).alias("clash"), settled.alias("settled"),
+            )
+        )
+    return state.select("suggestion", "clash")
 
 
 def _first_of(suggestions: DataFrame, sound: Column, key: str) -> Column:

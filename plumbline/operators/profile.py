@@ -20,7 +20,7 @@ from plumbline.operators.dataset import (
     row_digest,
     small_table,
 )
-from plumbline.operators.frequency import kind_of, text_cells
+from plumbline.operators.frequency import kind_of
 
 TOP_VALUES = 10
 SAMPLE_VALUES = 5
@@ -50,12 +50,7 @@ def describe_columns(data: Dataset) -> DataFrame:
             "column": field.name,
             "data_type": field.dataType.simpleString(),
             "kind": kind_of(field.dataType),
-            "temporal_name": naming.is_temporal_name(field.name),
-            "identifier_name": naming.is_identifier_name(field.name),
-            "age_name": naming.mentions(field.name, naming.AGE_WORDS),
-            "amount_name": naming.mentions(field.name, naming.AMOUNT_WORDS),
-            "past_name": naming.mentions(field.name, naming.PAST_EVENT_WORDS),
-            "sensitive_name": naming.is_sensitive_name(field.name),
+            **{f"{hint}_name": hint in naming.hinted(field.name) for hint in naming.PROFILED},
         }
         for position, field in enumerate(data.fields)
     ]
@@ -94,6 +89,11 @@ def duplicate_rows(data: Dataset, folded: bool = False) -> DataFrame:
     )
 
 
+def dataset_profile(data: Dataset, profile_rows: DataFrame) -> DataFrame:
+    """One row about the whole table: its size, its gaps and its raw repeated rows."""
+    return dataset_totals(profile_rows).crossJoin(F.broadcast(duplicate_rows(data)))
+
+
 # ------------------------------------------------------------------ value-level measures
 
 
@@ -264,13 +264,13 @@ def distinct_counts(trimmed: DataFrame, folded: DataFrame) -> DataFrame:
     )
 
 
-def top_values(shown: DataFrame, limit: int = TOP_VALUES, texts: DataFrame | None = None) -> DataFrame:
+def top_values(shown: DataFrame, limit: int = TOP_VALUES) -> DataFrame:
     """The most frequent values per column, ties by value: ``pos, top_values``.
 
-    ``shown`` holds ``pos, shown, n, first_row`` with one row per distinct value; ``texts``
-    spells out long values, see :func:`long_texts`.
+    ``shown`` holds ``pos, shown, n, first_row`` with one row per distinct value; long values
+    stand there in their short form.
     """
-    ranked = _spelled_out(first_per_group(shown, ["pos"], [F.desc("n"), F.asc("shown")], limit), texts)
+    ranked = first_per_group(shown, ["pos"], [F.desc("n"), F.asc("shown")], limit)
     entry = F.struct("__rank", F.col("shown").alias("value"), F.col("n").alias("count"))
     listed = F.transform(
         F.array_sort(F.collect_list(entry)), lambda e: F.struct(e["value"].alias("value"), e["count"].alias("count"))
@@ -278,36 +278,14 @@ def top_values(shown: DataFrame, limit: int = TOP_VALUES, texts: DataFrame | Non
     return ranked.groupBy("pos").agg(listed.alias("top_values"))
 
 
-def sample_values(values: DataFrame, limit: int = SAMPLE_VALUES, texts: DataFrame | None = None) -> DataFrame:
+def sample_values(values: DataFrame, limit: int = SAMPLE_VALUES) -> DataFrame:
     """The first distinct values in row order: ``pos, sample_values``."""
     raw = values.filter("present").select("pos", F.coalesce("s", "shown").alias("shown"), "first_row")
-    ranked = _spelled_out(first_per_group(raw, ["pos"], [F.asc("first_row"), F.asc("shown")], limit), texts)
+    ranked = first_per_group(raw, ["pos"], [F.asc("first_row"), F.asc("shown")], limit)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("__rank", "shown"))), lambda e: e["shown"])
     return ranked.groupBy("pos").agg(listed.alias("sample_values"))
 
 
-def long_texts(data: Dataset, measured: DataFrame) -> DataFrame | None:
-    """Cells of the columns whose long values are known by digest only, or None."""
-    long = [row.pos for row in measured.filter("has_long").select("pos").collect()]
-    return text_cells(data, long) if long else None
-
-
-def _spelled_out(ranked: DataFrame, texts: DataFrame | None) -> DataFrame:
-    """Replace digests by the text itself, read back from each value's first row."""
-    if texts is None:
-        return ranked
-    # A few rows per column at most, so the broadcast is bounded by the width of the table.
-    wanted = ranked.filter(F.col("shown").startswith("long:")).select("pos", F.col("first_row").alias(ROW_ID))
-    spelled = texts.join(F.broadcast(wanted.distinct()), ["pos", ROW_ID]).select(
-        "pos", F.col(ROW_ID).alias("first_row"), F.col("s").alias("whole")
-    )
-    return (
-        ranked.join(F.broadcast(spelled), ["pos", "first_row"], "left")
-        .withColumn("shown", F.coalesce(tx.trim(F.col("whole")), "shown"))
-        .drop("whole")
-    )
-
-
 # ------------------------------------------------------------------ type inference
 
 

@@ -9,15 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import naming
 from plumbline.functions.severity import proposal_id
-from plumbline.operators.dataset import Dataset, first_per_group, materialise, pinned, small_table
+from plumbline.operators.dataset import ROW_ID, Dataset, first_per_group, materialise, pinned, small_table
 from plumbline.operators.dependencies import find_determinants, lookup_table
 from plumbline.operators.findings import worst_first
+from plumbline.operators.frequency import text_cells
 
 PROPOSALS_SCHEMA = T.StructType(
     [
@@ -53,25 +54,55 @@ class Proposals:
 # ------------------------------------------------------------------ shared evidence
 
 
-def spelling_map(values: DataFrame, key: str) -> DataFrame:
-    """Each written form mapped to the most frequent form sharing its key.
+def spelling_leaders(values: DataFrame, key: str) -> DataFrame:
+    """Keys with several written forms: ``pos, key, leaders`` (most frequent forms) and the ``winner``.
 
-    ``values`` has ``pos, s, n`` and the key column, one row per raw form. Groups whose two
-    most frequent forms tie are left out: there is no majority to follow.
+    A group whose most frequent forms tie has several leaders and no majority to follow. Blank
+    values and values without letters or digits have no key and belong to no group.
     """
-    forms = values.filter("given AND s IS NOT NULL").select("pos", F.col(key).alias("key"), "s", "n")
-    ranked = Window.partitionBy("pos", "key").orderBy(F.desc("n"), F.asc("s"))
-    group = Window.partitionBy("pos", "key")
+    forms = _forms(values, key)
+    groups = forms.groupBy("pos", "key").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("forms")).filter("forms > 1")
     return (
-        forms.withColumn("rank", F.row_number().over(ranked))
-        .withColumn("winner", F.first("s").over(ranked))
-        .withColumn("most", F.max("n").over(group))
-        .withColumn("second", F.max(F.when(F.col("rank") == 2, F.col("n"))).over(group))
-        .filter("rank > 1 AND most > second")
-        .select("pos", F.col("s").alias("from_value"), F.col("winner").alias("to_value"), "n")
+        forms.join(groups, ["pos", "key"])
+        .filter("n = most")
+        .groupBy("pos", "key")
+        .agg(F.count(F.lit(1)).alias("leaders"), F.min(F.struct("s", "first_row", "is_long")).alias("winner"))
     )
 
 
+def _forms(values: DataFrame, key: str) -> DataFrame:
+    present = values.filter(F.col("present") & (F.col(key) != ""))
+    return present.select("pos", F.col(key).alias("key"), "s", "n", "first_row", "is_long")
+
+
+def spelling_map(values: DataFrame, key: str, data: Dataset | None = None) -> DataFrame:
+    """Each written form mapped to the most frequent form sharing its key.
+
+    ``values`` has ``pos, s, n`` and the key column, one row per raw form. Long forms stand in
+    their short form; with ``data``, the text to write is read back whole.
+    """
+    leaders = spelling_leaders(values, key).filter("leaders = 1").select("pos", "key", "winner")
+    mapped = _forms(values, key).join(leaders, ["pos", "key"]).filter(F.col("s") != F.col("winner.s"))
+    if data is not None:
+        mapped = _spelled_out(mapped, data)
+    else:
+        mapped = mapped.withColumn("to_value", F.col("winner.s"))
+    return mapped.select("pos", F.col("s").alias("from_value"), "to_value", "n")
+
+
+def _spelled_out(mapped: DataFrame, data: Dataset) -> DataFrame:
+    """``mapped`` with ``to_value``, the winner's whole text, read back from its first row if it is long."""
+    mapped = materialise(mapped)
+    wanted = mapped.filter("winner.is_long").select("pos", F.col("winner.first_row").alias(ROW_ID)).distinct()
+    positions = [row.pos for row in wanted.select("pos").distinct().collect()]
+    if not positions:
+        return mapped.withColumn("to_value", F.col("winner.s"))
+    whole = text_cells(data, positions).join(wanted, ["pos", ROW_ID]).groupBy("pos", F.col(ROW_ID).alias("__row")).agg(F.first("s").alias("__whole"))
+    long = F.col("winner.is_long") & (F.col("winner.first_row") == F.col("__row"))
+    joined = mapped.join(whole.withColumnRenamed("pos", "__pos"), long & (F.col("pos") == F.col("__pos")), "left")
+    return joined.withColumn("to_value", F.coalesce("__whole", "winner.s")).drop("__whole", "__row", "__pos")
+
+
 def most_frequent(trimmed: DataFrame) -> DataFrame:
     """The one most frequent trimmed value per column; none when two tie: ``pos, value``."""
     top = first_per_group(trimmed.select("pos", "t", "n"), ["pos"], [F.desc("n"), F.asc("t")], 2, "rank")
@@ -86,7 +117,7 @@ def most_frequent(trimmed: DataFrame) -> DataFrame:
 
 def may_impute(name: str, semantic_type: str) -> bool:
     """Codes, coordinates and identifiers have no meaningful middle."""
-    return not (naming.is_code_name(name) or naming.is_coordinate_name(name) or semantic_type == "identifier")
+    return not (naming.hinted(name) & {"identifier", "code", "coordinate"} or semantic_type == "identifier")
 
 
 # ------------------------------------------------------------------ builders
@@ -111,6 +142,7 @@ class Evidence:
 
     facts: dict[str, dict]
     changed: dict[tuple[str, str], int]
+    ties: dict[tuple[str, str], int]
     modes: dict[str, str]
     medians: dict[str, float]
     determinants: dict[str, dict]
@@ -136,8 +168,12 @@ def _case(evidence: Evidence, found: dict) -> dict | None:
     if not changed:
         return {}
     return _offer("normalize_case", f"Unify the letter case of '{found['column']}'",
-                  "Rewrite each value the way it is written most often. Groups without a majority stay as they are.",
-                  changed)
+                  "Rewrite each value the way it is written most often." + _tied(evidence, found, "fold"), changed)
+
+
+def _tied(evidence: Evidence, found: dict, key: str) -> str:
+    ties = evidence.ties.get((found["column"], key))
+    return f" {ties:,} group(s) have no majority and stay as they are." if ties else ""
 
 
 @builds("inconsistent_category")
@@ -146,7 +182,8 @@ def _category(evidence: Evidence, found: dict) -> dict | None:
     if not changed:
         return {}
     return _offer("map_category", f"Merge equal categories of '{found['column']}'",
-                  "Rewrite values that differ only in spacing or punctuation the way most rows have them.", changed)
+                  "Rewrite values that differ only in spacing or punctuation the way most rows have them."
+                  + _tied(evidence, found, "key"), changed)
 
 
 @builds("numeric_stored_as_text")
@@ -297,11 +334,17 @@ def _gather(review, found: list[dict]) -> tuple[Evidence, dict[str, DataFrame]]:
         return review.values.filter(F.col("pos").isin([facts[name]["pos"] for name in names]))
 
     maps = {
-        key: spelling_map(values_of(issues[issue]), key)
+        key: materialise(spelling_map(values_of(issues[issue]), key, review.data))
         for key, issue in (("fold", "inconsistent_capitalization"), ("key", "inconsistent_category"))
         if issues[issue]
     }
     by_pos = {fact["pos"]: name for name, fact in facts.items()}
+    ties = {
+        (by_pos[row.pos], key): row.n
+        for key, issue in (("fold", "inconsistent_capitalization"), ("key", "inconsistent_category"))
+        if issues[issue]
+        for row in spelling_leaders(values_of(issues[issue]), key).filter("leaders > 1").groupBy("pos").agg(F.count(F.lit(1)).alias("n")).collect()
+    }
     changed = {}
     for key, mapping in maps.items():
         for row in mapping.groupBy("pos").agg(F.sum("n").alias("n")).collect():
@@ -330,7 +373,7 @@ def _gather(review, found: list[dict]) -> tuple[Evidence, dict[str, DataFrame]]:
         row["column"]: row.median
         for row in review.profiles.select("column", F.col("numeric.median").alias("median")).collect()
     }
-    return Evidence(facts, changed, modes, medians, determinants), maps
+    return Evidence(facts, changed, ties, modes, medians, determinants), maps
 
 
 def _mappings(data: Dataset, table: DataFrame, evidence: Evidence, maps: dict[str, DataFrame]) -> DataFrame:

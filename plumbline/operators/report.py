@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
-from plumbline.functions.naming import is_sensitive_name
+from plumbline.functions.naming import hinted
 from plumbline.operators.findings import DETERMINISTIC, by_severity, by_source, worst_first
 from plumbline.operators.propose import decision_counts, with_status
 from plumbline.operators.score import worst_columns
@@ -39,12 +39,12 @@ def most_missing(profiles: DataFrame, limit: int = 20) -> DataFrame:
 
 def must_mask(profiles: DataFrame) -> DataFrame:
     """Profiles with ``masked``: whether values may only be shown as shapes."""
-    sensitive = [row.column for row in profiles.select("column").collect() if is_sensitive_name(row.column)]
+    sensitive = [row.column for row in profiles.select("column").collect() if "sensitive" in hinted(row.column)]
     by_type = F.col("semantic_type").isin("email", "identifier")
     return profiles.withColumn("masked", by_type | F.col("column").isin(*sensitive) if sensitive else by_type)
 
 
-def column_summaries(profiles: DataFrame, samples: int = 5, max_columns: int = 60) -> DataFrame:
+def column_summaries(profiles: DataFrame, samples: int = 5) -> DataFrame:
     """What a column looks like, without its content: one JSON object per column."""
     shown = F.transform(
         F.slice("sample_values", 1, max(samples, 1)),
@@ -63,7 +63,7 @@ def column_summaries(profiles: DataFrame, samples: int = 5, max_columns: int = 6
     ]
     if samples > 0:
         parts += [shown.alias("examples"), F.col("masked").alias("examples_are_masked")]
-    return must_mask(profiles.filter(F.col("position") < max_columns)).select(
+    return must_mask(profiles).select(
         "position", "column", F.to_json(F.struct(*parts)).alias("summary")
     )
 

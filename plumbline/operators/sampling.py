@@ -7,23 +7,25 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.dataset import ROW_ID, Dataset, col
 
-#: Ranges of row ids ranked independently; their sizes fit in one small table.
-RANGES = 4096
+#: Ranges of row ids ranked independently.
+RANGES = 64
 
 
 def evenly_spaced_sample(data: Dataset, column: str, limit: int) -> DataFrame:
     """At most ``limit`` given values of a column, every n-th in row order: row id and value.
 
-    The rows are cut into ranges of row ids. Counting each range gives the position at which
-    it starts, so ranges are ranked side by side and nothing is sorted as a whole.
+    The rows are cut at quantiles of their ids, so ranges are of like size however the ids lie.
+    Counting each range gives the position at which it starts, so ranges are ranked side by side
+    and nothing is sorted as a whole.
     """
     given = data.frame.select(ROW_ID, col(column)).filter(col(column).isNotNull())
-    bounds = given.agg(F.min(ROW_ID).alias("low"), F.max(ROW_ID).alias("high"), F.count(F.lit(1)).alias("n")).first()
+    shares = [i / RANGES for i in range(1, RANGES)]
+    bounds = given.agg(F.percentile_approx(ROW_ID, shares, 10_000).alias("cuts"), F.count(F.lit(1)).alias("n")).first()
     if bounds.n <= limit or limit <= 0:
         return given
     stride = -(-bounds.n // limit)
-    width = (bounds.high - bounds.low) // RANGES + 1
-    ranged = given.withColumn("__range", F.floor((F.col(ROW_ID) - bounds.low) / width))
+    cuts = F.array(*[F.lit(cut).cast("bigint") for cut in sorted(set(bounds.cuts))])
+    ranged = given.withColumn("__range", F.size(F.filter(cuts, lambda cut: cut <= F.col(ROW_ID))))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         ranged.groupBy("__range")

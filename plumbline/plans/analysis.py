@@ -82,12 +82,11 @@ def measure(data: Dataset, as_of: date | None = None) -> Review:
     distinct = profile.distinct_counts(trimmed, folded)
     typed, _ = pinned(profile.column_facts(profile.describe_columns(data), measured, distinct, spread))
 
-    texts = profile.long_texts(data, measured)
     shown = trimmed.select("pos", F.col("t").alias("shown"), "n", "first_row").unionByName(
         values.filter("present AND NOT is_text").select("pos", "shown", "n", "first_row")
     )
-    tops = profile.top_values(shown, texts=texts)
-    samples = profile.sample_values(values, texts=texts)
+    tops = profile.top_values(shown)
+    samples = profile.sample_values(values)
     profiled, _ = pinned(
         profile.profiles(typed, profile.medians(values, measured), tops, samples).orderBy("position")
     )
@@ -115,7 +114,7 @@ def analyze(
     context = Context(data, review.facts, review.row_count, review.as_of, rules, row_ids, data.notes)
     found, _ = pinned(run_checks(context, only))
     if row_ids:
-        found, _ = pinned(attach_rows(data, found, review.fact_rows, review.as_of))
+        found, _ = pinned(attach_rows(review, found))
     scores, _ = pinned(column_scores(found, review.profiles))
     total, _ = pinned(quality_score(found, scores))
     return Analysis(review, found, scores, total, rules)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import ground
 from plumbline.operators.apply import Cleaned, apply_corrections, previews
-from plumbline.operators.dataset import Dataset, col, materialise, pinned
-from plumbline.operators.findings import DETERMINISTIC, worst_first
+from plumbline.operators.dataset import Dataset, pinned
+from plumbline.operators.findings import DETERMINISTIC
 from plumbline.operators.propose import Proposals, propose
 from plumbline.plans.analysis import Analysis, analyze
 
@@ -44,7 +44,7 @@ def offer(analysis: Analysis, with_previews: bool = True) -> Proposals:
 def clean(analysis: Analysis, proposals: Proposals, decisions: DataFrame) -> CleanedRun:
     """Apply what was approved, then profile, check and score the result afresh."""
     cleaned = apply_corrections(analysis.data, proposals, decisions)
-    kept = cleaned.data.with_frame(materialise(cleaned.data.frame.select(*map(col, cleaned.data.frame.columns))))
+    kept = cleaned.data
     after = analyze(kept, analysis.rules, analysis.review.as_of)
     before = analysis.score.select(F.col("overall").alias("score_before"))
     outcome, _ = pinned(
@@ -114,9 +114,7 @@ def advise(
         offers = Proposals(*ground.mapping_proposals(grounded, advisory))
         refused = refused.unionByName(reasons("mapping", grounded))
     if explanations is not None:
-        severe = worst_first(
-            analysis.findings.filter(F.col("severity").isin("critical", "high") & (F.col("source") == DETERMINISTIC))
-        ).limit(8)
+        severe = analysis.findings.filter(F.col("severity").isin("critical", "high") & (F.col("source") == DETERMINISTIC))
         found = found.unionByName(ground.explanation_findings(explanations, severe))
         _, unknown = ground.ground_explanations(explanations, severe)
         refused = refused.unionByName(

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,14 +63,13 @@ class History:
 
     def table(self, name: str) -> DataFrame:
         """A history table; empty when nothing was stored yet."""
-        reader = self.spark.read.schema(TABLES[name])
-        return reader.option("recursiveFileLookup", "true").parquet(f"{self.root}/{name}") if self._exists(name) else (
-            self.spark.createDataFrame([], TABLES[name])
-        )
-
-    def _exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        reader = self.spark.read.schema(TABLES[name]).option("recursiveFileLookup", "true")
+        try:
+            return reader.parquet(f"{self.root}/{name}")
+        except AnalysisException as missing:
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+            return self.spark.createDataFrame([], TABLES[name])
 
     def _append(self, name: str, df: DataFrame) -> None:
         fields = self.spark.createDataFrame([], TABLES[name]).schema.fields

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import csv
+from collections import Counter
 from dataclasses import dataclass
+from itertools import chain, count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,41 +70,39 @@ def _first_lines(spark: SparkSession, path: str, encoding: str) -> list[str]:
 
 
 def detect_delimiter(lines: list[str]) -> str:
-    """The delimiter that splits the first lines most evenly.
+    """The delimiter that gives most of the first lines as many cells as the header has.
 
-    Only characters of the header line compete; otherwise a single column of numbers with
-    thousands separators would fall apart.
+    Only characters of the header line take part; otherwise a single column of numbers with
+    thousands separators would fall apart. Of equal ones, the one with more cells is taken.
     """
-    best, best_score = ",", (-1.0, 0)
-    for candidate in DELIMITERS:
-        if not lines or candidate not in lines[0]:
-            continue
-        widths = [len(row) for row in csv.reader(lines, delimiter=candidate) if row]
-        if widths and widths[0] >= 2:
-            score = (widths.count(widths[0]) / len(widths), widths[0])
-            if score > best_score:
-                best, best_score = candidate, score
-    return best
+
+    def rating(mark: str) -> tuple[float, int]:
+        widths = [len(cells) for cells in csv.reader(lines, delimiter=mark) if cells]
+        return Counter(widths)[widths[0]] / len(widths), widths[0]
+
+    rated = {mark: rating(mark) for mark in DELIMITERS if lines and mark in lines[0]}
+    return max((mark for mark, (_, cells) in rated.items() if cells > 1), key=rated.get, default=DELIMITERS[0])
 
 
 def repair_header(header: list[str]) -> tuple[list[str], list[str]]:
-    """Usable, distinct column names and a note for each repair."""
-    names, notes, seen = [], [], {}
+    """Usable column names, no two of them equal in any letter case, and a note for each repair.
+
+    A name that is taken gets the first free number as a suffix.
+    """
+    names, notes, taken = [], [], set()
     for position, raw in enumerate(header, start=1):
-        name = raw.strip(WHITESPACE)
-        if name != raw:
-            notes.append(f"Header {position} was padded with white space.")
-        if not name:
-            name = f"column_{position}"
-            notes.append(f"Header {position} was empty; it is now '{name}'.")
-        if name in seen:
-            seen[name] += 1
-            renamed = f"{name}_{seen[name]}"
-            notes.append(f"Header '{name}' occurred again; the repeat is now '{renamed}'.")
-            name = renamed
-        else:
-            seen[name] = 0
+        given = raw.strip(WHITESPACE)
+        wanted = given or f"column_{position}"
+        choices = chain([wanted], (f"{wanted}_{number}" for number in count(1)))
+        name = next(choice for choice in choices if choice.lower() not in taken)
+        taken.add(name.lower())
         names.append(name)
+        if given != raw:
+            notes.append(f"Header {position} had white space around it.")
+        if not given:
+            notes.append(f"Header {position} was empty and is now called '{wanted}'.")
+        if name != wanted:
+            notes.append(f"Header {position} repeats '{wanted}' and is now called '{name}'.")
     return names, notes
 
 
@@ -123,21 +123,23 @@ def read_csv(
     encoding: str | None = None,
     delimiter: str | None = None,
     max_rows: int | None = None,
-    max_columns: int | None = 500,
-    multi_line: bool = True,
+    max_columns: int | None = None,
+    multi_line: bool | None = None,
     with_hash: bool = False,
 ) -> Dataset:
     """A CSV or TSV file with every cell as text; nothing is turned into a null.
 
     Words such as ``N/A`` stay words, empty cells stay empty text. A row with more fields
     than the header is an error. ``multi_line`` allows line breaks inside quotes, which
-    keeps a file in one split; turn it off for large files that have none. ``with_hash``
-    records the SHA-256 of the content, reading each file in one piece.
+    keeps a file in one split; by default it is on only where a line holds an odd number of
+    quotes. ``with_hash`` records the SHA-256 of the content, reading each file in one piece.
     """
     layout = csv_layout(spark, path, encoding, delimiter)
     names, notes = repair_header(list(layout.header))
     if max_columns is not None and len(names) > max_columns:
         raise ShapeError(f"{len(names):,} columns exceed the limit of {max_columns:,}.")
+    if multi_line is None:
+        multi_line = _breaks_in_quotes(spark, path)
     raw = [f"c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*raw, _OVERFLOW]])
     df = spark.read.csv(
@@ -154,16 +156,30 @@ def read_csv(
         return F.translate(text, CP1252_BYTES, CP1252_CHARACTERS) if layout.encoding == ENCODINGS[1] else text
 
     frame = kept.select(*[cell(r).alias(n) for r, n in zip(raw, names)], ROW_ID)
-    data = Dataset(frame, name or path.rstrip("/").rsplit("/", 1)[-1], tuple(notes), content_hash(spark, path) if with_hash else None)
+    data = Dataset(
+        frame, name or path.rstrip("/").rsplit("/", 1)[-1], tuple(notes), content_hash(spark, path) if with_hash else None,
+        size_of(spark, path), layout.encoding, layout.delimiter,
+    )
     data.check_shape(max_rows, None)
     return data
 
 
+def _breaks_in_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether some line holds an odd number of quotes, so that a cell may go on in the next."""
+    lines = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not lines.filter(quotes % 2 == 1).isEmpty()
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of the files under a path, without reading them."""
+    return spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+
+
 def read_parquet(spark: SparkSession, path: str, name: str | None = None, row_id: str | None = None) -> Dataset:
     """A Parquet table. In a single file the row ids are the positions of the rows.
 
-    A file that gives the cluster fewer splits than it has cores is spread over all of them
-    by row id. Anything larger is read in place.
+    With several files, ids follow the order of the scan.
     """
     df = spark.read.parquet(path)
     if row_id is not None:
@@ -172,20 +188,14 @@ def read_parquet(spark: SparkSession, path: str, name: str | None = None, row_id
         df = df.select("*", F.col("_metadata.row_index").alias(ROW_ID))
     else:
         df = df.withColumn(ROW_ID, F.monotonically_increasing_id())
-    return Dataset(spread(df, ROW_ID), name or path.rstrip("/").rsplit("/", 1)[-1])
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Redistribute a scan too small to occupy the cores; leave larger ones alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, col(key)) if df.rdd.getNumPartitions() < cores else df
+    return Dataset(df, name or path.rstrip("/").rsplit("/", 1)[-1], size_bytes=size_of(spark, path))
 
 
-def open_view(spark: SparkSession, path: str, view: str, name: str | None = None) -> Dataset:
+def open_view(spark: SparkSession, path: str, view: str, name: str | None = None, max_columns: int | None = None) -> Dataset:
     """A CSV, TSV or Parquet file as a temporary SQL view."""
     lowered = path.lower().rstrip("/")
     if lowered.endswith((".csv", ".tsv")):
-        data = read_csv(spark, path, name, delimiter="\t" if lowered.endswith(".tsv") else None)
+        data = read_csv(spark, path, name, delimiter="\t" if lowered.endswith(".tsv") else None, max_columns=max_columns)
     elif lowered.endswith(".parquet"):
         data = read_parquet(spark, path, name)
     else:
