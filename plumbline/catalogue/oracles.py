@@ -196,6 +196,10 @@ ORACLES["parse_dates"] = (
     f"CAST(({_iso('signup_date')} IS NOT NULL) AS BIGINT) + CAST(({_slashed('signup_date', '%d/%m/%Y')} IS NOT NULL) AS BIGINT) "
     f"+ CAST(({_slashed('signup_date', '%m/%d/%Y')} IS NOT NULL) AS BIGINT) AS formats FROM dirty_customer"
 )
+ORACLES["parse_numbers_european"] = (
+    "SELECT row_key, CAST(replace(replace(replace(price, ' €', ''), '.', ''), ',', '.') AS DOUBLE) AS number FROM european_prices"
+)
+ORACLES["parse_dates_every_format"] = "SELECT row_key, strftime(make_date(y, m, d), '%Y-%m-%d') AS day FROM dated_orders"
 ORACLES["boolean_tokens"] = (
     "SELECT row_key, CASE WHEN lower(in_stock) IN ('yes', 'oui') THEN true WHEN lower(in_stock) = 'no' THEN false END AS truth FROM dirty_part"
 )
@@ -662,6 +666,26 @@ ORACLES["redacted_details"] = (
 ORACLES["audit_log"] = f"SELECT count(*) AS rows, CAST({len(CUSTOMER)} AS BIGINT) AS columns FROM dirty_customer"
 
 
+# ------------------------------------------------------------------ files and history
+
+ORACLES["csv_round_trip"] = f"SELECT {', '.join(f"coalesce({c}, '') AS {c}" for c in CUSTOMER)} FROM dirty_customer"
+ORACLES["csv_semicolons"] = "SELECT CAST(row_key AS STRING) AS \"Key\", price AS key_1, price AS price FROM european_prices"
+ORACLES["csv_latin"] = "SELECT customer_id, replace(replace(city, 'Ã¶', 'é'), chr(65533), 'é') AS city FROM dirty_customer"
+ORACLES["stored_columns"] = (
+    f"SELECT m.\"column\" AS name, m.row_count, missing_count, unique_count FROM ({ORACLES['missing_counts']}) m "
+    f"JOIN ({ORACLES['cardinality']}) c ON m.\"column\" = c.\"column\""
+)
+ORACLES["stored_findings"] = f"SELECT \"column\" AS column_name, severity, affected_rows, row_count FROM ({ORACLES['check_missing_values']})"
+ORACLES["recent_analyses"] = (
+    f"SELECT 'dirty_customer' AS source_name, count(*) AS row_count, CAST({len(CUSTOMER)} AS INTEGER) AS column_count FROM dirty_customer "
+    "UNION ALL SELECT 'gappy_nation', count(*), 3 FROM gappy_nation"
+)
+ORACLES["stored_events"] = "SELECT 'analysis.completed' AS event_type, count(*) AS rows FROM dirty_customer"
+ORACLES["usage_totals"] = (
+    "SELECT count(DISTINCT c_mktsegment) AS calls, count(*) AS input_tokens, 2 * count(*) AS output_tokens FROM customer"
+)
+
+
 #: DuckDB sums integers into 128 bits; these results are ordinary integers.
 _INTEGERS = {
     "dataset_totals": ("total_cells", "missing_cells"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 from functools import lru_cache
@@ -25,7 +26,9 @@ from plumbline.operators.sampling import evenly_spaced_sample
 from plumbline.operators.score import column_scores, quality_score, worst_columns
 from plumbline.plans.analysis import Review, analyze, measure, structural_findings
 from plumbline.plans.review import advise, clean, offer
-from plumbline.sources.history import redact
+from plumbline.sources.history import History, redact
+from plumbline.sources.readers import read_csv
+from plumbline.sources.writers import write_csv
 
 #: The day that future dates are judged against.
 AS_OF = date(2024, 6, 30)
@@ -234,6 +237,17 @@ def parse_dates(spark, sf_dir):
     return df.select("row_key", F.date_format("moment", "yyyy-MM-dd").alias("day"), F.size(format_labels(F.col("mask"))).cast("bigint").alias("formats"))
 
 
+@query("parse_numbers_european")
+def parse_numbers_european(spark, sf_dir):
+    return with_number(frame(spark, sf_dir, "european_prices"), F.col("price"), "number").select("row_key", "number")
+
+
+@query("parse_dates_every_format")
+def parse_dates_every_format(spark, sf_dir):
+    df = with_dates(frame(spark, sf_dir, "dated_orders"), F.col("written"), "mask", "moment")
+    return df.select("row_key", F.date_format("moment", "yyyy-MM-dd").alias("day"))
+
+
 @query("boolean_tokens")
 def boolean_tokens(spark, sf_dir):
     return frame(spark, sf_dir, "dirty_part").select("row_key", tx.boolean_token(F.col("in_stock")).alias("truth"))
@@ -790,3 +804,73 @@ def table_preview(spark, sf_dir):
 def analysis_orders(spark, sf_dir):
     review = review_of(spark, sf_dir, "dirty_orders")
     return run_checks(_context(review)).select("check_id", *BRIEF)
+
+
+# ------------------------------------------------------------------ files and history
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder where driver and executors can both write."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/plumbline-files/{uuid.uuid4().hex}"
+
+
+@query("csv_round_trip")
+def csv_round_trip(spark, sf_dir):
+    path = _scratch(spark)
+    write_csv(dataset(spark, sf_dir, "dirty_customer"), path, sanitise=False)
+    return read_csv(spark, path).frame.drop(ROW_ID)
+
+
+@query("csv_semicolons")
+def csv_semicolons(spark, sf_dir):
+    path = _scratch(spark)
+    prices = frame(spark, sf_dir, "european_prices").select(F.col("row_key").alias("Key"), F.col("price").alias("key"), F.col("price").alias(" price "))
+    prices.write.option("sep", ";").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path, header=True)
+    return read_csv(spark, path).frame.drop(ROW_ID)
+
+
+@query("csv_latin")
+def csv_latin(spark, sf_dir):
+    path = _scratch(spark)
+    cities = frame(spark, sf_dir, "dirty_customer").select("customer_id", F.regexp_replace("city", "\ufffd|Ã¶", "é").alias("city"))
+    cities.write.option("encoding", "ISO-8859-1").csv(path, header=True)
+    return read_csv(spark, path).frame.drop(ROW_ID)
+
+
+def _saved(spark, sf_dir, *names: str):
+    history = History(spark, _scratch(spark))
+    for name in names:
+        history.save_analysis(analyze(dataset(spark, sf_dir, name), None, AS_OF, row_ids=False, only=["missing_values"]))
+    return history
+
+
+@query("stored_columns")
+def stored_columns(spark, sf_dir):
+    return _saved(spark, sf_dir, "dirty_customer").table("analysis_columns").select("name", "row_count", "missing_count", "unique_count")
+
+
+@query("stored_findings")
+def stored_findings(spark, sf_dir):
+    return _saved(spark, sf_dir, "dirty_customer").table("findings").select("column_name", "severity", "affected_rows", "row_count")
+
+
+@query("recent_analyses")
+def recent_analyses(spark, sf_dir):
+    recent = _saved(spark, sf_dir, "gappy_nation", "dirty_customer").recent_analyses(2)
+    return recent.select("source_name", "row_count", "column_count")
+
+
+@query("stored_events")
+def stored_events(spark, sf_dir):
+    history = _saved(spark, sf_dir, "dirty_customer")
+    known = history.recent_analyses(1).first().analysis_id
+    return history.audit_trail(known).select("event_type", F.get_json_object("payload", "$.rows").cast("bigint").alias("rows"))
+
+
+@query("usage_totals")
+def usage_totals(spark, sf_dir):
+    history = History(spark, _scratch(spark))
+    for row in frame(spark, sf_dir, "customer").groupBy("c_mktsegment").count().collect():
+        history.log_call(None, row.c_mktsegment, "none", row["count"], 2 * row["count"], 1)
+    return history.usage_totals()

@@ -117,6 +117,25 @@ VIEWS = {
           CASE WHEN c_custkey % 14 = 0 THEN NULL ELSE n_name END AS nation_name,
           {", ".join(f"{_text(f'c_custkey % {i}')} AS extra_{i}" for i in range(2, 60))}
         FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    "dated_orders": f"""
+        SELECT row_key, y, m, d, CASE row_key % 17
+            WHEN 0 THEN concat(ys, '-', ms, '-', ds) WHEN 1 THEN concat(ds, '/', ms, '/', ys) WHEN 2 THEN concat(ms, '/', ds, '/', ys)
+            WHEN 3 THEN concat(ds, '-', ms, '-', ys) WHEN 4 THEN concat(ys, '/', ms, '/', ds) WHEN 5 THEN concat(ds, '.', ms, '.', ys)
+            WHEN 6 THEN concat(ds, ' ', substr(mn, 1, 3), ' ', ys) WHEN 7 THEN concat(substr(mn, 1, 3), ' ', ds, ', ', ys)
+            WHEN 8 THEN concat(ds, ' ', mn, ' ', ys) WHEN 9 THEN concat(mn, ' ', ds, ', ', ys) WHEN 10 THEN concat(ys, ms, ds)
+            WHEN 11 THEN concat(ds, '/', ms, '/', substr(ys, 3)) WHEN 12 THEN concat(ms, '/', ds, '/', substr(ys, 3))
+            WHEN 13 THEN concat(ys, '-', ms, '-', ds, ' 10:20:30') WHEN 14 THEN concat(ys, '-', ms, '-', ds, 'T10:20:30')
+            WHEN 15 THEN concat(ds, '/', ms, '/', ys, ' 10:20') ELSE concat(ms, '/', ds, '/', ys, ' 10:20') END AS written
+        FROM (SELECT o_orderkey AS row_key, 2000 + o_orderkey % 25 AS y, 1 + o_orderkey % 12 AS m, 13 + o_orderkey % 15 AS d,
+            {_text("2000 + o_orderkey % 25")} AS ys, {_padded("1 + o_orderkey % 12", 2)} AS ms, {_text("13 + o_orderkey % 15")} AS ds,
+            CASE 1 + o_orderkey % 12 WHEN 1 THEN 'January' WHEN 2 THEN 'February' WHEN 3 THEN 'March' WHEN 4 THEN 'April'
+              WHEN 5 THEN 'May' WHEN 6 THEN 'June' WHEN 7 THEN 'July' WHEN 8 THEN 'August' WHEN 9 THEN 'September'
+              WHEN 10 THEN 'October' WHEN 11 THEN 'November' ELSE 'December' END AS mn
+          FROM orders)""",
+    "european_prices": f"""
+        SELECT p_partkey AS row_key, concat({_text("1 + p_partkey % 9")}, '.', {_padded("(p_partkey * 31) % 1000", 3)}, ',',
+          {_padded("p_partkey % 100", 2)}, CASE WHEN p_partkey % 4 = 0 THEN ' €' ELSE '' END) AS price
+        FROM part""",
     "gappy_nation": f"""
         SELECT c_custkey AS row_key, c_mktsegment AS segment,
           CASE WHEN c_custkey % 70 = 0 THEN NULL ELSE {_text("c_nationkey")} END AS nation_key,

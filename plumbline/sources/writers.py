@@ -21,7 +21,10 @@ def for_export(data: Dataset, sanitise: bool = True) -> DataFrame:
 
 def write_csv(data: Dataset, path: str, sanitise: bool = True, mode: str = "errorifexists") -> None:
     """A folder of UTF-8 CSV files with headers."""
-    for_export(data, sanitise).write.mode(mode).csv(path, header=True, quote='"', escape='"', emptyValue="", encoding="UTF-8")
+    for_export(data, sanitise).write.mode(mode).csv(
+        path, header=True, quote='"', escape='"', emptyValue="", encoding="UTF-8",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
 
 
 def write_parquet(data: Dataset, path: str, sanitise: bool = False, mode: str = "errorifexists") -> None:
