@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from plumbline.catalogue.queries import AS_OF
 from plumbline.catalogue.views import with_views
+from plumbline.functions.naming import SENSITIVE_FRAGMENTS
 from plumbline.functions.text import FILLER_WORDS, LEGAL_FORMS
 
 CUSTOMER = ("customer_id", "full_name", "email", "segment", "age", "revenue", "signup_date", "city", "currency")
@@ -134,11 +135,30 @@ ORACLES["sample_values"] = (
     )
     + ")) WHERE rank < 5"
 )
-_TYPES = {
-    "customer_id": "identifier", "full_name": "identifier", "email": "email", "segment": "categorical", "age": "integer",
-    "revenue": "float", "signup_date": "date", "city": "categorical", "currency": "categorical",
-}
-ORACLES["infer_types"] = _union(f"SELECT '{c}' AS \"column\", '{t}' AS semantic_type" for c, t in _TYPES.items())
+_TOKENS = "('true','yes','y','1','t','si','sì','oui','vrai','false','no','n','0','f','non','faux')"
+
+
+def _inferred(c: str, temporal: bool = False, identifier: bool = False) -> str:
+    """The semantic type of a text column, from the shares of its given values."""
+    number = f"try_cast(replace(replace(trim({c}), '$', ''), ',', '') AS DOUBLE)"
+    shares = (
+        f"SELECT CAST(count({c}) AS DOUBLE) AS given, count(*) FILTER (WHERE {_EMAIL.replace('email', c)}) AS emails, "
+        f"count(*) FILTER (WHERE contains({c}, '@')) AS ats, count(*) FILTER (WHERE lower(trim({c})) IN {_TOKENS}) AS tokens, "
+        f"count({_day(c)}) AS dates, count({number}) AS numbers, bool_and({number} = floor({number})) AS whole, max(length(trim({c}))) AS longest, "
+        f"count(DISTINCT CASE WHEN NOT {_gap(c)} THEN trim({c}) END) + CAST(count(*) FILTER (WHERE trim({c}) = '') > 0 AS INTEGER) AS forms "
+        "FROM dirty_customer"
+    )
+    return (
+        f"SELECT '{c}' AS \"column\", CASE WHEN given = 0 THEN 'empty' WHEN emails / given >= 0.6 OR (ats / given >= 0.8 AND emails / given >= 0.3) THEN 'email' "
+        f"WHEN tokens / given >= 0.9 THEN 'boolean' WHEN dates / given >= {0.4 if temporal else 0.7} THEN 'date' "
+        "WHEN numbers / given >= 0.7 THEN CASE WHEN whole THEN 'integer' ELSE 'float' END "
+        "WHEN forms / given > 0.95 AND longest <= 40 AND numbers / given < 0.5 AND dates / given < 0.5 "
+        f"AND ({str(identifier).lower()} OR (forms = given AND given >= 20)) THEN 'identifier' "
+        f"WHEN longest <= 60 AND (forms <= 50 OR forms / given <= 0.25) THEN 'categorical' ELSE 'text' END AS semantic_type FROM ({shares})"
+    )
+
+
+ORACLES["infer_types"] = _union(_inferred(c, c == "signup_date", c == "customer_id") for c in CUSTOMER)
 ORACLES["infer_types_native"] = (
     "SELECT 'o_custkey' AS \"column\", 'integer' AS semantic_type, CAST(1 AS DOUBLE) AS confidence "
     "UNION ALL SELECT 'o_orderkey', 'integer', 1 "
@@ -637,6 +657,13 @@ ORACLES["ground_mappings"] = (
     f"SELECT 'segment', t, upper(t), t <> upper(t) AND NOT starts_with(t, 'b') AND upper(t) IN {_LEVELS} AND NOT (lower(t) = t AND upper(t) IN {_LEVELS}) "
     f"FROM {_LEVELS} UNION ALL SELECT 'nowhere', t, 'X', false FROM {_LEVELS}"
 )
+_SOUND = (
+    f"(SELECT source FROM ({ORACLES['ground_mappings']}) WHERE accepted)"
+)
+ORACLES["advisory_findings"] = (
+    "SELECT 'advised_category_mapping' AS check_id, 'segment' AS \"column\", 'info' AS severity, 'advisory' AS source, "
+    f"count(*) AS affected_rows FROM dirty_customer WHERE trim(segment) IN {_SOUND}"
+)
 ORACLES["table_preview"] = f"SELECT {', '.join(CUSTOMER)} FROM dirty_customer ORDER BY row_key LIMIT 50"
 
 ORACLES["level_counts"] = (
@@ -650,14 +677,15 @@ ORACLES["ground_descriptions"] = (
     "WHERE EXISTS (SELECT 1 FROM dirty_customer)"
 )
 ORACLES["ground_rules"] = _union(
-    [f"SELECT '{c}_range' AS name, {'true' if c in ('age', 'revenue') else 'false'} AS accepted" for c in CUSTOMER]
+    [f"SELECT concat(\"column\", '_range') AS name, semantic_type IN ('integer', 'float') AS accepted FROM ({ORACLES['infer_types']})"]
     + [
         f"SELECT '{c}_words', count(*) FILTER (WHERE lower(trim({c})) IN ('eur', 'rome')) > 0 FROM dirty_customer"
         for c in CUSTOMER
     ]
 )
-ORACLES["masked_columns"] = _union(
-    f"SELECT '{c}' AS \"column\", {'true' if c in ('customer_id', 'full_name', 'email', 'city') else 'false'} AS masked" for c in CUSTOMER
+ORACLES["masked_columns"] = (
+    f"SELECT \"column\", semantic_type IN ('email', 'identifier') OR regexp_matches(\"column\", '{'|'.join(SENSITIVE_FRAGMENTS)}') AS masked "
+    f"FROM ({ORACLES['infer_types']})"
 )
 ORACLES["redacted_details"] = (
     "SELECT 'invalid_email' AS check_id, 'email' AS \"column\", concat('{\"examples_count\":\"', CAST(least(5, count(DISTINCT email)) AS STRING), '\"}') AS details "

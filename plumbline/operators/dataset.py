@@ -142,12 +142,15 @@ _COLLECTING: ContextVar[Intermediates | None] = ContextVar("collecting", default
 @contextmanager
 def collecting() -> Iterator[Intermediates]:
     """Gather the intermediate tables of a plan, so that its result can release them."""
-    owner = Intermediates()
+    owner, outer = Intermediates(), _COLLECTING.get()
     token = _COLLECTING.set(owner)
     try:
         yield owner
     finally:
         _COLLECTING.reset(token)
+        if outer is not None:
+            outer.kept += owner.kept
+            outer.paths += owner.paths
 
 
 def materialise(df: DataFrame) -> DataFrame:

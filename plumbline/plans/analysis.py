@@ -14,7 +14,7 @@ from plumbline.functions import text as tx
 from plumbline.functions.severity import percent, ratio_severity
 from plumbline.operators import checks, profile
 from plumbline.operators.checks import Context, run_checks
-from plumbline.operators.dataset import Dataset, col, materialise, pinned
+from plumbline.operators.dataset import Dataset, Intermediates, col, collecting, materialise, pinned
 from plumbline.operators.evidence import attach_rows
 from plumbline.operators.findings import FINDING_COLUMNS, as_findings, details, finding, phrase
 from plumbline.operators.frequency import folded_counts, trimmed_counts, value_counts
@@ -47,6 +47,11 @@ class Analysis:
     rules: RuleSet | None = None
     analysis_id: str = field(default_factory=lambda: uuid.uuid4().hex)
     created_at: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
+    intermediates: Intermediates = field(default_factory=Intermediates)
+
+    def release(self) -> None:
+        """Give back the space of the tables computed on the way; findings, profiles and scores stay."""
+        self.intermediates.release()
 
     @property
     def data(self) -> Dataset:
@@ -110,14 +115,15 @@ def analyze(
     ``as_of`` is the day that future dates are judged against. ``row_ids`` adds the first
     rows behind each finding, at the price of another pass over the table.
     """
-    review = measure(data, as_of)
-    context = Context(data, review.facts, review.row_count, review.as_of, rules, row_ids, data.notes)
-    found, _ = pinned(run_checks(context, only))
-    if row_ids:
-        found, _ = pinned(attach_rows(review, found))
-    scores, _ = pinned(column_scores(found, review.profiles))
-    total, _ = pinned(quality_score(found, scores))
-    return Analysis(review, found, scores, total, rules)
+    with collecting() as intermediates:
+        review = measure(data, as_of)
+        context = Context(data, review.facts, review.row_count, review.as_of, rules, row_ids, data.notes)
+        found, _ = pinned(run_checks(context, only))
+        if row_ids:
+            found, _ = pinned(attach_rows(review, found))
+        scores, _ = pinned(column_scores(found, review.profiles))
+        total, _ = pinned(quality_score(found, scores))
+    return Analysis(review, found, scores, total, rules, intermediates=intermediates)
 
 
 def structural_findings(data: Dataset, rules: RuleSet | None = None, as_of: date | None = None) -> DataFrame:
