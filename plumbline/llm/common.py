@@ -10,6 +10,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 #: Python objects made from one slice of a batch stay near this many bytes of text.
@@ -101,3 +102,22 @@ def with_row_key(docs: DataFrame) -> DataFrame:
         return docs.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
     except AnalysisException:
         return written(docs.select("*", F.lit(0).cast("long").alias("__file"), F.monotonically_increasing_id().alias("__at")))
+
+
+#: Bytes of a table that may be broadcast; they are counted before.
+BROADCAST_BYTES = 32 << 20
+
+
+def beside(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if its bytes are few, so that the texts it joins need not move.
+
+    The bytes are counted first. A larger table comes back unmarked and joins by shuffle. ``df``
+    should be a written table, since counting reads it.
+    """
+    width: Column = F.lit(16 * len(df.columns))
+    for field in df.schema.fields:
+        if isinstance(field.dataType, T.ArrayType):
+            width = width + 8 * F.coalesce(F.size(F.col(field.name)), F.lit(0))
+        elif isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(F.col(field.name)), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES else df

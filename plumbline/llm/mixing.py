@@ -13,12 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ROW_KEY, with_row_key, written
+from plumbline.llm.common import ROW_KEY, beside, with_row_key, written
 
 #: Rows in a block, and slots in a period of the schedule.
 BLOCK, SLOTS = 16, 1000
-#: Rows of a source are numbered in buckets of about this many.
-NUMBERED = 20_000
+#: Rows are numbered in buckets of at most about this many, and in more buckets than there are tasks.
+NUMBERED, BUCKETS_PER_TASK = 20_000, 4
 #: Target weights grow with this power of a source's number of rows.
 SMOOTHING = 0.5
 #: Columns that say where a row stands in the mix.
@@ -101,7 +101,8 @@ def _numbered(rows: DataFrame) -> DataFrame:
     A source is numbered in buckets of bounded size whose first numbers are sums of the sizes
     before, so no task holds a large source.
     """
-    buckets = max(1, -(-rows.count() // NUMBERED))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(BUCKETS_PER_TASK * tasks, -(-rows.count() // NUMBERED))
     mixed = F.xxhash64("doc_id", *ROW_KEY)
     dealt = rows.withColumn("__bucket", F.pmod(mixed, F.lit(buckets)))
     held = dealt.groupBy("source", "__bucket").agg(F.count("*").alias("n"))
@@ -121,23 +122,23 @@ def smoothed_weights(docs: DataFrame, power: float = SMOOTHING) -> DataFrame:
     return docs.groupBy("source").agg(F.pow(F.count("*").cast("double"), F.lit(power)).alias("weight"))
 
 
-def schedule(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, slots: int = SLOTS, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
-    """The place of every row in the mix: the ``keep`` columns and ``block``, ``slot``, ``released``, ``deadline``, ``in_mix``.
+def schedule(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
+    """``doc_id, source`` and the place of every row in the mix: ``block, slot, released, deadline, in_mix``.
 
     ``slot`` orders the mix: rows with the same slot form one block of one source. ``in_mix`` holds
     for the slots before the first one whose source has no full block left; until there, each
     source's number of blocks is less than one away from its share of the slots. Later rows keep
     their slots, so no row is lost, but the shares no longer hold. Without ``weights`` they are
     :func:`smoothed_weights`. A null source is a source of its own. Rows of sources without a
-    positive weight get null slots and are not in the mix. A column of ``docs`` that is named like
-    one of these gives way. An empty table gives an empty result.
+    positive weight get null slots and are not in the mix. An empty table gives an empty result.
     """
-    if weights is None:
-        weights = smoothed_weights(docs)
-    keep = tuple(name for name in keep if name not in PLACE)
-    names = dict.fromkeys(["doc_id", "source", *keep])
-    rows = with_row_key(docs).select(*names, *ROW_KEY)
-    plan = written(period(shares(weights, slots), slots))
+    return _places(with_row_key(docs), weights, block, slots).drop(*ROW_KEY)
+
+
+def _places(keyed: DataFrame, weights: DataFrame | None, block: int, slots: int) -> DataFrame:
+    """The place of every row of ``keyed``, which has its row key; texts stay where they are."""
+    rows = keyed.select("doc_id", "source", *ROW_KEY)
+    plan = written(period(shares(smoothed_weights(rows) if weights is None else weights, slots), slots))
     tasks = plan.select(F.col("source").alias("__source"), F.col("slots").alias("__share")).distinct()
     numbered = _numbered(rows).withColumn("block", F.floor(F.col("number") / block))
     placed = numbered.join(F.broadcast(tasks), F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
@@ -145,29 +146,36 @@ def schedule(docs: DataFrame, weights: DataFrame | None = None, block: int = BLO
     placed = placed.join(
         F.broadcast(slot_of), F.col("source").eqNullSafe(F.col("__source")) & (F.pmod("block", "__share") == F.col("__k")), "left"
     ).withColumn("slot", F.floor(F.col("block") / F.col("__share")) * slots + F.col("__slot"))
-    return _until_first_gap(placed, docs, plan, block, slots).select(
-        *names,
+    end = _first_gap(rows, plan, block, slots)
+    return placed.select(
+        "doc_id",
+        "source",
+        *ROW_KEY,
         "block",
         "slot",
         F.floor(F.col("block") * slots / F.col("__share")).alias("released"),
         F.ceil((F.col("block") + 1) * slots / F.col("__share")).alias("deadline"),
-        F.coalesce(F.col("slot") < F.col("__end"), F.lit(False)).alias("in_mix"),
-    ).select(*keep, *PLACE)
+        F.coalesce(F.col("slot") < F.lit(end), F.lit(False)).alias("in_mix"),
+    )
 
 
-def _until_first_gap(placed: DataFrame, docs: DataFrame, plan: DataFrame, block: int, slots: int) -> DataFrame:
-    """``placed`` with ``__end``, the first slot whose source has no full block for it."""
-    full = docs.groupBy("source").agg(F.floor(F.count("*") / block).alias("full")).withColumnRenamed("source", "__source")
+def _first_gap(rows: DataFrame, plan: DataFrame, block: int, slots: int) -> int | None:
+    """The first slot whose source has no full block for it."""
+    full = rows.groupBy("source").agg(F.floor(F.count("*") / block).alias("full")).withColumnRenamed("source", "__source")
     first = (
         plan.join(full, F.col("source").eqNullSafe(F.col("__source")), "left")
         .withColumn("full", F.coalesce("full", F.lit(0)))
         .filter(F.pmod("full", "slots") == F.col("k"))
-        .agg(F.min(F.floor(F.col("full") / F.col("slots")) * slots + F.col("slot")).alias("__end"))
+        .agg(F.min(F.floor(F.col("full") / F.col("slots")) * slots + F.col("slot")).alias("end"))
     )
-    end = first.first()["__end"]
-    return placed.withColumn("__end", F.lit(end).cast("long"))
+    return first.first()["end"]
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
-    """All columns of ``docs`` and the place of every row in the mix (see :func:`schedule`)."""
-    return schedule(docs, weights, block, slots, tuple(docs.columns))
+    """All columns of ``docs`` and the place of every row in the mix (see :func:`schedule`).
+
+    A column of ``docs`` that is named like one of these gives way.
+    """
+    keyed = with_row_key(docs.drop(*PLACE))
+    places = written(_places(keyed, weights, block, slots).drop("doc_id", "source"))
+    return keyed.join(beside(places), ROW_KEY).select(*keyed.drop(*ROW_KEY).columns, *PLACE)

@@ -55,6 +55,7 @@ def test_mix_stays_within_one_block(documents, weights):
 
 def test_numbers_of_a_source_have_no_gaps(monkeypatch, documents):
     monkeypatch.setattr(mixing, "NUMBERED", 50)
+    monkeypatch.setattr(mixing, "BUCKETS_PER_TASK", 0)
     docs = documents([(i // 2, f"t{i}", "hot" if i % 3 else f"s{i % 7}") for i in range(900)])
     out = mixing.schedule(docs, block=1).collect()
     blocks = defaultdict(list)
