@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ROW_KEY, as_bytes, column, slices, with_row_key, written
+from plumbline.llm.common import ROW_KEY, as_bytes, beside, column, slices, with_row_key, written
 from plumbline.llm.graph import components
 
 #: Edits that linked lines may lie apart.
@@ -426,7 +426,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     changed = written(kept_lines(rows).filter("n_kept < n_lines").select(*ROW_KEY, F.col("kept").alias("__kept")))
     lines = F.split("text", "\n")
     stays = F.filter(lines, lambda line, i: F.array_contains("__kept", i) | ~line.rlike(r"\S"))
-    joined = rows.join(changed, ROW_KEY, "left").filter("__kept is null or size(__kept) > 0")
+    joined = rows.join(beside(changed), ROW_KEY, "left").filter("__kept is null or size(__kept) > 0")
     text = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:

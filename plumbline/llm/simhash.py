@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ROW_KEY, arrow_map, as_bytes, column, with_row_key, written
+from plumbline.llm.common import ROW_KEY, arrow_map, as_bytes, beside, column, with_row_key, written
 from plumbline.llm.graph import components
 
 #: Words in a shingle, and the number of bits in which linked fingerprints may differ.
@@ -179,4 +179,4 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
     kept = grouped.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("members")).filter("members > 1")
     repeats = prints.join(grouped.join(kept, "root").select("fp", "kept"), "fp")
     gone = written(repeats.filter(" or ".join(f"{name} <> kept.{name}" for name in ROW_KEY)).select(*ROW_KEY))
-    return rows.join(gone, ROW_KEY, "left_anti").select(*docs.columns)
+    return rows.join(beside(gone), ROW_KEY, "left_anti").select(*docs.columns)

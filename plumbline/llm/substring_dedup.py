@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ROW_KEY, as_bytes, column, with_row_key, written
+from plumbline.llm.common import ROW_KEY, as_bytes, beside, column, with_row_key, written
 from plumbline.llm.tallies import answered, answers, blocks, expand, expand_sorted, squeeze, squeeze_sorted, told
 
 #: Bytes in a chunk on average, and at most.
@@ -214,4 +214,4 @@ def without_later_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> D
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else column(batch, n) for n in names], names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return rows.join(gone, ROW_KEY, "left").mapInArrow(run, schema)
+    return rows.join(beside(gone), ROW_KEY, "left").mapInArrow(run, schema)
