@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as tx
 from plumbline.functions.naming import hinted
 from plumbline.operators.findings import DETERMINISTIC, by_severity, by_source, worst_first
+from plumbline.operators.profile import dataset_profile
 from plumbline.operators.propose import decision_counts, with_status
-from plumbline.operators.score import worst_columns
+from plumbline.operators.score import FORMULA, worst_columns
 
 WHOLE_TABLE = "(whole table)"
 
@@ -99,7 +100,8 @@ def report_tables(analysis, proposals: DataFrame, decisions: DataFrame, cleaned=
     scores = analysis.column_scores.select("column", "score")
     found = worst_first(analysis.findings)
     tables = {
-        "score": analysis.score,
+        "score": analysis.score.withColumn("formula", F.lit(FORMULA)),
+        "dataset": dataset_profile(analysis.data, analysis.profiles),
         "severity_counts": by_severity(analysis.findings).filter("findings > 0"),
         "findings_by_source": by_source(analysis.findings),
         "columns": analysis.profiles.join(scores, "column").select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.severity import grade, severity_weight
+from plumbline.functions.severity import SEVERITY_WEIGHTS, grade, severity_weight
 from plumbline.operators.findings import DETERMINISTIC
 
 
@@ -13,6 +13,14 @@ def penalty() -> Column:
     return severity_weight(F.col("severity")) * F.col("affected_ratio") * 100
 
 
+#: How the score comes about, in words, for reports.
+FORMULA = (
+    f"Each finding costs its severity weight ({', '.join(f'{name} {weight:g}' for name, weight in SEVERITY_WEIGHTS.items())}) "
+    "times the share of rows it affects, in points of 100. A column's score is 100 less its costs, from 0 to 100. The table's score is the mean of its columns "
+    "less the costs of findings about the whole table. Advisory findings cost nothing."
+)
+
+
 def _clamp(score: Column) -> Column:
     return F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0))
 

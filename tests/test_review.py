@@ -317,6 +317,8 @@ def test_history(spark, tmp_path, table):
     assert {d["status"] for d in log["decisions"]} == {"approved", "pending"}
     tables = report.report_tables(analysis, offers.table, decisions, run)
     assert tables["decisions"].first().approved == 2 and tables["columns"].count() == 3
+    assert "critical 1" in tables["score"].first().formula
+    assert tables["dataset"].first().column_count == 3 and tables["dataset"].first().duplicate_rows is not None
 
 
 def test_redaction(spark):
