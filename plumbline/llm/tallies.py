@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import column, slices, written
+from plumbline.llm.common import column, shared_folder, slices, written
 
 #: Bytes of text in a block, and of keys and weights in a bucket.
 BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 12 << 20
@@ -53,7 +53,7 @@ def blocks(rows: DataFrame, build: Callable[[pa.RecordBatch], dict[str, bytes |
     """A table with one row a block: ``block`` and the ``fields`` that ``build`` makes of its rows.
 
     ``fields`` must hold ``n_keys``, the number of distinct keys. A block never spans two tasks. The
-    table lies in the warehouse, bucketed by block, so that answers come to the blocks and not the
+    table lies in the shared folder, bucketed by block, so that answers come to the blocks and not the
     other way round.
     """
     names = [part.split()[0] for part in fields.split(", ")]
@@ -84,7 +84,8 @@ def blocks(rows: DataFrame, build: Callable[[pa.RecordBatch], dict[str, bytes |
 
     spark = rows.sparkSession
     name = f"plumbline_blocks_{uuid.uuid4().hex}"
-    made = rows.mapInArrow(run, f"block bigint, {fields}").write.format("parquet")
+    path = f"{shared_folder(spark).rstrip('/')}/plumbline-llm/{name}"
+    made = rows.mapInArrow(run, f"block bigint, {fields}").write.format("parquet").option("path", path)
     made.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(name)
     return spark.table(name)
 
