@@ -358,7 +358,7 @@ _RULE_COUNTS = _union(
 )
 ORACLES["check_business_rules"] = (
     "SELECT concat('Business rule failed: ', rule) AS title, \"column\", severity, affected AS affected_rows, row_count FROM ("
-    + _RULE_COUNTS + ") WHERE affected > 0 UNION ALL SELECT '1 business rule(s) were not evaluated', NULL, 'info', 0, count(*) FROM dirty_customer"
+    + _RULE_COUNTS + ") WHERE affected > 0 UNION ALL SELECT 'Rules that do not fit this table: 1', NULL, 'info', 0, count(*) FROM dirty_customer"
 )
 ORACLES["rule_split"] = (
     "SELECT rule, 'evaluated' AS state, affected FROM (" + _RULE_COUNTS + ") UNION ALL SELECT 'absent_column', 'skipped', NULL"

@@ -208,8 +208,8 @@ def _placeholder_values() -> Verdict:
         F.col("filler_rows"),
         _titled("Placeholders in '%s'"),
         _counted(
-            "%,d cells of '%s' (%s) hold filler such as '%s' where a value was never collected, "
-            "so the column looks fuller than it is.",
+            "%,d cells of '%s' (%s) say something like '%s' in place of a value. They are gaps that "
+            "counts of missing cells do not see.",
             "filler_rows", shown,
         ),
         details(values=listed),
@@ -679,7 +679,7 @@ def probable_duplicates(context: Context) -> DataFrame:
         "probable_duplicate_rows", "probable_duplicate_rows", F.when(ratio > 0.02, "high").otherwise("medium"),
         F.lit(None), F.lit("Probable duplicate records"),
         phrase("%,d rows (%s) share the identity built from %s with another row that is no exact copy, in %,d groups. "
-               "Merging them needs a human decision.",
+               "Which of them are one record is for a person to say.",
                F.col("affected"), percent(ratio), F.array_join(listed, ", "), F.col("groups")),
         F.col("affected"), F.col("row_count"),
         details(key_columns=listed, duplicate_groups=F.col("groups"), **extra),

@@ -209,7 +209,7 @@ def _dates(evidence: Evidence, found: dict) -> dict:
 
 @builds("exact_duplicate_rows")
 def _duplicates(evidence: Evidence, found: dict) -> dict:
-    return _offer("drop_duplicate_rows", "Remove exact duplicate rows",
+    return _offer("drop_duplicate_rows", "Keep one row of each equal group",
                   "Keep the first of each group of equal rows and drop the rest.", destructive=True, keep="first")
 
 

@@ -462,7 +462,7 @@ def _skipped_finding(context: Context, skipped: list[Rule]) -> DataFrame:
     )
     struct = finding(
         "business_rule", "business_rule_violation", F.lit("info"), F.lit(None),
-        F.lit(f"{len(names)} business rule(s) were not evaluated"),
+        F.lit(f"Rules that do not fit this table: {len(names)}"),
         F.lit("The table lacks columns these rules need: " + ", ".join(names[:8]) + (", and others" if len(names) > 8 else "") + "."),
         F.lit(0), F.lit(context.row_count), details(skipped_rules=listed), fingerprint="__skipped__",
     )

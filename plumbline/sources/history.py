@@ -192,7 +192,7 @@ class History:
 
     def _require(self, analysis_id: str) -> None:
         if self.find_analysis(analysis_id).isEmpty():
-            raise LookupError(f"No stored analysis with id '{analysis_id}'.")
+            raise LookupError(f"The history knows no analysis '{analysis_id}'.")
 
     def find_by_hash(self, content_hash: str) -> DataFrame:
         """Earlier runs over the same content."""

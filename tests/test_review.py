@@ -62,7 +62,7 @@ def test_rule_findings(table):
     rows = {row.title: row for row in analysis.findings.collect()}
     assert rows["Business rule failed: need_a"].row_ids == [1, 2] and rows["Business rule failed: need_a"].severity == "critical"
     assert rows["Business rule failed: one_ab"]["column"] is None and rows["Business rule failed: one_ab"].row_ids == [2]
-    assert rows["1 business rule(s) were not evaluated"].affected_rows == 0
+    assert rows["Rules that do not fit this table: 1"].affected_rows == 0
     assert len(rows) == 3
 
 
