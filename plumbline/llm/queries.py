@@ -67,4 +67,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op4_decontamination": f"""
+        WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+        windows AS (
+            SELECT DISTINCT item, least(len(w), 10) AS n,
+              unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS win
+            FROM items WHERE len(w) > 0),
+        docs AS (SELECT doc_id, row_number() OVER () AS row_no, {_WORDS} AS w FROM documents),
+        sizes AS (SELECT DISTINCT n FROM windows),
+        spots AS (SELECT row_no, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM docs, sizes WHERE len(w) >= n),
+        found AS (SELECT row_no, s.n, i, item FROM spots s JOIN windows v ON v.n = s.n AND v.win = array_to_string(w[i:i + s.n - 1], ' ')),
+        hits AS (SELECT row_no, count(DISTINCT place) AS n_hit FROM (SELECT row_no, unnest(range(i, i + n)) AS place FROM found) GROUP BY row_no),
+        named AS (SELECT row_no, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT row_no, item FROM found) GROUP BY row_no)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+          sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN hits USING (row_no) LEFT JOIN named USING (row_no)""",
+}
