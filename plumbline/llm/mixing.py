@@ -1,21 +1,27 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
+"""Mixing sources to target weights by Pfair scheduling.
 
 Every source is a task whose k-th block (from 0) may be released at slot ``floor(k / w)`` and must
-run before slot ``ceil((k + 1) / w)``, w being the source's share of all slots. Of the released
-blocks, the one with the earliest deadline runs next. With shares that are whole numbers of
-``SLOTS`` the schedule repeats every ``SLOTS`` slots, so one period of it is worked out, and each
-block of the table finds its slot by arithmetic. No source is ever a whole block ahead of or
-behind its share.
+run before slot ``ceil((k + 1) / w)``, w being the source's target weight, exactly as given. Of the
+released blocks, the one with the earliest deadline runs next. Every block that exists gets its
+slot that way; weights are not rounded. No source is ever a whole block ahead of or behind its
+target weight. Rows are counted, numbered and joined by DataFrame operations; the order of the
+blocks is serial and worked out on the driver, from one row a source.
 """
 
 from __future__ import annotations
 
+import heapq
+from array import array
+from fractions import Fraction
+from math import lcm
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import ROW_KEY, beside, with_row_key, written
 
-#: Rows in a block, and slots in a period of the schedule.
+#: Rows in a block, and slots in a period of :func:`period`, which takes whole shares.
 BLOCK, SLOTS = 16, 1000
 #: Rows are numbered in buckets of at most about this many, and in more buckets than there are tasks.
 NUMBERED, BUCKETS_PER_TASK = 20_000, 4
@@ -23,6 +29,8 @@ NUMBERED, BUCKETS_PER_TASK = 20_000, 4
 SMOOTHING = 0.5
 #: Columns that say where a row stands in the mix.
 PLACE = ("block", "slot", "released", "deadline", "in_mix")
+#: The largest slot a column can hold.
+_LAST = 2**63 - 1
 
 
 def _let(value: Column, use) -> Column:
@@ -122,60 +130,93 @@ def smoothed_weights(docs: DataFrame, power: float = SMOOTHING) -> DataFrame:
     return docs.groupBy("source").agg(F.pow(F.count("*").cast("double"), F.lit(power)).alias("weight"))
 
 
+def earliest_deadlines(weights: list[float], held: list[int], full: list[int]) -> tuple[dict[str, array], int | None]:
+    """``task, block, slot, released, deadline`` of every block, and the first slot whose task has no full block.
+
+    Task i has ``held[i]`` blocks, ``full[i]`` of them full. Weights are read as the decimal numbers
+    they are written as, and all windows are whole-number arithmetic. One heap step for each block.
+    """
+    exact = [Fraction(repr(float(w))) for w in weights]
+    scale = lcm(*(w.denominator for w in exact))
+    parts = [int(w * scale) for w in exact]
+    total = sum(parts)
+    out = {name: array("q") for name in ("task", "block", "slot", "released", "deadline")}
+    done = [0] * len(parts)
+    waiting = [(0, i) for i in range(len(parts))]
+    ready, slot, end = [], 0, None
+    while waiting or ready:
+        while waiting and waiting[0][0] <= slot:
+            released, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(done[i] + 1) * total // parts[i]), i, released))
+        if not ready:
+            slot = waiting[0][0]
+            continue
+        deadline, i, released = heapq.heappop(ready)
+        if end is None and done[i] >= full[i]:
+            end = slot
+        if done[i] >= held[i]:
+            continue
+        for name, value in (("task", i), ("block", done[i]), ("slot", slot), ("released", released), ("deadline", deadline)):
+            out[name].append(min(value, _LAST))
+        done[i] += 1
+        heapq.heappush(waiting, (done[i] * total // parts[i], i))
+        slot += 1
+    return out, end
+
+
 def schedule(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
     """``doc_id, source`` and the place of every row in the mix: ``block, slot, released, deadline, in_mix``.
 
     ``slot`` orders the mix: rows with the same slot form one block of one source. ``in_mix`` holds
     for the slots before the first one whose source has no full block left; until there, each
-    source's number of blocks is less than one away from its share of the slots. Later rows keep
-    their slots, so no row is lost, but the shares no longer hold. Without ``weights`` they are
-    :func:`smoothed_weights`. A null source is a source of its own. Rows of sources without a
-    positive weight get null slots and are not in the mix. An empty table gives an empty result.
+    source's number of blocks is less than one away from its target weight times the slots. Later
+    blocks follow within their own windows, so no row is lost, but slots may stay empty and the
+    shares no longer hold. Without ``weights`` they are :func:`smoothed_weights`. A null source is a
+    source of its own. Rows of sources without a positive weight get null slots and are not in the
+    mix. An empty table gives an empty result. ``slots`` has no effect on the schedule, which has no
+    period; it stays for callers that name it.
     """
-    return _places(with_row_key(docs), weights, block, slots).drop(*ROW_KEY)
+    return _places(with_row_key(docs), weights, block).drop(*ROW_KEY)
 
 
-def _places(keyed: DataFrame, weights: DataFrame | None, block: int, slots: int) -> DataFrame:
+def _plan(rows: DataFrame, weights: DataFrame | None, block: int) -> tuple[DataFrame, DataFrame, int | None]:
+    """``source, task`` of the weighted sources, ``task, block`` and the place of every block, and the first gap."""
+    spark = rows.sparkSession
+    weights = smoothed_weights(rows) if weights is None else weights
+    valid = weights.filter("weight > 0 AND NOT isnan(weight)").groupBy("source").agg(F.sum("weight").cast("double").alias("weight"))
+    counts = rows.groupBy(F.col("source").alias("__source")).agg(F.count("*").alias("n"))
+    found = valid.join(counts, F.col("source").eqNullSafe(F.col("__source")), "left").select("source", "weight", F.coalesce("n", F.lit(0)).alias("n")).collect()
+    found.sort(key=lambda r: (r.source is not None, r.source or ""))
+    places, end = earliest_deadlines([r.weight for r in found], [-(-r.n // block) for r in found], [r.n // block for r in found])
+    tasks = pa.table({"__source": pa.array([r.source for r in found], pa.string()), "__task": pa.array(range(len(found)), pa.int64())})
+    plan = pa.table({"__task" if k == "task" else "__block" if k == "block" else k: pa.array(memoryview(v), pa.int64()) if len(v) else pa.array([], pa.int64()) for k, v in places.items()})
+    return written(spark.createDataFrame(tasks)), written(spark.createDataFrame(plan)), end
+
+
+def _places(keyed: DataFrame, weights: DataFrame | None, block: int) -> DataFrame:
     """The place of every row of ``keyed``, which has its row key; texts stay where they are."""
     rows = keyed.select("doc_id", "source", *ROW_KEY)
-    plan = written(period(shares(smoothed_weights(rows) if weights is None else weights, slots), slots))
-    tasks = plan.select(F.col("source").alias("__source"), F.col("slots").alias("__share")).distinct()
+    tasks, plan, end = _plan(rows, weights, block)
     numbered = _numbered(rows).withColumn("block", F.floor(F.col("number") / block))
-    placed = numbered.join(F.broadcast(tasks), F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-    slot_of = plan.select(F.col("source").alias("__source"), F.col("k").alias("__k"), F.col("slot").alias("__slot"))
-    placed = placed.join(
-        F.broadcast(slot_of), F.col("source").eqNullSafe(F.col("__source")) & (F.pmod("block", "__share") == F.col("__k")), "left"
-    ).withColumn("slot", F.floor(F.col("block") / F.col("__share")) * slots + F.col("__slot"))
-    end = _first_gap(rows, plan, block, slots)
+    named = numbered.join(beside(tasks), F.col("source").eqNullSafe(F.col("__source")), "left")
+    placed = named.join(beside(plan), (named["__task"] == plan["__task"]) & (F.col("block") == F.col("__block")), "left")
     return placed.select(
         "doc_id",
         "source",
         *ROW_KEY,
         "block",
         "slot",
-        F.floor(F.col("block") * slots / F.col("__share")).alias("released"),
-        F.ceil((F.col("block") + 1) * slots / F.col("__share")).alias("deadline"),
+        "released",
+        "deadline",
         F.coalesce(F.col("slot") < F.lit(end), F.lit(False)).alias("in_mix"),
     )
 
 
-def _first_gap(rows: DataFrame, plan: DataFrame, block: int, slots: int) -> int | None:
-    """The first slot whose source has no full block for it."""
-    full = rows.groupBy("source").agg(F.floor(F.count("*") / block).alias("full")).withColumnRenamed("source", "__source")
-    first = (
-        plan.join(full, F.col("source").eqNullSafe(F.col("__source")), "left")
-        .withColumn("full", F.coalesce("full", F.lit(0)))
-        .filter(F.pmod("full", "slots") == F.col("k"))
-        .agg(F.min(F.floor(F.col("full") / F.col("slots")) * slots + F.col("slot")).alias("end"))
-    )
-    return first.first()["end"]
-
-
 def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
     """All columns of ``docs`` and the place of every row in the mix (see :func:`schedule`).
 
     A column of ``docs`` that is named like one of these gives way.
     """
     keyed = with_row_key(docs.drop(*PLACE))
-    places = written(_places(keyed, weights, block, slots).drop("doc_id", "source"))
+    places = written(_places(keyed, weights, block).drop("doc_id", "source"))
     return keyed.join(beside(places), ROW_KEY).select(*keyed.drop(*ROW_KEY).columns, *PLACE)

@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 from math import ceil, floor
 
+import numpy as np
 import pytest
 
 from plumbline.llm import mixing
@@ -78,3 +79,24 @@ def test_sources_without_weight_are_left_out_of_the_mix(documents, weights):
 
 def test_empty_table(documents):
     assert mixing.schedule(documents([])).collect() == []
+
+
+@pytest.mark.parametrize("target", [{"a": 0.9, "b": 0.1}, {"hot": 300.0, **{f"s{i}": 1.0 for i in range(600)}}, {f"s{i}": i % 17 + 0.3 for i in range(1300)}], ids=["unequal", "hot", "many"])
+def test_weights_are_kept_as_given(target):
+    total, n = sum(target.values()), 12_000
+    held = [ceil(n * w / total) + 1 for w in target.values()]
+    places, end = mixing.earliest_deadlines(list(target.values()), held, held)
+    assert end >= n and list(places["slot"][:n]) == list(range(n))
+    tasks, seen = np.array(places["task"][:n]), np.arange(1, n + 1)
+    for i, w in enumerate(target.values()):
+        assert np.abs(np.cumsum(tasks == i) - seen * (w / total)).max() < 1 + 1e-9
+
+
+def test_more_sources_than_slots_of_a_period(documents, weights):
+    docs = documents([(i, "x", f"s{i % 1200}") for i in range(3600)] + [(9000 + i, "y", "hot") for i in range(1800)])
+    target = [(f"s{i}", 1.0) for i in range(1200)] + [("hot", 600.0)]
+    out = mixing.schedule(docs, weights(target), block=1).collect()
+    assert all(r.released <= r.slot < r.deadline for r in out)
+    assert len({r.slot for r in out}) == len(out) == 5400
+    mixed = [r for r in out if r.in_mix]
+    assert len(mixed) > 3600 and abs(sum(r.source == "hot" for r in mixed) - len(mixed) / 3) < 1
