@@ -82,7 +82,6 @@ def _block(batch: pa.RecordBatch) -> dict[str, bytes | int]:
     view = memoryview(whole)
     digests = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], np.uint64)
     keys, place = np.unique(digests, return_inverse=True)
-    own = np.unique(place.astype(np.int64) << 32 | doc) >> 32
     blank = _SPACE[np.frombuffer(whole, np.uint8)] | (np.frombuffer(whole, np.uint8) == 0)
     starts = np.cumsum(~blank[1:] & blank[:-1])
     words = np.diff(np.concatenate([[0], starts]))
@@ -93,7 +92,7 @@ def _block(batch: pa.RecordBatch) -> dict[str, bytes | int]:
         "n_docs": len(texts),
         "n_keys": len(keys),
         "keys": squeeze_sorted(keys),
-        "weights": squeeze(np.bincount(own, minlength=len(keys)).astype(np.uint32)),
+        "weights": squeeze(np.bincount(place, minlength=len(keys)).astype(np.uint32)),
         "ids": squeeze(np.array([i or 0 for i in ids], np.int64)),
         "missing": squeeze(np.array([i is None for i in ids], np.uint8)),
         **{name.strip("_"): squeeze(column(batch, name).to_numpy()) for name in ROW_KEY},
@@ -106,7 +105,7 @@ def _block(batch: pa.RecordBatch) -> dict[str, bytes | int]:
 
 _FIELDS = "n_docs bigint, n_keys bigint, keys binary, weights binary, ids binary, missing binary, file binary, at binary, chunks binary, places binary, sizes binary, words binary"
 
-#: What is known of a chunk: it occurs in one document; in several, here first; or in several, elsewhere before.
+#: What is known of a chunk: it stands at one place; at several, here first; or at several, elsewhere before.
 _ONCE, _FIRST, _AGAIN = 0, 1, 2
 
 
@@ -118,20 +117,20 @@ def _known(keys: np.ndarray, weights: np.ndarray, ends: np.ndarray) -> tuple[np.
     return found, {}
 
 
+def _first_places(place: np.ndarray) -> np.ndarray:
+    """Whether no earlier entry has the same number."""
+    first = np.zeros(len(place), bool)
+    first[np.unique(place, return_index=True)[1]] = True
+    return first
+
+
 def _passages(row: dict, least_words: int) -> list[tuple]:
     """Per document of a block: chunks, repeated chunks, words, words in passages, the longest, spans, later spans."""
     known, place = told(row["answers"], np.uint8), expand(row["places"], np.int32)
     chunks, sizes, words = (expand(row[name], np.int32) for name in ("chunks", "sizes", "words"))
-    doc = np.repeat(np.arange(len(chunks)), chunks)
     state = known[place].copy()
-    # Of a chunk seen here first, only the first document keeps that state.
-    order = np.lexsort((doc, place))
-    opens = np.ones(len(order), bool)
-    opens[1:] = place[order][1:] != place[order][:-1]
-    owner = doc[order][np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))]
-    own = np.empty(len(order), np.int64)
-    own[order] = owner
-    state[(state == _FIRST) & (own != doc)] = _AGAIN
+    # Of a chunk seen here first, only the first place keeps that state.
+    state[(state == _FIRST) & ~_first_places(place)] = _AGAIN
     telling = sizes >= TELLING
     out = []
     bounds = np.cumsum(chunks)
@@ -158,10 +157,10 @@ def _runs(wanted: np.ndarray, telling: np.ndarray, offsets: np.ndarray, count: n
 def passages(docs: DataFrame, least_words: int = LEAST_WORDS, keyed: bool = False) -> DataFrame:
     """Repeated passages of every row of ``docs``.
 
-    Returns ``doc_id``, the row's key, ``n_chunks``, ``n_repeated_chunks`` (found in another row as
-    well), ``n_words``, ``repeated_words`` (words in passages), ``longest_words``, ``repeated`` (there
+    Returns ``doc_id``, the row's key, ``n_chunks``, ``n_repeated_chunks`` (found at another place,
+    of this row or another, as well), ``n_words``, ``repeated_words`` (words in passages), ``longest_words``, ``repeated`` (there
     is a passage), ``spans`` (``begin:end`` of every passage in bytes of UTF-8, joined by commas) and
-    ``later_spans`` (of the passages all of whose telling chunks occur in an earlier row). Null and
+    ``later_spans`` (of the passages all of whose telling chunks stand at an earlier place, of an earlier row or of this one). Null and
     empty texts have no chunks. Repeated rows are copies of each other. ``keyed`` says that ``docs``
     has its row key already.
     """
@@ -195,7 +194,7 @@ def passages(docs: DataFrame, least_words: int = LEAST_WORDS, keyed: bool = Fals
 
 
 def without_later_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` whose texts have lost every passage that an earlier row holds; the first copy stays."""
+    """``docs`` whose texts have lost every passage that stands at an earlier place, in the same row too; the first copy stays."""
     rows = with_row_key(docs)
     gone = written(passages(rows, least_words, keyed=True).filter("later_spans <> ''").select(*ROW_KEY, F.col("later_spans").alias("__later")))
     names = docs.columns

@@ -94,3 +94,15 @@ def test_odd_rows(odd_documents):
 
 def test_empty_table(documents):
     assert sd.passages(documents([])).collect() == []
+
+
+def test_a_passage_repeated_within_one_document(documents):
+    rng = random.Random(9)
+    passage = text_of(rng, 500)
+    text = " ".join(f"{passage} {text_of(rng, 30)}" for _ in range(8))
+    docs = documents([(1, text), (2, text_of(rng, 500))]).coalesce(1)
+    found = {r.doc_id: r for r in sd.passages(docs).collect()}
+    assert found[1].repeated and found[1].repeated_words > 8 * 480 and len(found[1].later_spans.split(",")) >= 7
+    assert not found[2].repeated
+    kept = {r.doc_id: r.text for r in sd.without_later_passages(docs).collect()}
+    assert kept[1].startswith(passage) and kept[1].count(passage) == 1 and len(kept[1].split()) < 500 + 8 * 50
