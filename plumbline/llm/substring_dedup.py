@@ -2,9 +2,10 @@
 
 A gear hash rolls over the bytes of a text; its upper bits depend on the last sixteen bytes only.
 Where they fall below a bound, a chunk ends, so a passage is cut alike wherever it stands, and an
-insertion moves no boundary beyond the chunks it touches. Chunks are compared by digest over the
-whole corpus. A passage is a run of repeated chunks; short chunks, which recur by chance, neither
-start nor end one.
+insertion moves no boundary beyond the chunks it touches. At every chunk begins a window, which ends
+with the first chunk that makes it hold enough words. Chunks and windows are compared by digest over
+the whole corpus, windows by all their bytes. A passage is a union of overlapping windows, each of
+which stands as a whole at another place; chunks that recur by chance, one by one, make none.
 """
 
 from __future__ import annotations
@@ -22,9 +23,7 @@ from plumbline.llm.tallies import answered, answers, blocks, expand, expand_sort
 
 #: Bytes in a chunk on average, and at most.
 MEAN, LONGEST = 20, 1024
-#: Chunks of fewer bytes say nothing about repetition by themselves.
-TELLING = 12
-#: A run of repeated chunks is a passage if it holds this many words.
+#: A window, the least passage, holds this many words.
 LEAST_WORDS = 20
 
 #: The gear table: one number for each byte, made from digests.
@@ -76,23 +75,36 @@ def _shorter(data: np.ndarray, doc: np.ndarray, begins: np.ndarray, ends: np.nda
     return np.repeat(doc, parts), cuts, until
 
 
-def _block(batch: pa.RecordBatch) -> dict[str, bytes | int]:
+def _block(batch: pa.RecordBatch, least_words: int = LEAST_WORDS) -> dict[str, bytes | int]:
     texts = as_bytes(batch)
     doc, begins, ends, whole = _cut(texts)
     view = memoryview(whole)
     digests = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], np.uint64)
-    keys, place = np.unique(digests, return_inverse=True)
     blank = _SPACE[np.frombuffer(whole, np.uint8)] | (np.frombuffer(whole, np.uint8) == 0)
     starts = np.cumsum(~blank[1:] & blank[:-1])
     words = np.diff(np.concatenate([[0], starts]))
     word_count = np.concatenate([[0], np.cumsum(words)])
     spans = word_count[ends - 1] - word_count[np.maximum(begins - 1, 0)]
+    # A window counts words by its own bytes only, so it ends alike wherever it stands.
+    wanted = word_count[begins] - ~blank[begins] + max(1, least_words)
+    until = np.searchsorted(word_count[ends - 1], wanted)
+    opens = np.flatnonzero(until < len(ends))
+    opens = opens[doc[until[opens]] == doc[opens]]
+    until = until[opens]
+    windows = np.array([xxhash.xxh3_64_intdigest(view[a:b], 1) for a, b in zip(begins[opens].tolist(), ends[until].tolist(), strict=True)], np.uint64)
+    keys, place = np.unique(np.concatenate([digests, windows]), return_inverse=True)
+    # Of a key: twice the documents that hold it, and one more where it stands twice in one of them.
+    own = np.unique(place.astype(np.int64) << 32 | np.concatenate([doc, doc[opens]])) >> 32
+    held = np.bincount(own, minlength=len(keys))
+    weights = held * 2 + (np.bincount(place, minlength=len(keys)) > held)
+    lengths = np.zeros(len(ends), np.int32)
+    lengths[opens] = until - opens + 1
     ids = column(batch, "doc_id").to_pylist()
     return {
         "n_docs": len(texts),
         "n_keys": len(keys),
         "keys": squeeze_sorted(keys),
-        "weights": squeeze(np.bincount(place, minlength=len(keys)).astype(np.uint32)),
+        "weights": squeeze(weights.astype(np.uint32)),
         "ids": squeeze(np.array([i or 0 for i in ids], np.int64)),
         "missing": squeeze(np.array([i is None for i in ids], np.uint8)),
         **{name.strip("_"): squeeze(column(batch, name).to_numpy()) for name in ROW_KEY},
@@ -100,19 +112,20 @@ def _block(batch: pa.RecordBatch) -> dict[str, bytes | int]:
         "places": squeeze(place.astype(np.int32)),
         "sizes": squeeze((ends - begins).astype(np.int32)),
         "words": squeeze(spans.astype(np.int32)),
+        "lengths": squeeze(lengths),
     }
 
 
-_FIELDS = "n_docs bigint, n_keys bigint, keys binary, weights binary, ids binary, missing binary, file binary, at binary, chunks binary, places binary, sizes binary, words binary"
+_FIELDS = "n_docs bigint, n_keys bigint, keys binary, weights binary, ids binary, missing binary, file binary, at binary, chunks binary, places binary, sizes binary, words binary, lengths binary"
 
-#: What is known of a chunk: it stands at one place; at several, here first; or at several, elsewhere before.
-_ONCE, _FIRST, _AGAIN = 0, 1, 2
+#: What is known of a chunk or window: it stands at one place; in several documents, here first; in several, elsewhere before; or more than once in one document.
+_ONCE, _FIRST, _AGAIN, _OWN = 0, 1, 2, 3
 
 
 def _known(keys: np.ndarray, weights: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, dict[str, int]]:
     _, first, place = np.unique(keys, return_index=True, return_inverse=True)
-    many = np.bincount(place, weights)[place] > 1
-    found = np.where(many, _AGAIN, _ONCE).astype(np.uint8)
+    many = np.bincount(place, weights >> 1)[place] > 1
+    found = np.where(many, _AGAIN, np.where(weights & 1, _OWN, _ONCE)).astype(np.uint8)
     found[first[many[first]]] = _FIRST
     return found, {}
 
@@ -124,48 +137,68 @@ def _first_places(place: np.ndarray) -> np.ndarray:
     return first
 
 
-def _passages(row: dict, least_words: int) -> list[tuple]:
-    """Per document of a block: chunks, repeated chunks, words, words in passages, the longest, spans, later spans."""
+def _passages(row: dict) -> list[tuple]:
+    """Per document of a block: chunks, repeated chunks, words, words in passages, the longest, spans, later spans, whether another row or this row holds one of them again."""
     known, place = told(row["answers"], np.uint8), expand(row["places"], np.int32)
-    chunks, sizes, words = (expand(row[name], np.int32) for name in ("chunks", "sizes", "words"))
+    chunks, sizes, words, lengths = (expand(row[name], np.int32) for name in ("chunks", "sizes", "words", "lengths"))
+    repeated = known[place[: len(sizes)]] != _ONCE
+    opens = np.flatnonzero(lengths)
+    until = opens + lengths[opens]
+    place = place[len(sizes) :]
     state = known[place].copy()
-    # Of a chunk seen here first, only the first place keeps that state.
+    abroad = (state == _FIRST) | (state == _AGAIN)
+    state[state == _OWN] = _FIRST
+    # Of a window seen here first, only the first place keeps that state.
     state[(state == _FIRST) & ~_first_places(place)] = _AGAIN
-    telling = sizes >= TELLING
+    bounds = np.concatenate([[0], np.cumsum(chunks)])
+    among = np.searchsorted(opens, bounds)
     out = []
-    bounds = np.cumsum(chunks)
     for i in range(len(chunks)):
-        a, b = bounds[i] - chunks[i], bounds[i]
+        (a, b), (c, d) = bounds[i : i + 2], among[i : i + 2]
         offsets = np.concatenate([[0], np.cumsum(sizes[a:b])])
         count = np.concatenate([[0], np.cumsum(words[a:b])])
-        spans, later = (_runs(which, telling[a:b], offsets, count, least_words) for which in (state[a:b] != _ONCE, state[a:b] == _AGAIN))
-        out.append((int(chunks[i]), int(np.count_nonzero(state[a:b])), int(count[-1]), sum(n for *_, n in spans), max((n for *_, n in spans), default=0), spans, later))
+        begins, ends, of = opens[c:d] - a, until[c:d] - a, state[c:d]
+        later = _covered(begins[of == _AGAIN], ends[of == _AGAIN], b - a)
+        # A later copy may overlap the first one (as in "again again again"), which stays whole.
+        first = (of == _FIRST) & np.isin(place[c:d], place[c:d][of == _AGAIN])
+        later &= ~_covered(begins[first], ends[first], b - a)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], later.astype(np.int8), [0]])))
+        spans, gone = (
+            [(int(offsets[x]), int(offsets[y]), int(count[y] - count[x])) for x, y in runs]
+            for runs in (_unions(begins[of != _ONCE], ends[of != _ONCE]), zip(edge[::2], edge[1::2], strict=True))
+        )
+        out.append((int(b - a), int(np.count_nonzero(repeated[a:b])), int(count[-1]), sum(n for *_, n in spans), max((n for *_, n in spans), default=0), spans, gone, bool(abroad[c:d].any()), len(np.unique(place[c:d])) < d - c))
     return out
 
 
-def _runs(wanted: np.ndarray, telling: np.ndarray, offsets: np.ndarray, count: np.ndarray, least_words: int) -> list[tuple[int, int, int]]:
-    """First byte, end and words of the runs of wanted chunks; chunks that are not telling go with their neighbours."""
-    at = np.flatnonzero(telling)
-    hit = wanted[at]
-    if not hit.any():
+def _covered(begins: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` chunks lie in one of the windows."""
+    steps = np.zeros(size + 1, np.int64)
+    np.add.at(steps, begins, 1)
+    np.add.at(steps, ends, -1)
+    return np.cumsum(steps)[:-1] > 0
+
+
+def _unions(begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """First chunk and end of each union of overlapping windows; windows come in order, and so do their ends."""
+    if not len(begins):
         return []
-    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-    runs = [(at[a], at[b - 1] + 1) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
-    return [(int(offsets[a]), int(offsets[b]), int(count[b] - count[a])) for a, b in runs if count[b] - count[a] >= least_words]
+    opens = np.concatenate([[True], begins[1:] >= ends[:-1]])
+    return list(zip(begins[opens], ends[np.concatenate([opens[1:], [True]])], strict=True))
 
 
 def passages(docs: DataFrame, least_words: int = LEAST_WORDS, keyed: bool = False) -> DataFrame:
     """Repeated passages of every row of ``docs``.
 
     Returns ``doc_id``, the row's key, ``n_chunks``, ``n_repeated_chunks`` (found at another place,
-    of this row or another, as well), ``n_words``, ``repeated_words`` (words in passages), ``longest_words``, ``repeated`` (there
-    is a passage), ``spans`` (``begin:end`` of every passage in bytes of UTF-8, joined by commas) and
-    ``later_spans`` (of the passages all of whose telling chunks stand at an earlier place, of an earlier row or of this one). Null and
+    of this row or another, as well), ``n_words``, ``repeated_words`` (words in passages), ``longest_words``, ``repeated`` (a
+    passage stands in another row as well), ``repeated_within`` (one stands more than once in this row), ``spans`` (``begin:end`` of every passage in bytes of UTF-8, joined by commas) and
+    ``later_spans`` (what windows cover that stand as a whole at an earlier place, of an earlier row or of this one, without the first place itself). Null and
     empty texts have no chunks. Repeated rows are copies of each other. ``keyed`` says that ``docs``
     has its row key already.
     """
     rows = (docs if keyed else with_row_key(docs.select("doc_id", "text"))).select(F.col("doc_id").cast("long").alias("doc_id"), *ROW_KEY, F.coalesce("text", F.lit("")).alias("text"))
-    packed = blocks(rows, _block, _FIELDS)
+    packed = blocks(rows, lambda batch: _block(batch, least_words), _FIELDS)
     keys = lambda row: (expand_sorted(row["keys"]), expand(row["weights"], np.uint32))
     table = answered(packed.drop("keys", "weights"), answers(packed.select("block", "n_keys", "keys", "weights"), keys, _known))
 
@@ -173,22 +206,23 @@ def passages(docs: DataFrame, least_words: int = LEAST_WORDS, keyed: bool = Fals
         joined = lambda spans: ",".join(f"{a}:{b}" for a, b, _ in spans)
         for batch in batches:
             for row in batch.to_pylist():
-                found = _passages(row, least_words)
-                chunks, repeated, words, inside, longest, spans, later = zip(*found, strict=True)
+                found = _passages(row)
+                chunks, repeated, words, inside, longest, spans, later, abroad, within = zip(*found, strict=True)
                 numbers = [pa.array(each, pa.int64()) for each in (chunks, repeated, words, inside, longest)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(expand(row["ids"], np.int64), mask=expand(row["missing"], np.uint8).astype(bool)),
                         *(pa.array(expand(row[name.strip("_")], np.int64)) for name in ROW_KEY),
                         *numbers,
-                        pa.array([n > 0 for n in longest], pa.bool_()),
+                        pa.array(abroad, pa.bool_()),
+                        pa.array(within, pa.bool_()),
                         pa.array([joined(each) for each in spans], pa.string()),
                         pa.array([joined(each) for each in later], pa.string()),
                     ],
                     names,
                 )
 
-    schema = "doc_id bigint, __file bigint, __at bigint, n_chunks bigint, n_repeated_chunks bigint, n_words bigint, repeated_words bigint, longest_words bigint, repeated boolean, spans string, later_spans string"
+    schema = "doc_id bigint, __file bigint, __at bigint, n_chunks bigint, n_repeated_chunks bigint, n_words bigint, repeated_words bigint, longest_words bigint, repeated boolean, repeated_within boolean, spans string, later_spans string"
     names = [part.split()[0] for part in schema.split(", ")]
     return table.mapInArrow(run, schema)
 

@@ -102,7 +102,37 @@ def test_a_passage_repeated_within_one_document(documents):
     text = " ".join(f"{passage} {text_of(rng, 30)}" for _ in range(8))
     docs = documents([(1, text), (2, text_of(rng, 500))]).coalesce(1)
     found = {r.doc_id: r for r in sd.passages(docs).collect()}
-    assert found[1].repeated and found[1].repeated_words > 8 * 480 and len(found[1].later_spans.split(",")) >= 7
-    assert not found[2].repeated
+    assert found[1].repeated_within and not found[1].repeated and found[1].repeated_words > 8 * 480 and len(found[1].later_spans.split(",")) >= 7
+    assert not found[2].repeated_within and not found[2].spans
     kept = {r.doc_id: r.text for r in sd.without_later_passages(docs).collect()}
     assert kept[1].startswith(passage) and kept[1].count(passage) == 1 and len(kept[1].split()) < 500 + 8 * 50
+
+
+def test_chance_repeats_of_phrases_make_no_passage(documents):
+    rng = random.Random(10)
+    phrases = [text_of(rng, 8) for _ in range(40)]
+    # Every phrase stands in many rows, and no two of them follow each other twice.
+    pairs = [(i, j) for i in range(40) for j in range(40) if i != j]
+    rng.shuffle(pairs)
+    rows, used = [], set()
+    for n in range(60):
+        line, at = [], rng.randrange(40)
+        for _ in range(12):
+            nxt = next((j for i, j in pairs if i == at and (i, j) not in used), None)
+            if nxt is None:
+                break
+            used.add((at, nxt))
+            line.append(phrases[at])
+            at = nxt
+        rows.append((n, " ".join(line)))
+    docs = documents(rows).coalesce(1)
+    found = sd.passages(docs).collect()
+    assert sum(r.n_repeated_chunks for r in found) > sum(r.n_chunks for r in found) / 2
+    assert not any(r.repeated or r.repeated_within or r.spans for r in found)
+    assert {r.doc_id: r.text for r in sd.without_later_passages(docs).collect()} == dict(rows)
+
+
+def test_overlapping_copies_leave_the_first_whole(documents):
+    docs = documents([(1, "and so on again " * 400)]).coalesce(1)
+    kept = sd.without_later_passages(docs).first().text
+    assert 20 <= len(kept.split()) < 600 and set(kept.split()) == {"and", "so", "on", "again"}
