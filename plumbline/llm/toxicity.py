@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import column, slices
+from plumbline.llm.common import as_bytes, column, slices
 
 #: At most this many labelled documents are fitted: those whose ids have the smallest digests.
 SAMPLE = 6000
@@ -145,17 +145,23 @@ def _descend(rows, cols, lengths, grades, weights, thresholds, rounds):
 
 
 def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
-    """Fit on at most ``sample`` labelled documents, those whose ids have the smallest digests."""
+    """Fit on at most ``sample`` labelled documents, those whose ids have the smallest digests.
+
+    Of rows that share an id, the one whose text has the smallest digest counts.
+    """
     chosen = grades.filter("doc_id is not null and grade is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    known = docs.filter("text is not null").join(F.broadcast(chosen), "doc_id").select("text", F.col("grade").cast("int").alias("grade"))
+    known = docs.filter("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("grade").cast("int").alias("grade"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 found = [np.sort(np.fromiter(features(text), np.int32)).tobytes() for text in column(part, "text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), column(part, "grade")], ["features", "grade"])
+                digests = pa.array([xxhash.xxh3_128_digest(text) for text in as_bytes(part)], pa.binary())
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), digests, pa.array(found, pa.binary()), column(part, "grade")], ["doc_id", "digest", "features", "grade"])
 
-    rows = known.mapInArrow(each, "features binary, grade int").collect()
+    kind = known.schema["doc_id"].dataType.simpleString()
+    found = known.mapInArrow(each, f"doc_id {kind}, digest binary, features binary, grade int")
+    rows = found.groupBy("doc_id").agg(F.min_by(F.struct("features", "grade"), "digest").alias("row")).select("row.*").collect()
     return fit_grades(sorted(((np.frombuffer(row["features"], np.int32), row["grade"]) for row in rows), key=lambda e: (e[1], e[0].tobytes())))
 
 

@@ -57,3 +57,11 @@ def test_empty_tables(spark, documents):
     assert [r.toxic for r in toxicity.grade_documents(documents([(1, "a b")]), labels).collect()] == [False]
     one = spark.createDataFrame([(1, 1, 0)], labels.schema)
     assert [r.toxic for r in toxicity.grade_documents(documents([(1, "a b")]), one).collect()] == [False]
+
+
+def test_repeated_ids_send_one_document_to_the_driver(spark, documents, monkeypatch):
+    sent = []
+    monkeypatch.setattr(toxicity, "fit_grades", lambda examples: sent.extend(examples))
+    docs = documents([(1, f"text number {i % 7}") for i in range(300)] + [(2, "other"), (3, None)])
+    toxicity.fit(docs, spark.createDataFrame([(1, 1), (2, 0), (3, 2)], "doc_id bigint, grade int"))
+    assert sorted(grade for _, grade in sent) == [0, 1]
