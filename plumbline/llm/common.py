@@ -35,10 +35,15 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir")
 
 
-def written(df: DataFrame) -> DataFrame:
+def new_folder(spark: SparkSession) -> str:
+    """A name in the shared folder that nothing has yet."""
+    return f"{shared_folder(spark).rstrip('/')}/plumbline-llm/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, and safe from lost executors."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/plumbline-llm/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
