@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, license_scan, line_dedup, lm_score, mixing, pii, quality, simhash, substring_dedup, token_files, toxicity
+from plumbline.llm import decontaminate, license_scan, line_dedup, lm_score, mixing, pii, quality, simhash, spelling, substring_dedup, token_files, toxicity
 from plumbline.llm.common import ROW_KEY, new_folder
 
 
@@ -55,6 +55,10 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_table(spark, folder, "documents"))
+
+
 def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_token_files": op12_token_files,
 }
 
