@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, license_scan, line_dedup, lm_score, mixing, pii, quality, simhash, spelling, substring_dedup, token_files, toxicity
+from plumbline.llm import decontaminate, license_scan, line_dedup, lm_score, mixing, phrases, pii, quality, simhash, spelling, substring_dedup, token_files, toxicity
 from plumbline.llm.common import ROW_KEY, new_folder
 
 
@@ -67,6 +67,10 @@ def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_token_files": op12_token_files,
+    "op13_collocations": op13_collocations,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -101,4 +106,30 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
           sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM docs LEFT JOIN hits USING (row_no) LEFT JOIN named USING (row_no)""",
+    "op13_collocations": rf"""
+        WITH split AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        pieces AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM split),
+        sizes AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+        spots AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+        grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM spots GROUP BY ALL HAVING count(*) >= 100),
+        kept AS (
+            SELECT * FROM grams c WHERE k > 1 AND NOT EXISTS (
+                SELECT 1 FROM grams g WHERE g.lang = c.lang AND g.k > c.k AND g.f >= c.f
+                AND contains(' ' || g.phrase || ' ', ' ' || c.phrase || ' '))),
+        cuts AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM kept),
+        scored AS (
+            SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, n, cut,
+              (CAST(a AS HUGEINT) * 1000 * n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+            FROM cuts c
+            JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ')
+            JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:len(w)], ' ')
+            JOIN sizes s ON s.lang = c.lang),
+        best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM scored),
+        ranked AS (
+            SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+              CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+            FROM best WHERE place = 1)
+        SELECT * FROM ranked WHERE rank <= 2000""",
 }
