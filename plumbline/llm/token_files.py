@@ -46,6 +46,9 @@ REMEMBERED = 400_000
 
 #: Pieces that no token spans: letters before a mark or white space, marks at the end of a run, any other run.
 _PIECES = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^ \t\n\r.,;:!?])|[.,;:!?]+(?![^ \t\n\r])|[^ \t\n\r]+")
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Fixed value: how a token ends that closes a run.
+_CLOSED = "</w>"
 
 
 class Encoder:
@@ -60,27 +63,51 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.kind = id_kind(self.tokenizer.get_vocab_size())
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = id_kind(max(vocabulary.values(), default=0) + 1)
+        self.closing = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.closing[[number for token, number in vocabulary.items() if token.endswith(_CLOSED)]] = True
         self.remembered = remembered
         self.ids: dict[str, bytes] = {}
 
-    def __call__(self, text: str) -> bytes:
-        pieces = _PIECES.findall(text)
-        unknown = list(set(pieces).difference(self.ids))
-        if unknown:
-            if len(self.ids) > self.remembered:
-                self.ids.clear()
-                unknown = list(set(pieces))
-            for piece, found in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-                self.ids[piece] = np.array(found.ids, self.kind).tobytes()
-        return b"".join(map(self.ids.__getitem__, pieces))
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        pieces = [_PIECES.findall(text) for text in texts]
+        unknown = set().union(*pieces).difference(self.ids)
+        if unknown and len(self.ids) > self.remembered:
+            self.ids.clear()
+            unknown = set().union(*pieces)
+        self._learn(unknown)
+        return [b"".join(map(self.ids.__getitem__, each)) for each in pieces]
+
+    def _learn(self, unknown: set[str]) -> None:
+        """Letters alone are one run, in lower case and with white space around it: these go to the tokenizer together."""
+        letters = {piece: piece.lower() for piece in unknown if _LETTERS.fullmatch(piece)}
+        asked = list(set(letters.values()).difference(self.ids))
+        for at in range(0, len(asked), 1000):
+            some = asked[at : at + 1000]
+            ids = np.array(self._asked([" ".join(some)])[0], self.kind)
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) == len(some):
+                data, size = ids.tobytes(), ids.itemsize
+                ends = [0, *(ends * size).tolist()]
+                self.ids.update(zip(some, map(data.__getitem__, map(slice, ends, ends[1:]))))
+            else:
+                self._one_by_one(some)
+        self._one_by_one(list(unknown.difference(letters)))
+        self.ids.update((piece, self.ids[low]) for piece, low in letters.items() if piece != low)
+
+    def _one_by_one(self, pieces: list[str]) -> None:
+        self.ids.update((piece, np.array(ids, self.kind).tobytes()) for piece, ids in zip(pieces, self._asked(pieces), strict=True))
+
+    def _asked(self, texts: list[str]) -> list[list[int]]:
+        return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class PlainEncoder(Encoder):
-    """Ids of whole texts from any tokenizer, one call a text."""
+    """Ids of whole texts from any tokenizer."""
 
-    def __call__(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        return [np.array(ids, self.kind).tobytes() for ids in self._asked(texts)]
 
 
 def id_kind(size: int) -> str:
@@ -118,7 +145,7 @@ def token_ids(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
         end = np.array([end_id], encode.kind).tobytes()
         for batch in batches:
             for part in slices(batch):
-                ids = pa.array([encode(text) + end for text in column(part, "text").to_pylist()], pa.binary())
+                ids = pa.array([ids + end for ids in encode(column(part, "text").to_pylist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id"), *(column(part, n) for n in ROW_KEY), ids], ["doc_id", *ROW_KEY, "ids"])
 
     return rows.mapInArrow(run, f"doc_id bigint, {ROW_KEY[0]} bigint, {ROW_KEY[1]} bigint, ids binary")
@@ -263,7 +290,10 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int) -> None:
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
-    kind = id_kind(max(Tokenizer.from_file(tokenizer_file).get_vocab_size(), end_id + 1))
+    vocabulary = Tokenizer.from_file(tokenizer_file).get_vocab().values()
+    if not 0 <= end_id <= max(vocabulary):
+        raise ValueError(f"{end_id} is not an id of the tokenizer")
+    kind = id_kind(max(vocabulary) + 1)
     encoded = written(token_ids(docs, tokenizer_file, end_id), "zstd")
     table = frequencies(_counts(encoded, kind))
     names = [part.split()[0] for part in _BLOCK.split(", ")]

@@ -68,8 +68,9 @@ def test_pieces_are_encoded_like_whole_texts():
     rng = random.Random(5)
     letters = "".join(TRICKY) + " .,;:!?'\t\n" * 8 + "abcST" * 8
     texts = [*TRICKY, *("".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(3000))]
-    for text in texts:
-        assert np.frombuffer(encode(text), "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    for some in (texts[:50], texts[50:51], texts[51:60], *([text] for text in texts[60:1000]), texts[1000:]):
+        for text, ids in zip(some, encode(some), strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_other_tokenizers_are_asked_for_whole_texts(spark, documents, tmp_path):
