@@ -1,20 +1,20 @@
 """Phrase collocations from depth-truncated suffix subtrees, built by vertical partitioning.
 
 Every place of the texts begins a suffix, of which the first ``DEPTH`` words count. The suffixes are
-dealt out by their first word. Where more suffixes begin with a word than a share of the memory
-budget, they are dealt out by their first two words, and so on; a prefix that is small enough takes all
-of its suffixes to one group, and groups hold as many prefixes as the budget admits. Each group builds
-its subtrees on its own: leaves in lexicographic order, equal ones merged. A node is a run of leaves,
-and the count of its phrase is the sum of their totals.
-
-Texts are read once, into blocks of word numbers. Words below the least frequency occur in no phrase
-that is wanted and end a suffix, as marks do.
+dealt out by a prefix. Where more suffixes begin with a prefix than a share of the memory budget, they
+are dealt out by one word more, and so on; a prefix that is small enough takes all of its suffixes to
+one group, and groups hold as many prefixes as the budget admits. Each group builds its subtrees on its
+own: leaves in lexicographic order, equal ones merged. A node is a run of leaves, and the count of its
+phrase is the sum of their totals.
+
+The subtrees grow in ranges of their depth (``RANGES``): a range reads on only where the nodes above it
+occur often enough. Texts are read once, into blocks of word numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property, reduce
 from itertools import count
 
 import numpy as np
@@ -35,8 +35,11 @@ TOP = 2000
 BLOCK_BYTES, BUDGET = 16 << 20, 2_000_000
 #: A prefix with more suffixes than this part of the budget is dealt out by one more word.
 SHARE = 8
-#: Bits of the filter that says which words may be frequent. It never denies a frequent word; where many
-#: words are frequent it admits rare ones, whose phrases then fall below the least frequency.
+#: First and last depth of the ranges in which subtrees grow.
+RANGES = ((1, 1), (2, 2), (3, DEPTH))
+#: Bits of the filters that say which words and pairs of words may be frequent. A filter never denies a
+#: frequent one; where very many are frequent it admits rare ones, whose phrases then fall below the least
+#: frequency.
 FILTER_BITS = 1 << 25
 
 _MARKS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
@@ -62,19 +65,19 @@ def _unpacked(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def _written_block(langs: list[str], words: list[bytes], of: np.ndarray, keys: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
+def _written_block(langs: list[str], words: list[bytes], of: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
     """A row of a table of blocks. Words have numbers from 1 on; ``of`` is the place of their language."""
     return pa.RecordBatch.from_arrays(
         [
             pa.array([langs], pa.list_(pa.string())),
             pa.array([len(words)], pa.int64()),
-            *(pa.array([each], pa.binary()) for each in (_packed(b"\n".join(words)), squeeze(of.astype(np.int32)), squeeze(keys), squeeze(tokens.astype(np.int32)))),
+            *(pa.array([each], pa.binary()) for each in (_packed(b"\n".join(words)), squeeze(of.astype(np.int32)), squeeze(tokens.astype(np.int32)))),
         ],
-        ["langs", "n_words", "words", "of", "keys", "tokens"],
+        ["langs", "n_words", "words", "of", "tokens"],
     )
 
 
-_BLOCK = "langs array<string>, n_words bigint, words binary, of binary, keys binary, tokens binary"
+_BLOCK = "langs array<string>, n_words bigint, words binary, of binary, tokens binary"
 
 
 class _Block:
@@ -82,7 +85,12 @@ class _Block:
         self.langs = row["langs"]
         self.words = _unpacked(row["words"]).split(b"\n") if row["n_words"] else []
         self.of, self.tokens = expand(row["of"], np.int32), expand(row["tokens"], np.int32)
-        self.keys = expand(row["keys"], np.uint64)
+
+    @cached_property
+    def keys(self) -> np.ndarray:
+        """The keys of the words, after a zero for none."""
+        seeds, digest = [_lang_key(lang) for lang in self.langs], xxhash.xxh64_intdigest
+        return np.array([0, *(digest(word, seeds[of]) for word, of in zip(self.words, self.of.tolist(), strict=True))], np.uint64)
 
 
 def _each_block(blocks: DataFrame, run, schema: str) -> DataFrame:
@@ -116,7 +124,7 @@ def _read(docs: DataFrame) -> DataFrame:
             for word, number in places[lang].items():
                 if number:
                     words[number - 1], of[number - 1] = word, at
-        return _written_block(langs, words, of, np.zeros(0, np.uint64), np.concatenate(tokens))
+        return _written_block(langs, words, of, np.concatenate(tokens))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -137,51 +145,62 @@ def _read(docs: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(run, _BLOCK))
 
 
-def _word_counts(blocks: DataFrame) -> DataFrame:
-    """``lang, word, f`` of every word; a row without word has the number of all words of its language."""
+# Keys and filters -------------------------------------------------------------------------------
+
+
+def _lang_key(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode(), 42)
+
+
+def _longer(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of phrases with one more word. Phrases that share a key are only dealt out together."""
+    mixed = (key ^ (word >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + word
+    return mixed ^ (mixed >> np.uint64(29))
 
-    def run(block: _Block) -> Iterator[pa.RecordBatch]:
-        n = np.bincount(block.tokens, minlength=len(block.words) + 1)[1:]
-        total = np.bincount(block.of, n, minlength=len(block.langs)).astype(np.int64)
-        langs = pa.array(block.langs, pa.string())
-        words = pa.array(block.words, pa.binary()).cast(pa.string())
-        names = ["lang", "word", "f"]
-        yield pa.RecordBatch.from_arrays([langs.take(pa.array(block.of)), words, pa.array(n.astype(np.int64))], names)
-        yield pa.RecordBatch.from_arrays([langs, pa.nulls(len(langs), pa.string()), pa.array(total)], names)
 
-    return _each_block(blocks, run, "lang string, word string, f bigint").groupBy("lang", "word").agg(F.sum("f").alias("f"))
+def _phrase_keys(langs: list[str], phrases: list[str]) -> np.ndarray:
+    """Keys of phrases that all have as many words."""
+    words = [phrase.encode().split(b" ") for phrase in phrases]
+    columns = [np.array([xxhash.xxh64_intdigest(word, _lang_key(lang)) for lang, word in zip(langs, each)], np.uint64) for each in zip(*words)]
+    return reduce(_longer, columns) if columns else np.zeros(0, np.uint64)
 
 
-def word_key(lang: str, word: bytes) -> int:
-    """What ``xxhash64(lang, word)`` gives, as an unsigned number."""
-    return xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(lang.encode(), 42))
+def _keyed(phrases: DataFrame) -> DataFrame:
+    """``key, n`` of phrases that all have as many words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _phrase_keys(column(batch, "lang").to_pylist(), column(batch, "phrase").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), column(batch, "f")], ["key", "n"])
 
+    return phrases.select("lang", "phrase", "f").mapInArrow(run, "key bigint, n bigint")
 
-def _filter(frequent: DataFrame) -> np.ndarray:
-    """Bits at the keys of frequent words, lowest first, 64 to a number: at most ``FILTER_BITS / 64`` rows."""
-    bit = F.pmod(F.xxhash64("lang", "word"), F.lit(FILTER_BITS))
-    rows = frequent.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toArrow()
+
+def _filter(keyed: DataFrame) -> np.ndarray:
+    """Bits at the keys, lowest first, 64 to a number: at most ``FILTER_BITS / 64`` rows come to the driver."""
+    bit = keyed.select(F.pmod("key", F.lit(FILTER_BITS)).alias("bit"))
+    rows = bit.groupBy(F.expr("bit div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
     return bits.view(np.uint64)
 
 
-def _lean(blocks: DataFrame, frequent: DataFrame) -> DataFrame:
+def _admitted(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = keys & np.uint64(FILTER_BITS - 1)
+    return (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _lean(blocks: DataFrame, bits: np.ndarray) -> DataFrame:
     """The blocks with words that may be frequent only; any other ends a piece."""
-    bits = _filter(frequent)
 
     def run(block: _Block) -> Iterator[pa.RecordBatch]:
-        seeds = [xxhash.xxh64_intdigest(lang.encode(), 42) for lang in block.langs]
-        digest = xxhash.xxh64_intdigest
-        keys = np.array([digest(word, seeds[of]) for word, of in zip(block.words, block.of.tolist(), strict=True)], np.uint64)
-        bit = keys & np.uint64(FILTER_BITS - 1)
-        kept = np.flatnonzero(bits[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1))
+        kept = np.flatnonzero(_admitted(bits, block.keys[1:]))
         number = np.zeros(len(block.words) + 1, np.int32)
         number[kept + 1] = np.arange(1, len(kept) + 1)
         tokens = number[block.tokens]
         ended = tokens == 0
         tokens = tokens[~(ended & np.concatenate([[False], ended[:-1]]))]
-        yield _written_block(block.langs, [block.words[i] for i in kept.tolist()], block.of[kept], keys[kept], tokens)
+        yield _written_block(block.langs, [block.words[i] for i in kept.tolist()], block.of[kept], tokens)
 
     return written(_each_block(blocks, run, _BLOCK))
 
@@ -189,78 +208,80 @@ def _lean(blocks: DataFrame, frequent: DataFrame) -> DataFrame:
 # Vertical partitioning --------------------------------------------------------------------------
 
 
-def _suffixes(tokens: np.ndarray) -> list[np.ndarray]:
-    """The first words of every suffix of two words or more, a column for each place; 0 where it has ended."""
-    columns, going = [], np.ones(len(tokens), bool)
-    for place in range(DEPTH):
+def _suffixes(block: _Block, low: int, high: int, pairs: np.ndarray | None) -> list[np.ndarray]:
+    """The first ``high`` words of every suffix of ``low`` words or more, a column for each place; 0 where it has ended.
+
+    ``pairs`` is the filter of the pairs of words that a suffix may go on with.
+    """
+    tokens = block.tokens
+    following = np.append(tokens[1:], np.int32(0))
+    if pairs is not None:
+        both = np.flatnonzero((tokens > 0) & (following > 0))
+        good = _admitted(pairs, _longer(block.keys[tokens[both]], block.keys[following[both]]))
+        following = np.zeros(len(tokens), np.int32)
+        following[both[good]] = tokens[both[good] + 1]
+    columns, going = [tokens], tokens > 0
+    for place in range(1, high):
         shifted = np.zeros(len(tokens), np.int32)
-        shifted[: len(tokens) - place] = tokens[place:]
+        shifted[: len(tokens) - place + 1] = following[place - 1 :]
         shifted[~going] = 0
         columns.append(shifted)
         going = shifted > 0
-    begins = columns[1] > 0
+    begins = np.flatnonzero(columns[low - 1] > 0)
     return [each[begins] for each in columns]
 
 
-def _longer(key: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Keys of prefixes with one more word."""
-    mixed = (key ^ (word >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + word
-    return mixed ^ (mixed >> np.uint64(29))
-
+def _routes(block: _Block, columns: list[np.ndarray], first: int, heavy: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every suffix: the key of the prefix that it is dealt by, how many words of it are a heavy prefix, and which of them all known levels call heavy.
 
-def _routes(block: _Block, columns: list[np.ndarray], heavy: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every suffix: the key of the prefix that it is dealt by, how many words of it are a heavy prefix, and which of them all known levels call heavy."""
-    keys = np.concatenate([np.zeros(1, np.uint64), block.keys])
+    ``heavy`` lists the keys of heavy prefixes of ``first`` words and more.
+    """
+    keys = block.keys
     route, depth = keys[columns[0]], np.zeros(len(columns[0]), np.uint8)
+    for level in range(1, first):
+        route = _longer(route, keys[columns[level]])
     going = np.arange(len(route))
-    for level, names in enumerate(heavy, 1):
-        if level == 1:
-            going = np.flatnonzero(np.isin(keys, names)[columns[0]])
-        else:
-            at = np.searchsorted(names, route[going])
-            going = going[names[np.minimum(at, len(names) - 1)] == route[going]] if len(names) else going[:0]
+    for level, names in enumerate(heavy, first):
+        at = np.searchsorted(names, route[going])
+        going = going[names[np.minimum(at, len(names) - 1)] == route[going]] if len(names) else going[:0]
         depth[going] = level
-        if level == DEPTH:
+        if level == len(columns):
             break
         going = going[columns[level][going] > 0]
         route[going] = _longer(route[going], keys[columns[level][going]])
     return route, depth, going
 
 
-def _vertical(lean: DataFrame, frequent: DataFrame, budget: int) -> tuple[list[np.ndarray], int]:
-    """The keys of heavy prefixes by their number of words, and the number of groups.
+def _vertical(lean: DataFrame, known: DataFrame, first: int, high: int, pairs: np.ndarray | None, budget: int) -> tuple[list[np.ndarray], int]:
+    """The keys of heavy prefixes by their number of words, from ``first`` on, and the number of groups.
 
-    There are at most ``SHARE`` heavy prefixes of a length for every ``budget`` suffixes. Groups are
-    made more until the heaviest of them, by exact counts, keeps to the budget.
+    ``known (key, n)`` has the prefixes of ``first`` words. Of one length there are at most ``SHARE``
+    heavy prefixes for every ``budget`` suffixes. Groups are made more until the heaviest of them, by
+    exact counts of its prefixes, keeps to the budget. A prefix of ``high`` words is a whole leaf, which
+    is merged in every block and so weighs no more than there are blocks.
     """
     share = max(1, budget // SHARE)
-    weights = written(frequent.select(F.xxhash64("lang", "word").alias("key"), F.col("f").alias("n")))
-    heavy: list[np.ndarray] = []
-    light = []
-    blocks = lean.count()
+    weights, heavy, light = written(known), [], []
+    total = weights.agg(F.sum("n")).first()[0] or 0
 
     def keys(rows: DataFrame) -> np.ndarray:
         return np.sort(rows.filter(F.col("n") > share).select("key").toArrow().column("key").to_numpy().view(np.uint64))
 
     while True:
-        if len(heavy) == DEPTH - 1:
-            # Whole leaves. Equal ones of a block are merged, so none weighs more than there are blocks.
-            light.append(weights.select("key", F.least("n", F.lit(blocks)).alias("n")))
-            break
         heavy.append(keys(weights))
         light.append(weights.filter(F.col("n") <= share))
-        if not len(heavy[-1]):
+        if not len(heavy[-1]) or first + len(heavy) == high:
             break
 
         def run(block: _Block) -> Iterator[pa.RecordBatch]:
-            route, _, going = _routes(block, _suffixes(block.tokens), heavy)
+            route, _, going = _routes(block, _suffixes(block, first + 1, high, pairs), first, heavy)
             found, n = np.unique(route[going], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
         weights = written(_each_block(lean, run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
     loads = reduce(DataFrame.unionByName, light)
-    groups = max(1, -(-2 * (loads.agg(F.sum("n")).first()[0] or 0) // budget))
-    while (loads.groupBy(F.pmod("key", F.lit(groups))).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0) > max(budget, blocks):
+    groups = max(1, -(-2 * total // budget))
+    while (loads.groupBy(F.pmod("key", F.lit(groups))).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0) > budget:
         groups *= 2
     return heavy, groups
 
@@ -268,8 +289,11 @@ def _vertical(lean: DataFrame, frequent: DataFrame, budget: int) -> tuple[list[n
 # Subtrees ---------------------------------------------------------------------------------------
 
 
-def _ordered(columns: list[np.ndarray], size: int) -> np.ndarray:
-    """The rows in lexicographic order of their columns, which hold numbers up to ``size``."""
+def _leaves(columns: list[np.ndarray], totals: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct suffixes in lexicographic order, their totals, and a row that each of them comes from.
+
+    The columns hold numbers up to ``size``.
+    """
     bits = max(1, int(size).bit_length())
     each = 63 // bits
     packed = []
@@ -278,97 +302,93 @@ def _ordered(columns: list[np.ndarray], size: int) -> np.ndarray:
         for one in columns[first : first + each]:
             key = key << bits | one
         packed.append(key)
-    return np.argsort(packed[0], kind="stable") if len(packed) == 1 else np.lexsort(packed[::-1])
-
-
-def _leaves(columns: list[np.ndarray], totals: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct suffixes in lexicographic order, their totals, and a row that each of them comes from."""
-    order = _ordered(columns, size)
-    columns = [each[order] for each in columns]
+    order = np.argsort(packed[0]) if len(packed) == 1 else np.lexsort(packed[::-1])
     new = np.zeros(len(order), bool)
     new[:1] = True
-    for each in columns:
-        new[1:] |= each[1:] != each[:-1]
+    for key in packed:
+        key = key[order]
+        new[1:] |= key[1:] != key[:-1]
     first = np.flatnonzero(new)
-    return [each[first] for each in columns], np.add.reduceat(totals[order], first) if len(first) else totals, order[first]
+    return [one[order[first]] for one in columns], np.add.reduceat(totals[order], first) if len(first) else totals, order[first]
 
 
 _PIECE = "grp bigint, lang string, n_words bigint, words binary, columns binary, totals binary, depths binary"
 
 
-def _pieces(lean: DataFrame, heavy: list[np.ndarray], groups: int) -> DataFrame:
+def _piece(block: _Block, lang: str, group: int, parts: list[np.ndarray], totals: np.ndarray, depth: np.ndarray) -> tuple:
+    """The leaves of one block for a group and a language, with the words they are made of."""
+    used = np.unique(np.concatenate(parts))
+    used = used[used > 0]
+    kind = np.uint16 if len(used) < 1 << 16 else np.uint32
+    parts = [np.where(each > 0, np.searchsorted(used, each) + 1, 0).astype(kind) for each in parts]
+    words = _packed(b"\n".join([block.words[i - 1] for i in used.tolist()]))
+    return group, lang, len(used), words, squeeze(np.concatenate(parts)), squeeze(totals.astype(np.uint32)), squeeze(depth)
+
+
+def _piece_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.string(), pa.int64(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(each, kind) for each, kind in zip(zip(*rows), kinds)], [part.split()[0] for part in _PIECE.split(", ")])
+
+
+def _pieces(blocks: DataFrame, low: int, high: int, pairs: np.ndarray | None, heavy: list[np.ndarray], groups: int) -> DataFrame:
     """The suffixes of every block, group by group and language by language, equal ones merged."""
+    first = max(1, low - 1)
 
     def run(block: _Block) -> Iterator[pa.RecordBatch]:
-        columns = _suffixes(block.tokens)
+        columns = _suffixes(block, low, high, pairs)
         if not len(columns[0]):
             return
-        route, depth, _ = _routes(block, columns, heavy)
-        signed = route.view(np.int64) % np.int64(groups)
-        lot = block.of[columns[0] - 1].astype(np.int64) * groups + signed
+        columns, totals, rows = _leaves(columns, np.ones(len(columns[0]), np.int64), len(block.words))
+        route, depth, _ = _routes(block, columns, first, heavy)
+        lot = block.of[columns[0] - 1].astype(np.int64) * groups + route.view(np.int64) % np.int64(groups)
         lot = lot.astype(np.uint16) if len(block.langs) * groups <= 1 << 16 else lot
         order = np.argsort(lot, kind="stable")
-        ends = np.flatnonzero(np.diff(lot[order], append=lot[order][-1:] + lot.dtype.type(1)))
-        out, begin = [], 0
-        for end in (ends + 1).tolist():
-            rows = order[begin:end]
-            begin = end
-            parts = [each[rows] for each in columns]
-            used = np.unique(np.concatenate(parts))
-            used = used[used > 0]
-            kind = np.uint16 if len(used) < 1 << 16 else np.uint32
-            place = np.zeros(len(block.words) + 1, kind) if len(used) * 8 > len(block.words) else None
-            if place is not None:
-                place[used] = np.arange(1, len(used) + 1)
-                parts = [place[each] for each in parts]
-            else:
-                parts = [np.where(each > 0, np.searchsorted(used, each) + 1, 0).astype(kind) for each in parts]
-            parts, totals, rows_of = _leaves(parts, np.ones(len(rows), np.int64), len(used))
-            lang, group = divmod(int(lot[rows[0]]), groups)
-            words = _packed(b"\n".join([block.words[i - 1] for i in used.tolist()]))
-            out.append((group, block.langs[lang], len(used), words, squeeze(np.concatenate(parts)), squeeze(totals.astype(np.uint32)), squeeze(depth[rows[rows_of]])))
+        begins = np.flatnonzero(np.concatenate([[True], np.diff(lot[order].astype(np.int64)) > 0]))
+        out = []
+        for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(order)]):
+            some = order[begin:end]
+            lang, group = divmod(int(lot[some[0]]), groups)
+            out.append(_piece(block, block.langs[lang], group, [each[some] for each in columns], totals[some], depth[some]))
             if sum(len(each[4]) for each in out) > 4 << 20:
                 yield _piece_rows(out)
                 out = []
         if out:
             yield _piece_rows(out)
 
-    return _each_block(lean, run, _PIECE)
+    return _each_block(blocks, run, _PIECE)
 
 
-def _piece_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.int64(), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array(each, kind) for each, kind in zip(zip(*rows), kinds)], [part.split()[0] for part in _PIECE.split(", ")])
-
-
-def _subtrees(table: pa.Table, least: int) -> pa.Table:
-    """``lang, phrase, f`` of the nodes of a group's subtrees.
+def _subtrees(table: pa.Table, low: int, high: int, least: int) -> pa.Table:
+    """``lang, phrase, f`` of the nodes of a group's subtrees, from depth ``low`` on.
 
     A node below a heavy prefix is whole here. One that is a heavy prefix itself has its leaves in
-    several groups, so its part of the count comes out whatever it is.
+    several groups, so its part of the count comes out whatever it is. At depth one, a row without
+    phrase has the sum of all leaves.
     """
-    out: list[tuple[str, str, int]] = []
+    out: list[tuple[str, str | None, int]] = []
     langs = table.column("lang").to_pylist()
     for lang in sorted(set(langs)):
         numbers: dict[bytes, int] = {}
-        columns, totals, depths = [[] for _ in range(DEPTH)], [], []
+        columns, totals, depths = [[] for _ in range(high)], [], []
         for at in (i for i, each in enumerate(langs) if each == lang):
             row = table.slice(at, 1).to_pylist()[0]
             words = _unpacked(row["words"]).split(b"\n")
             place = np.fromiter((numbers.setdefault(word, len(numbers) + 1) for word in words), np.int32, len(words))
             place = np.concatenate([np.zeros(1, np.int32), place])
-            for into, each in zip(columns, np.split(expand(row["columns"], np.uint16 if row["n_words"] < 1 << 16 else np.uint32), DEPTH)):
+            for into, each in zip(columns, np.split(expand(row["columns"], np.uint16 if row["n_words"] < 1 << 16 else np.uint32), high)):
                 into.append(place[each])
             totals.append(expand(row["totals"], np.uint32).astype(np.int64))
             depths.append(expand(row["depths"], np.uint8))
         leaves, total, of = _leaves([np.concatenate(each) for each in columns], np.concatenate(totals), len(numbers))
         depth = np.concatenate(depths)[of]
         words = list(numbers)
+        if low == 1:
+            out.append((lang, None, int(total.sum())))
         new = np.zeros(len(total), bool)
         new[:1] = True
         for level, each in enumerate(leaves, 1):
             new[1:] |= each[1:] != each[:-1]
-            if level == 1:
+            if level < low:
                 continue
             first = np.flatnonzero(new)
             node = np.add.reduceat(total, first)
@@ -380,6 +400,13 @@ def _subtrees(table: pa.Table, least: int) -> pa.Table:
     return pa.table([pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds)], names)
 
 
+def _grown(blocks: DataFrame, low: int, high: int, pairs: np.ndarray | None, heavy: list[np.ndarray], groups: int, least: int) -> DataFrame:
+    """``lang, phrase, f`` of all phrases of ``low`` to ``high`` words that occur often enough."""
+    pieces = _pieces(blocks, low, high, pairs, heavy, groups)
+    nodes = pieces.groupBy("grp").applyInArrow(lambda table: _subtrees(table, low, high, least), "lang string, phrase string, f bigint")
+    return written(nodes.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | F.col("phrase").isNull()))
+
+
 def frequent_phrases(docs: DataFrame, least: int = LEAST, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, f`` of all phrases of one to ``DEPTH`` words with ``least`` occurrences or more, and ``lang, n``, the number of all words.
 
@@ -387,13 +414,20 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, budget: int = BUDGET)
     null text has no words, a null language is ``und``. Rows that repeat count again.
     """
     blocks = _read(docs)
-    counts = written(_word_counts(blocks).filter((F.col("f") >= least) | F.col("word").isNull()))
-    frequent = counts.filter("word is not null")
-    lean = _lean(blocks, frequent)
-    heavy, groups = _vertical(lean, frequent, budget)
-    nodes = _pieces(lean, heavy, groups).groupBy("grp").applyInArrow(lambda table: _subtrees(table, least), "lang string, phrase string, f bigint")
-    phrases = nodes.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-    return written(phrases.unionByName(frequent.withColumnRenamed("word", "phrase"))), counts.filter("word is null").select("lang", F.col("f").alias("n"))
+    entries = blocks.agg(F.sum("n_words")).first()[0] or 0
+    found = [_grown(blocks, 1, 1, None, [], max(1, -(-2 * entries // budget)), least)]
+    totals = found[0].filter("phrase is null").select("lang", F.col("f").alias("n"))
+    pairs = None
+    for low, high in RANGES[1:]:
+        # What is known of the range above: its longest phrases, by key.
+        known = written(_keyed(found[-1].filter("phrase is not null")))
+        if low == 2:
+            blocks = _lean(blocks, _filter(known))
+        else:
+            pairs = _filter(known)
+        heavy, groups = _vertical(blocks, known, low - 1, high, pairs, budget)
+        found.append(_grown(blocks, low, high, pairs, heavy, groups, least))
+    return reduce(DataFrame.unionByName, found).filter("phrase is not null"), totals
 
 
 # Collocations -----------------------------------------------------------------------------------

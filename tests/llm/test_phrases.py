@@ -71,19 +71,17 @@ def test_groups_of_any_size_count_alike(spark, table, least, budget):
 def test_heavy_prefixes_are_cut_and_groups_keep_to_the_budget(spark, documents):
     rng = random.Random(9)
     text = " ".join(rng.choices(["a", "b", "c", "d"], [60, 20, 10, 10], k=6000))
-    docs = documents([(1, text)])
-    blocks = phrases._read(docs)
-    frequent = phrases._word_counts(blocks).filter("word is not null and f >= 2")
-    lean = phrases._lean(blocks, frequent)
-    heavy, groups = phrases._vertical(lean, frequent, 1600)
-    assert len(heavy) == 4 and all(len(names) for names in heavy)
+    blocks = phrases._read(documents([(1, text)]))
+    words = text.split()
+    pairs = Counter(zip(words, words[1:]))
+    known = phrases._keyed(spark.createDataFrame([("en", " ".join(p), n) for p, n in pairs.items()], "lang string, phrase string, f bigint"))
+    heavy, groups = phrases._vertical(blocks, known, 2, 5, phrases._filter(known), 1600)
+    assert len(heavy) == 3 and all(len(names) for names in heavy)
     sizes = Counter()
-    for row in phrases._pieces(lean, heavy, groups).collect():
-        sizes[row.grp] += phrases.expand(row.totals, phrases.np.uint32).sum()
+    for row in phrases._pieces(blocks, 3, 5, phrases._filter(known), heavy, groups).collect():
+        sizes[row.grp] += len(phrases.expand(row.depths, phrases.np.uint8))
     assert len(sizes) > 4
-    words = text.split()
-    leaf = Counter(tuple(words[i : i + 5]) for i in range(len(words)))
-    assert max(sizes.values()) <= 1600 + max(leaf.values())
+    assert max(sizes.values()) <= 1600
 
 
 def test_scores_take_the_lowest_cut_and_leave_covered_phrases_out(documents):
@@ -111,9 +109,22 @@ def test_long_products_stay_exact(spark, monkeypatch):
     assert row.score == 1000 * (big - 1) * 9 * big // (3 * big * big)
 
 
-def test_word_keys_are_those_of_spark(spark):
-    frame = spark.sql("select xxhash64('de', 'straße') as a, xxhash64('', 'x') as b").first()
-    assert [phrases.word_key("de", "straße".encode()), phrases.word_key("", b"x")] == [v % 2**64 for v in frame]
+def test_a_filter_admits_what_it_was_made_of(spark, monkeypatch):
+    rows = [("en" if i % 2 else "de", f"w{i} v{i % 7}", i) for i in range(500)]
+    keyed = phrases._keyed(spark.createDataFrame(rows, "lang string, phrase string, f bigint"))
+    keys = phrases._phrase_keys([r[0] for r in rows], [r[1] for r in rows])
+    others = phrases._phrase_keys(["fr"] * 500, [r[1] for r in rows])
+    bits = phrases._filter(keyed)
+    assert phrases._admitted(bits, keys).all()
+    assert phrases._admitted(bits, others).sum() < 5
+
+
+def test_a_crowded_filter_loses_nothing(spark, table, monkeypatch):
+    monkeypatch.setattr(phrases, "FILTER_BITS", 256)
+    rows = [tuple(row) for row in table("documents").select("lang", "text").limit(40).collect()]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    found, _ = phrases.frequent_phrases(docs, 3, 500)
+    assert {tuple(row) for row in found.collect()} == {(lang, " ".join(p), k) for lang, f in counted(rows).items() for p, k in f.items() if k >= 3}
 
 
 def test_odd_rows(odd_documents):
