@@ -30,74 +30,96 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ROW_KEY, column, slices, with_row_key, written
+from plumbline.llm.common import ROW_KEY, as_bytes, column, slices, with_row_key, written
 from plumbline.llm.tallies import expand, squeeze
 
 #: The frequencies of the shared table add up to two to this power.
 BITS = 20
 #: Coders that take turns within a block, and the steps from one checkpoint to the next.
-LANES, EVERY = 512, 128
+LANES, EVERY = 1024, 128
 #: A block ends with the document that fills it.
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 19
 #: Coder states stay at or above this; below it the decoder takes another word.
 _LOW = np.uint64(1 << 31)
 #: Distinct pieces of text whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
+#: Words that go to the tokenizer in one call.
+_TOGETHER = 1000
 
-#: Pieces that no token spans: letters before a mark or white space, marks at the end of a run, any other run.
-_PIECES = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^ \t\n\r.,;:!?])|[.,;:!?]+(?![^ \t\n\r])|[^ \t\n\r]+")
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: A piece that begins with letters (ASCII, and the accented ones of Latin-1 in UTF-8), cut where the first
+#: other ASCII character stands, since no token spans that place; or any other piece. One a line.
+_PARTS = re.compile(rb"^((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)((?:[\x00-\x09\x0b-\x40\x5b-\x60\x7b-\x7f].*)?)$|^(.+)$", re.MULTILINE)
 #: Fixed value: how a token ends that closes a run.
 _CLOSED = "</w>"
 
 
 class Encoder:
-    """Ids of whole texts, asking the tokenizer for each distinct piece of text once.
+    """Ids of whole texts (UTF-8), asking the tokenizer for each distinct piece between white space once.
 
-    It serves tokenizers that drop white space and whose tokens never span white space or the end of
-    a run of letters before one of ``.,;:!?``; :func:`cuts_at_white_space` says which these are.
+    It serves tokenizers that read lower case, drop white space and end a token where letters end;
+    :func:`cuts_at_white_space` says which these are.
     """
 
     def __init__(self, file: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(file)
         vocabulary = self.tokenizer.get_vocab()
         self.kind = id_kind(max(vocabulary.values(), default=0) + 1)
         self.closing = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.closing[[number for token, number in vocabulary.items() if token.endswith(_CLOSED)]] = True
+        # Words in lower case, apart by blanks, need no normalising and no pattern.
+        self.of_words = Tokenizer.from_file(file)
+        self.of_words.normalizer = None
+        self.of_words.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.special = [token.content.lower().encode() for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.remembered = remembered
-        self.ids: dict[str, bytes] = {}
+        self.ids: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        pieces = [_PIECES.findall(text) for text in texts]
-        unknown = set().union(*pieces).difference(self.ids)
-        if unknown and len(self.ids) > self.remembered:
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        pieces = [self._lowered(text).split() for text in texts]
+        if len(self.ids) > self.remembered:
             self.ids.clear()
-            unknown = set().union(*pieces)
-        self._learn(unknown)
-        return [b"".join(map(self.ids.__getitem__, each)) for each in pieces]
-
-    def _learn(self, unknown: set[str]) -> None:
-        """Letters alone are one run, in lower case and with white space around it: these go to the tokenizer together."""
-        letters = {piece: piece.lower() for piece in unknown if _LETTERS.fullmatch(piece)}
-        asked = list(set(letters.values()).difference(self.ids))
-        for at in range(0, len(asked), 1000):
-            some = asked[at : at + 1000]
-            ids = np.array(self._asked([" ".join(some)])[0], self.kind)
+            self.words = {"": b""}
+        known = self.ids
+        self._learn(list({piece for each in pieces for piece in each if piece not in known}))
+        return [b"".join(map(known.__getitem__, each)) for each in pieces]
+
+    def _lowered(self, text: bytes) -> bytes:
+        """The text with ASCII letters in lower case, unless that makes a special token of anything."""
+        low = text.lower()
+        return text if any(each in low for each in self.special) else low
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        plain = [piece for piece in pieces if piece.isalpha()]
+        pieces = [piece for piece in pieces if not piece.isalpha()]
+        parts = _PARTS.findall(b"\n".join(pieces))
+        words = b"\n".join(plain + [word for word, _, _ in parts]).decode().lower().split("\n")
+        self._learn_words(list(set(words).difference(self.words)))
+        known, others = self.words, {b"": b""}
+        asked = list({part for _, rest, other in parts for part in (rest, other) if part})
+        others.update(zip(asked, map(self._held, self._asked([piece.decode() for piece in asked]))))
+        self.ids.update(zip(plain, map(known.__getitem__, words)))
+        self.ids.update(zip(pieces, [known[word] + others[rest or other] for word, (_, rest, other) in zip(words[len(plain) :], parts)]))
+
+    def _held(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _learn_words(self, asked: list[str]) -> None:
+        """Words in lower case, many in a text: each of them ends with a token that closes a run."""
+        lots = [asked[at : at + _TOGETHER] for at in range(0, len(asked), _TOGETHER)]
+        for some, found in zip(lots, self.of_words.encode_batch_fast([" ".join(some) for some in lots], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, self.kind)
             ends = np.flatnonzero(self.closing[ids]) + 1
             if len(ends) == len(some):
                 data, size = ids.tobytes(), ids.itemsize
                 ends = [0, *(ends * size).tolist()]
-                self.ids.update(zip(some, map(data.__getitem__, map(slice, ends, ends[1:]))))
+                self.words.update(zip(some, map(data.__getitem__, map(slice, ends, ends[1:]))))
             else:
-                self._one_by_one(some)
-        self._one_by_one(list(unknown.difference(letters)))
-        self.ids.update((piece, self.ids[low]) for piece, low in letters.items() if piece != low)
-
-    def _one_by_one(self, pieces: list[str]) -> None:
-        self.ids.update((piece, np.array(ids, self.kind).tobytes()) for piece, ids in zip(pieces, self._asked(pieces), strict=True))
+                self.words.update(zip(some, map(self._held, self._asked(some))))
 
     def _asked(self, texts: list[str]) -> list[list[int]]:
         return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -106,8 +128,8 @@ class Encoder:
 class PlainEncoder(Encoder):
     """Ids of whole texts from any tokenizer."""
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        return [np.array(ids, self.kind).tobytes() for ids in self._asked(texts)]
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        return list(map(self._held, self._asked([text.decode() for text in texts])))
 
 
 def id_kind(size: int) -> str:
@@ -127,9 +149,10 @@ def cuts_at_white_space(file: str) -> bool:
     with open(file, encoding="utf-8") as stream:
         spec = json.load(stream)
     normal = [each["type"] for each in (spec.get("normalizer") or {}).get("normalizers", [])]
-    first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    first, *later = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
     apart = first.get("behavior") == "Removed" and first.get("invert") is True and (first.get("pattern") or {}).get("Regex") == _SPLIT
-    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s|^[A-Za-z.,;:!?]", t["content"])) for t in spec.get("added_tokens", []))
+    apart &= [(each["type"], each.get("use_regex"), each.get("add_prefix_space")) for each in later] == [("ByteLevel", False, False)]
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s|^[^\W_]", t["content"])) for t in spec.get("added_tokens", []))
     return normal == _NORMALIZERS and apart and plain
 
 
@@ -145,7 +168,7 @@ def token_ids(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
         end = np.array([end_id], encode.kind).tobytes()
         for batch in batches:
             for part in slices(batch):
-                ids = pa.array([ids + end for ids in encode(column(part, "text").to_pylist())], pa.binary())
+                ids = pa.array([ids + end for ids in encode(as_bytes(part))], pa.binary())
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id"), *(column(part, n) for n in ROW_KEY), ids], ["doc_id", *ROW_KEY, "ids"])
 
     return rows.mapInArrow(run, f"doc_id bigint, {ROW_KEY[0]} bigint, {ROW_KEY[1]} bigint, ids binary")
@@ -157,10 +180,9 @@ def _counts(encoded: DataFrame, kind: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in column(batch, "ids").to_pylist():
-                found = np.bincount(np.frombuffer(ids, kind), minlength=len(total))
-                found[: len(total)] += total
-                total = found
+            found = np.bincount(np.frombuffer(b"".join(column(batch, "ids").to_pylist()), kind), minlength=len(total))
+            found[: len(total)] += total
+            total = found
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
