@@ -21,7 +21,10 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +44,8 @@ LANES, EVERY = 1024, 128
 BLOCK_IDS = 1 << 19
 #: Coder states stay at or above this; below it the decoder takes another word.
 _LOW = np.uint64(1 << 31)
-#: Distinct pieces of text whose ids a task remembers.
-REMEMBERED = 500_000
+#: Distinct pieces of text whose ids a Python worker remembers, from one task to the next.
+REMEMBERED = 700_000
 #: Words that go to the tokenizer in one call.
 _TOGETHER = 1000
 
@@ -132,6 +135,15 @@ class PlainEncoder(Encoder):
         return list(map(self._held, self._asked([text.decode() for text in texts])))
 
 
+def encoder(file: str) -> Encoder:
+    """The encoder of this Python worker, which keeps what it has learned for its next tasks."""
+    kept = sys.modules.setdefault("plumbline_kept_by_worker", types.ModuleType("plumbline_kept_by_worker")).__dict__
+    if kept.get("file") != file:
+        kept["encoder"] = (Encoder if cuts_at_white_space(file) else PlainEncoder)(file)
+        kept["file"] = file
+    return kept["encoder"]
+
+
 def id_kind(size: int) -> str:
     """How ids below ``size`` are held: two bytes where they fit."""
     return "<u2" if size <= 1 << 16 else "<u4"
@@ -159,34 +171,38 @@ def cuts_at_white_space(file: str) -> bool:
 def token_ids(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
     """``doc_id``, the row key and ``ids`` of every row (as :func:`id_kind` holds them), with ``end_id`` at the end.
 
+    ``seen`` and ``counts`` stand in one row of each batch: its distinct ids and how often they occur.
     ``tokenizer_file`` must exist on every executor, as an installed package does.
     """
     rows = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = (Encoder if cuts_at_white_space(tokenizer_file) else PlainEncoder)(tokenizer_file)
+        encode = encoder(tokenizer_file)
         end = np.array([end_id], encode.kind).tobytes()
         for batch in batches:
             for part in slices(batch):
-                ids = pa.array([ids + end for ids in encode(as_bytes(part))], pa.binary())
-                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), *(column(part, n) for n in ROW_KEY), ids], ["doc_id", *ROW_KEY, "ids"])
+                ids = [each + end for each in encode(as_bytes(part))]
+                n = np.bincount(np.frombuffer(b"".join(ids), encode.kind))
+                seen = np.flatnonzero(n)
+                rest = [None] * (len(ids) - 1)
+                told = [pa.array([squeeze(each), *rest], pa.binary()) for each in (seen.astype(np.uint32), n[seen])]
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), *(column(part, name) for name in ROW_KEY), pa.array(ids, pa.binary()), *told], ["doc_id", *ROW_KEY, "ids", "seen", "counts"])
 
-    return rows.mapInArrow(run, f"doc_id bigint, {ROW_KEY[0]} bigint, {ROW_KEY[1]} bigint, ids binary")
+    return rows.mapInArrow(run, f"doc_id bigint, {ROW_KEY[0]} bigint, {ROW_KEY[1]} bigint, ids binary, seen binary, counts binary")
 
 
-def _counts(encoded: DataFrame, kind: str) -> np.ndarray:
+def _counts(encoded: DataFrame) -> np.ndarray:
     """How often each id occurs; as many numbers as the vocabulary has ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+        total: Counter[int] = Counter()
         for batch in batches:
-            found = np.bincount(np.frombuffer(b"".join(column(batch, "ids").to_pylist()), kind), minlength=len(total))
-            found[: len(total)] += total
-            total = found
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
+            for seen, counts in zip(*(column(batch, name).to_pylist() for name in ("seen", "counts"))):
+                total.update(dict(zip(expand(seen, np.uint32).tolist(), expand(counts, np.int64).tolist())))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["id", "n"])
 
-    rows = encoded.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    told = encoded.select("seen", "counts").filter("seen is not null")
+    rows = told.mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((row["id"] for row in rows), default=-1) + 1, np.int64)
     for row in rows:
         counts[row["id"]] = row["n"]
@@ -317,7 +333,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int) -> None:
         raise ValueError(f"{end_id} is not an id of the tokenizer")
     kind = id_kind(max(vocabulary) + 1)
     encoded = written(token_ids(docs, tokenizer_file, end_id), "zstd")
-    table = frequencies(_counts(encoded, kind))
+    table = frequencies(_counts(encoded))
     names = [part.split()[0] for part in _BLOCK.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,7 +366,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int) -> None:
 
     # Ids are dealt in ranges; a range of equal ids is cut by the row key.
     order = ["doc_id", *ROW_KEY]
-    ordered = encoded.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = encoded.select(*order, "ids").repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.mapInArrow(run, _BLOCK).write.parquet(f"{path}/blocks", compression="uncompressed")
     spark.createDataFrame([(i, int(n)) for i, n in enumerate(table) if n], "id bigint, frequency bigint").write.parquet(f"{path}/table")
     sums = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n")).sort("part").collect()
