@@ -39,9 +39,9 @@ from plumbline.llm.tallies import expand, squeeze
 #: The frequencies of the shared table add up to two to this power.
 BITS = 20
 #: Coders that take turns within a block, and the steps from one checkpoint to the next.
-LANES, EVERY = 1024, 128
+LANES, EVERY = 2048, 128
 #: A block ends with the document that fills it.
-BLOCK_IDS = 1 << 19
+BLOCK_IDS = 1 << 20
 #: Coder states stay at or above this; below it the decoder takes another word.
 _LOW = np.uint64(1 << 31)
 #: Distinct pieces of text whose ids a Python worker remembers, from one task to the next.
@@ -242,13 +242,14 @@ class Coder:
         self.frequency = table.astype(np.uint64)
         self.begin = np.cumsum(self.frequency) - self.frequency
         self.filler = int(np.argmax(table)) if len(table) else 0
+        self._frequency, self._begin = self.frequency.astype(np.int64), self.begin.astype(np.int64)
         self._symbol: np.ndarray | None = None
 
     @property
     def symbol(self) -> np.ndarray:
         """The id that each number below ``2 ** bits`` stands for."""
         if self._symbol is None:
-            self._symbol = np.repeat(np.arange(len(self.frequency), dtype=np.uint32), self.frequency.astype(np.int64))
+            self._symbol = np.repeat(np.arange(len(self.frequency)), self._frequency)
         return self._symbol
 
     def encode(self, ids: np.ndarray) -> dict[str, bytes]:
@@ -282,27 +283,32 @@ class Coder:
 
     def decode(self, block: dict, n_ids: int, first: int = 0, last: int | None = None) -> np.ndarray:
         """The ids from checkpoint ``first`` up to checkpoint ``last`` (default: the end), checked."""
-        words = np.frombuffer(block["words"], "<u4").astype(np.uint64)
-        states = np.frombuffer(block["states"], "<u8").reshape(-1, LANES)[first:last].copy()
-        place = np.frombuffer(block["places"], "<u4")[first:last].astype(np.int64)
+        # States stay below 2 ** 63, so signed numbers hold them and serve as places without a copy.
+        words = np.frombuffer(block["words"], "<u4").astype(np.int64)
+        states = np.frombuffer(block["states"], "<u8").astype(np.int64).reshape(-1, LANES)[first:last].copy()
+        place = np.frombuffer(block["places"], "<u4")[first:last].astype(np.int64) - 1
         checks = np.frombuffer(block["checks"], "<u4")[first:last]
         steps = -(-n_ids // LANES) - first * EVERY
         out = np.empty((len(states), EVERY, LANES), np.uint32)
-        mask, shift = np.uint64((1 << int(self.bits)) - 1), np.uint64(32)
+        bits = int(self.bits)
+        mask = (1 << bits) - 1
         for step in range(EVERY):
             # Only the last checkpoint of the block may have fewer steps than the others.
             live = len(states) if steps - (len(states) - 1) * EVERY > step else len(states) - 1
             if not live:
                 break
-            slot = states[:live] & mask
-            symbol = self.symbol[slot]
+            state = states[:live]
+            slot = state & mask
+            symbol = self.symbol.take(slot)
             out[:live, step] = symbol
-            state = self.frequency[symbol] * (states[:live] >> self.bits) + slot - self.begin[symbol]
-            short = state < _LOW
+            state >>= bits
+            state *= self._frequency.take(symbol)
+            state += slot
+            state -= self._begin.take(symbol)
+            short = state < int(_LOW)
             counted = np.cumsum(short, axis=1)
-            at = (place[:live, None] + counted - 1)[short]
-            state[short] = state[short] << shift | words[at]
-            states[:live] = state
+            at = (counted + place[:live, None])[short]
+            state[short] = state[short] << 32 | words.take(at)
             place[:live] += counted[:, -1]
         ids = out.reshape(-1)[: max(0, min(n_ids - first * EVERY * LANES, out.size))]
         for number, check in enumerate(checks.tolist()):

@@ -96,7 +96,7 @@ def test_round_trip_and_checkpoints(size):
 
 def test_size_is_near_the_entropy():
     rng = np.random.default_rng(7)
-    ids = np.minimum(rng.zipf(1.5, 600_000), 40_000).astype(np.uint32)
+    ids = np.minimum(rng.zipf(1.5, 1_200_000), 40_000).astype(np.uint32)
     counts = np.bincount(ids)
     share = counts[counts > 0] / len(ids)
     bits = -(share * np.log2(share)).sum() * len(ids)
@@ -114,7 +114,7 @@ def test_one_id_only():
 
 
 def test_damage_is_noticed():
-    ids = np.random.default_rng(2).integers(0, 1000, 400_000).astype(np.uint32)
+    ids = np.random.default_rng(2).integers(0, 1000, 900_000).astype(np.uint32)
     coder = Coder(frequencies(np.bincount(ids)))
     block = coder.encode(ids)
     words = bytearray(block["words"])
