@@ -644,6 +644,17 @@ _ORDERS = {
     "inconsistent_capitalization": _variants("priority", "lower(trim(priority))", "trim(priority)", "low").replace("dirty_customer", "dirty_orders"),
 }
 ORACLES["analysis_orders"] = _union(f"SELECT '{check}' AS check_id, * FROM ({sql})" for check, sql in _ORDERS.items())
+_GIVEN = {
+    c: f"SELECT 'business_rule' AS check_id, * FROM ({_brief(c, chr(39) + 'high' + chr(39), f'count(*) FILTER (WHERE {_gap(c)})', 'dirty_orders')})"
+    for c in ("amount", "order_date")
+}
+ORACLES["checks_beside_failing_ones"] = _union(
+    [ORACLES["analysis_orders"], *_GIVEN.values()]
+    + [
+        f"SELECT 'skipped: {name}', NULL, NULL, NULL, NULL FROM (SELECT count(*) FROM orders)"
+        for name in ("breaking", "breaking_on_rows", "business_rule unreadable_pattern")
+    ]
+)
 
 # ------------------------------------------------------------------ suggestions and reports
 
@@ -727,6 +738,7 @@ _INTEGERS = {
     "functional_dependencies": ("evidence_rows", "recoverable_rows", "unrecoverable_rows"),
     "proposals": ("affected_rows",),
     "analysis_orders": ("affected_rows",),
+    "checks_beside_failing_ones": ("affected_rows",),
 }
 
 

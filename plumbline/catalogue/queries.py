@@ -806,6 +806,37 @@ def analysis_orders(spark, sf_dir):
     return run_checks(_context(review)).select("check_id", *BRIEF)
 
 
+@query("checks_beside_failing_ones")
+def checks_beside_failing_ones(spark, sf_dir):
+    """All checks of an analysis, two of which fail while they run, and a rule that does."""
+    review = review_of(spark, sf_dir, "dirty_orders")
+    broken = rl.Regex("unreadable_pattern", column="priority", pattern="[0-9")
+    rules = rl.RuleSet((rl.NotNull("amount_given", column="amount"), broken, rl.NotNull("status_given", column="order_date")))
+    fail = F.raise_error(F.concat(F.lit("cannot judge "), F.col("column")))
+
+    def breaking() -> checks.Verdict:
+        return checks.Verdict(fail.cast("boolean"), F.lit("high"), F.lit(0), F.lit(""), F.lit(""), F.lit("{}"))
+
+    def breaking_on_rows(context):
+        nothing = F.lit("")
+        struct = checks.finding("breaking_on_rows", "", F.lit("high"), F.col("column"), fail, nothing, F.lit(0), F.col("row_count"), nothing)
+        return checks.as_findings(context.facts, [struct])
+
+    checks.column_check("breaking")(breaking)
+    checks.dataset_check("breaking_on_rows")(breaking_on_rows)
+    try:
+        run = checks.run_isolated(_context(review, rules))
+    finally:
+        checks.COLUMN_CHECKS.pop("breaking")
+        checks.DATASET_CHECKS.pop("breaking_on_rows")
+    found = run.findings.select("check_id", *BRIEF)
+    named = run.skipped.select(
+        F.concat(F.lit("skipped: "), F.concat_ws(" ", "check_id", "part")).alias("check_id"), F.lit(None).cast("string").alias("column"),
+        F.lit(None).cast("string").alias("severity"), F.lit(None).cast("bigint").alias("affected_rows"), F.lit(None).cast("bigint").alias("row_count"),
+    )
+    return found.unionByName(named)
+
+
 # ------------------------------------------------------------------ files and history
 
 

@@ -7,6 +7,7 @@ Value mappings and lookups are joins; only removing duplicate rows groups the ta
 from __future__ import annotations
 
 import logging
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,7 @@ from plumbline.operators.dataset import (
 )
 from plumbline.operators.evidence import filler_rows
 from plumbline.operators.frequency import short_form
+from plumbline.operators.isolation import reason, surviving
 from plumbline.operators.propose import LIST_MARK, Proposals
 
 log = logging.getLogger(__name__)
@@ -200,30 +202,26 @@ def apply_corrections(data: Dataset, proposals: Proposals, decisions: DataFrame)
     """Apply what was approved and count what changed.
 
     The counts come from one aggregate over the corrected rows, however many corrections
-    there are. A correction that does not fit the table is skipped; one that changes nothing
-    is not recorded.
+    there are. A correction that does not fit the table, or fails while it runs, is skipped and
+    the others are made; one that changes nothing is not recorded.
     """
     chosen = [row.asDict() for row in approved_in_order(proposals.table, decisions).collect()]
-    current, offers = data, {}
-    for offer in chosen:
-        if offer["action"] == "drop_duplicate_rows":
-            continue
-        name, mapping = offer["column"], mapping_of(proposals, offer)
-        try:
-            df = with_correction(
-                current.frame, current, offer["action"], name, offer["parameters"] or {}, mapping, "__after"
-            )
-        except CorrectionError as error:
-            log.error("Correction %s skipped: %s", offer["proposal_id"], error)
-            continue
-        flag = f"{_FLAG}{len(offers)}"
-        df = df.withColumn(flag, changed(col(name), F.col("__after")))
-        kept = [F.col("__after").alias(name) if column == name else col(column) for column in data.frame.columns]
-        offers[flag] = offer
-        current = _Stepped(df.select(*kept, *offers), data.name)
-    # Counts, duplicate removal and the new analysis all read the corrected rows.
-    corrected = materialise(current.frame) if offers else current.frame
-    counted = corrected.agg(*[F.count_if(flag).alias(flag) for flag in offers]).first() if offers else {}
+    on_cells = [offer for offer in chosen if offer["action"] != "drop_duplicate_rows"]
+    attempted: dict[tuple[str, ...], tuple[DataFrame, dict[str, int]]] = {}
+
+    def attempt(offers: Sequence[dict]) -> None:
+        attempted[tuple(offer["proposal_id"] for offer in offers)] = _corrected(data, proposals, offers)
+
+    kept, refused = surviving(on_cells, attempt)
+    if len(refused) > 1 and not kept and not any(isinstance(error, CorrectionError) for _, error in refused):
+        raise refused[0][1]  # the fault is not theirs
+    for offer, error in refused:
+        log.error("Correction %s skipped: %s", offer["proposal_id"], reason(error))
+    key = tuple(offer["proposal_id"] for offer in kept)
+    if key not in attempted:
+        attempt(kept)
+    corrected, counted = attempted[key]
+    offers = dict(zip(counted, kept, strict=True))
     applied = [{**offer, "rows_changed": counted[flag]} for flag, offer in offers.items() if counted[flag]]
     result = data.with_frame(corrected.select(*map(col, data.frame.columns)))
 
@@ -242,6 +240,27 @@ def apply_corrections(data: Dataset, proposals: Proposals, decisions: DataFrame)
 _FLAG = "__changed_"
 
 
+def _corrected(data: Dataset, proposals: Proposals, offers: Sequence[dict]) -> tuple[DataFrame, dict[str, int]]:
+    """The rows after some corrections of cells, with a change flag for each, and how many cells each changed.
+
+    They are computed here: counts, duplicate removal and the new analysis all read them.
+    """
+    current, flags = data, []
+    for offer in offers:
+        name, mapping = offer["column"], mapping_of(proposals, offer)
+        df = with_correction(
+            current.frame, current, offer["action"], name, offer["parameters"] or {}, mapping, "__after"
+        )
+        flags.append(f"{_FLAG}{len(flags)}")
+        df = df.withColumn(flags[-1], changed(col(name), F.col("__after")))
+        kept = [F.col("__after").alias(name) if column == name else col(column) for column in data.frame.columns]
+        current = _Stepped(df.select(*kept, *flags), data.name)
+    if not flags:
+        return current.frame, {}
+    corrected = materialise(current.frame)
+    return corrected, corrected.agg(*[F.count_if(flag).alias(flag) for flag in flags]).first().asDict()
+
+
 class _Stepped(Dataset):
     """A dataset that carries a change flag per correction beside its columns."""
 

@@ -8,7 +8,7 @@ of either kind with :func:`column_check` and :func:`dataset_check`.
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from datetime import date
 from functools import lru_cache
@@ -31,6 +31,7 @@ from plumbline.operators.dataset import (
     materialise,
     pinned,
     row_digest,
+    small_table,
 )
 from plumbline.operators.findings import (
     EVIDENCE_ROWS,
@@ -41,6 +42,7 @@ from plumbline.operators.findings import (
     no_findings,
     phrase,
 )
+from plumbline.operators.isolation import halved, reason, surviving
 
 log = logging.getLogger(__name__)
 
@@ -112,26 +114,109 @@ def check_ids() -> list[str]:
     return sorted([*COLUMN_CHECKS, *DATASET_CHECKS])
 
 
-def run_checks(context: Context, only: Iterable[str] | None = None) -> DataFrame:
-    """Findings of every check, or of those in ``only``. A check that fails is skipped."""
-    wanted = set(check_ids() if only is None else only)
-    structs = []
-    for check_id, (issue, build) in sorted(COLUMN_CHECKS.items()):
-        if check_id in wanted:
-            try:
-                structs.append(_column_finding(check_id, issue, build, context.data.spark.sparkContext))
-            except Exception:  # noqa: BLE001 - one broken check must not cost the others
-                log.exception("Check %s could not be built", check_id)
+#: Checks that several parts of their own make up: check id -> the contexts of two halves, none when there is one part.
+HALVES: dict[str, Callable[[Context], list[Context]]] = {}
+
+
+@dataclass
+class _Part:
+    """A check, or half of one, that gives findings and may fail while it is built or run."""
+
+    check_id: str
+    context: Context
+    found: DataFrame | None = None
+
+    def findings(self) -> DataFrame:
+        if self.found is None:
+            self.found = DATASET_CHECKS[self.check_id](self.context).select(*FINDING_COLUMNS)
+        return self.found
+
+
+def _together(parts: Sequence[_Part]) -> DataFrame:
+    """Findings of some checks: all column checks in one projection, then the others."""
+    context = parts[0].context
+    structs = [
+        _column_finding(part.check_id, *COLUMN_CHECKS[part.check_id], context.data.spark.sparkContext)
+        for part in parts
+        if part.check_id in COLUMN_CHECKS
+    ]
     found = as_findings(context.facts, structs) if structs else no_findings(context.data.spark)
-    for check_id, run in sorted(DATASET_CHECKS.items()):
-        if check_id in wanted:
-            try:
-                found = found.unionByName(run(context).select(*FINDING_COLUMNS))
-            except Exception:  # noqa: BLE001
-                log.exception("Check %s failed", check_id)
+    for part in parts:
+        if part.check_id in DATASET_CHECKS:
+            found = found.unionByName(part.findings())
     return found
 
 
+def _parts(context: Context, only: Iterable[str] | None) -> list[_Part]:
+    wanted = set(check_ids() if only is None else only)
+    return [_Part(check_id, context) for check_id in [*sorted(COLUMN_CHECKS), *sorted(DATASET_CHECKS)] if check_id in wanted]
+
+
+def run_checks(context: Context, only: Iterable[str] | None = None) -> DataFrame:
+    """Findings of every check, or of those in ``only``, as one plan.
+
+    A check that cannot be built is left out. One that fails while the plan runs fails the plan;
+    see :func:`run_isolated`.
+    """
+    parts = _parts(context, only)
+    kept, refused = surviving(parts, lambda some: _together(some))
+    _report(refused)
+    return _together(kept) if kept else no_findings(context.data.spark)
+
+
+@dataclass(frozen=True)
+class CheckRun:
+    """What the checks found, and which of them failed: ``check_id, part, reason``."""
+
+    findings: DataFrame
+    skipped: DataFrame
+
+
+_SKIPPED_DDL = "check_id string, part string, reason string"
+
+
+def run_isolated(context: Context, only: Iterable[str] | None = None) -> CheckRun:
+    """Findings of every check, or of those in ``only``, computed now.
+
+    All checks run in one plan. If that fails, halves of them run, down to the checks at fault,
+    which are named and skipped; a rule set is halved on down to its rules. If several checks run and
+    all of them fail, the fault is not theirs and the first error is raised.
+    """
+    parts = _parts(context, only)
+
+    def attempt(some: Sequence[_Part]) -> list[dict]:
+        return [row.asDict(recursive=True) for row in _together(some).collect()]
+
+    results, refused = halved(parts, attempt)
+    if len(parts) > 1 and len(refused) == len(parts):
+        raise refused[0][1]
+    failed: list[tuple[_Part, Exception]] = []
+    while refused:
+        part, error = refused.pop()
+        halves = HALVES[part.check_id](part.context) if part.check_id in HALVES else []
+        if not halves:
+            failed.append((part, error))
+            continue
+        more, fail = halved([_Part(part.check_id, half) for half in halves], attempt)
+        results += more
+        refused += fail
+    _report(failed)
+    rows = [row for result in results for row in result]
+    spark = context.data.spark
+    skipped = [(part.check_id, _part_name(part), reason(error)) for part, error in failed]
+    return CheckRun(small_table(spark, rows, no_findings(spark).schema), spark.createDataFrame(sorted(skipped, key=str), _SKIPPED_DDL))
+
+
+def _part_name(part: _Part) -> str | None:
+    rules = getattr(part.context.rules, "rules", ()) if part.check_id in HALVES else ()
+    return rules[0].name if len(rules) == 1 else None
+
+
+def _report(failed: list[tuple[_Part, Exception]]) -> None:
+    for part, error in failed:
+        log.error("Check %s failed and is skipped: %s", part.check_id, reason(error))
+
+
 @lru_cache(maxsize=256)
 def _column_finding(check_id: str, issue: str, build: Callable[[], Verdict], _: SparkContext) -> Column:
     """A check's finding; the expression is the same for every table, so it is kept."""

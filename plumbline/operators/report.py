@@ -116,6 +116,7 @@ def report_tables(analysis, proposals: DataFrame, decisions: DataFrame, cleaned=
         "advisory_findings": found.filter(F.col("source") != DETERMINISTIC),
         "decisions": decision_counts(proposals, decisions),
         "proposals": with_status(proposals, decisions).orderBy("position"),
+        "skipped_checks": analysis.skipped,
     }
     if cleaned is not None:
         tables["applied"] = cleaned.applied

@@ -8,7 +8,7 @@ file may serve several tables.
 from __future__ import annotations
 
 import logging
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 from datetime import date, timedelta
 from pathlib import Path
 
@@ -21,7 +21,7 @@ from plumbline.functions import text as tx
 from plumbline.functions.dates import with_dates
 from plumbline.functions.numbers import with_number
 from plumbline.functions.severity import SEVERITIES, percent
-from plumbline.operators.checks import Context, dataset_check
+from plumbline.operators.checks import HALVES, Context, dataset_check
 from plumbline.operators.dataset import ROW_ID, Dataset, col, first_per_group, lookup, materialise, row_digest, small_table
 from plumbline.operators.findings import EVIDENCE_ROWS, as_findings, details, finding, no_findings, phrase
 
@@ -455,6 +455,19 @@ def business_rules(context: Context) -> DataFrame:
     return found
 
 
+def _halves(context: Context) -> list[Context]:
+    """The applicable rules in two halves; rules that do not fit the table stay with the first."""
+    rules: RuleSet | None = context.rules
+    fits, misfits = rules.split(context.data.columns) if rules is not None else ([], [])
+    if len(fits) + bool(misfits) < 2:
+        return []
+    middle = len(fits) // 2
+    return [replace(context, rules=replace(rules, rules=tuple(part))) for part in (misfits + fits[:middle], fits[middle:]) if part]
+
+
+HALVES["business_rule"] = _halves
+
+
 def _skipped_finding(context: Context, skipped: list[Rule]) -> DataFrame:
     names = [rule.name for rule in skipped]
     listed = F.array(

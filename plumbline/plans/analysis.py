@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as tx
 from plumbline.functions.severity import percent, ratio_severity
 from plumbline.operators import checks, profile
-from plumbline.operators.checks import Context, run_checks
+from plumbline.operators.checks import Context, run_isolated
 from plumbline.operators.dataset import Dataset, Intermediates, col, collecting, materialise, pinned
 from plumbline.operators.evidence import attach_rows
 from plumbline.operators.findings import FINDING_COLUMNS, as_findings, details, finding, phrase
@@ -38,12 +38,16 @@ class Review:
 
 @dataclass
 class Analysis:
-    """The result of one run. Every table is small except the data itself."""
+    """The result of one run. Every table is small except the data itself.
+
+    ``skipped`` names the checks that failed, with the reason; their findings are missing.
+    """
 
     review: Review
     findings: DataFrame
     column_scores: DataFrame
     score: DataFrame
+    skipped: DataFrame
     rules: RuleSet | None = None
     analysis_id: str = field(default_factory=lambda: uuid.uuid4().hex)
     created_at: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
@@ -73,6 +77,7 @@ class Analysis:
             "columns": len(self.data.columns),
             "findings": self.findings.count(),
             "quality_score": self.score.first().overall,
+            "skipped_checks": [row.check_id for row in self.skipped.collect()],
         }
 
 
@@ -118,12 +123,13 @@ def analyze(
     with collecting() as intermediates:
         review = measure(data, as_of)
         context = Context(data, review.facts, review.row_count, review.as_of, rules, row_ids, data.notes)
-        found, _ = pinned(run_checks(context, only))
+        run = run_isolated(context, only)
+        found = run.findings
         if row_ids:
             found, _ = pinned(attach_rows(review, found))
         scores, _ = pinned(column_scores(found, review.profiles))
         total, _ = pinned(quality_score(found, scores))
-    return Analysis(review, found, scores, total, rules, intermediates=intermediates)
+    return Analysis(review, found, scores, total, run.skipped, rules, intermediates=intermediates)
 
 
 def structural_findings(data: Dataset, rules: RuleSet | None = None, as_of: date | None = None) -> DataFrame:

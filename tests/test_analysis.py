@@ -14,6 +14,8 @@ from plumbline.operators.checks import Verdict, column_check, run_checks
 from plumbline.operators.dataset import ROW_ID, Dataset, ShapeError, first_per_group
 from plumbline.operators.findings import worst_first
 from plumbline.operators.frequency import value_counts
+from plumbline.operators.isolation import halved, reason, surviving
+from plumbline.operators.rules import NotNull, Regex, RuleSet, Unique
 from plumbline.operators.sampling import evenly_spaced_sample
 from plumbline.plans.analysis import structural_findings
 
@@ -220,23 +222,99 @@ def test_first_per_group(spark):
     assert {r.g: r.ids for r in got.collect()} == {g: [g, g + 3, g + 6, g + 9] for g in range(3)}
 
 
-def test_checks_can_be_added_and_fail_alone(table):
-    @column_check("always")
-    def always():
-        return Verdict(F.lit(True), F.lit("info"), F.lit(0), F.lit("t"), F.lit("e"), F.lit("{}"))
+@pytest.fixture
+def extra_checks():
+    """Register checks for one test: ``add(name, verdict, on_rows=False)``."""
+    added = []
 
-    @column_check("broken")
-    def broken():
-        raise RuntimeError("no")
+    def add(name, build, on_rows=False):
+        (checks.dataset_check if on_rows else column_check)(name)(build)
+        added.append(name)
 
-    try:
-        with pytest.raises(ValueError):
-            column_check("always")(always)
-        review = measure(table(a=["x"]), AS_OF)
-        context = checks.Context(review.data, review.facts, 1, AS_OF, row_ids=False)
-        assert [r.check_id for r in run_checks(context, ["always", "broken"]).collect()] == ["always"]
-    finally:
-        checks.COLUMN_CHECKS.pop("always"), checks.COLUMN_CHECKS.pop("broken")
+    yield add
+    for name in added:
+        checks.COLUMN_CHECKS.pop(name, None), checks.DATASET_CHECKS.pop(name, None)
+
+
+def always():
+    return Verdict(F.lit(True), F.lit("info"), F.lit(0), F.lit("t"), F.lit("e"), F.lit("{}"))
+
+
+def raising_verdict():
+    return Verdict(F.raise_error(F.concat(F.lit("no verdict on "), F.col("column"))).cast("boolean"), F.lit("info"), F.lit(0), F.lit("t"), F.lit("e"), F.lit("{}"))
+
+
+def unbuildable():
+    raise RuntimeError("no")
+
+
+def test_checks_can_be_added_and_fail_alone(table, extra_checks):
+    extra_checks("always", always)
+    extra_checks("broken", unbuildable)
+    with pytest.raises(ValueError):
+        column_check("always")(always)
+    review = measure(table(a=["x"]), AS_OF)
+    context = checks.Context(review.data, review.facts, 1, AS_OF, row_ids=False)
+    assert [r.check_id for r in run_checks(context, ["always", "broken"]).collect()] == ["always"]
+
+
+def test_checks_that_fail_while_running_are_named_and_skipped(table, extra_checks):
+    data = table(a=["x", None, " y"], b=["1", "2", "x"])
+    whole = analyze(data, as_of=AS_OF)
+    assert whole.skipped.isEmpty() and whole.summary()["skipped_checks"] == []
+    extra_checks("always", always)
+    extra_checks("broken", unbuildable)
+    extra_checks("raising", raising_verdict)
+    extra_checks("raising_rows", lambda context: context.findings_that_are_not_there, on_rows=True)
+    extra_checks("raising_late", lambda context: checks.as_findings(context.facts, [F.when(raising_verdict().fires, checks.finding(
+        "raising_late", "x", F.lit("low"), F.lit(None), F.lit(""), F.lit(""), F.lit(1), F.lit(1), F.lit("{}")))]), on_rows=True)
+    run = analyze(data, as_of=AS_OF)
+    assert sorted(row.check_id for row in run.skipped.collect()) == ["broken", "raising", "raising_late", "raising_rows"]
+    reasons = {row.check_id: row.reason for row in run.skipped.collect()}
+    assert "no verdict on" in reasons["raising"] and "RuntimeError: no" == reasons["broken"]
+    before, after = ({(r.check_id, r.column, r.affected_rows, tuple(r.row_ids)) for r in each.findings.collect()} for each in (whole, run))
+    assert after - before == {("always", "a", 0, ()), ("always", "b", 0, ())} and before <= after
+    assert run.score.first() is not None and "raising" in run.summary()["skipped_checks"]
+
+
+def test_a_failing_rule_leaves_the_other_rules(table):
+    data = table(a=["x", None, "y"], b=["1", "2", "3"])
+    rules = RuleSet((NotNull("given", column="a"), Regex("broken", column="b", pattern="[0-"), NotNull("also", column="b"), Unique("once", columns=("a",)), NotNull("else", column="z")))
+    run = analyze(data, rules, AS_OF)
+    assert [(row.check_id, row.part) for row in run.skipped.collect()] == [("business_rule", "broken")]
+    found = {r.title: r for r in run.findings.filter("check_id = 'business_rule'").collect()}
+    assert set(found) == {"Business rule failed: given", "Rules that do not fit this table: 1"}
+    assert found["Business rule failed: given"].row_ids == [1]
+
+
+def test_when_nothing_runs_the_error_is_raised(table, extra_checks):
+    review = measure(table(a=["x"]), AS_OF)
+    context = checks.Context(review.data, review.facts.withColumn("row_count", F.raise_error(F.lit("no facts")).cast("bigint")), 1, AS_OF, row_ids=False)
+    with pytest.raises(Exception, match="no facts"):
+        checks.run_isolated(context, ["missing_values", "constant_column"])
+    assert checks.run_isolated(context, ["missing_values"]).skipped.count() == 1
+
+
+def test_halving_finds_every_culprit():
+    tried = []
+
+    def attempt(items):
+        tried.append(list(items))
+        if any(item < 0 for item in items):
+            raise ValueError(str(items))
+        return sum(items)
+
+    results, refused = halved([1, 2, -3, 4, 5, -6, 7], attempt)
+    assert sum(results) == 19 and [item for item, _ in refused] == [-3, -6]
+    assert halved([], attempt) == ([], []) and halved([1, 2], attempt) == ([3], [])
+
+    def growing(items):
+        if any(b < a for a, b in zip(items, items[1:])):
+            raise ValueError
+
+    kept, refused = surviving([1, 5, 2, 6, 3], growing)
+    assert kept == [1, 5, 6] and [item for item, _ in refused] == [2, 3]
+    assert reason(ValueError("one\ntwo")) == "ValueError: one" and reason(ValueError()) == "ValueError"
 
 
 def test_shape_guards(spark, table):
