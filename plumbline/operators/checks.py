@@ -506,8 +506,13 @@ def _corrupted_encoding() -> Verdict:
 # ------------------------------------------------------------------ facts behind the checks
 
 
-def with_check_facts(facts: DataFrame, values: DataFrame, trimmed: DataFrame, folded: DataFrame, as_of: date) -> DataFrame:
-    """Add what the value-group checks need: fillers, spelling groups and examples."""
+def with_check_facts(
+    facts: DataFrame, values: DataFrame, trimmed: DataFrame, folded: DataFrame, as_of: date, cells: DataFrame | None = None
+) -> DataFrame:
+    """Add what the value-group checks need: fillers, spelling groups and examples.
+
+    ``cells`` has the cells of columns whose distinct values are not all in ``values``.
+    """
     counted = facts.withColumns(
         {
             "as_of": F.lit(as_of),
@@ -523,7 +528,7 @@ def with_check_facts(facts: DataFrame, values: DataFrame, trimmed: DataFrame, fo
         counted.join(filler_facts(folded, counted), "pos", "left")
         .join(case_facts(trimmed, counted), "pos", "left")
         .join(category_facts(trimmed, counted), "pos", "left")
-        .join(example_facts(values, counted), "pos", "left")
+        .join(example_facts(values, counted, cells), "pos", "left")
     )
 
 
@@ -622,7 +627,19 @@ def category_facts(trimmed: DataFrame, facts: DataFrame) -> DataFrame:
     return _spelling_groups(trimmed, category_columns(facts), "key", "fold", "category")
 
 
-def example_facts(values: DataFrame, facts: DataFrame) -> DataFrame:
+def may_offend(fact: dict) -> bool:
+    """Whether any value of a column can be an example of :func:`example_facts`, by its counts."""
+    text = fact["kind"] == "text"
+    short_of = lambda count: text and fact["present_count"] > fact[count]
+    return bool(
+        (fact["is_temporal"] and (short_of("date_count") or (fact["past_name"] and fact["future_count"])))
+        or (fact["semantic_type"] == "email" and short_of("email_count"))
+        or (fact["is_numeric"] and (fact["decorated_count"] or fact["extreme_count"] or fact["implausible_age_count"] or fact["negative_count"]))
+        or (text and (fact["padded_present"] or fact["repairable_count"]))
+    )
+
+
+def example_facts(values: DataFrame, facts: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """The first few offending values of each check: a map from check id to texts."""
     known = facts.select(
         "pos", "is_numeric", "is_temporal", "semantic_type", "age_name", "amount_name", "past_name", "mean", "std_dev", "as_of"
@@ -653,9 +670,16 @@ def example_facts(values: DataFrame, facts: DataFrame) -> DataFrame:
         F.when(hit, F.struct(F.lit(check).alias("check"), example.alias("example")))
         for check, (hit, example) in offences.items()
     ]
-    hits = values.join(F.broadcast(known), "pos").select(
-        "pos", "first_row", F.inline(F.array_compact(F.array(*flags)))
-    )
+
+    def offending(table: DataFrame) -> DataFrame:
+        return table.join(F.broadcast(known), "pos").select("pos", "first_row", raw.alias("raw"), F.inline(F.array_compact(F.array(*flags))))
+
+    hits = offending(values)
+    if cells is not None:
+        # Cells repeat; a value is one example, however often it stands there.
+        once = offending(cells).filter("example IS NOT NULL").groupBy("pos", "raw", "check", "example").agg(F.min("first_row").alias("first_row"))
+        hits = hits.unionByName(once)
+    hits = hits.drop("raw")
     ranked = first_per_group(
         hits.filter("example IS NOT NULL"), ["pos", "check"], [F.asc("first_row"), F.asc("example")], EXAMPLES
     )

@@ -3,13 +3,20 @@
 Nearly every judgement about a column depends on the value alone. Judging a distinct value
 and weighting it by its count costs one shuffle of map-side combined rows, and a value that
 fills a third of the table arrives as one row per map task.
+
+Of a column whose values are nearly all distinct such a table would be as long as the column and
+several times as wide. A cardinality sketch finds these columns before anything is grouped. Their
+cells are judged where they are read, distinct values are counted by grouping them without their
+judgements, and only the values that something is said about are kept (:func:`frequencies`).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,12 +24,19 @@ from plumbline.functions import text as tx
 from plumbline.functions.dates import date_steps
 from plumbline.functions.numbers import number_steps
 from plumbline.functions.steps import Steps, read_with, side_by_side
-from plumbline.operators.dataset import ROW_ID, Dataset, col
+from plumbline.operators.dataset import ROW_ID, Dataset, col, first_per_group, lookup, materialise, small_table
 
 #: Text longer than this travels in a short form plus the judgements made on the whole text.
 LONG_TEXT = 256
 #: Characters that the short form shows; a digest of the whole text follows them.
 SHOWN_OF_LONG = 200
+#: Columns with fewer distinct values are always counted in full.
+NEAR_UNIQUE = 20_000
+#: Distinct values for each row from which a column counts as nearly unique. Text above its share cannot
+#: be categorical, whatever the error of the sketch.
+NATIVE_SHARE, TEXT_SHARE = 0.1, 0.3
+#: Most frequent and first values that are kept of a nearly unique column.
+KEPT_TOP, KEPT_FIRST = 10, 5
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _MOMENT = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -149,12 +163,32 @@ def with_judgements(df: DataFrame) -> DataFrame:
     return read_with(df, F.col("s"), judgement_steps)
 
 
-def long_text_positions(data: Dataset, positions: list[int]) -> set[int]:
-    """Text columns holding at least one long value, from one aggregate pass."""
-    if not positions:
-        return set()
-    widths = data.frame.agg(*[F.max(F.length(col(data.columns[p]))).alias(str(p)) for p in positions]).first()
-    return {p for p in positions if (widths[str(p)] or 0) > LONG_TEXT}
+@dataclass(frozen=True)
+class Sketch:
+    """What one pass tells of a column: rows, about how many distinct values, and the longest text."""
+
+    rows: int
+    distinct: int
+    longest: int
+
+    def near_unique(self, kind: str, least: int) -> bool:
+        share = TEXT_SHARE if kind == "text" else NATIVE_SHARE
+        return self.distinct > least and self.distinct > share * self.rows
+
+
+def column_sketches(data: Dataset, positions: Iterable[int]) -> dict[int, Sketch]:
+    """Sketches of some columns, from one aggregate over the table."""
+    kinds = {p: kind_of(data.type_of(data.columns[p])) for p in positions}
+    if not kinds:
+        return {}
+    sums = [F.count(F.lit(1)).alias("rows")]
+    for p, kind in kinds.items():
+        if kind != "other":
+            sums.append(F.approx_count_distinct(col(data.columns[p])).alias(f"d{p}"))
+        if kind == "text":
+            sums.append(F.max(F.length(col(data.columns[p]))).alias(f"w{p}"))
+    row = data.frame.agg(*sums).first().asDict()
+    return {p: Sketch(row["rows"], row.get(f"d{p}") or 0, row.get(f"w{p}") or 0) for p in kinds}
 
 
 def text_cells(data: Dataset, positions: list[int]) -> DataFrame:
@@ -171,7 +205,6 @@ def _text_counts(data: Dataset, positions: list[int], long: bool) -> DataFrame:
     table = text_cells(data, positions)
     table = table.filter(F.length("s") > LONG_TEXT) if long else table.filter(F.col("s").isNull() | (F.length("s") <= LONG_TEXT))
     counts = [F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias("first_row")]
-    is_long = F.coalesce(F.col("size") > LONG_TEXT, F.lit(False))
     if long:
         packed = with_judgements(table).select(
             ROW_ID, "pos", short_form(F.col("s")).alias("s"), F.struct(*JUDGEMENTS).alias("j")
@@ -179,11 +212,16 @@ def _text_counts(data: Dataset, positions: list[int], long: bool) -> DataFrame:
         values = packed.groupBy("pos", "s", "j").agg(*counts).select("pos", "s", "n", "first_row", "j.*")
     else:
         values = with_judgements(table.groupBy("pos", "s").agg(*counts))
+    return _judged_text(values)
+
+
+def _judged_text(values: DataFrame) -> DataFrame:
+    """Judged texts with ``pos, s, n, first_row`` as rows of the frequency table."""
     given = F.col("t").isNotNull()
     return values.withColumns(
         {
             "is_text": F.lit(True),
-            "is_long": is_long,
+            "is_long": F.coalesce(F.col("size") > LONG_TEXT, F.lit(False)),
             "shown": F.col("t"),
             "given": given,
             "present": given & ~F.coalesce("blank", F.lit(False)),
@@ -191,17 +229,27 @@ def _text_counts(data: Dataset, positions: list[int], long: bool) -> DataFrame:
     ).select(*VALUE_COLUMNS)
 
 
-def _native_counts(data: Dataset, kinds: dict[int, str]) -> DataFrame:
-    """Distinct typed values with their number, moment and display text."""
+def _slots(data: Dataset, kinds: dict[int, str]) -> tuple[dict[int, dict[str, Column]], str]:
+    """The slots that native columns travel in, and the letters of those in use."""
     slots = {
         position: dict([_slot(col(data.columns[position]), kind)]) for position, kind in kinds.items()
     }
-    letters = "".join(letter for letter in "sldm" if any(letter in slot for slot in slots.values()))
+    return slots, "".join(letter for letter in "sldm" if any(letter in slot for slot in slots.values()))
+
+
+def _native_counts(data: Dataset, kinds: dict[int, str]) -> DataFrame:
+    """Distinct typed values with their number, moment and display text."""
+    slots, letters = _slots(data, kinds)
     counted = (
         _unpivot(data, slots, letters)
         .groupBy("pos", *letters)
         .agg(F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias("first_row"))
     )
+    return _judged_natives(counted, kinds, letters)
+
+
+def _judged_natives(counted: DataFrame, kinds: dict[int, str], letters: str) -> DataFrame:
+    """Typed values with ``pos``, their slots, ``n`` and ``first_row`` as rows of the frequency table."""
     for letter, data_type in _SLOT_TYPES.items():
         if letter not in letters:
             counted = counted.withColumn(letter, F.lit(None).cast(data_type))
@@ -243,16 +291,256 @@ def value_counts(data: Dataset, columns: list[str] | None = None) -> DataFrame:
     display; the judgements; ``n``; ``first_row``. Missing values stay in, one row a column.
     """
     names = data.columns if columns is None else columns
-    kinds = {data.columns.index(name): kind_of(data.type_of(name)) for name in names}
-    texts = [position for position, kind in kinds.items() if kind == "text"]
-    natives = {position: kind for position, kind in kinds.items() if kind != "text"}
-    long = long_text_positions(data, texts)
-    parts = [_text_counts(data, chosen, is_long) for chosen, is_long in ((texts, False), (sorted(long), True)) if chosen]
+    positions = [data.columns.index(name) for name in names]
+    texts = [p for p in positions if kind_of(data.type_of(data.columns[p])) == "text"]
+    longest = {p: sketch.longest for p, sketch in column_sketches(data, texts).items()}
+    return _all_counts(data, positions, longest)
+
+
+def _all_counts(data: Dataset, positions: list[int], longest: dict[int, int]) -> DataFrame:
+    kinds = {p: kind_of(data.type_of(data.columns[p])) for p in positions}
+    texts = [p for p, kind in kinds.items() if kind == "text"]
+    natives = {p: kind for p, kind in kinds.items() if kind != "text"}
+    long = [p for p in texts if longest[p] > LONG_TEXT]
+    parts = [_text_counts(data, chosen, is_long) for chosen, is_long in ((texts, False), (long, True)) if chosen]
     if natives:
         parts.append(_native_counts(data, natives))
     return reduce(DataFrame.unionByName, parts)
 
 
+# ------------------------------------------------------------------ nearly unique columns
+
+
+def judged_cells(data: Dataset, positions: list[int]) -> DataFrame:
+    """The cells of some columns in the form of the frequency table: one row a cell, ``n`` being one."""
+    kinds = {p: kind_of(data.type_of(data.columns[p])) for p in positions}
+    texts = [p for p, kind in kinds.items() if kind == "text"]
+    natives = {p: kind for p, kind in kinds.items() if kind != "text"}
+    once = {"n": F.lit(1).cast("bigint"), "first_row": F.col(ROW_ID)}
+    parts = []
+    if texts:
+        judged = with_judgements(text_cells(data, texts)).withColumns({"s": short_form(F.col("s")), **once})
+        parts.append(_judged_text(judged))
+    if natives:
+        slots, letters = _slots(data, natives)
+        parts.append(_judged_natives(_unpivot(data, slots, letters).withColumns(once), natives, letters))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@dataclass(frozen=True)
+class Distinct:
+    """How many distinct values a nearly unique column has: as given, trimmed, and without letter case."""
+
+    raw: int | None
+    text: int | None
+    folded: int | None
+
+
+@dataclass(frozen=True)
+class Frequencies:
+    """The values of a table's columns, as far as something is said about them.
+
+    ``ordinary`` has every distinct value of the ordinary columns. ``kept`` has the values of nearly
+    unique columns that come first, are most frequent, stand in for missing ones, fill a hundredth of
+    the rows, or differ from others only by letter case; each with its full count.
+    """
+
+    data: Dataset
+    ordinary: DataFrame
+    kept: DataFrame
+    near_unique: dict[int, Distinct]
+
+    @property
+    def values(self) -> DataFrame:
+        return self.ordinary.unionByName(self.kept) if self.near_unique else self.ordinary
+
+    def cells(self, positions: Iterable[int] | None = None) -> DataFrame | None:
+        """The judged cells of nearly unique columns, read from the table; None when there are none."""
+        wanted = [p for p in self.near_unique if positions is None or p in set(positions)]
+        return judged_cells(self.data, wanted) if wanted else None
+
+    def weighted(self, positions: Iterable[int] | None = None) -> DataFrame:
+        """All values of some columns with weights ``n``; a value of a nearly unique column may stand there more than once."""
+        chosen = None if positions is None else list(positions)
+        table = self.ordinary if chosen is None else self.ordinary.filter(F.col("pos").isin(chosen))
+        cells = self.cells(chosen)
+        return table if cells is None else table.unionByName(cells)
+
+    def with_distinct(self, measured: DataFrame) -> DataFrame:
+        """Measures over :meth:`weighted`, ``distinct_raw`` put right for nearly unique columns."""
+        exact = F.col("distinct_raw")
+        for p, distinct in self.near_unique.items():
+            if distinct.raw is not None:
+                exact = F.when(F.col("pos") == p, F.lit(distinct.raw)).otherwise(exact)
+        return measured.withColumn("distinct_raw", exact)
+
+    def distinct_texts(self, folded: DataFrame) -> DataFrame:
+        """``pos, distinct_text, distinct_folded`` of every text column."""
+        near = list(self.near_unique)
+        counted = folded.filter(~F.col("pos").isin(near)).groupBy("pos").agg(
+            F.sum("forms").alias("distinct_text"), F.count(F.lit(1)).alias("distinct_folded")
+        )
+        rows = [(p, d.text, d.folded) for p, d in self.near_unique.items() if d.text]
+        known = self.data.spark.createDataFrame(rows, "pos int, distinct_text bigint, distinct_folded bigint")
+        return counted.unionByName(known) if rows else counted
+
+    def levels(self) -> DataFrame:
+        """``pos, t, n``: every trimmed present text with its rows. Nearly unique columns are grouped here."""
+        texts = [p for p, distinct in self.near_unique.items() if distinct.raw is None]
+        known = self.ordinary.unionByName(judged_cells(self.data, texts)) if texts else self.ordinary
+        return known.filter("is_text AND present").groupBy("pos", "t").agg(F.sum("n").alias("n"))
+
+
+def frequencies(data: Dataset, least: int = NEAR_UNIQUE) -> Frequencies:
+    """Count the values of all columns; of nearly unique ones (more than ``least`` values) only those of interest."""
+    positions = list(range(len(data.columns)))
+    kinds = {p: kind_of(data.type_of(data.columns[p])) for p in positions}
+    sketches = column_sketches(data, positions)
+    near = [p for p in positions if sketches[p].near_unique(kinds[p], least)]
+    ordinary = [p for p in positions if p not in near]
+    longest = {p: sketches[p].longest for p in positions}
+    nothing = data.spark.createDataFrame([], judged_cells(data, near).schema) if near else None
+    counted = materialise(_all_counts(data, ordinary, longest)) if ordinary else nothing
+    if not near:
+        return Frequencies(data, counted, counted, {})
+    texts = [p for p in near if kinds[p] == "text"]
+    rows, early = sketches[near[0]].rows, _early_rows(data, near)
+    kept_natives, distinct = _near_unique_natives(data, {p: kinds[p] for p in near if kinds[p] != "text"}, rows, early)
+    kept_texts, more = _near_unique_texts(data, texts, rows, early)
+    kept = [part for part in (kept_natives, kept_texts) if part is not None]
+    return Frequencies(data, counted, reduce(DataFrame.unionByName, kept, nothing), distinct | more)
+
+
+#: First rows that are searched for the first distinct values of a column.
+_EARLY = 1000
+#: Rows of a column that the first pass over its values may keep.
+_KEPT_AT_ONCE = 500
+
+
+def _early_rows(data: Dataset, positions: list[int]) -> dict[int, int]:
+    """For each column the row by which its first ``KEPT_FIRST`` distinct values have come, if that is soon."""
+    shown = [
+        F.when(~tx.missing(col(data.columns[p]), data.type_of(data.columns[p])), short_form(col(data.columns[p]).cast("string"))).alias(str(p))
+        for p in positions
+    ]
+    rows = data.frame.select(ROW_ID, *shown).orderBy(ROW_ID).limit(_EARLY).collect()
+    found = {}
+    for p in positions:
+        seen = set()
+        for row in rows:
+            seen.add(row[str(p)])
+            if len(seen - {None}) == KEPT_FIRST:
+                found[p] = row[ROW_ID]
+                break
+    return found
+
+
+def _early(positions: Iterable[int], early: dict[int, int]) -> Column:
+    """Whether ``first_row`` is among the early rows of its column."""
+    conditions = [(F.col("pos") == p) & (F.col("first_row") <= early[p]) for p in positions if p in early]
+    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+@dataclass(frozen=True)
+class _Total:
+    """Sums over the distinct values of a column: their rows, how many there are, and how many are kept in any case."""
+
+    n: int
+    values: int
+    forms: int
+    wanted: int
+
+    @property
+    def too_many(self) -> bool:
+        """Whether not all wanted values and the strongest others were found at once."""
+        return self.wanted > _KEPT_AT_ONCE - KEPT_TOP
+
+
+def _kept_and_totals(grouped: DataFrame, positions: list[int], rows: int, strongest: list[Column]) -> tuple[list[dict], dict[int, _Total]]:
+    """The wanted and the ``KEPT_TOP`` strongest other rows of every column, and its totals.
+
+    ``grouped`` has ``pos, n, forms, present, wanted``, a row for each distinct value. Where very many
+    are wanted, as the totals tell, some are missing. The totals are observed while the rows are found.
+    A task that runs twice may be observed twice; the rows of a column are known, so that shows, and
+    then the totals are grouped instead.
+    """
+    each = {"n": F.col("n"), "values": F.col("present").cast("bigint"), "forms": F.when(F.col("present"), F.col("forms")), "wanted": F.col("wanted").cast("bigint")}
+    seen = Observation()
+    sums = [F.coalesce(F.sum(F.when(F.col("pos") == p, value)), F.lit(0)).alias(f"{name}_{p}") for p in positions for name, value in each.items()]
+    order = Window.partitionBy("pos").orderBy(F.desc("wanted"), *strongest)
+    ranked = grouped.observe(seen, *sums).filter("present").withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= _KEPT_AT_ONCE)
+    found, others = [], dict.fromkeys(positions, 0)
+    for row in sorted(ranked.collect(), key=lambda row: row["__rank"]):
+        others[row.pos] += not row.wanted
+        if row.wanted or others[row.pos] <= KEPT_TOP:
+            found.append(row.asDict(recursive=True))
+    told = {p: _Total(*(int(seen.get[f"{name}_{p}"]) for name in each)) for p in positions}
+    if any(total.n != rows for total in told.values()):
+        counted = grouped.groupBy("pos").agg(*[F.coalesce(F.sum(value), F.lit(0)).alias(name) for name, value in each.items()])
+        told = {row.pos: _Total(*(row[name] for name in each)) for row in counted.collect()}
+    return found, told
+
+
+def _near_unique_natives(data: Dataset, kinds: dict[int, str], rows: int, early: dict[int, int]) -> tuple[DataFrame | None, dict[int, Distinct]]:
+    """The most frequent and the first typed values of each column, and how many there are."""
+    if not kinds:
+        return None, {}
+    values = _native_counts(data, kinds)
+    grouped = values.withColumns({"forms": F.lit(1), "wanted": _early(kinds, early) & F.col("present")})
+    found, totals = _kept_and_totals(grouped, list(kinds), rows, [F.desc("n"), F.asc("shown")])
+    distinct = {p: Distinct(total.values, None, None) for p, total in totals.items()}
+    late = [p for p, total in totals.items() if p not in early or total.too_many]
+    names = list(VALUE_COLUMNS)
+    kept = small_table(data.spark, [{name: row[name] for name in names} for row in found if row["pos"] not in late], values.schema)
+    if late:
+        # Row ids repeat or the first rows are empty: the first values are ranked like the most frequent ones.
+        present = values.filter(F.col("present") & F.col("pos").isin(late))
+        for order, limit in (([F.desc("n")], KEPT_TOP), ([F.asc("first_row")], KEPT_FIRST)):
+            kept = kept.unionByName(first_per_group(present, ["pos"], [*order, F.asc("shown")], limit).select(*names))
+        kept = materialise(kept.distinct())
+    return kept, distinct
+
+
+def _near_unique_texts(data: Dataset, positions: list[int], rows: int, early: dict[int, int]) -> tuple[DataFrame | None, dict[int, Distinct]]:
+    """The texts of interest of each column with their counts, and how many distinct texts there are.
+
+    A first pass groups trimmed texts and finds the folded forms of interest; a second one counts
+    the raw texts of those forms.
+    """
+    if not positions:
+        return None, {}
+    cells = judged_cells(data, positions)
+    digest = F.unhex(F.md5("fold"))
+    flagged = F.coalesce(F.col("filler") | F.col("short_filler"), F.lit(False))
+    trimmed = cells.groupBy("pos", "t", digest.alias("digest"), "present", flagged.alias("flagged")).agg(F.sum("n").alias("n"), F.min("first_row").alias("first_row"))
+    folded = trimmed.groupBy("pos", "digest", "present").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("forms"), F.min("first_row").alias("first_row"), F.bool_or("flagged").alias("flagged"),
+        F.min(F.struct((-F.col("n")).alias("less"), F.col("t").alias("t"))).alias("best"),
+    )
+    # A value that fills a hundredth of the rows may stand in for a missing one.
+    interesting = (F.col("forms") > 1) | F.col("flagged") | (F.col("n") >= max(5, rows // 100)) | _early(positions, early)
+    grouped = folded.withColumn("wanted", F.col("present") & interesting)
+    found, totals = _kept_and_totals(grouped, positions, rows, [F.asc("best.less"), F.asc("best.t")])
+    distinct = {p: Distinct(None, total.forms, total.values) for p, total in totals.items()}
+    schema = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("digest", T.BinaryType())])
+    wanted = small_table(data.spark, [{"pos": row["pos"], "digest": bytes(row["digest"])} for row in found], schema)
+    many = [p for p, total in totals.items() if total.too_many]
+    if many:
+        some = folded.filter(F.col("pos").isin(many) & F.col("present"))
+        tops = first_per_group(some, ["pos"], [F.asc("best.less"), F.asc("best.t")], KEPT_TOP).select("pos", "digest")
+        wanted = wanted.unionByName(grouped.filter(F.col("pos").isin(many) & F.col("wanted")).select("pos", "digest")).unionByName(tops)
+    late = [p for p in positions if p not in early]
+    if late:
+        first = first_per_group(folded.filter(F.col("pos").isin(late) & F.col("present")), ["pos"], [F.asc("first_row"), F.asc("best.t")], KEPT_FIRST)
+        wanted = wanted.unionByName(first.select("pos", "digest"))
+    if many or late:
+        wanted = materialise(wanted.distinct())
+    chosen = cells.filter("present").withColumn("digest", digest).join(lookup(wanted), ["pos", "digest"], "left_semi").drop("digest")
+    keys = [name for name in VALUE_COLUMNS if name not in ("n", "first_row")]
+    kept = chosen.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("first_row").alias("first_row")).select(*VALUE_COLUMNS)
+    return materialise(kept), distinct
+
+
 def trimmed_counts(values: DataFrame) -> DataFrame:
     """Present text values after trimming: ``pos, key, fold, t, n, raw_forms, first_row``."""
     return (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass, replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,9 +26,10 @@ from plumbline.operators.frequency import kind_of
 
 TOP_VALUES = 10
 SAMPLE_VALUES = 5
-#: Distinct values of a column that one task may sort for an exact median.
-MEDIAN_WINDOW = 1_000_000
-_SPLITS = 64
+#: Distinct values of a column that one task may sort for an exact median, and rows of its last slice.
+MEDIAN_WINDOW, SLICE = 1_000_000, 100_000
+#: Where ranges are cut: evenly, and closely around the middle.
+_SHARES = [*(i / 16 for i in range(1, 8)), 0.49, 0.51, *(i / 16 for i in range(9, 16))]
 
 COLUMNS_SCHEMA = T.StructType(
     [
@@ -176,38 +179,27 @@ def deviations(values: DataFrame, measured: DataFrame, sigma: float = 5.0) -> Da
     )
 
 
-def medians(values: DataFrame, measured: DataFrame, window: int = MEDIAN_WINDOW) -> DataFrame:
+def medians(values: DataFrame, measured: DataFrame, window: int = MEDIAN_WINDOW, sliced: Iterable[int] = ()) -> DataFrame:
     """Exact median per numeric column, without sorting a whole column in one task.
 
-    Columns with more than ``window`` distinct numbers are narrowed first: approximate
-    quantiles cut the range, exact counts pick the slice that holds the middle, and the
-    slice shrinks about sixty-fold a round. Only the last slice is ranked.
+    Columns with more than ``window`` distinct numbers, and those of ``sliced``, are narrowed first,
+    all of them together: in a round approximate quantiles cut the ranges, exact counts pick the slice
+    that holds the middle of each, and slices shrink about fifty-fold. Only the last slices are ranked.
     """
     numbers = values.filter("number IS NOT NULL").select("pos", "number", "n")
     sizes = {
         row.pos: row
         for row in measured.filter("number_count > 0").select("pos", "number_count", "distinct_raw").collect()
     }
-    small = [pos for pos, row in sizes.items() if row.distinct_raw <= window]
+    large = {pos: row.number_count for pos, row in sizes.items() if row.distinct_raw > window or pos in set(sliced)}
+    small = [pos for pos in sizes if pos not in large]
     direct = numbers.filter(F.col("pos").isin(small)).groupBy("pos").agg(
         F.percentile("number", F.lit(0.5), F.col("n")).alias("median")
     )
-    slices = {pos: _narrow(numbers, pos, row, window) for pos, row in sizes.items() if row.distinct_raw > window}
-    if not slices:
+    if not large:
         return direct
-    schema = T.StructType(
-        [T.StructField("pos", T.IntegerType()), T.StructField("low", T.DoubleType()),
-         T.StructField("high", T.DoubleType()), T.StructField("below", T.LongType()),
-         T.StructField("total", T.LongType())]
-    )
-    rows = [
-        {"pos": pos, "low": low, "high": high, "below": below, "total": sizes[pos].number_count}
-        for pos, (low, high, below) in slices.items()
-    ]
-    inside = numbers.join(F.broadcast(small_table(numbers.sparkSession, rows, schema)), "pos").filter(
-        (F.col("low").isNull() | (F.col("number") >= F.col("low")))
-        & (F.col("high").isNull() | (F.col("number") < F.col("high")))
-    )
+    slices = _narrowed(numbers, large, min(window, SLICE))
+    inside = _inside(numbers, slices)
     merged = inside.groupBy("pos", "number", "below", "total").agg(F.sum("n").alias("n"))
     reached = F.col("below") + F.sum("n").over(Window.partitionBy("pos").orderBy("number"))
     total = F.col("total")
@@ -223,47 +215,65 @@ def medians(values: DataFrame, measured: DataFrame, window: int = MEDIAN_WINDOW)
     return direct.unionByName(ranked)
 
 
-def _narrow(numbers: DataFrame, pos: int, size, window: int) -> tuple[float | None, float | None, int]:
-    """A slice [low, high) around the middle of one column and the rows below it."""
-    low, high, below = None, None, 0
-    distinct, middle = size.distinct_raw, (size.number_count - 1) // 2
-    column = numbers.filter(F.col("pos") == pos)
-    while distinct > window:
-        inside = column
-        if low is not None:
-            inside = inside.filter(F.col("number") >= low)
-        if high is not None:
-            inside = inside.filter(F.col("number") < high)
-        shares = [i / _SPLITS for i in range(1, _SPLITS)]
-        cuts = inside.agg(F.percentile_approx("number", shares, 10_000).alias("cuts")).first().cuts
-        cuts = sorted(set(cuts) - {low})
-        if not cuts:
-            break
-        row = inside.agg(
-            *[F.coalesce(F.sum(F.when(F.col("number") < cut, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, cut in enumerate(cuts)],
-            *[F.count_if(F.col("number") < cut).alias(f"d{i}") for i, cut in enumerate(cuts)],
-            F.count(F.lit(1)).alias("d"),
-        ).first()
-        # The slice must hold both middle ranks of an even count.
-        left = max((i for i in range(len(cuts)) if below + row[f"n{i}"] <= middle), default=None)
-        right = min((i for i in range(len(cuts)) if below + row[f"n{i}"] > size.number_count // 2), default=None)
-        inner = (row[f"d{right}"] if right is not None else row["d"]) - (row[f"d{left}"] if left is not None else 0)
-        if inner >= distinct:
-            break
-        distinct = inner
-        high = cuts[right] if right is not None else high
-        if left is not None:
-            low, below = cuts[left], below + row[f"n{left}"]
-    return low, high, below
-
-
-def distinct_counts(trimmed: DataFrame, folded: DataFrame) -> DataFrame:
-    """Distinct trimmed and distinct case-folded text values per column."""
-    return folded.groupBy("pos").agg(
-        F.sum("forms").alias("distinct_text"), F.count(F.lit(1)).alias("distinct_folded")
+@dataclass(frozen=True)
+class _Slice:
+    """Numbers from ``low`` up to but without ``high`` of a column, and the rows below them."""
+
+    total: int
+    low: float | None = None
+    high: float | None = None
+    below: int = 0
+
+
+_SLICES = T.StructType(
+    [T.StructField("pos", T.IntegerType()), T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType()),
+     T.StructField("below", T.LongType()), T.StructField("total", T.LongType()), T.StructField("cuts", T.ArrayType(T.DoubleType()))]
+)
+
+
+def _inside(numbers: DataFrame, slices: dict[int, _Slice], cuts: dict[int, list[float]] | None = None) -> DataFrame:
+    """The numbers that lie in the slice of their column."""
+    rows = [{"pos": pos, **vars(each), "cuts": (cuts or {}).get(pos)} for pos, each in slices.items()]
+    table = F.broadcast(small_table(numbers.sparkSession, rows, _SLICES))
+    return numbers.join(table, "pos").filter(
+        (F.col("low").isNull() | (F.col("number") >= F.col("low"))) & (F.col("high").isNull() | (F.col("number") < F.col("high")))
     )
 
 
+def _narrowed(numbers: DataFrame, totals: dict[int, int], window: int) -> dict[int, _Slice]:
+    """For every column a slice around its middle that holds ``window`` rows at most, or cannot be cut."""
+    slices = {pos: _Slice(total) for pos, total in totals.items()}
+    open_, rows = dict(slices), dict.fromkeys(totals)
+    while open_:
+        quantiles = _inside(numbers, open_).groupBy("pos").agg(F.percentile_approx("number", _SHARES, 10_000).alias("cuts"))
+        cuts = {row.pos: sorted(set(row.cuts) - {slices[row.pos].low}) for row in quantiles.collect()}
+        many = max(map(len, cuts.values()), default=0)
+        at = [F.try_element_at("cuts", F.lit(i + 1)) for i in range(many)]
+        counted = _inside(numbers, open_, cuts).groupBy("pos").agg(
+            F.array(*[F.coalesce(F.sum(F.when(F.col("number") < cut, F.col("n"))), F.lit(0)) for cut in at]).cast("array<bigint>").alias("weights"),
+            F.array(*[F.count_if(F.col("number") < cut) for cut in at]).cast("array<bigint>").alias("counts"),
+            F.count(F.lit(1)).alias("rows"),
+        )
+        going = {}
+        for row in counted.collect():
+            known, own = slices[row.pos], cuts[row.pos]
+            # The slice must hold both middle ranks of an even count.
+            left = max((i for i in range(len(own)) if known.below + row.weights[i] <= (known.total - 1) // 2), default=None)
+            right = min((i for i in range(len(own)) if known.below + row.weights[i] > known.total // 2), default=None)
+            inner = (row.counts[right] if right is not None else row.rows) - (row.counts[left] if left is not None else 0)
+            slices[row.pos] = replace(
+                known,
+                low=own[left] if left is not None else known.low,
+                high=own[right] if right is not None else known.high,
+                below=known.below + (row.weights[left] if left is not None else 0),
+            )
+            if inner > window and (rows[row.pos] is None or inner < rows[row.pos]):
+                going[row.pos] = slices[row.pos]
+            rows[row.pos] = inner
+        open_ = going
+    return slices
+
+
 def top_values(shown: DataFrame, limit: int = TOP_VALUES) -> DataFrame:
     """The most frequent values per column, ties by value: ``pos, top_values``.
 

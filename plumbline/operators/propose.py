@@ -352,7 +352,8 @@ def _gather(review, found: list[dict]) -> tuple[Evidence, dict[str, DataFrame]]:
     if issues["inconsistent_date_format"]:
         rewritten = F.date_format("moment", "yyyy-MM-dd")
         differs = F.coalesce("s", "t") != F.coalesce(rewritten, F.lit(""))
-        for row in values_of(issues["inconsistent_date_format"]).filter("given").groupBy("pos").agg(
+        dated = review.frequencies.weighted([facts[name]["pos"] for name in issues["inconsistent_date_format"]])
+        for row in dated.filter("given").groupBy("pos").agg(
             F.sum(F.when(differs, F.col("n")).otherwise(0)).alias("n")
         ).collect():
             changed[(by_pos[row.pos], "date")] = row.n

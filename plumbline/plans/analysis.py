@@ -17,24 +17,32 @@ from plumbline.operators.checks import Context, run_isolated
 from plumbline.operators.dataset import Dataset, Intermediates, col, collecting, materialise, pinned
 from plumbline.operators.evidence import attach_rows
 from plumbline.operators.findings import FINDING_COLUMNS, as_findings, details, finding, phrase
-from plumbline.operators.frequency import folded_counts, trimmed_counts, value_counts
+from plumbline.operators.frequency import NEAR_UNIQUE, Frequencies, folded_counts, frequencies, trimmed_counts
 from plumbline.operators.rules import RuleSet, business_rules
 from plumbline.operators.score import column_scores, quality_score
 
 
 @dataclass
 class Review:
-    """The measured state of one table: frequencies, facts and the profile."""
+    """The measured state of one table: frequencies, facts and the profile.
+
+    ``trimmed`` has the trimmed texts of :attr:`values`.
+    """
 
     data: Dataset
     as_of: date
-    values: DataFrame
+    frequencies: Frequencies
     trimmed: DataFrame
     facts: DataFrame
     fact_rows: list
     profiles: DataFrame
     row_count: int
 
+    @property
+    def values(self) -> DataFrame:
+        """The frequency table: of nearly unique columns only the values that something is said about."""
+        return self.frequencies.values
+
 
 @dataclass
 class Analysis:
@@ -81,31 +89,36 @@ class Analysis:
         }
 
 
-def measure(data: Dataset, as_of: date | None = None) -> Review:
-    """Value frequencies, per-column facts and profiles of a table."""
+def measure(data: Dataset, as_of: date | None = None, least: int = NEAR_UNIQUE) -> Review:
+    """Value frequencies, per-column facts and profiles of a table.
+
+    Columns of more than ``least`` values, nearly all of them distinct, are measured by their cells.
+    """
     as_of = as_of or date.today()
-    values = materialise(value_counts(data))
+    known = frequencies(data, least)
+    values, near = known.values, list(known.near_unique)
     trimmed = materialise(trimmed_counts(values))
     folded = folded_counts(trimmed)
-    measured, _ = pinned(profile.measures(values, as_of))
-    spread = profile.deviations(values, measured)
-    distinct = profile.distinct_counts(trimmed, folded)
-    typed, _ = pinned(profile.column_facts(profile.describe_columns(data), measured, distinct, spread))
+    measured, counts = pinned(known.with_distinct(profile.measures(known.weighted(), as_of)))
+    numeric = [row["pos"] for row in counts if row["number_count"]]
+    numbers = known.weighted(numeric)
+    spread = profile.deviations(numbers, measured)
+    typed, facts = pinned(profile.column_facts(profile.describe_columns(data), measured, known.distinct_texts(folded), spread))
 
     shown = trimmed.select("pos", F.col("t").alias("shown"), "n", "first_row").unionByName(
         values.filter("present AND NOT is_text").select("pos", "shown", "n", "first_row")
     )
     tops = profile.top_values(shown)
     samples = profile.sample_values(values)
-    profiled, _ = pinned(
-        profile.profiles(typed, profile.medians(values, measured), tops, samples).orderBy("position")
-    )
-    full = checks.with_check_facts(typed, values, trimmed, folded, as_of).join(
+    medians = profile.medians(numbers, measured, sliced=near)
+    profiled, _ = pinned(profile.profiles(typed, medians, tops, samples).orderBy("position"))
+    offending = [fact["pos"] for fact in facts if fact["pos"] in near and checks.may_offend(fact)]
+    full = checks.with_check_facts(typed, known.ordinary, trimmed, folded, as_of, known.cells(offending)).join(
         profiled.select("column", "top_values"), "column"
     )
     facts, rows = pinned(full)
     row_count = rows[0]["row_count"] if rows else 0
-    return Review(data, as_of, values, trimmed, facts, rows, profiled, row_count)
+    return Review(data, as_of, known, trimmed, facts, rows, profiled, row_count)
 
 
 def analyze(
@@ -114,14 +127,17 @@ def analyze(
     as_of: date | None = None,
     row_ids: bool = True,
     only: Iterable[str] | None = None,
+    near_unique: int = NEAR_UNIQUE,
 ) -> Analysis:
     """Measure, check and score a table.
 
     ``as_of`` is the day that future dates are judged against. ``row_ids`` adds the first
-    rows behind each finding, at the price of another pass over the table.
+    rows behind each finding, at the price of another pass over the table. ``near_unique`` is
+    the least number of values from which a column can count as nearly unique; results do not
+    depend on it.
     """
     with collecting() as intermediates:
-        review = measure(data, as_of)
+        review = measure(data, as_of, near_unique)
         context = Context(data, review.facts, review.row_count, review.as_of, rules, row_ids, data.notes)
         run = run_isolated(context, only)
         found = run.findings

@@ -73,9 +73,7 @@ class Advice:
 def occurring_levels(analysis: Analysis) -> DataFrame:
     """``column, t, n``: every trimmed text value of the table with its rows."""
     names = analysis.review.facts.select("pos", "column")
-    return (
-        analysis.review.trimmed.join(F.broadcast(names), "pos").groupBy("column", "t").agg(F.sum("n").alias("n"))
-    )
+    return analysis.review.frequencies.levels().join(F.broadcast(names), "pos").select("column", "t", "n")
 
 
 def advise(

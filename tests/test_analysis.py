@@ -1,7 +1,9 @@
 """Profiles, checks and scores on small tables."""
 
 import json
-from datetime import date
+from dataclasses import replace
+from datetime import date, datetime, timedelta
+from decimal import Decimal
 from hashlib import md5
 
 import pytest
@@ -9,15 +11,17 @@ from pyspark.sql import functions as F
 
 import plumbline.operators.rules as rl
 from plumbline import analyze, measure
-from plumbline.operators import checks, dependencies, profile
+from plumbline.operators import checks, dependencies, frequency, profile
 from plumbline.operators.checks import Verdict, column_check, run_checks
 from plumbline.operators.dataset import ROW_ID, Dataset, ShapeError, first_per_group
 from plumbline.operators.findings import worst_first
-from plumbline.operators.frequency import value_counts
+from plumbline.operators.frequency import frequencies, value_counts
 from plumbline.operators.isolation import halved, reason, surviving
+from plumbline.operators.propose import propose
 from plumbline.operators.rules import NotNull, Regex, RuleSet, Unique
 from plumbline.operators.sampling import evenly_spaced_sample
 from plumbline.plans.analysis import structural_findings
+from plumbline.plans.review import occurring_levels
 
 AS_OF = date(2024, 6, 30)
 
@@ -317,6 +321,92 @@ def test_halving_finds_every_culprit():
     assert reason(ValueError("one\ntwo")) == "ValueError: one" and reason(ValueError()) == "ValueError"
 
 
+def everything(analysis):
+    """What an analysis says, free of the order of its tables."""
+    def plain(value):
+        if isinstance(value, float):
+            return float(f"{value:.8g}")
+        if isinstance(value, dict):
+            return {key: plain(each) for key, each in value.items()}
+        return [plain(each) for each in value] if isinstance(value, list) else value
+
+    def rows(df):
+        return sorted((json.dumps(plain(row.asDict(recursive=True)), sort_keys=True, default=str) for row in df.collect()))
+
+    offers = propose(analysis)
+    levels = occurring_levels(analysis)
+    return [rows(each) for each in (analysis.profiles, analysis.findings, analysis.score, analysis.column_scores, offers.table, offers.mappings, levels)]
+
+
+def near_unique_columns():
+    n = 240
+    names = [f"Person number {i}" for i in range(n)]
+    for i in range(0, 60, 4):
+        names[i] = names[i + 1].upper() if i % 8 else f"  {names[i + 1]} "
+    names[100:104], names[150:160], names[170] = ["n/a", "N/A", "unknown", ""], ["same one"] * 10, None
+    return {
+        "name": names,
+        "note": [f"{'long text ' * 40}{i % 200}" if i % 3 else f"Long Text {i}" for i in range(n)],
+        "price": [f"${i * 7 % 231},{i % 1000:03d}.50" if i % 50 else "free" for i in range(n)],
+        "birth_date": [f"{1900 + i % 130}-{1 + i % 12:02d}-{1 + i % 28:02d}" if i % 7 else f"{1 + i % 28:02d}/{1 + i % 12:02d}/{1950 + i % 40}" for i in range(n)],
+        "email": [f"user{i}@mail.org" if i % 20 else f"user{i} at mail" for i in range(n)],
+        "kind": [["a", "b", "B", None][i % 4] for i in range(n)],
+        "decoded": [f"Malm\u00c3\u00b6 {i}" if i % 30 == 0 else f"Lund {i}" for i in range(n)],
+    }
+
+
+def test_nearly_unique_columns_are_measured_alike(spark, table):
+    data = table(**near_unique_columns())
+    assert frequencies(data, 30).near_unique.keys() >= {0, 1, 2, 3, 4, 6} and 5 not in frequencies(data, 30).near_unique
+    full, near = (everything(analyze(data, as_of=AS_OF, near_unique=least)) for least in (10**9, 30))
+    assert near == full
+
+
+def test_nearly_unique_native_columns_are_measured_alike(spark):
+    n, zero = 500, datetime(2020, 1, 1)
+    rows = [
+        (i, i * 3, None if i % 97 == 0 else i / 7 - 3, Decimal(i * 11) / 100, zero + timedelta(hours=i), i % 3 == 0, 130 - i if i % 5 == 0 else 40, -i if i % 250 == 249 else 10**9 if i == 77 else i)
+        for i in range(n)
+    ]
+    rows += [(n + i, 9, 9.5, None, zero, None, None, 7) for i in range(40)]
+    schema = f"{ROW_ID} bigint, id bigint, x double, d decimal(10, 2), created_at timestamp_ntz, flag boolean, age int, amount bigint"
+    data = Dataset(spark.createDataFrame(rows, schema), "natives")
+    assert frequencies(data, 30).near_unique.keys() >= {0, 1, 2, 3, 6}
+    full, near = (everything(analyze(data, as_of=AS_OF, near_unique=least)) for least in (10**9, 30))
+    assert near == full
+
+
+def test_nearly_unique_columns_with_many_wanted_values(spark, table, monkeypatch):
+    """Few values fit the first pass, first rows are empty, ids repeat and observed totals are off."""
+    monkeypatch.setattr(frequency, "_KEPT_AT_ONCE", 14)
+    monkeypatch.setattr(frequency, "_EARLY", 3)
+    columns = near_unique_columns()
+    data = table(**{name: [None] * 4 + columns[name] for name in ("name", "price", "kind")})
+    data = data.with_frame(data.frame.withColumn(ROW_ID, F.col(ROW_ID) - F.col(ROW_ID) % 3).withColumn("number", F.col(ROW_ID) * 7 + F.length("name")))
+    full, near = (everything(analyze(data, as_of=AS_OF, near_unique=least))[0] for least in (10**9, 30))
+    assert near == full
+    monkeypatch.setattr(frequency, "column_sketches", lambda data, positions, of=frequency.column_sketches: {p: replace(s, rows=s.rows + 1) for p, s in of(data, positions).items()})
+    assert everything(analyze(data, as_of=AS_OF, near_unique=30))[0] == full
+
+
+def test_only_nearly_unique_columns_are_kept_short(spark):
+    data = Dataset(spark.range(5000).select(F.col("id").alias(ROW_ID), F.col("id").alias("key"), (F.col("id") % 2000).alias("half"), F.concat(F.lit("v"), "id").alias("text"), (F.col("id") % 7).alias("few")), "t")
+    known = frequencies(data, 100)
+    assert set(known.near_unique) == {0, 1, 2}
+    assert (known.near_unique[0].raw, known.near_unique[1].raw, known.near_unique[2].text, known.near_unique[2].folded) == (5000, 2000, 5000, 5000)
+    assert known.ordinary.count() == 7 and known.kept.count() <= 45
+    assert value_counts(data).count() == 5000 + 2000 + 5000 + 7
+
+
+def test_medians_of_all_columns_narrow_together(spark):
+    rows = [(0, float(i), 1) for i in range(1001)] + [(1, float(i % 5), 3) for i in range(400)] + [(2, 7.0, 500)] + [(2, float(i), 1) for i in range(300)] + [(3, -1.5, 1), (3, 2.5, 1)]
+    values = spark.createDataFrame(rows, "pos int, number double, n bigint")
+    measured = values.groupBy("pos").agg(F.sum("n").alias("number_count"), F.countDistinct("number").alias("distinct_raw"))
+    expected = {0: 500.0, 1: 2.0, 2: 7.0, 3: 0.5}
+    for window, sliced in ((1_000_000, ()), (10, ()), (1, ()), (1_000_000, (0, 2, 3)), (20, (0, 1, 2, 3))):
+        assert {row.pos: row.median for row in profile.medians(values, measured, window, sliced).collect()} == expected
+
+
 def test_shape_guards(spark, table):
     with pytest.raises(ShapeError):
         table(a=["x"]).with_frame(table(a=["x"]).frame.limit(0)).check_shape()
