@@ -149,10 +149,8 @@ ROW_NUMBERS = {"lineitem": "l_orderkey * 10 + l_linenumber", "labels": "doc_id",
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, spread over the cores when its files are too small to be split."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A given table, as its files are."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
