@@ -269,6 +269,18 @@ class _Stepped(Dataset):
         return [f for f in super().fields if not f.name.startswith(_FLAG)]
 
 
+def corrected_values(values: DataFrame, name: str, data_type: T.DataType, proposals: Proposals, offers: Sequence[dict]) -> tuple[DataFrame, T.DataType]:
+    """Weighted values of one column after its corrections, and the type they have then.
+
+    ``values`` has the column ``name``, ``n`` and a row id. Each offer must depend on the column alone.
+    """
+    current = Dataset(values.select(ROW_ID, col(name), "n"))
+    for offer in offers:
+        df = with_correction(current.frame, current, offer["action"], name, offer["parameters"] or {}, mapping_of(proposals, offer), "__after")
+        current = Dataset(df.select(ROW_ID, F.col("__after").alias(name), "n"))
+    return current.frame, current.type_of(name)
+
+
 def mapping_of(proposals: Proposals, offer: dict) -> DataFrame | None:
     """The value mapping a proposal carries, if its action needs one."""
     if offer["action"] not in ("normalize_case", "map_category", "fill_from_related"):

@@ -16,6 +16,7 @@ from functools import lru_cache
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import naming
 from plumbline.functions import text as tx
@@ -24,6 +25,7 @@ from plumbline.functions.severity import percent, ratio_severity
 from plumbline.operators.dataset import (
     ROW_ID,
     Dataset,
+    beside_facts,
     col,
     digest_part,
     first_per_group,
@@ -506,14 +508,9 @@ def _corrupted_encoding() -> Verdict:
 # ------------------------------------------------------------------ facts behind the checks
 
 
-def with_check_facts(
-    facts: DataFrame, values: DataFrame, trimmed: DataFrame, folded: DataFrame, as_of: date, cells: DataFrame | None = None
-) -> DataFrame:
-    """Add what the value-group checks need: fillers, spelling groups and examples.
-
-    ``cells`` has the cells of columns whose distinct values are not all in ``values``.
-    """
-    counted = facts.withColumns(
+def with_counts(facts: DataFrame, as_of: date) -> DataFrame:
+    """Typed facts with the counts that several checks ask for."""
+    return facts.withColumns(
         {
             "as_of": F.lit(as_of),
             "undated_count": F.col("present_count") - F.col("date_count"),
@@ -524,12 +521,6 @@ def with_check_facts(
             .otherwise(0),
         }
     )
-    return (
-        counted.join(filler_facts(folded, counted), "pos", "left")
-        .join(case_facts(trimmed, counted), "pos", "left")
-        .join(category_facts(trimmed, counted), "pos", "left")
-        .join(example_facts(values, counted, cells), "pos", "left")
-    )
 
 
 def _known_filler() -> Column:
@@ -546,44 +537,41 @@ def _repeated_filler() -> Column:
     )
 
 
-def fillers(folded: DataFrame, facts: DataFrame) -> DataFrame:
+def fillers(folded: DataFrame, facts: list[dict], types: T.StructType) -> DataFrame:
     """Folded values that stand in for a missing one: ``pos, fold, n, repeated``."""
-    wanted = facts.filter("is_text").select("pos", "row_count", "present_count", "longest", "distinct_folded")
+    wanted = [fact for fact in facts if fact["is_text"]]
     known, repeated = F.coalesce(_known_filler(), F.lit(False)), _repeated_filler()
     return (
-        folded.join(F.broadcast(wanted), "pos")
+        beside_facts(folded, wanted, ["row_count", "present_count", "longest", "distinct_folded"], types)
         .filter(known | repeated)
         .select("pos", "fold", "n", (repeated & ~known).alias("repeated"))
     )
 
 
-def filler_facts(folded: DataFrame, facts: DataFrame) -> DataFrame:
-    """Rows holding placeholders, per column, with the first few placeholder values.
+def filler_facts(folded: DataFrame, facts: list[dict], types: T.StructType) -> list[DataFrame]:
+    """Rows holding placeholders, per column, and the first few placeholder values.
 
     Repeated fillers are all listed: each covers a hundredth of the rows or, in a small
     table, five rows, so there are a hundred at most.
     """
-    found = fillers(folded, facts)
+    found = fillers(folded, facts, types)
     listed = first_per_group(found, ["pos"], [F.asc("fold")], LISTED).groupBy("pos").agg(
         F.array_sort(F.collect_list("fold")).alias("filler_values")
     )
-    return (
-        found.groupBy("pos")
-        .agg(
-            F.sum("n").alias("filler_rows"),
-            F.array_sort(F.collect_list(F.when(F.col("repeated"), F.col("fold")))).alias("repeated_fillers"),
-        )
-        .join(listed, "pos")
+    counted = found.groupBy("pos").agg(
+        F.sum("n").alias("filler_rows"),
+        F.array_sort(F.collect_list(F.when(F.col("repeated"), F.col("fold")))).alias("repeated_fillers"),
     )
+    return [counted, listed]
 
 
-def spelling_variants(trimmed: DataFrame, columns: DataFrame, key: str, compared: str) -> DataFrame:
-    """Keys written in several ways: ``pos, name, n, first_row, forms`` with the first few forms.
+def spelling_variants(trimmed: DataFrame, positions: list[int], key: str, compared: str) -> DataFrame:
+    """Keys written in several ways: ``pos, name, n, first_row`` of each.
 
-    Values without a key, such as lone punctuation, are variants of nothing. Counts and the
-    listed forms combine on the map side, so a key with very many forms is no large group.
+    Values without a key, such as lone punctuation, are variants of nothing. Counts combine on the
+    map side, so a key with very many forms is no large group.
     """
-    keyed = trimmed.join(F.broadcast(columns.select("pos")), "pos").filter(F.col(key) != "")
+    keyed = trimmed.filter(F.col("pos").isin(positions) & (F.col(key) != ""))
     grouped = keyed.groupBy("pos", F.col(key).alias("name")).agg(
         F.sum("n").alias("n"),
         F.min("first_row").alias("first_row"),
@@ -593,38 +581,41 @@ def spelling_variants(trimmed: DataFrame, columns: DataFrame, key: str, compared
     return grouped.filter("__low <> __high").drop("__low", "__high")
 
 
-def _spelling_groups(trimmed: DataFrame, columns: DataFrame, key: str, compared: str, kind: str) -> DataFrame:
-    """Rows and number of variant groups per column, and the first groups with their first forms."""
-    grouped = materialise(spelling_variants(trimmed, columns, key, compared))
-    totals = grouped.groupBy("pos").agg(F.sum("n").alias(f"{kind}_rows"), F.count(F.lit(1)).alias(f"{kind}_group_count"))
-    listed = first_per_group(grouped, ["pos"], [F.asc("first_row"), F.asc("name")], LISTED, "place")
-    forms = trimmed.withColumn("name", F.col(key)).join(F.broadcast(listed.select("pos", "name", "first_row", "place").withColumnRenamed("first_row", "opened")), ["pos", "name"])
-    few = first_per_group(forms, ["pos", "name"], [F.asc("t")], LISTED)
-    entries = few.groupBy("pos", "name", "place").agg(F.array_sort(F.collect_list("t")).alias("forms"))
-    groups = entries.groupBy("pos").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "name", "forms"))), lambda g: F.struct(g["name"].alias("name"), g["forms"].alias("forms"))).alias(f"{kind}_groups")
-    )
-    return totals.join(groups, "pos")
-
+#: Kind of spelling variants -> which columns have them, the key of a group and what differs within one.
+VARIANTS: dict[str, tuple[Callable[[dict], bool], str, str]] = {
+    "case": (lambda fact: bool(fact["is_text"] and fact["unique_count"]), "fold", "t"),
+    "category": (lambda fact: bool(fact["is_text"] and fact["semantic_type"] in ("categorical", "boolean")), "key", "fold"),
+}
 
-def case_columns(facts: DataFrame) -> DataFrame:
-    """Columns whose values are compared by letter case."""
-    return facts.filter(F.col("is_text") & (F.col("unique_count") >= 1))
 
+def variant_positions(kind: str, facts: list[dict]) -> list[int]:
+    """Columns whose values are compared by letter case, or by letters and digits."""
+    return [fact["pos"] for fact in facts if VARIANTS[kind][0](fact)]
 
-def category_columns(facts: DataFrame) -> DataFrame:
-    """Columns whose values are compared by letters and digits."""
-    return facts.filter(F.col("is_text") & F.col("semantic_type").isin("categorical", "boolean"))
 
+def variant_facts(trimmed: DataFrame, facts: list[dict], kind: str) -> list[DataFrame]:
+    """Rows and number of the groups of spelling variants, per column, and the first groups."""
+    _, key, compared = VARIANTS[kind]
+    groups = spelling_variants(trimmed, variant_positions(kind, facts), key, compared)
+    totals = groups.groupBy("pos").agg(F.sum("n").alias(f"{kind}_rows"), F.count(F.lit(1)).alias(f"{kind}_group_count"))
+    first = first_per_group(groups, ["pos"], [F.asc("first_row"), F.asc("name")], LISTED)
+    return [totals, first.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("__rank", "name"))).alias(f"{kind}_names"))]
 
-def case_facts(trimmed: DataFrame, facts: DataFrame) -> DataFrame:
-    """Values written in more than one letter case."""
-    return _spelling_groups(trimmed, case_columns(facts), "fold", "t", "case")
 
-
-def category_facts(trimmed: DataFrame, facts: DataFrame) -> DataFrame:
-    """Category levels that differ only by spacing or punctuation."""
-    return _spelling_groups(trimmed, category_columns(facts), "key", "fold", "category")
+def variant_forms(trimmed: DataFrame, facts: dict[int, dict]) -> DataFrame | None:
+    """``pos, kind, name, forms``: the first few written forms of the groups that :func:`variant_facts` names."""
+    wanted = [
+        {"pos": pos, "kind": kind, "name": entry["name"]} for pos, fact in facts.items() for kind in VARIANTS for entry in fact.get(f"{kind}_names") or ()
+    ]
+    if not wanted:
+        return None
+    schema = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("name", T.StringType())])
+    named = trimmed.filter(F.col("pos").isin([row["pos"] for row in wanted])).select(
+        "pos", "t", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(key).alias("name")) for kind, (_, key, _) in VARIANTS.items()])).alias("group")
+    )
+    forms = named.select("pos", "group.*", "t").join(F.broadcast(small_table(trimmed.sparkSession, wanted, schema)), ["pos", "kind", "name"])
+    few = first_per_group(forms, ["pos", "kind", "name"], [F.asc("t")], LISTED)
+    return few.groupBy("pos", "kind", "name").agg(F.array_sort(F.collect_list("t")).alias("forms"))
 
 
 def may_offend(fact: dict) -> bool:
@@ -634,16 +625,23 @@ def may_offend(fact: dict) -> bool:
     return bool(
         (fact["is_temporal"] and (short_of("date_count") or (fact["past_name"] and fact["future_count"])))
         or (fact["semantic_type"] == "email" and short_of("email_count"))
-        or (fact["is_numeric"] and (fact["decorated_count"] or fact["extreme_count"] or fact["implausible_age_count"] or fact["negative_count"]))
+        or (fact["is_numeric"] and (fact["decorated_count"] or fact["implausible_age_count"] or fact["negative_count"] or _reaches_far(fact)))
         or (text and (fact["padded_present"] or fact["repairable_count"]))
     )
 
 
-def example_facts(values: DataFrame, facts: DataFrame, cells: DataFrame | None = None) -> DataFrame:
-    """The first few offending values of each check: a map from check id to texts."""
-    known = facts.select(
-        "pos", "is_numeric", "is_temporal", "semantic_type", "age_name", "amount_name", "past_name", "mean", "std_dev", "as_of"
-    )
+def _reaches_far(fact: dict) -> bool:
+    """Whether the extremes of a column lie far from its mean."""
+    ends = [fact["mean"] - fact["min_number"], fact["max_number"] - fact["mean"]]
+    return bool(fact["std_dev"]) and not max(ends) <= SIGMA * fact["std_dev"]
+
+
+def example_facts(values: DataFrame, facts: list[dict], types: T.StructType, as_of: date, cells: DataFrame | None = None) -> DataFrame:
+    """The first few offending values of each check: a map from check id to texts.
+
+    ``cells`` has the cells of columns whose distinct values are not all in ``values``.
+    """
+    names = ["is_numeric", "is_temporal", "semantic_type", "age_name", "amount_name", "past_name", "mean", "std_dev"]
     number, text = F.col("number"), F.col("is_text") & F.col("present")
     impossible = F.when(F.col("age_name"), (number < 0) | (number > 120)).otherwise(F.col("amount_name") & (number < 0))
     raw = F.coalesce("s", "shown")
@@ -657,7 +655,7 @@ def example_facts(values: DataFrame, facts: DataFrame, cells: DataFrame | None =
             number.cast("string"),
         ),
         "future_date": (
-            F.col("is_temporal") & F.col("past_name") & (F.col("moment") > F.col("as_of").cast("timestamp_ntz")),
+            F.col("is_temporal") & F.col("past_name") & (F.col("moment") > F.lit(as_of).cast("timestamp_ntz")),
             F.date_format("moment", "yyyy-MM-dd"),
         ),
         "leading_trailing_whitespace": (text & F.col("padded"), F.concat(F.lit("["), raw, F.lit("]"))),
@@ -672,7 +670,7 @@ def example_facts(values: DataFrame, facts: DataFrame, cells: DataFrame | None =
     ]
 
     def offending(table: DataFrame) -> DataFrame:
-        return table.join(F.broadcast(known), "pos").select("pos", "first_row", raw.alias("raw"), F.inline(F.array_compact(F.array(*flags))))
+        return beside_facts(table, facts, names, types).select("pos", "first_row", raw.alias("raw"), F.inline(F.array_compact(F.array(*flags))))
 
     hits = offending(values)
     if cells is not None:

@@ -187,21 +187,39 @@ def lookup(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], limit: int, rank: str = "__rank") -> DataFrame:
-    """The first ``limit`` rows of each group, ranked in two steps.
+    """The first ``limit`` rows of each group, without sorting a whole hot group in one task.
 
-    A first ranking inside salted sub-groups leaves at most ``limit`` rows of each, so no
-    task ever sorts a whole hot group.
+    The optimizer ranks small limits within each task before it shuffles what is left. For larger
+    ones that is written out: a first ranking inside salted sub-groups leaves ``limit`` rows of each.
     """
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*[F.struct(*map(col, df.columns))]), F.lit(256)))
-    local = Window.partitionBy(*map(col, keys), "__salt").orderBy(*order)
     final = Window.partitionBy(*map(col, keys)).orderBy(*order)
-    return (
-        salted.withColumn(rank, F.row_number().over(local))
-        .filter(F.col(rank) <= limit)
-        .drop(rank, "__salt")
-        .withColumn(rank, F.row_number().over(final))
-        .filter(F.col(rank) <= limit)
-    )
+    if limit > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        salted = df.withColumn("__salt", F.pmod(F.xxhash64(*[F.struct(*map(col, df.columns))]), F.lit(256)))
+        local = Window.partitionBy(*map(col, keys), "__salt").orderBy(*order)
+        df = salted.withColumn(rank, F.row_number().over(local)).filter(F.col(rank) <= limit).drop(rank, "__salt")
+    return df.withColumn(rank, F.row_number().over(final)).filter(F.col(rank) <= limit)
+
+
+#: Columns whose facts are written into an expression; more of them are joined.
+_WRITTEN_OUT = 200
+
+
+def beside_facts(df: DataFrame, facts: list[dict], names: list[str], types: T.StructType) -> DataFrame:
+    """``df (pos, ...)`` with some facts of the column at ``pos``; rows without facts are left out.
+
+    Facts are a row for each column of a table, so few of them need no join.
+    """
+    rows = [{"pos": fact["pos"], **{name: fact[name] for name in names}} for fact in facts]
+    schema = T.StructType([T.StructField("pos", T.IntegerType()), *(types[name] for name in names)])
+    if len(rows) > _WRITTEN_OUT:
+        return df.join(F.broadcast(small_table(df.sparkSession, rows, schema)), "pos")
+    known = df.filter(F.col("pos").isin([row["pos"] for row in rows]))
+    for name in names:
+        value = F.lit(None)
+        for row in rows:
+            value = F.when(F.col("pos") == row["pos"], F.lit(row[name])).otherwise(value)
+        known = known.withColumn(name, value.cast(types[name].dataType))
+    return known
 
 
 def row_digest(values: list[Column]) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as tx
 from plumbline.functions.dates import with_dates
 from plumbline.functions.numbers import with_number
-from plumbline.operators.checks import SIGMA, case_columns, category_columns, spelling_variants
+from plumbline.operators.checks import SIGMA, VARIANTS, spelling_variants
 from plumbline.operators.dataset import ROW_ID, Dataset, col, first_per_group
 from plumbline.operators.findings import EVIDENCE_ROWS, FINDING_COLUMNS
 from plumbline.operators.frequency import folded_form, short_form, text_cells
@@ -76,24 +76,20 @@ def filler_rows(value: Column, fact) -> Column:
     return word | dash | (folded_form(value).isin(*repeated) if repeated else F.lit(False))
 
 
-#: Check -> the columns it looks at, the key of a group and what differs within one.
-_VARIANTS = {
-    "inconsistent_category": (category_columns, "key", "fold"),
-    "inconsistent_capitalization": (case_columns, "fold", "t"),
-}
+#: Check -> the kind of spelling variants it looks for.
+_VARIANTS = {"inconsistent_category": "category", "inconsistent_capitalization": "case"}
 
 
 def _variant_rows(review, check: str, names: list[str]) -> DataFrame:
     """Rows whose value belongs to a group of spelling variants: row id, check and column."""
-    data, (columns, key, compared) = review.data, _VARIANTS[check]
-    chosen = columns(review.facts).filter(F.col("column").isin(names))
-    groups = spelling_variants(review.trimmed, chosen, key, compared).select("pos", "name")
+    data, (_, key, compared) = review.data, VARIANTS[_VARIANTS[check]]
+    positions = {data.columns.index(name): name for name in names}
+    groups = spelling_variants(review.trimmed, list(positions), key, compared).select("pos", "name")
     value = F.col("s")
     name = folded_form(value) if key == "fold" else short_form(tx.squash(value))
-    cells = text_cells(data, [data.columns.index(n) for n in names]).withColumn("name", name)
-    known = F.broadcast(chosen.select("pos", "column"))
-    found = cells.join(groups, ["pos", "name"], "left_semi").join(known, "pos")
-    return found.select(ROW_ID, F.lit(check).alias("check_id"), "column")
+    cells = text_cells(data, list(positions)).withColumn("name", name)
+    column = F.element_at(F.create_map(*[F.lit(each) for pair in positions.items() for each in pair]), F.col("pos"))
+    return cells.join(groups, ["pos", "name"], "left_semi").select(ROW_ID, F.lit(check).alias("check_id"), column.alias("column"))
 
 
 def _predicate(check: str, data: Dataset, name: str, fact, as_of: date) -> Column | None:

@@ -13,7 +13,7 @@ judgements, and only the values that something is said about are kept (:func:`fr
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -366,23 +366,26 @@ class Frequencies:
         cells = self.cells(chosen)
         return table if cells is None else table.unionByName(cells)
 
-    def with_distinct(self, measured: DataFrame) -> DataFrame:
-        """Measures over :meth:`weighted`, ``distinct_raw`` put right for nearly unique columns."""
-        exact = F.col("distinct_raw")
-        for p, distinct in self.near_unique.items():
-            if distinct.raw is not None:
-                exact = F.when(F.col("pos") == p, F.lit(distinct.raw)).otherwise(exact)
-        return measured.withColumn("distinct_raw", exact)
-
     def distinct_texts(self, folded: DataFrame) -> DataFrame:
-        """``pos, distinct_text, distinct_folded`` of every text column."""
-        near = list(self.near_unique)
-        counted = folded.filter(~F.col("pos").isin(near)).groupBy("pos").agg(
+        """``pos, distinct_text, distinct_folded`` of every ordinary text column."""
+        return folded.filter(~F.col("pos").isin(list(self.near_unique))).groupBy("pos").agg(
             F.sum("forms").alias("distinct_text"), F.count(F.lit(1)).alias("distinct_folded")
         )
-        rows = [(p, d.text, d.folded) for p, d in self.near_unique.items() if d.text]
-        known = self.data.spark.createDataFrame(rows, "pos int, distinct_text bigint, distinct_folded bigint")
-        return counted.unionByName(known) if rows else counted
+
+    def distinct_of(self, pos: int) -> dict[str, int]:
+        """What is known of the distinct values of a nearly unique column, by the names of its measures."""
+        known = self.near_unique.get(pos)
+        if known is None:
+            return {}
+        if known.raw is not None:
+            return {"distinct_raw": known.raw}
+        return {"distinct_text": known.text, "distinct_folded": known.folded} if known.text else {}
+
+    def of(self, positions: Iterable[int]) -> Frequencies:
+        """The values of some columns."""
+        chosen = list(positions)
+        among = F.col("pos").isin(chosen)
+        return replace(self, ordinary=self.ordinary.filter(among), kept=self.kept.filter(among), near_unique={p: d for p, d in self.near_unique.items() if p in chosen})
 
     def levels(self) -> DataFrame:
         """``pos, t, n``: every trimmed present text with its rows. Nearly unique columns are grouped here."""
@@ -391,9 +394,9 @@ class Frequencies:
         return known.filter("is_text AND present").groupBy("pos", "t").agg(F.sum("n").alias("n"))
 
 
-def frequencies(data: Dataset, least: int = NEAR_UNIQUE) -> Frequencies:
-    """Count the values of all columns; of nearly unique ones (more than ``least`` values) only those of interest."""
-    positions = list(range(len(data.columns)))
+def frequencies(data: Dataset, least: int = NEAR_UNIQUE, positions: list[int] | None = None) -> Frequencies:
+    """Count the values of all or some columns; of nearly unique ones (more than ``least`` values) only those of interest."""
+    positions = list(range(len(data.columns))) if positions is None else positions
     kinds = {p: kind_of(data.type_of(data.columns[p])) for p in positions}
     sketches = column_sketches(data, positions)
     near = [p for p in positions if sketches[p].near_unique(kinds[p], least)]
@@ -541,6 +544,18 @@ def _near_unique_texts(data: Dataset, positions: list[int], rows: int, early: di
     return materialise(kept), distinct
 
 
+def recounted(values: DataFrame, name: str, data_type: T.DataType, pos: int) -> DataFrame:
+    """The frequency table of one column from values with weights: ``values`` has column ``name``, ``n`` and ``first_row``."""
+    weights = [F.sum("n").alias("n"), F.min("first_row").alias("first_row")]
+    kind = kind_of(data_type)
+    if kind == "text":
+        grouped = values.groupBy(col(name).alias("s")).agg(*weights).withColumn("pos", F.lit(pos))
+        return _judged_text(with_judgements(grouped).withColumn("s", short_form(F.col("s"))))
+    letter, value = _slot(col(name), kind)
+    grouped = values.groupBy(value.alias(letter)).agg(*weights).withColumn("pos", F.lit(pos))
+    return _judged_natives(grouped, {pos: kind}, letter)
+
+
 def trimmed_counts(values: DataFrame) -> DataFrame:
     """Present text values after trimming: ``pos, key, fold, t, n, raw_forms, first_row``."""
     return (

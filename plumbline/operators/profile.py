@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from datetime import date
@@ -16,6 +17,7 @@ from plumbline.functions.dates import ALL_FORMATS, DATE_FORMATS, TIMED_FORMATS,
 from plumbline.operators.dataset import (
     ROW_ID,
     Dataset,
+    beside_facts,
     col,
     digest_part,
     first_per_group,
@@ -31,23 +33,56 @@ MEDIAN_WINDOW, SLICE = 1_000_000, 100_000
 #: Where ranges are cut: evenly, and closely around the middle.
 _SHARES = [*(i / 16 for i in range(1, 8)), 0.49, 0.51, *(i / 16 for i in range(9, 16))]
 
-COLUMNS_SCHEMA = T.StructType(
+_TYPES = {
+    "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType(),
+    "date": T.DateType(), "timestamp_ntz": T.TimestampNTZType(), "bigints": T.ArrayType(T.LongType()), "strings": T.ArrayType(T.StringType()),
+}
+
+
+def _fields(**names: str) -> list[T.StructField]:
+    """Fields by type: the names of all fields of a type in one string."""
+    return [T.StructField(name, _TYPES[kind]) for kind, listed in names.items() for name in listed.split()]
+
+
+#: What is measured of a column by sums over its values.
+MEASURED_SCHEMA = T.StructType(
+    _fields(
+        int="pos min_length max_length max_trimmed longest any_format every_format",
+        string="column data_type kind",
+        boolean="temporal_name identifier_name age_name amount_name past_name sensitive_name all_whole has_long",
+        bigint="row_count missing_count given_count distinct_raw total_length blank_count padded_count padded_present email_count at_count "
+        "token_count date_count number_count decorated_count zero_count negative_count implausible_age_count future_count lost_count "
+        "repairable_count kind_dates kind_booleans distinct_text distinct_folded",
+        bigints="format_counts",
+        double="min_number max_number total_number mean std_dev",
+        timestamp_ntz="min_moment max_moment",
+    )
+)
+_GROUPS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("forms", T.ArrayType(T.StringType()))]))
+#: Everything that is known of a column: the measures, its type, and what checks and profiles show of it.
+FACTS_SCHEMA = T.StructType(
     [
-        T.StructField("pos", T.IntegerType(), False),
-        T.StructField("column", T.StringType(), False),
-        T.StructField("data_type", T.StringType(), False),
-        T.StructField("kind", T.StringType(), False),
-        *[
-            T.StructField(name, T.BooleanType(), False)
-            for name in ("temporal_name", "identifier_name", "age_name", "amount_name", "past_name", "sensitive_name")
-        ],
+        *MEASURED_SCHEMA.fields,
+        *_fields(
+            bigint="unique_count present_count kind_numbers kind_text undated_count bad_email_count damaged_count impossible_count "
+            "extreme_count filler_rows case_rows case_group_count category_rows category_group_count",
+            string="semantic_type",
+            double="confidence median",
+            boolean="is_numeric is_temporal is_text",
+            date="as_of",
+            strings="sample_values repeated_fillers filler_values",
+        ),
+        T.StructField("top_values", T.ArrayType(T.StructType([T.StructField("value", T.StringType()), T.StructField("count", T.LongType())]))),
+        T.StructField("examples", T.MapType(T.StringType(), T.ArrayType(T.StringType()))),
+        T.StructField("case_groups", _GROUPS),
+        T.StructField("category_groups", _GROUPS),
     ]
 )
 
 
-def describe_columns(data: Dataset) -> DataFrame:
+def column_rows(data: Dataset) -> list[dict]:
     """Column metadata: position, name, type and what the name hints at."""
-    rows = [
+    return [
         {
             "pos": position,
             "column": field.name,
@@ -57,7 +92,6 @@ def describe_columns(data: Dataset) -> DataFrame:
         }
         for position, field in enumerate(data.fields)
     ]
-    return small_table(data.spark, rows, COLUMNS_SCHEMA)
 
 
 # ------------------------------------------------------------------ one-scan measures
@@ -151,32 +185,36 @@ def measures(values: DataFrame, as_of: date) -> DataFrame:
     )
 
 
-def deviations(values: DataFrame, measured: DataFrame, sigma: float = 5.0) -> DataFrame:
-    """Sample standard deviation and the count of extreme values, per numeric column.
+def with_means(counts: dict[int, dict]) -> dict[int, dict]:
+    """Measures by position with the mean of the numbers of each column."""
+    return {
+        pos: {**row, "mean": row["total_number"] / row["number_count"] if row["number_count"] else None} for pos, row in counts.items()
+    }
+
+
+def squared_distances(numbers: DataFrame, facts: list[dict]) -> DataFrame:
+    """``pos, squares``: the sum of squared distances from the mean.
 
     Means are taken first and squared differences second; a single pass over squares loses
     precision when the mean is large.
     """
-    numbers = values.filter("number IS NOT NULL").select("pos", "number", "n")
-    means = measured.select("pos", F.try_divide(F.col("total_number"), F.col("number_count")).alias("mean"), "number_count")
-    spread = (
-        numbers.join(F.broadcast(means), "pos")
-        .groupBy("pos")
-        .agg(
-            F.first("mean").alias("mean"),
-            F.sqrt(
-                F.try_divide(
-                    F.sum(F.pow(F.col("number") - F.col("mean"), 2) * F.col("n")), F.first("number_count") - 1
-                )
-            ).alias("std_dev"),
-        )
-    )
+    known = beside_facts(numbers.filter("number IS NOT NULL"), facts, ["mean"], _SPREAD)
+    return known.groupBy("pos").agg(F.sum(F.pow(F.col("number") - F.col("mean"), 2) * F.col("n")).alias("squares"))
+
+
+def std_dev(squares: float | None, number_count: int) -> float | None:
+    """The sample standard deviation."""
+    return math.sqrt(squares / (number_count - 1)) if squares is not None and number_count > 1 else None
+
+
+def extremes(numbers: DataFrame, facts: list[dict], sigma: float = 5.0) -> DataFrame:
+    """``pos, extreme_count``: rows far from the mean."""
+    known = beside_facts(numbers.filter("number IS NOT NULL"), facts, ["mean", "std_dev"], _SPREAD)
     far = F.try_divide(F.abs(F.col("number") - F.col("mean")), F.col("std_dev")) > sigma
-    return (
-        numbers.join(F.broadcast(spread), "pos")
-        .groupBy("pos", "mean", "std_dev")
-        .agg(F.coalesce(F.sum(F.when(far, F.col("n"))), F.lit(0)).alias("extreme_count"))
-    )
+    return known.groupBy("pos").agg(F.coalesce(F.sum(F.when(far, F.col("n"))), F.lit(0)).alias("extreme_count"))
+
+
+_SPREAD = T.StructType([T.StructField("mean", T.DoubleType()), T.StructField("std_dev", T.DoubleType())])
 
 
 def medians(values: DataFrame, measured: DataFrame, window: int = MEDIAN_WINDOW, sliced: Iterable[int] = ()) -> DataFrame:
@@ -348,13 +386,8 @@ def semantic_type(facts: DataFrame) -> DataFrame:
     return facts.withColumns({"semantic_type": chosen, "confidence": F.round(confidence, 4)})
 
 
-def column_facts(
-    columns: DataFrame, measured: DataFrame, distinct: DataFrame, spread: DataFrame
-) -> DataFrame:
-    """All measures joined, one row per column, with the inferred type."""
-    joined = (
-        columns.join(measured, "pos").join(distinct, "pos", "left").join(spread, "pos", "left")
-    )
+def typed_facts(joined: DataFrame) -> DataFrame:
+    """The measures of each column, one row a column, with the inferred type."""
     unique = F.when(F.col("kind") == "text", F.coalesce("distinct_text", F.lit(0))).when(
         F.col("kind") != "other", F.col("distinct_raw")
     )
@@ -378,8 +411,11 @@ def column_facts(
     )
 
 
-def profiles(facts: DataFrame, medians: DataFrame, tops: DataFrame, samples: DataFrame) -> DataFrame:
-    """The profile table: one row per column in table order."""
+def profiles(facts: DataFrame) -> DataFrame:
+    """The profile table: one row per column in table order.
+
+    ``facts`` has, beside the typed facts, ``median``, ``top_values`` and ``sample_values``.
+    """
     numeric = F.col("is_numeric") | (
         ~F.col("semantic_type").isin("empty", "date", "datetime")
         & (F.col("number_count") >= 0.5 * F.col("present_count"))
@@ -408,25 +444,20 @@ def profiles(facts: DataFrame, medians: DataFrame, tops: DataFrame, samples: Dat
         F.when(native, F.array(F.lit("native"))).otherwise(format_labels(F.col("any_format"))).alias("formats"),
         F.when(native, F.lit(0)).otherwise(F.col("given_count") - F.col("date_count")).alias("unparseable_count"),
     )
-    return (
-        facts.join(medians, "pos", "left")
-        .join(tops, "pos", "left")
-        .join(samples, "pos", "left")
-        .select(
-            F.col("column"),
-            F.col("pos").alias("position"),
-            "data_type",
-            "semantic_type",
-            "confidence",
-            "row_count",
-            "missing_count",
-            "unique_count",
-            F.when(numeric, numbers).alias("numeric"),
-            F.when(F.col("is_temporal"), dates).alias("temporal"),
-            F.when(~F.col("is_numeric") & ~F.col("is_temporal"), texts).alias("text"),
-            F.coalesce("top_values", F.array().cast("array<struct<value:string,count:bigint>>")).alias("top_values"),
-            F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),
-        )
+    return facts.select(
+        F.col("column"),
+        F.col("pos").alias("position"),
+        "data_type",
+        "semantic_type",
+        "confidence",
+        "row_count",
+        "missing_count",
+        "unique_count",
+        F.when(numeric, numbers).alias("numeric"),
+        F.when(F.col("is_temporal"), dates).alias("temporal"),
+        F.when(~F.col("is_numeric") & ~F.col("is_temporal"), texts).alias("text"),
+        F.coalesce("top_values", F.array().cast("array<struct<value:string,count:bigint>>")).alias("top_values"),
+        F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),
     )
 
 

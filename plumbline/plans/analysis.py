@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from datetime import date, datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +15,12 @@ from plumbline.functions import text as tx
 from plumbline.functions.severity import percent, ratio_severity
 from plumbline.operators import checks, profile
 from plumbline.operators.checks import Context, run_isolated
-from plumbline.operators.dataset import Dataset, Intermediates, col, collecting, materialise, pinned
+from plumbline.operators.dataset import Dataset, Intermediates, col, collecting, materialise, pinned, small_table
 from plumbline.operators.evidence import attach_rows
 from plumbline.operators.findings import FINDING_COLUMNS, as_findings, details, finding, phrase
 from plumbline.operators.frequency import NEAR_UNIQUE, Frequencies, folded_counts, frequencies, trimmed_counts
 from plumbline.operators.rules import RuleSet, business_rules
+from plumbline.operators.profile import FACTS_SCHEMA, MEASURED_SCHEMA
 from plumbline.operators.score import column_scores, quality_score
 
 
@@ -57,6 +59,9 @@ class Analysis:
     score: DataFrame
     skipped: DataFrame
     rules: RuleSet | None = None
+    row_ids: bool = True
+    only: Iterable[str] | None = None
+    near_unique: int = NEAR_UNIQUE
     analysis_id: str = field(default_factory=lambda: uuid.uuid4().hex)
     created_at: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
     intermediates: Intermediates = field(default_factory=Intermediates)
@@ -96,29 +101,71 @@ def measure(data: Dataset, as_of: date | None = None, least: int = NEAR_UNIQUE)
     """
     as_of = as_of or date.today()
     known = frequencies(data, least)
-    values, near = known.values, list(known.near_unique)
-    trimmed = materialise(trimmed_counts(values))
-    folded = folded_counts(trimmed)
-    measured, counts = pinned(known.with_distinct(profile.measures(known.weighted(), as_of)))
-    numeric = [row["pos"] for row in counts if row["number_count"]]
-    numbers = known.weighted(numeric)
-    spread = profile.deviations(numbers, measured)
-    typed, facts = pinned(profile.column_facts(profile.describe_columns(data), measured, known.distinct_texts(folded), spread))
+    trimmed = materialise(trimmed_counts(known.values))
+    return reviewed(data, as_of, known, trimmed, column_facts(data, as_of, known, trimmed))
 
+
+def reviewed(data: Dataset, as_of: date, known: Frequencies, trimmed: DataFrame, facts: list[dict]) -> Review:
+    """A review from the facts of all columns."""
+    rows = sorted(facts, key=lambda fact: fact["pos"])
+    table = small_table(data.spark, rows, FACTS_SCHEMA)
+    profiles, _ = pinned(profile.profiles(table))
+    return Review(data, as_of, known, trimmed, table, rows, profiles, rows[0]["row_count"] if rows else 0)
+
+
+def column_facts(data: Dataset, as_of: date, known: Frequencies, trimmed: DataFrame) -> list[dict]:
+    """All facts of the columns that ``known`` covers, a row for each.
+
+    Questions that need no answer of each other are asked in one query: their answers are rows of
+    one table, told apart by the columns they fill, and are put together by column here.
+    """
+    spark, values, folded = data.spark, known.values, folded_counts(trimmed)
+    counts = {row["pos"]: {**row.asDict(recursive=True), **known.distinct_of(row["pos"])} for row in profile.measures(known.weighted(), as_of).collect()}
+    counts = profile.with_means(counts)
+    numeric = [fact for fact in counts.values() if fact["number_count"]]
+    numbers = known.weighted([fact["pos"] for fact in numeric])
+    answered(counts, [known.distinct_texts(folded), *([profile.squared_distances(numbers, numeric)] if numeric else [])])
+    for fact in counts.values():
+        fact["std_dev"] = profile.std_dev(fact.pop("squares", None), fact["number_count"])
+    described = [{**row, **counts[row["pos"]]} for row in profile.column_rows(data) if row["pos"] in counts]
+    typed = checks.with_counts(profile.typed_facts(small_table(spark, described, MEASURED_SCHEMA)), as_of)
+    facts = {row["pos"]: row.asDict(recursive=True) for row in typed.collect()}
+
+    near = [pos for pos in known.near_unique if checks.may_offend(facts[pos])]
     shown = trimmed.select("pos", F.col("t").alias("shown"), "n", "first_row").unionByName(
         values.filter("present AND NOT is_text").select("pos", "shown", "n", "first_row")
     )
-    tops = profile.top_values(shown)
-    samples = profile.sample_values(values)
-    medians = profile.medians(numbers, measured, sliced=near)
-    profiled, _ = pinned(profile.profiles(typed, medians, tops, samples).orderBy("position"))
-    offending = [fact["pos"] for fact in facts if fact["pos"] in near and checks.may_offend(fact)]
-    full = checks.with_check_facts(typed, known.ordinary, trimmed, folded, as_of, known.cells(offending)).join(
-        profiled.select("column", "top_values"), "column"
-    )
-    facts, rows = pinned(full)
-    row_count = rows[0]["row_count"] if rows else 0
-    return Review(data, as_of, known, trimmed, facts, rows, profiled, row_count)
+    rows = list(facts.values())
+    parts = [
+        profile.top_values(shown),
+        profile.sample_values(values),
+        checks.example_facts(known.ordinary, rows, FACTS_SCHEMA, as_of, known.cells(near)),
+        *checks.filler_facts(folded, rows, FACTS_SCHEMA),
+    ]
+    for kind in checks.VARIANTS:
+        if checks.variant_positions(kind, rows):
+            parts += checks.variant_facts(trimmed, rows, kind)
+    if numeric:
+        measured = small_table(spark, described, MEASURED_SCHEMA)
+        parts += [
+            profile.extremes(numbers, [facts[fact["pos"]] for fact in numeric]),
+            profile.medians(numbers, measured, sliced=list(known.near_unique)),
+        ]
+    answered(facts, parts)
+    forms = checks.variant_forms(trimmed, facts)
+    written = {(row.pos, row.kind, row.name): row.forms for row in forms.collect()} if forms is not None else {}
+    for pos, fact in facts.items():
+        for kind in checks.VARIANTS:
+            names = fact.pop(f"{kind}_names", None)
+            fact[f"{kind}_groups"] = [{"name": e["name"], "forms": written[pos, kind, e["name"]]} for e in names] if names else None
+    return [{name: fact.get(name) for name in FACTS_SCHEMA.names} for fact in facts.values()]
+
+
+def answered(facts: dict[int, dict], parts: list[DataFrame]) -> None:
+    """Put the answers of some tables ``pos, ...`` into the facts of their columns, from one query."""
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    for row in together.collect():
+        facts[row["pos"]].update({name: value for name, value in row.asDict(recursive=True).items() if value is not None})
 
 
 def analyze(
@@ -136,6 +183,7 @@ def analyze(
     the least number of values from which a column can count as nearly unique; results do not
     depend on it.
     """
+    only = None if only is None else list(only)
     with collecting() as intermediates:
         review = measure(data, as_of, near_unique)
         context = Context(data, review.facts, review.row_count, review.as_of, rules, row_ids, data.notes)
@@ -145,7 +193,7 @@ def analyze(
             found, _ = pinned(attach_rows(review, found))
         scores, _ = pinned(column_scores(found, review.profiles))
         total, _ = pinned(quality_score(found, scores))
-    return Analysis(review, found, scores, total, run.skipped, rules, intermediates=intermediates)
+    return Analysis(review, found, scores, total, run.skipped, rules, row_ids, only, near_unique, intermediates=intermediates)
 
 
 def structural_findings(data: Dataset, rules: RuleSet | None = None, as_of: date | None = None) -> DataFrame:

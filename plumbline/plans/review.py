@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import ground
-from plumbline.operators.apply import Cleaned, apply_corrections, previews
-from plumbline.operators.dataset import Dataset, pinned
+from plumbline.operators.apply import Cleaned, apply_corrections, corrected_values, previews
+from plumbline.operators.checks import Context, run_isolated
+from plumbline.operators.dataset import ROW_ID, Dataset, collecting, materialise, pinned, small_table
+from plumbline.operators.evidence import attach_rows
 from plumbline.operators.findings import DETERMINISTIC
+from plumbline.operators.frequency import Frequencies, frequencies, recounted, trimmed_counts
 from plumbline.operators.propose import Proposals, propose
-from plumbline.plans.analysis import Analysis, analyze
+from plumbline.operators.score import column_scores, quality_score
+from plumbline.plans.analysis import Analysis, Review, analyze, column_facts, reviewed
 
 
 @dataclass(frozen=True)
@@ -41,11 +46,23 @@ def offer(analysis: Analysis, with_previews: bool = True) -> Proposals:
     return Proposals(table, proposals.mappings)
 
 
+#: Corrections that look at other columns too, or at whole rows.
+_BEYOND_THE_COLUMN = ("fill_from_related", "drop_duplicate_rows")
+
+
 def clean(analysis: Analysis, proposals: Proposals, decisions: DataFrame) -> CleanedRun:
-    """Apply what was approved, then profile, check and score the result afresh."""
+    """Apply what was approved, and measure the result again as far as it changed.
+
+    Where no row was removed, only corrected columns are measured again, from their corrected values
+    where that is enough; facts and evidence of all other columns stay. The checks that look at whole
+    rows read the table again.
+    """
     cleaned = apply_corrections(analysis.data, proposals, decisions)
     kept = cleaned.data
-    after = analyze(kept, analysis.rules, analysis.review.as_of)
+    if cleaned.rows_removed:
+        after = analyze(kept, analysis.rules, analysis.review.as_of, analysis.row_ids, near_unique=analysis.near_unique)
+    else:
+        after = analyze_again(analysis, kept, proposals, [row.asDict() for row in cleaned.applied.collect()])
     before = analysis.score.select(F.col("overall").alias("score_before"))
     outcome, _ = pinned(
         before.crossJoin(F.broadcast(after.score.select(F.col("overall").alias("score_after")))).select(
@@ -61,6 +78,55 @@ def clean(analysis: Analysis, proposals: Proposals, decisions: DataFrame) -> Cle
     return CleanedRun(Cleaned(kept, cleaned.applied, cleaned.rows_removed, cleaned.cells_changed), after, outcome)
 
 
+def analyze_again(analysis: Analysis, data: Dataset, proposals: Proposals, applied: list[dict]) -> Analysis:
+    """The analysis of a table that differs by some corrections of cells from one that is analysed already."""
+    with collecting() as intermediates:
+        review = _measured_again(analysis, data, proposals, applied)
+        context = Context(data, review.facts, review.row_count, review.as_of, analysis.rules, analysis.row_ids, data.notes)
+        run = run_isolated(context, analysis.only)
+        changed = {offer["column"] for offer in applied}
+        found = run.findings
+        if analysis.row_ids:
+            # Evidence of other columns' findings is what it was.
+            known = {row.finding_id: row.row_ids for row in analysis.findings.filter("column IS NOT NULL").collect() if row["column"] not in changed}
+            rows = [row.asDict(recursive=True) for row in found.collect()]
+            same = [{**row, "row_ids": known[row["finding_id"]]} for row in rows if row["finding_id"] in known]
+            others = [row for row in rows if row["finding_id"] not in known]
+            found, _ = pinned(small_table(data.spark, same, found.schema).unionByName(attach_rows(review, small_table(data.spark, others, found.schema))))
+        scores, _ = pinned(column_scores(found, review.profiles))
+        total, _ = pinned(quality_score(found, scores))
+    return Analysis(review, found, scores, total, run.skipped, analysis.rules, analysis.row_ids, analysis.only, analysis.near_unique, intermediates=intermediates)
+
+
+def _measured_again(analysis: Analysis, data: Dataset, proposals: Proposals, applied: list[dict]) -> Review:
+    """The review after some corrections: other columns keep their values and facts."""
+    before = analysis.review
+    positions = {data.columns.index(offer["column"]): offer["column"] for offer in applied}
+    same = [p for p in range(len(data.columns)) if p not in positions]
+    if not positions:
+        return replace(before, data=data, frequencies=replace(before.frequencies, data=data))
+    facts = {fact["pos"]: fact for fact in before.fact_rows}
+    counted, afresh = [], []
+    for p, name in positions.items():
+        offers = [offer for offer in applied if offer["column"] == name]
+        whole = facts[p]["kind"] == "text" and not facts[p]["has_long"] and p not in before.frequencies.near_unique
+        if whole and not any(offer["action"] in _BEYOND_THE_COLUMN for offer in offers):
+            values = before.frequencies.ordinary.filter(F.col("pos") == p).select(F.col("s").alias(name), "n", F.col("first_row").alias(ROW_ID))
+            frame, data_type = corrected_values(values, name, before.data.type_of(name), proposals, offers)
+            counted.append(recounted(frame.withColumnRenamed(ROW_ID, "first_row"), name, data_type, p))
+        else:
+            afresh.append(p)
+    known = frequencies(data, analysis.near_unique, afresh) if afresh else replace(before.frequencies.of([]), data=data)
+    if counted:
+        known = replace(known, ordinary=known.ordinary.unionByName(materialise(reduce(DataFrame.unionByName, counted))))
+    trimmed = materialise(trimmed_counts(known.values))
+    new = column_facts(data, before.as_of, known, trimmed)
+    old = before.frequencies.of(same)
+    merged = Frequencies(data, old.ordinary.unionByName(known.ordinary), old.kept.unionByName(known.kept), old.near_unique | known.near_unique)
+    texts = before.trimmed.filter(F.col("pos").isin(same)).unionByName(trimmed)
+    return reviewed(data, before.as_of, merged, texts, [facts[p] for p in same if p in facts] + new)
+
+
 @dataclass(frozen=True)
 class Advice:
     """What survived of a set of suggestions, and why the rest did not."""

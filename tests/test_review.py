@@ -13,6 +13,7 @@ from plumbline.operators import rules as rl
 from plumbline.operators.apply import apply_corrections, approved_in_order, without_repeats
 from plumbline.operators.dataset import ROW_ID, Dataset, ShapeError, collecting
 from plumbline.operators.propose import Proposals, may_impute, propose
+from plumbline.operators.rules import NotNull, Range, RuleSet, Unique
 from plumbline.sources import readers, writers
 from plumbline.sources.history import redact
 
@@ -197,6 +198,42 @@ def test_misfit_corrections_are_skipped(spark, table):
     assert cleaned.applied.isEmpty() and values(cleaned.data, "a") == ["x", None]
 
 
+def said(analysis):
+    """Findings, profiles and scores as comparable rows."""
+    def plain(value):
+        if isinstance(value, float):
+            return float(f"{value:.8g}")
+        if isinstance(value, dict):
+            return {key: plain(each) for key, each in value.items()}
+        return [plain(each) for each in value] if isinstance(value, list) else value
+
+    tables = (analysis.findings, analysis.profiles, analysis.score, analysis.column_scores)
+    return [sorted(json.dumps(plain(row.asDict(recursive=True)), sort_keys=True, default=str) for row in each.collect()) for each in tables]
+
+
+def test_cleaned_tables_are_measured_again_as_if_new(spark, table):
+    n, least = 40, 16
+    data = table(
+        name=[f" Name {i % 30} " if i % 4 else f"name {i % 30}" for i in range(n)],
+        segment=["alpha", "Alpha", "alpha", "be-ta", "beta", "unknown", None, "gamma"] * 5,
+        price=[f"${i},000.00" if i % 6 else f"({i})" for i in range(n)],
+        age=[str(i) if i % 9 else None for i in range(n)],
+        day=[f"2024-01-{1 + i % 28:02d}" if i % 3 else f"{13 + i % 15}/02/2024" for i in range(n)],
+        code=[f"c{i % 3}" for i in range(n)],
+        label=[{0: "red", 1: "green", 2: "blue"}[i % 3] if i % 7 else None for i in range(n)],
+        note=["x" * 300 + str(i % 5) + " " * (i % 2) for i in range(n)],
+        email=[f"a{i}@b.org" if i % 5 else "broken" for i in range(n)],
+    )
+    rules = RuleSet((NotNull("aged", column="age"), Unique("codes", columns=("code",)), Range("low", column="price", maximum=20000)))
+    analysis = analyze(data, rules, AS_OF, near_unique=least)
+    offers = offer(analysis, with_previews=False)
+    found = offers.table.filter("action <> 'manual_review'").collect()
+    assert {row.action for row in found} >= {"strip_whitespace", "normalize_case", "cast_to_numeric", "parse_dates", "fill_from_related", "clear_invalid_values"}
+    for chosen in ({"strip_whitespace", "parse_dates"}, {row.action for row in found} - {"drop_duplicate_rows"}):
+        run = clean(analysis, offers, decide(spark, [row.proposal_id for row in found if row.action in chosen]))
+        assert said(run.after) == said(analyze(run.data, rules, AS_OF, near_unique=least))
+
+
 def test_a_correction_that_fails_while_running_costs_only_itself(spark, table):
     schema = "proposal_id string, action string, `column` string, parameters map<string,string>"
     made = spark.createDataFrame([("p", "strip_whitespace", "a", {}), ("q", "parse_dates", "d", {"output_format": "yyyy-bb-QQQQQQ"}), ("r", "fill_missing", "b", {"value": "0"})], schema)
