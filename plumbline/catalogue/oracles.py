@@ -723,6 +723,98 @@ ORACLES["stored_events"] = "SELECT 'analysis.completed' AS event_type, count(*)
 ORACLES["usage_totals"] = (
     "SELECT count(DISTINCT c_mktsegment) AS calls, count(*) AS input_tokens, 2 * count(*) AS output_tokens FROM customer"
 )
+ORACLES["ragged_rows"] = (
+    "SELECT CAST(c_custkey AS STRING) AS \"key\", CASE WHEN c_custkey % 9 > 0 THEN c_mktsegment ELSE '' END AS segment, "
+    "CASE WHEN c_custkey % 3 > 0 THEN CAST(c_nationkey AS STRING) ELSE '' END AS nation FROM customer"
+)
+ORACLES["opened_view"] = "SELECT segment, count(*) AS customers, min(row_key) AS first_row FROM dirty_customer GROUP BY segment"
+ORACLES["header_findings"] = "SELECT 'schema_mismatch' AS check_id, 'medium' AS severity, CAST(0 AS BIGINT) AS affected_rows, count(*) AS row_count FROM european_prices"
+ORACLES["stored_proposals"] = f"SELECT action, \"column\" AS column_name, status FROM ({ORACLES['proposals_with_status']})"
+ORACLES["stored_changes"] = (
+    "SELECT CAST(row_number() OVER (ORDER BY step) AS INTEGER) AS position, action, column_name, rows_changed FROM ("
+    "SELECT 1 AS step, 'strip_whitespace' AS action, 'full_name' AS column_name, count(*) FILTER (WHERE trim(full_name) <> full_name) AS rows_changed FROM dirty_customer "
+    f"UNION ALL SELECT 2, 'parse_dates', 'signup_date', count(*) FILTER (WHERE {_REWRITTEN}) FROM dirty_customer) WHERE rows_changed > 0"
+)
+ORACLES["history_after_a_failed_save"] = (
+    f"SELECT 'dirty_customer' AS source_name, count(*) AS row_count, CAST({len(CUSTOMER)} AS BIGINT) AS columns, CAST(1 AS BIGINT) AS events FROM dirty_customer "
+    "UNION ALL SELECT 'gappy_nation', count(*), 3, 1 FROM gappy_nation"
+)
+
+# ------------------------------------------------------------------ reviews, reports and evidence in groups
+
+_EVERY_CHECK = _union(
+    f"SELECT \"column\", severity, affected_rows, row_count FROM ({ORACLES['check_' + check]})"
+    for check in (
+        "missing_values", "constant_column", "placeholder_values", "invalid_email", "numeric_stored_as_text", "impossible_numeric", "suspicious_numeric", "future_date", "inconsistent_category",
+        "inconsistent_capitalization", "leading_trailing_whitespace", "corrupted_encoding",
+    )
+) + " UNION ALL " + _union(
+    [
+        _brief("signup_date", _severity(_RATIO), f"count(*) FILTER (WHERE NOT {_gap('signup_date')} AND {_day('signup_date')} IS NULL)"),
+        _brief(
+            "signup_date", "'high'", f"count({_day('signup_date')})",
+            fires=f"(SELECT count(DISTINCT contains(signup_date, '/')) FROM dirty_customer WHERE {_day('signup_date')} IS NOT NULL) > 1",
+        ),
+    ]
+)
+
+
+def _overall(view: str) -> str:
+    """The score of a table from the findings of every check."""
+    charged = f"SELECT \"column\", sum({_WEIGHT} * affected_rows / row_count * 100) AS penalty FROM ({_EVERY_CHECK}) GROUP BY \"column\""
+    names = _union(f"SELECT '{c}' AS \"column\"" for c in CUSTOMER)
+    return (
+        "SELECT round(avg(round(greatest(0, least(100, 100 - coalesce(penalty, 0))), 2)), 2) AS overall "
+        f"FROM ({names}) c LEFT JOIN ({charged}) p ON c.\"column\" = p.\"column\""
+    ).replace("dirty_customer", view)
+
+
+_FIXED = (
+    "SELECT row_key, customer_id, trim(full_name) AS full_name, email, segment, age, revenue, "
+    f"strftime({_day('signup_date')}, '%Y-%m-%d') AS signup_date, city, currency FROM dirty_customer"
+)
+ORACLES["score_after_corrections"] = (
+    f"WITH fixed_customer AS ({_FIXED}) SELECT b.overall AS score_before, a.overall AS score_after, round(a.overall - b.overall, 2) AS score_delta, "
+    "n AS rows_before, n AS rows_after, CAST(0 AS INTEGER) AS rows_removed, changed AS cells_changed "
+    f"FROM ({_overall('dirty_customer')}) b, ({_overall('fixed_customer')}) a, (SELECT count(*) AS n, "
+    f"count(*) FILTER (WHERE trim(full_name) <> full_name) + count(*) FILTER (WHERE {_REWRITTEN}) AS changed FROM dirty_customer) c"
+)
+ORACLES["manual_offers"] = _union(
+    f"SELECT \"column\", affected_rows FROM ({ORACLES['check_' + check]}) WHERE {test}"
+    for check, test in (
+        ("constant_column", "true"), ("future_date", "true"), ("impossible_numeric", "true"), ("suspicious_numeric", "true"),
+        ("missing_values", "\"column\" = 'email'"),
+    )
+)
+ORACLES["application_order"] = (
+    "SELECT CAST(list_position(['repair_encoding', 'strip_whitespace', 'normalize_case', 'map_category', 'cast_to_numeric', 'parse_dates', "
+    f"'clear_invalid_values', 'clip_to_range', 'fill_from_related', 'fill_missing', 'drop_duplicate_rows'], action) AS BIGINT) AS step, action, \"column\" FROM ({ORACLES['proposals']})"
+)
+ORACLES["report_columns"] = (
+    f"SELECT t.\"column\", semantic_type, missing_count, round(missing_count / m.row_count * 100, 1) AS missing_percent, unique_count FROM ({ORACLES['infer_types']}) t "
+    f"JOIN ({ORACLES['missing_counts']}) m ON t.\"column\" = m.\"column\" JOIN ({ORACLES['cardinality']}) c ON t.\"column\" = c.\"column\""
+)
+ORACLES["column_summaries"] = (
+    "SELECT t.\"column\", semantic_type AS inferred_type, missing_count AS missing, m.row_count, unique_count AS distinct_count, round(minimum, 4) AS lowest, "
+    "round(maximum, 4) AS highest, masked, examples "
+    f"FROM ({ORACLES['infer_types']}) t JOIN ({ORACLES['missing_counts']}) m ON t.\"column\" = m.\"column\" JOIN ({ORACLES['cardinality']}) c ON t.\"column\" = c.\"column\" "
+    f"JOIN ({ORACLES['masked_columns']}) k ON t.\"column\" = k.\"column\" LEFT JOIN ({ORACLES['profile_numeric_text']}) p ON t.\"column\" = p.\"column\" LEFT JOIN ("
+    + _union(
+        f"SELECT '{c}' AS \"column\", string_agg({shown}, ';' ORDER BY first_row) AS examples FROM (SELECT {c}, min(row_key) AS first_row FROM dirty_customer "
+        f"WHERE NOT {_gap(c)} GROUP BY 1 ORDER BY 2 LIMIT 5)"
+        for c, shown in (("segment", "segment"), ("customer_id", "regexp_replace(regexp_replace(customer_id, '[0-9]', '9', 'g'), '[A-Z]', 'a', 'g')"))
+    )
+    + ") e ON t.\"column\" = e.\"column\""
+)
+ORACLES["probable_duplicate_examples"] = (
+    "SELECT CAST(place - 1 AS INTEGER) AS place, CAST(member - 1 AS INTEGER) AS member, row_key AS row_id FROM ("
+    "SELECT row_key, row_number() OVER (PARTITION BY r.k ORDER BY row_key) AS member, place FROM "
+    f"({_COMPANY_ROWS}) r JOIN (SELECT k, row_number() OVER (ORDER BY min(row_key)) AS place FROM ({_COMPANY_ROWS}) WHERE same_key > 1 AND same_row = 1 GROUP BY k) g ON r.k = g.k "
+    "WHERE place <= 5) WHERE member <= 4"
+)
+ORACLES["rules_read_from_yaml"] = (
+    f"SELECT rule, affected FROM ({_RULE_COUNTS}) WHERE rule IN ('email_required', 'customer_id_unique', 'age_plausible', 'customer_id_format')"
+)
 
 
 #: DuckDB sums integers into 128 bits; these results are ordinary integers.

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from datetime import date
 from functools import lru_cache
 
+import yaml
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from plumbline.functions import text as tx
 from plumbline.functions.dates import format_labels, with_dates
 from plumbline.functions.numbers import with_number
 from plumbline.operators import checks, dependencies, ground, profile, report
-from plumbline.operators.apply import apply_corrections, previews, with_correction, without_repeats
+from plumbline.operators.apply import apply_corrections, approved_in_order, previews, with_correction, without_repeats
 from plumbline.operators.checks import Context, run_checks
 from plumbline.operators.dataset import ROW_ID, pinned, preview_rows
 from plumbline.operators.evidence import attach_rows
@@ -27,7 +29,7 @@ from plumbline.operators.score import column_scores, quality_score, worst_column
 from plumbline.plans.analysis import Review, analyze, measure, structural_findings
 from plumbline.plans.review import advise, clean, offer
 from plumbline.sources.history import History, redact
-from plumbline.sources.readers import read_csv
+from plumbline.sources.readers import open_view, read_csv
 from plumbline.sources.writers import write_csv
 
 #: The day that future dates are judged against.
@@ -772,7 +774,16 @@ def level_counts(spark, sf_dir):
 
 @query("column_summaries")
 def column_summaries(spark, sf_dir):
-    return report.column_summaries(review_of(spark, sf_dir, "dirty_customer").profiles).select("column", "summary")
+    """The fields of every summary; examples as the shapes they are masked to."""
+    summary = report.column_summaries(review_of(spark, sf_dir, "dirty_customer").profiles)
+    part = lambda name: F.get_json_object("summary", f"$.{name}")
+    return summary.select(
+        "column", part("inferred_type").alias("inferred_type"), part("missing").cast("bigint").alias("missing"),
+        part("rows").cast("bigint").alias("row_count"), part("distinct").cast("bigint").alias("distinct_count"),
+        part("min").cast("double").alias("lowest"), part("max").cast("double").alias("highest"),
+        part("examples_are_masked").cast("boolean").alias("masked"),
+        F.when(F.col("column").isin("customer_id", "segment"), F.array_join(F.from_json(part("examples"), "array<string>"), ";")).alias("examples"),
+    )
 
 
 @query("masked_columns")
@@ -837,6 +848,53 @@ def checks_beside_failing_ones(spark, sf_dir):
     return found.unionByName(named)
 
 
+# ------------------------------------------------------------------ reviews, reports and evidence in groups
+
+
+@query("manual_offers")
+def manual_offers(spark, sf_dir):
+    """Findings that only a person can settle."""
+    return offered(spark, sf_dir)[1].table.filter("action = 'manual_review'").select("column", "affected_rows")
+
+
+@query("application_order")
+def application_order(spark, sf_dir):
+    _, offers = offered(spark, sf_dir)
+    everything = [row.proposal_id for row in offers.table.select("proposal_id").collect()]
+    return approved_in_order(offers.table, decide(spark, everything)).select("step", "action", "column")
+
+
+@query("report_columns")
+def report_columns(spark, sf_dir):
+    analysis, offers = offered(spark, sf_dir)
+    columns = report.report_tables(analysis, offers.table, _approve(spark, offers, "strip_whitespace"))["columns"]
+    return columns.select("column", "semantic_type", "missing_count", "missing_percent", "unique_count")
+
+
+@query("probable_duplicate_examples")
+def probable_duplicate_examples(spark, sf_dir):
+    """The rows of the first groups of probable duplicates, by place."""
+    data = dataset(spark, sf_dir, "dirty_company")
+    found = checks.probable_duplicates(Context(data, None, data.frame.count(), AS_OF, row_ids=True))
+    groups = F.from_json(F.get_json_object("details", "$.examples"), "array<struct<rows:array<bigint>>>")
+    return found.select(F.posexplode(groups).alias("place", "group")).select("place", F.posexplode("group.rows").alias("member", "row_id"))
+
+
+@query("rules_read_from_yaml")
+def rules_read_from_yaml(spark, sf_dir):
+    """Rules written as text, read, and evaluated."""
+    text = """
+    name: customers
+    rules:
+      - {type: not_null, name: email_required, column: email}
+      - {type: unique, name: customer_id_unique, columns: [customer_id], severity: critical}
+      - {type: range, name: age_plausible, column: age, minimum: 0, maximum: 120}
+      - {type: regex, name: customer_id_format, column: customer_id, pattern: "CUST-[0-9]+$"}
+      - {type: not_null, name: switched_off, column: city, enabled: false}
+    """
+    return rl.evaluate(dataset(spark, sf_dir, "dirty_customer"), rl.parse_rules(yaml.safe_load(text)), AS_OF)
+
+
 # ------------------------------------------------------------------ files and history
 
 
@@ -899,6 +957,68 @@ def stored_events(spark, sf_dir):
     return history.audit_trail(known).select("event_type", F.get_json_object("payload", "$.rows").cast("bigint").alias("rows"))
 
 
+@query("ragged_rows")
+def ragged_rows(spark, sf_dir):
+    """Every third line lacks its last cell, every ninth its last two."""
+    path = _scratch(spark)
+    line = F.expr("concat_ws(',', c_custkey, CASE WHEN c_custkey % 9 > 0 THEN c_mktsegment END, CASE WHEN c_custkey % 3 > 0 THEN c_nationkey END)")
+    lines = frame(spark, sf_dir, "customer").select(line.alias("key,segment,nation"))
+    lines.write.options(sep="\x01", quote="\x02", header=True).csv(path)
+    return read_csv(spark, path, delimiter=",").frame.drop(ROW_ID)
+
+
+@query("opened_view")
+def opened_view(spark, sf_dir):
+    path = f"{_scratch(spark)}.parquet"
+    frame(spark, sf_dir, "dirty_customer").write.parquet(path)
+    open_view(spark, path, "opened_customers")
+    return spark.sql("SELECT segment, count(*) AS customers, min(row_key) AS first_row FROM opened_customers GROUP BY segment")
+
+
+@query("header_findings")
+def header_findings(spark, sf_dir):
+    path = _scratch(spark)
+    prices = frame(spark, sf_dir, "european_prices").select(F.col("row_key").alias("Key"), F.col("price").alias("key"))
+    prices.write.option("sep", ";").csv(path, header=True)
+    found = analyze(read_csv(spark, path), None, AS_OF, row_ids=False, only=["schema_mismatch"]).findings
+    return found.select("check_id", "severity", "affected_rows", "row_count")
+
+
+@query("stored_proposals")
+def stored_proposals(spark, sf_dir):
+    analysis, offers = offered(spark, sf_dir)
+    history = History(spark, _scratch(spark))
+    history.save_analysis(analysis)
+    history.save_review(analysis, offers, _approve(spark, offers, "strip_whitespace"))
+    return history.table("proposals").filter("action <> 'manual_review'").select("action", "column_name", F.col("decision_status").alias("status"))
+
+
+@query("stored_changes")
+def stored_changes(spark, sf_dir):
+    analysis, offers = offered(spark, sf_dir)
+    history = History(spark, _scratch(spark))
+    history.save_analysis(analysis)
+    history.save_cleaned(analysis, clean(analysis, offers, _approve(spark, offers, "parse_dates", "strip_whitespace")))
+    return history.applied_changes(analysis.analysis_id).select("position", "action", "column_name", "rows_changed")
+
+
+@query("history_after_a_failed_save")
+def history_after_a_failed_save(spark, sf_dir):
+    """A save that breaks off after its first tables, between two that do not."""
+    history = _saved(spark, sf_dir, "gappy_nation")
+    broken = analyze(dataset(spark, sf_dir, "dirty_part"), None, AS_OF, row_ids=False, only=["missing_values"])
+    broken.findings = broken.findings.withColumn("title", F.raise_error(F.lit("no title")).cast("string"))
+    broken.findings = broken.findings.unionByName(spark.createDataFrame([tuple(None for _ in broken.findings.columns)], broken.findings.schema).withColumn("title", F.raise_error(F.lit("no title")).cast("string")))
+    try:
+        history.save_analysis(broken)
+    except PySparkException:
+        pass
+    history.save_analysis(analyze(dataset(spark, sf_dir, "dirty_customer"), None, AS_OF, row_ids=False, only=["missing_values"]))
+    columns = history.table("analysis_columns").groupBy("analysis_id").agg(F.count(F.lit(1)).alias("columns"))
+    events = history.table("audit_events").groupBy("analysis_id").agg(F.count(F.lit(1)).alias("events"))
+    return history.recent_analyses(9).join(columns, "analysis_id", "left").join(events, "analysis_id", "left").select("source_name", "row_count", "columns", "events")
+
+
 @query("usage_totals")
 def usage_totals(spark, sf_dir):
     history = History(spark, _scratch(spark))

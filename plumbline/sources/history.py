@@ -1,11 +1,16 @@
 """The history of runs: append-only Parquet tables under one folder.
 
-Rows are only ever added. Cell values copied from the data are replaced by counts unless the
-caller asks to keep them.
+Rows are only ever added. What belongs together is saved as one commit: its rows are written first, in
+folders of their own, and one row in the table of commits publishes them all. Readers see published
+rows only, so a save that fails half-way leaves nothing behind that anyone reads. Cell values copied
+from the data are replaced by counts unless the caller asks to keep them.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -35,6 +40,11 @@ TABLES = {
 }
 
 
+#: The table that publishes commits, and the column that names the commit of a row.
+COMMITS, COMMIT = "commits", "__commit"
+COMMITS_DDL = "commit_id string, kind string, analysis_id string, published_at timestamp"
+
+
 def redact(details: Column, keep_examples: bool = False) -> Column:
     """Details JSON with every value that quotes the data replaced by a count or a flag."""
     if keep_examples:
@@ -61,36 +71,59 @@ class History:
     def __init__(self, spark: SparkSession, root: str, keep_examples: bool = False):
         self.spark, self.root, self.keep_examples = spark, root.rstrip("/"), keep_examples
 
-    def table(self, name: str) -> DataFrame:
-        """A history table; empty when nothing was stored yet."""
-        reader = self.spark.read.schema(TABLES[name]).option("recursiveFileLookup", "true")
+    def _stored(self, name: str, schema: str) -> DataFrame:
+        reader = self.spark.read.schema(schema).option("recursiveFileLookup", "true")
         try:
             return reader.parquet(f"{self.root}/{name}")
         except AnalysisException as missing:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
-            return self.spark.createDataFrame([], TABLES[name])
+            return self.spark.createDataFrame([], schema)
 
-    def _append(self, name: str, df: DataFrame) -> None:
+    def table(self, name: str) -> DataFrame:
+        """The published rows of a history table; empty when nothing was stored yet.
+
+        Rows without a commit were stored before there were commits, and count as published.
+        """
+        rows = self._stored(name, f"{TABLES[name]}, {COMMIT} string")
+        published = self.commits().select(F.col("commit_id").alias(COMMIT)).distinct()
+        known = rows.join(published, COMMIT, "left_semi").unionByName(rows.filter(F.col(COMMIT).isNull()))
+        return known.drop(COMMIT)
+
+    def commits(self) -> DataFrame:
+        """What was saved: ``commit_id, kind, analysis_id, published_at``."""
+        return self._stored(COMMITS, COMMITS_DDL)
+
+    @contextmanager
+    def _commit(self, kind: str, analysis_id: str | None) -> Iterator[str]:
+        """The name of a new commit, which is published when the block ends without an error."""
+        commit = uuid.uuid4().hex
+        yield commit
+        row = [(commit, kind, analysis_id, datetime.now(timezone.utc))]
+        # One row in one file: it is there as a whole or not at all.
+        self.spark.createDataFrame(row, COMMITS_DDL).coalesce(1).write.mode("append").parquet(f"{self.root}/{COMMITS}")
+
+    def _append(self, commit: str, name: str, df: DataFrame) -> None:
         fields = self.spark.createDataFrame([], TABLES[name]).schema.fields
-        df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields]).coalesce(1).write.mode("append").parquet(
-            f"{self.root}/{name}"
-        )
+        rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields], F.lit(commit).alias(COMMIT))
+        rows.coalesce(1).write.parquet(f"{self.root}/{name}/{commit}")
 
-    def _event(self, analysis_id: str | None, kind: str, summary: Column, payload: Column, source: DataFrame, actor: str) -> None:
+    def _event(self, commit: str, analysis_id: str | None, kind: str, summary: Column, payload: Column, source: DataFrame, actor: str) -> None:
         self._append(
+            commit,
             "audit_events",
             source.select(
                 F.lit(analysis_id).alias("analysis_id"), F.lit(datetime.now(timezone.utc)).alias("occurred_at"),
                 F.lit(kind).alias("event_type"), F.lit(actor).alias("actor"),
-                F.substring(summary, 1, 500).alias("summary"), payload.alias("payload"),
+                summary.alias("summary"), payload.alias("payload"),
             ),
         )
 
     # -------------------------------------------------------------- writes
 
     def log_event(self, kind: str, summary: str, analysis_id: str | None = None, actor: str = "reviewer", payload: str = "{}") -> None:
-        self._event(analysis_id, kind, F.lit(summary), F.lit(payload), self.spark.range(1), actor)
+        with self._commit("event", analysis_id) as commit:
+            self._event(commit, analysis_id, kind, F.lit(summary), F.lit(payload), self.spark.range(1), actor)
 
     def log_call(self, analysis_id: str | None, task: str, model: str, input_tokens: int, output_tokens: int,
                  latency_ms: int, succeeded: bool = True, error_type: str | None = None) -> None:
@@ -100,14 +133,21 @@ class History:
             "input_tokens": input_tokens, "output_tokens": output_tokens, "latency_ms": latency_ms,
             "succeeded": succeeded, "error_type": error_type,
         }
-        self._append("call_log", self.spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()]))
+        with self._commit("call", analysis_id) as commit:
+            self._append(commit, "call_log", self.spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()]))
 
     def save_analysis(self, analysis) -> None:
+        """A run with its columns, findings and an event, all of it or nothing."""
+        with self._commit("analysis", analysis.analysis_id) as commit:
+            self._save_analysis(commit, analysis)
+
+    def _save_analysis(self, commit: str, analysis) -> None:
         known = {"analysis_id": F.lit(analysis.analysis_id)}
         score = analysis.score.select(F.struct("*").alias("s"))
         columns = analysis.column_scores.agg(F.collect_list(F.struct("column", "score", "penalty")).alias("columns"))
         data = analysis.data
         self._append(
+            commit,
             "analyses",
             score.crossJoin(F.broadcast(columns)).withColumns(
                 {
@@ -126,22 +166,23 @@ class History:
             ),
         )
         self._append(
+            commit,
             "analysis_columns",
             analysis.profiles.join(analysis.column_scores.select("column", F.col("score").alias("column_score")), "column")
             .withColumn("name", F.col("column")).withColumns(known),
         )
         self._append(
+            commit,
             "findings",
             analysis.findings.withColumns(
-                {**known, "column_name": F.col("column"), "title": F.substring("title", 1, 500),
-                 "details": redact(F.col("details"), self.keep_examples)}
+                {**known, "column_name": F.col("column"), "details": redact(F.col("details"), self.keep_examples)}
             ),
         )
         found = analysis.findings.agg(F.count(F.lit(1)).alias("findings")).crossJoin(F.broadcast(analysis.score))
         summary = F.format_string("Analysed '%s': %,d rows, %,d findings, score %.1f.", F.lit(data.name),
                                   F.lit(analysis.row_count), F.col("findings"), F.col("overall"))
         payload = F.to_json(F.struct(F.lit(analysis.row_count).alias("rows"), "findings", F.col("overall").alias("quality_score")))
-        self._event(analysis.analysis_id, "analysis.completed", summary, payload, found, "engine")
+        self._event(commit, analysis.analysis_id, "analysis.completed", summary, payload, found, "engine")
 
     def save_review(self, analysis, proposals: Proposals, decisions: DataFrame, reviewer: str = "reviewer") -> None:
         """Offered corrections with their decisions, refusals included. Stored ids are skipped."""
@@ -151,39 +192,43 @@ class History:
         for name, default in (("decided_at", "timestamp"), ("decided_by", "string"), ("note", "string")):
             if name not in offers.columns:
                 offers = offers.withColumn(name, F.lit(None).cast(default))
-        self._append(
-            "proposals",
-            offers.join(stored, "proposal_id", "left_anti").withColumns(
-                {
-                    "analysis_id": F.lit(analysis.analysis_id),
-                    "column_name": F.col("column"),
-                    "decision_status": F.col("status"),
-                    "decision_note": F.coalesce("note", F.lit("")),
-                    "parameters": redact(F.to_json("parameters"), self.keep_examples),
-                }
-            ),
-        )
         counts = decision_counts(proposals.table, decisions)
         summary = F.format_string("%,d corrections approved, %,d rejected, %,d left pending.", "approved", "rejected", "pending")
-        self._event(analysis.analysis_id, "review.decided", summary, F.to_json(F.struct("*")), counts, reviewer)
+        with self._commit("review", analysis.analysis_id) as commit:
+            self._append(
+                commit,
+                "proposals",
+                offers.join(stored, "proposal_id", "left_anti").withColumns(
+                    {
+                        "analysis_id": F.lit(analysis.analysis_id),
+                        "column_name": F.col("column"),
+                        "decision_status": F.col("status"),
+                        "decision_note": F.coalesce("note", F.lit("")),
+                        "parameters": redact(F.to_json("parameters"), self.keep_examples),
+                    }
+                ),
+            )
+            self._event(commit, analysis.analysis_id, "review.decided", summary, F.to_json(F.struct("*")), counts, reviewer)
 
     def save_cleaned(self, analysis, cleaned, reviewer: str = "reviewer") -> None:
         """The changes that were really made."""
         self._require(analysis.analysis_id)
         order = F.row_number().over(_by_id())
-        self._append(
-            "applied_changes",
-            cleaned.applied.withColumns(
-                {
-                    "analysis_id": F.lit(analysis.analysis_id), "column_name": F.col("column"),
-                    "parameters": redact(F.to_json("parameters"), self.keep_examples),
-                    "applied_at": F.lit(datetime.now(timezone.utc)), "position": order,
-                }
-            ),
-        )
         summary = F.format_string("%,d cells changed, %,d rows removed; score %.1f to %.1f.", "cells_changed", "rows_removed",
                                   "score_before", "score_after")
-        self._event(analysis.analysis_id, "dataset.cleaned", summary, F.to_json(F.struct("*")), cleaned.outcome, reviewer)
+        with self._commit("cleaning", analysis.analysis_id) as commit:
+            self._append(
+                commit,
+                "applied_changes",
+                cleaned.applied.withColumns(
+                    {
+                        "analysis_id": F.lit(analysis.analysis_id), "column_name": F.col("column"),
+                        "parameters": redact(F.to_json("parameters"), self.keep_examples),
+                        "applied_at": F.lit(datetime.now(timezone.utc)), "position": order,
+                    }
+                ),
+            )
+            self._event(commit, analysis.analysis_id, "dataset.cleaned", summary, F.to_json(F.struct("*")), cleaned.outcome, reviewer)
 
     # -------------------------------------------------------------- reads
 
