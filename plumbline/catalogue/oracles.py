@@ -709,6 +709,10 @@ ORACLES["audit_log"] = f"SELECT count(*) AS rows, CAST({len(CUSTOMER)} AS BIGINT
 
 ORACLES["csv_round_trip"] = f"SELECT {', '.join(f"coalesce({c}, '') AS {c}" for c in CUSTOMER)} FROM dirty_customer"
 ORACLES["csv_semicolons"] = "SELECT CAST(row_key AS STRING) AS \"Key\", price AS key_1, price AS price FROM european_prices"
+ORACLES["csv_line_breaks"] = (
+    "SELECT CAST(p_partkey AS STRING) AS \"key\", CASE WHEN p_partkey % 3 = 0 THEN concat(p_name, chr(10), p_type, ', \"', p_brand, '\"', chr(10)) "
+    "WHEN p_partkey % 3 = 1 THEN concat('a ', chr(34), ' b') ELSE p_name END AS note, p_brand AS brand FROM part"
+)
 ORACLES["csv_latin"] = "SELECT customer_id, replace(replace(city, 'Ã¶', 'é'), chr(65533), 'é') AS city FROM dirty_customer"
 ORACLES["stored_columns"] = (
     f"SELECT m.\"column\" AS name, m.row_count, missing_count, unique_count FROM ({ORACLES['missing_counts']}) m "

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.text import CP1252_BYTES, CP1252_CHARACTERS, WHITESPACE
 from plumbline.operators.dataset import ROW_ID, Dataset, ShapeError, col
+from plumbline.sources.split_csv import read_split
 
 # Encodings and delimiters tried, in order.
 ENCODINGS = ("UTF-8", "windows-1252", "ISO-8859-1")
@@ -130,32 +131,34 @@ def read_csv(
     """A CSV or TSV file with every cell as text; nothing is turned into a null.
 
     Words such as ``N/A`` stay words, empty cells stay empty text. A row with more fields
-    than the header is an error. ``multi_line`` allows line breaks inside quotes, which
-    keeps a file in one split; by default it is on only where a line holds an odd number of
-    quotes. ``with_hash`` records the SHA-256 of the content, reading each file in one piece.
+    than the header is an error. Where a line holds an odd number of quotes, cells may go on in
+    the next line; such files are read in splits all the same (:mod:`split_csv`). ``multi_line``
+    says that they do or do not; if they do, each file is read in one piece by Spark's own reader.
+    ``with_hash`` records the SHA-256 of the content, reading each file in one piece.
     """
     layout = csv_layout(spark, path, encoding, delimiter)
     names, notes = repair_header(list(layout.header))
     if max_columns is not None and len(names) > max_columns:
         raise ShapeError(f"{len(names):,} columns exceed the limit of {max_columns:,}.")
-    if multi_line is None:
-        multi_line = _breaks_in_quotes(spark, path)
+    in_splits = multi_line is None and _breaks_in_quotes(spark, path)
     raw = [f"c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*raw, _OVERFLOW]])
-    df = spark.read.csv(
-        path, schema=schema, header=True, sep=layout.delimiter, encoding=_charset(layout.encoding), quote='"', escape='"',
-        multiLine=multi_line, enforceSchema=True,
-    )
+    if in_splits:
+        df = read_split(spark, path, schema, layout.delimiter, _charset(layout.encoding))
+    else:
+        df = spark.read.csv(
+            path, schema=schema, header=True, sep=layout.delimiter, encoding=_charset(layout.encoding), quote='"', escape='"',
+            multiLine=bool(multi_line), enforceSchema=True,
+        ).withColumn(ROW_ID, F.monotonically_increasing_id())
     # A short row is filled up, as if its last cells were empty; a long one spills over.
     if not df.filter(F.col(_OVERFLOW).isNotNull()).isEmpty():
         raise ShapeError("Some rows have more fields than the header.")
-    kept = df.withColumn(ROW_ID, F.monotonically_increasing_id())
 
     def cell(name: str):
         text = F.coalesce(F.col(name), F.lit(""))
         return F.translate(text, CP1252_BYTES, CP1252_CHARACTERS) if layout.encoding == ENCODINGS[1] else text
 
-    frame = kept.select(*[cell(r).alias(n) for r, n in zip(raw, names)], ROW_ID)
+    frame = df.select(*[cell(r).alias(n) for r, n in zip(raw, names)], ROW_ID)
     data = Dataset(
         frame, name or path.rstrip("/").rsplit("/", 1)[-1], tuple(notes), content_hash(spark, path) if with_hash else None,
         size_of(spark, path), layout.encoding, layout.delimiter,
