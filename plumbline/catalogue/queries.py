@@ -925,7 +925,7 @@ def csv_line_breaks(spark, sf_dir):
     path = _scratch(spark)
     note = F.expr("CASE WHEN p_partkey % 3 = 0 THEN concat(p_name, chr(10), p_type, ', \"', p_brand, '\"', chr(10)) WHEN p_partkey % 3 = 1 THEN concat('a ', chr(34), ' b') ELSE p_name END")
     parts = frame(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("key"), note.alias("note"), F.col("p_brand").alias("brand"))
-    parts.write.option("escape", '"').csv(path, header=True)
+    parts.write.options(escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path, header=True)
     return read_csv(spark, path).frame.drop(ROW_ID)
 
 
