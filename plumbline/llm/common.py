@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,6 +109,36 @@ def with_row_key(docs: DataFrame) -> DataFrame:
         return written(docs.select("*", F.lit(0).cast("long").alias("__file"), F.monotonically_increasing_id().alias("__at")))
 
 
+#: Columns that stages read by name; any others travel through a stage packed into one.
+_READ = ("doc_id", "text", "lang", "source", "n_chars")
+_OTHERS = "__others"
+
+
+def with_any_columns(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage over documents whose other columns may have any names, those that stages use themselves too.
+
+    They come back in their places. Where the stage adds a column of that name, it gives way.
+    """
+
+    @wraps(stage)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        others = [name for name in docs.columns if name not in _READ]
+        if not others:
+            return stage(docs, *args, **options)
+        packed = F.struct(*[F.col(_quoted(name)).alias(f"c{i}") for i, name in enumerate(others)]).alias(_OTHERS)
+        read = [name for name in docs.columns if name in _READ]
+        out = stage(docs.select(*read, packed), *args, **options)
+        added = [name for name in out.columns if name not in (*read, _OTHERS)]
+        kept = [F.col(name) if name in read else F.col(_OTHERS)[f"c{others.index(name)}"].alias(name) for name in docs.columns if name not in added]
+        return out.select(*kept, *added)
+
+    return run
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 #: Bytes of a table that may be broadcast; they are counted before.
 BROADCAST_BYTES = 32 << 20
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import as_bytes, column, slices, written
+from plumbline.llm.common import as_bytes, column, slices, with_any_columns, written
 
 #: Consecutive words in a window.
 WINDOW = 10
@@ -220,6 +220,7 @@ def _one_pass(rows: DataFrame, patterns: list[bytes], ids: list[list[str]], keep
     return rows.mapInArrow(run, schema)
 
 
+@with_any_columns
 def without_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """``docs`` without the rows in which a window of an item occurs."""
     flags = decontaminate(docs.select(F.struct(*docs.columns).alias("row"), "text"), items, size, ("row",))

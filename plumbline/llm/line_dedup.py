@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ROW_KEY, as_bytes, beside, column, slices, with_row_key, written
+from plumbline.llm.common import ROW_KEY, as_bytes, beside, column, slices, with_any_columns, with_row_key, written
 from plumbline.llm.graph import components
 
 #: Edits that linked lines may lie apart.
@@ -416,6 +416,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *(F.col(n).cast("long").alias(n) for n in ("n_lines", "n_kept", "n_linked")), F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept"))
 
 
+@with_any_columns
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` whose texts have lost the lines that an earlier line stands for.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ROW_KEY, beside, with_row_key, written
+from plumbline.llm.common import ROW_KEY, beside, with_any_columns, with_row_key, written
 
 #: Rows in a block, and slots in a period of :func:`period`, which takes whole shares.
 BLOCK, SLOTS = 16, 1000
@@ -212,6 +212,7 @@ def _places(keyed: DataFrame, weights: DataFrame | None, block: int) -> DataFram
     )
 
 
+@with_any_columns
 def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
     """All columns of ``docs`` and the place of every row in the mix (see :func:`schedule`).
 

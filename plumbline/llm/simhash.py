@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ROW_KEY, arrow_map, as_bytes, beside, column, with_row_key, written
+from plumbline.llm.common import ROW_KEY, arrow_map, as_bytes, beside, column, with_any_columns, with_row_key, written
 from plumbline.llm.graph import components
 
 #: Words in a shingle, and the number of bits in which linked fingerprints may differ.
@@ -165,6 +165,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     )
 
 
+@with_any_columns
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id.
 

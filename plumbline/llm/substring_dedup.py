@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ROW_KEY, as_bytes, beside, column, with_row_key, written
+from plumbline.llm.common import ROW_KEY, as_bytes, beside, column, with_any_columns, with_row_key, written
 from plumbline.llm.tallies import answered, answers, blocks, expand, expand_sorted, squeeze, squeeze_sorted, told
 
 #: Bytes in a chunk on average, and at most.
@@ -227,6 +227,7 @@ def passages(docs: DataFrame, least_words: int = LEAST_WORDS, keyed: bool = Fals
     return table.mapInArrow(run, schema)
 
 
+@with_any_columns
 def without_later_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` whose texts have lost every passage that stands at an earlier place, in the same row too; the first copy stays."""
     rows = with_row_key(docs)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import as_bytes, column, slices
+from plumbline.llm.common import as_bytes, column, slices, with_any_columns
 
 #: At most this many labelled documents are fitted: those whose ids have the smallest digests.
 SAMPLE = 6000
@@ -195,6 +195,7 @@ def grade_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     return score(docs.select("doc_id", "text"), model).select("doc_id", "severity", "grade", "toxic")
 
 
+@with_any_columns
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``docs`` without the rows graded toxic."""
     model = fit(docs, severity_grades(labels), sample)
