@@ -12,14 +12,16 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` of every node in ``edges (a, b)``: nodes of one component share their root.
 
     Every round each node moves to its smallest neighbour and the graph shrinks to the nodes
-    moved to. With ids that are digests the rounds grow with the logarithm of the size. Both
-    steps are groupings and joins; groupings combine locally first, so the centre of a large star
-    reaches no task with all its edges. An empty table of edges gives an empty result; loops and
-    repeated edges are allowed; null ends are ignored.
+    moved to. Small means small by digest, so chains of rising ids are no harder than others and
+    the rounds grow with the logarithm of the size. Both steps are groupings and joins; groupings
+    combine locally first, so the centre of a large star reaches no task with all its edges. An
+    empty table of edges gives an empty result; loops and repeated edges are allowed; null ends
+    are ignored.
     """
+    first, second = (F.struct(F.xxhash64(name).alias("digest"), F.col(name).alias("id")) for name in ("a", "b"))
     edges = written(
         edges.filter("a <> b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .select(F.least(first, second).alias("a"), F.greatest(first, second).alias("b"))
         .distinct()
     )
     moves = []
@@ -36,9 +38,9 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
     if not moves:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        return edges.select(F.col("a.id").alias("node"), F.col("b.id").alias("root"))
     roots = moves.pop().toDF("node", "root")
     for move in reversed(moves):
         later = roots.toDF("to", "later")
         roots = written(move.join(later, "to", "left").select("node", F.coalesce("later", "to").alias("root")))
-    return roots
+    return roots.select(F.col("node.id").alias("node"), F.col("root.id").alias("root"))

@@ -44,3 +44,14 @@ def test_binary_nodes_loops_and_nulls(spark):
 
 def test_no_edges(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def test_a_chain_of_rising_ids_takes_few_rounds(spark, monkeypatch):
+    from plumbline.llm import graph
+
+    writes = []
+    monkeypatch.setattr(graph, "written", lambda df, of=graph.written: writes.append(1) or of(df))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(400)], "a bigint, b bigint")
+    rows = graph.components(edges).collect()
+    assert len(rows) == 401 and len({row.root for row in rows}) == 1
+    assert len(writes) < 45
