@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import ROW_KEY, arrow_map, as_bytes, beside, column, with_any_columns, with_row_key, written
-from plumbline.llm.graph import components
+from plumbline.llm.graph import components, gathered, scattered
 
 #: Words in a shingle, and the number of bits in which linked fingerprints may differ.
 SHINGLE, MAX_BITS = 3, 2
@@ -142,7 +142,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> Dat
 def _rooted(prints: DataFrame, max_bits: int) -> DataFrame:
     """``fp, root`` of the fingerprints that some other one is linked to."""
     distinct = written(prints.select("fp").distinct())
-    return components(links(distinct, max_bits)).withColumnRenamed("node", "fp")
+    found = links(distinct, max_bits).select(*(scattered(F.col(end)).alias(end) for end in ("a", "b")))
+    return components(found).select(gathered(F.col("node")).alias("fp"), gathered(F.col("root")).alias("root"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:

@@ -1,5 +1,8 @@
 import random
 
+from pyspark.sql import functions as F
+
+from plumbline.llm import graph
 from plumbline.llm.graph import components
 
 
@@ -46,12 +49,18 @@ def test_no_edges(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
 
 
-def test_a_chain_of_rising_ids_takes_few_rounds(spark, monkeypatch):
-    from plumbline.llm import graph
-
+def test_a_chain_of_scattered_ids_takes_few_rounds(spark, monkeypatch):
     writes = []
     monkeypatch.setattr(graph, "written", lambda df, of=graph.written: writes.append(1) or of(df))
-    edges = spark.createDataFrame([(i, i + 1) for i in range(400)], "a bigint, b bigint")
-    rows = graph.components(edges).collect()
-    assert len(rows) == 401 and len({row.root for row in rows}) == 1
+    edges = spark.createDataFrame([(i, i + 1) for i in range(400)], "a bigint, b bigint").select(*(graph.scattered(F.col(c)).alias(c) for c in "ab"))
+    rows = graph.components(edges).select(graph.gathered(F.col("node")).alias("node"), "root").collect()
+    assert {row.node for row in rows} == set(range(401)) and len({row.root for row in rows}) == 1
     assert len(writes) < 45
+
+
+def test_scattered_ids_are_gathered_again(spark):
+    rng = random.Random(4)
+    ids = [0, -1, 1, 2**63 - 1, -(2**63), 2**32, -(2**32), *(rng.randrange(-(2**63), 2**63) for _ in range(2000))]
+    frame = spark.createDataFrame([(i,) for i in ids], "id bigint").withColumn("s", graph.scattered(F.col("id")))
+    rows = frame.select("id", "s", graph.gathered(F.col("s")).alias("back")).collect()
+    assert all(row.id == row.back for row in rows) and len({row.s for row in rows}) == len(set(ids))
