@@ -24,8 +24,9 @@ def attach_rows(review, findings: DataFrame, limit: int = EVIDENCE_ROWS) -> Data
     """Fill ``row_ids`` of column findings with the lowest ids of the rows at fault.
 
     One pass over the table tests only the columns that have a finding, with the predicate
-    of that finding. Rows of spelling variants are found by a join with the variants, of which
-    there may be any number.
+    of that finding. Rows of spelling variants are found by a join with the groups that start
+    first: every row before the wanted ones starts a group or belongs to one that started earlier,
+    so no more groups than rows are needed, however many there are.
     """
     data, facts, as_of = review.data, review.fact_rows, review.as_of
     by_column = {fact["column"]: fact for fact in facts}
@@ -51,7 +52,7 @@ def attach_rows(review, findings: DataFrame, limit: int = EVIDENCE_ROWS) -> Data
         if hit is not None:
             flags.append(F.when(hit, F.struct(F.lit(check).alias("check_id"), F.lit(name).alias("column"))))
     parts = [df.select(ROW_ID, F.inline(F.array_compact(F.array(*flags))))] if flags else []
-    parts += [_variant_rows(review, check, names) for check in _VARIANTS if (names := [n for c, n in fired if c == check])]
+    parts += [_variant_rows(review, check, names, limit) for check in _VARIANTS if (names := [n for c, n in fired if c == check])]
     if not parts:
         return findings
     hits = reduce(DataFrame.unionByName, parts)
@@ -80,11 +81,12 @@ def filler_rows(value: Column, fact) -> Column:
 _VARIANTS = {"inconsistent_category": "category", "inconsistent_capitalization": "case"}
 
 
-def _variant_rows(review, check: str, names: list[str]) -> DataFrame:
+def _variant_rows(review, check: str, names: list[str], limit: int) -> DataFrame:
     """Rows whose value belongs to a group of spelling variants: row id, check and column."""
     data, (_, key, compared) = review.data, VARIANTS[_VARIANTS[check]]
     positions = {data.columns.index(name): name for name in names}
-    groups = spelling_variants(review.trimmed, list(positions), key, compared).select("pos", "name")
+    variants = spelling_variants(review.trimmed, list(positions), key, compared)
+    groups = F.broadcast(first_per_group(variants, ["pos"], [F.asc("first_row"), F.asc("name")], limit).select("pos", "name"))
     value = F.col("s")
     name = folded_form(value) if key == "fold" else short_form(tx.squash(value))
     cells = text_cells(data, list(positions)).withColumn("name", name)

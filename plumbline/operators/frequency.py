@@ -12,6 +12,7 @@ judgements, and only the values that something is said about are kept (:func:`fr
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -116,6 +117,25 @@ def short_form(text: Column) -> Column:
     return F.when(F.length(text) <= LONG_TEXT, text).otherwise(digest)
 
 
+#: What a short form looks like. A text that only looks like one is its own short form.
+_SHORTENED = re.compile(rf"(?s).{{{SHOWN_OF_LONG}}}… #[0-9a-f]{{32}}")
+
+
+def whole_texts(data: Dataset, shown: dict[int, set[str]]) -> dict[tuple[int, str], str]:
+    """The texts that short forms stand for, raw or trimmed, by position and form; others are left out.
+
+    ``shown`` has a few values of each column. Only columns that show a short form are read.
+    """
+    wanted = [{"pos": p, "form": value} for p, values in shown.items() for value in values if _SHORTENED.fullmatch(value)]
+    if not wanted:
+        return {}
+    schema = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("form", T.StringType())])
+    cells = text_cells(data, sorted({row["pos"] for row in wanted})).filter(F.length("s") > SHOWN_OF_LONG)
+    texts = cells.select("pos", F.explode(F.array_distinct(F.array("s", tx.trim(F.col("s"))))).alias("whole"))
+    named = texts.withColumn("form", short_form(F.col("whole"))).join(F.broadcast(small_table(data.spark, wanted, schema)), ["pos", "form"])
+    return {(row.pos, row.form): row.whole for row in named.groupBy("pos", "form").agg(F.min("whole").alias("whole")).collect()}
+
+
 def folded_form(value: Column) -> Column:
     """A raw text as it appears in the ``fold`` column of the frequency table."""
     return short_form(tx.fold(tx.trim(value)))

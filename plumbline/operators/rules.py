@@ -1,7 +1,7 @@
 """Declarative business rules.
 
-Rules that look at one row at a time become predicates counted together in one aggregate;
-uniqueness is one grouping per rule. A rule whose columns are absent is skipped, so a rule
+Rules that look at one row at a time become predicates counted together in one aggregate; all
+uniqueness rules share one grouping. A rule whose columns are absent is skipped, so a rule
 file may serve several tables.
 """
 
@@ -327,12 +327,17 @@ def unique_key(rule: Unique, data: Dataset) -> Column:
     return row_digest([tx.fold(tx.trim(col(name).cast("string"))) for name in rule.columns])
 
 
-def repeat_counts(data: Dataset, rule: Unique) -> DataFrame:
-    """Rows repeating an earlier key: ``rule, affected``."""
-    groups = data.frame.groupBy(unique_key(rule, data).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
-    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("affected")).select(
-        F.lit(rule.name).alias("rule"), "affected"
-    )
+def _unique_keys(data: Dataset, rules: list[Unique]) -> DataFrame:
+    """Row id, ``rule`` and ``digest`` of every row for every uniqueness rule, from one pass over the table."""
+    keys = [F.struct(F.lit(rule.name).alias("rule"), unique_key(rule, data).alias("digest")) for rule in rules]
+    return data.frame.select(ROW_ID, F.inline(F.array(*keys)))
+
+
+def repeat_counts(data: Dataset, rules: list[Unique]) -> DataFrame:
+    """Rows repeating an earlier key, for each rule: ``rule, affected``. All rules share one grouping."""
+    groups = _unique_keys(data, rules).groupBy("rule", "digest").agg(F.count(F.lit(1)).alias("n"))
+    none = data.spark.createDataFrame([(rule.name, 1) for rule in rules], "rule string, n bigint")
+    return groups.select("rule", "n").unionByName(none).groupBy("rule").agg(F.sum(F.col("n") - 1).alias("affected"))
 
 
 def _demand(rule: Rule) -> str:
@@ -388,7 +393,8 @@ def evaluate(data: Dataset, rules: RuleSet, as_of: date) -> DataFrame:
     fits, _ = rules.split(data.columns)
     single = [rule for rule in fits if not isinstance(rule, Unique)]
     counted = [violation_counts(data, single, as_of)] if single else []
-    counted += [repeat_counts(data, rule) for rule in fits if isinstance(rule, Unique)]
+    unique = [rule for rule in fits if isinstance(rule, Unique)]
+    counted += [repeat_counts(data, unique)] if unique else []
     if not counted:
         return data.spark.createDataFrame([], "rule string, affected bigint")
     result = counted[0]
@@ -406,13 +412,13 @@ def violating_rows(data: Dataset, rules: list[Rule], as_of: date, limit: int = E
         hits.append(
             _with_parsed(data, single).select(ROW_ID, F.explode(F.array_compact(F.array(*flags))).alias("rule"))
         )
-    for rule in rules:
-        if isinstance(rule, Unique):
-            keyed = data.frame.select(ROW_ID, unique_key(rule, data).alias("digest"))
-            first = keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias("kept"))
-            repeated = materialise(first.filter("n > 1").select("digest", "kept"))
-            repeats = keyed.join(lookup(repeated), "digest")
-            hits.append(repeats.filter(F.col(ROW_ID) > F.col("kept")).select(ROW_ID, F.lit(rule.name).alias("rule")))
+    unique = [rule for rule in rules if isinstance(rule, Unique)]
+    if unique:
+        keyed = _unique_keys(data, unique)
+        first = keyed.groupBy("rule", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias("kept"))
+        repeated = materialise(first.filter("n > 1").select("rule", "digest", "kept"))
+        repeats = keyed.join(lookup(repeated), ["rule", "digest"])
+        hits.append(repeats.filter(F.col(ROW_ID) > F.col("kept")).select(ROW_ID, "rule"))
     rows = hits[0]
     for more in hits[1:]:
         rows = rows.unionByName(more)

@@ -18,7 +18,7 @@ from plumbline.operators.checks import Context, run_isolated
 from plumbline.operators.dataset import Dataset, Intermediates, col, collecting, materialise, pinned, small_table
 from plumbline.operators.evidence import attach_rows
 from plumbline.operators.findings import FINDING_COLUMNS, as_findings, details, finding, phrase
-from plumbline.operators.frequency import NEAR_UNIQUE, Frequencies, folded_counts, frequencies, trimmed_counts
+from plumbline.operators.frequency import NEAR_UNIQUE, Frequencies, folded_counts, frequencies, trimmed_counts, whole_texts
 from plumbline.operators.rules import RuleSet, business_rules
 from plumbline.operators.profile import FACTS_SCHEMA, MEASURED_SCHEMA
 from plumbline.operators.score import column_scores, quality_score
@@ -109,10 +109,23 @@ def reviewed(data: Dataset, as_of: date, known: Frequencies, trimmed: DataFrame,
     """A review from the facts of all columns."""
     rows = sorted(facts, key=lambda fact: fact["pos"])
     table = small_table(data.spark, rows, FACTS_SCHEMA)
-    profiles, _ = pinned(profile.profiles(table))
+    profiles = with_whole_values(data, profile.profiles(table))
     return Review(data, as_of, known, trimmed, table, rows, profiles, rows[0]["row_count"] if rows else 0)
 
 
+def with_whole_values(data: Dataset, profiles: DataFrame) -> DataFrame:
+    """Profiles whose top and sample values are the values themselves, however long."""
+    table, rows = pinned(profiles)
+    shown = {row["position"]: {*row["sample_values"], *(entry["value"] for entry in row["top_values"])} for row in rows}
+    whole = whole_texts(data, shown)
+    if not whole:
+        return table
+    for row in rows:
+        row["sample_values"] = [whole.get((row["position"], value), value) for value in row["sample_values"]]
+        row["top_values"] = [{**entry, "value": whole.get((row["position"], entry["value"]), entry["value"])} for entry in row["top_values"]]
+    return small_table(data.spark, rows, table.schema)
+
+
 def column_facts(data: Dataset, as_of: date, known: Frequencies, trimmed: DataFrame) -> list[dict]:
     """All facts of the columns that ``known`` covers, a row for each.
 

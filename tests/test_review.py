@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline import History, advise, analyze, clean, decide, load_rules, offer, parse_rules, read_csv
+from plumbline.catalogue.views import dataset
 from plumbline.operators import dependencies, ground, report
 from plumbline.operators import rules as rl
 from plumbline.operators.apply import apply_corrections, approved_in_order, without_repeats
@@ -94,36 +95,59 @@ def test_rule_files(spark, tmp_path):
 # ------------------------------------------------------------------ dependencies and imputation
 
 
-def harbours(table, gaps=(), missing_keys=(), **more):
-    """Three harbours of ten berths each; some berths lack the harbour's name, some its letter."""
-    letter = [None if i in missing_keys else "PQR"[i // 10] for i in range(30)]
-    harbour = [" " if i in gaps else ("Pola", "Quay", "Riva")[i // 10] for i in range(30)]
-    return table(berth=[f"B{i:02d}" for i in range(30)], harbour_letter=letter, harbour=harbour, **more)
+SF = "/root/testdata/sf0.01"
 
 
-def test_determinants(table):
-    row = dependencies.find_determinants(harbours(table, [0, 20], [20]), ["harbour"]).first()
-    assert (row.determinant, row.distinct_keys, row.recoverable_rows, row.unrecoverable_rows) == ("harbour_letter", 3, 1, 1)
-    assert dependencies.find_determinants(table(a=["x", "y", None], b=["1", "2", "3"]), ["a"]).isEmpty()
+@pytest.fixture(scope="module")
+def nations(spark):
+    """Customers with the keys and names of their nations, some of either missing, as a dataset and as rows by id."""
+    data = dataset(spark, SF, "gappy_nation")
+    return data, {row[ROW_ID]: row for row in data.frame.collect()}
 
 
-def test_gaps_are_recovered_before_they_are_invented(spark, table):
-    analysis = analyze(harbours(table, [0, 10, 20], [20]), as_of=AS_OF, only=["missing_values"])
+def known_names(rows):
+    return {row.nation_key: row.nation_name for row in rows.values() if row.nation_key and row.nation_name}
+
+
+def test_determinants(nations):
+    data, rows = nations
+    names, gaps = known_names(rows), [row for row in rows.values() if not row.nation_name]
+    row = dependencies.find_determinants(data, ["nation_name"]).first()
+    assert (row.determinant, row.distinct_keys) == ("nation_key", len(names))
+    assert row.recoverable_rows == sum(gap.nation_key in names for gap in gaps)
+    assert row.unrecoverable_rows == sum(gap.nation_key not in names for gap in gaps)
+
+
+def test_unrelated_columns_determine_nothing(nations):
+    data, _ = nations
+    alone = data.with_frame(data.frame.drop("nation_key"))
+    assert dependencies.find_determinants(alone, ["nation_name"]).isEmpty()
+
+
+def test_gaps_are_recovered_before_they_are_invented(spark, nations):
+    data, rows = nations
+    names = known_names(rows)
+    analysis = analyze(data, as_of=AS_OF, only=["missing_values"])
     offers = offer(analysis)
-    recover = offers.table.filter("action = 'fill_from_related'").first()
-    assert (recover.affected_rows, recover.destructive) == (2, False)
-    assert recover.preview[0].before == "[ ]" and recover.preview[0].after == "Pola"
-    cleaned = apply_corrections(analysis.data, offers, approve(spark, offers, "fill_from_related"))
-    filled = values(cleaned.data, "harbour")
-    assert (filled[0], filled[10], filled[20]) == ("Pola", "Quay", " ")
-    assert cleaned.applied.first().rows_changed == 2
-
-
-def test_unrecoverable_gaps_go_to_a_person(table):
-    data = table(harbour_letter=["P"] * 12 + ["Q"] * 12 + ["S"] * 4, harbour=["Pola"] * 12 + ["Quay"] * 12 + [None] * 4)
-    offers = propose(analyze(data, as_of=AS_OF, row_ids=False, only=["missing_values"]))
-    row = offers.table.filter("`column` = 'harbour'").first()
-    assert row.action == "manual_review" and "harbour_letter" in row.description
+    recover = offers.table.filter("action = 'fill_from_related' AND `column` = 'nation_name'").first()
+    filled = {i: names[row.nation_key] for i, row in rows.items() if not row.nation_name and row.nation_key in names}
+    assert (recover.affected_rows, recover.destructive) == (len(filled), False)
+    first = min(filled)
+    assert (recover.preview[0].row_id, recover.preview[0].after) == (first, filled[first])
+    cleaned = apply_corrections(analysis.data, offers, decide(spark, [recover.proposal_id]))
+    after = {row[ROW_ID]: row.nation_name for row in cleaned.data.frame.collect()}
+    assert after == {i: filled.get(i, row.nation_name) for i, row in rows.items()}
+    assert cleaned.applied.first().rows_changed == len(filled)
+
+
+def test_gaps_that_no_row_answers_go_to_a_person(nations):
+    data, rows = nations
+    lost = sorted(known_names(rows))[::4]
+    blank = F.when(~F.col("nation_key").isin(lost) & F.col("nation_name").isNotNull(), F.col("nation_name"))
+    some = data.frame.filter(F.col("nation_name").isNotNull() & F.col("nation_key").isNotNull()).withColumn("nation_name", blank)
+    offers = propose(analyze(data.with_frame(some), as_of=AS_OF, row_ids=False, only=["missing_values"]))
+    row = offers.table.filter("`column` = 'nation_name'").first()
+    assert row.action == "manual_review" and "nation_key" in row.description
 
 
 def test_imputation(table):
