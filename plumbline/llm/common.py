@@ -40,10 +40,10 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/plumbline-llm/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
+def written(df: DataFrame, **options: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, and safe from lost executors."""
     path = new_folder(df.sparkSession)
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -45,7 +45,7 @@ BLOCK_IDS = 1 << 20
 #: Coder states stay at or above this; below it the decoder takes another word.
 _LOW = np.uint64(1 << 31)
 #: Distinct pieces of text whose ids a Python worker remembers, from one task to the next.
-REMEMBERED = 700_000
+REMEMBERED = 800_000
 #: Words that go to the tokenizer in one call.
 _TOGETHER = 1000
 
@@ -80,16 +80,24 @@ class Encoder:
         self.special = [token.content.lower().encode() for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.remembered = remembered
         self.ids: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        pieces = [self._lowered(text).split() for text in texts]
-        if len(self.ids) > self.remembered:
-            self.ids.clear()
-            self.words = {"": b""}
         known = self.ids
-        self._learn(list({piece for each in pieces for piece in each if piece not in known}))
-        return [b"".join(map(known.__getitem__, each)) for each in pieces]
+        if len(known) > self.remembered:
+            known.clear()
+        # Every piece is looked up once; most texts have some that are new.
+        out, later = [b""] * len(texts), []
+        for place, text in enumerate(texts):
+            pieces = self._lowered(text).split()
+            ids = list(map(known.get, pieces))
+            try:
+                out[place] = b"".join(ids)
+            except TypeError:
+                later.append((place, pieces, ids))
+        self._learn(list({piece for _, pieces, ids in later for piece, found in zip(pieces, ids) if found is None}))
+        for place, pieces, ids in later:
+            out[place] = b"".join([known[piece] if found is None else found for piece, found in zip(pieces, ids)])
+        return out
 
     def _lowered(self, text: bytes) -> bytes:
         """The text with ASCII letters in lower case, unless that makes a special token of anything."""
@@ -97,32 +105,33 @@ class Encoder:
         return text if any(each in low for each in self.special) else low
 
     def _learn(self, pieces: list[bytes]) -> None:
-        plain = [piece for piece in pieces if piece.isalpha()]
-        pieces = [piece for piece in pieces if not piece.isalpha()]
+        known = self.ids
+        known[b""] = b""
+        plain = {piece for piece in pieces if piece.isalpha() and piece.islower()}
+        pieces = [piece for piece in pieces if piece not in plain]
         parts = _PARTS.findall(b"\n".join(pieces))
-        words = b"\n".join(plain + [word for word, _, _ in parts]).decode().lower().split("\n")
-        self._learn_words(list(set(words).difference(self.words)))
-        known, others = self.words, {b"": b""}
+        words = b"\n".join([word for word, _, _ in parts]).decode().lower().encode().split(b"\n")
+        self._learn_words([*plain, *(word for word in set(words).difference(plain) if word not in known)])
+        others = {b"": b""}
         asked = list({part for _, rest, other in parts for part in (rest, other) if part})
         others.update(zip(asked, map(self._held, self._asked([piece.decode() for piece in asked]))))
-        self.ids.update(zip(plain, map(known.__getitem__, words)))
-        self.ids.update(zip(pieces, [known[word] + others[rest or other] for word, (_, rest, other) in zip(words[len(plain) :], parts)]))
+        known.update(zip(pieces, [known[word] + others[rest or other] for word, (_, rest, other) in zip(words, parts)]))
 
     def _held(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def _learn_words(self, asked: list[str]) -> None:
+    def _learn_words(self, asked: list[bytes]) -> None:
         """Words in lower case, many in a text: each of them ends with a token that closes a run."""
         lots = [asked[at : at + _TOGETHER] for at in range(0, len(asked), _TOGETHER)]
-        for some, found in zip(lots, self.of_words.encode_batch_fast([" ".join(some) for some in lots], add_special_tokens=False), strict=True):
+        for some, found in zip(lots, self.of_words.encode_batch_fast([b" ".join(some).decode() for some in lots], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, self.kind)
             ends = np.flatnonzero(self.closing[ids]) + 1
             if len(ends) == len(some):
                 data, size = ids.tobytes(), ids.itemsize
                 ends = [0, *(ends * size).tolist()]
-                self.words.update(zip(some, map(data.__getitem__, map(slice, ends, ends[1:]))))
+                self.ids.update(zip(some, map(data.__getitem__, map(slice, ends, ends[1:]))))
             else:
-                self.words.update(zip(some, map(self._held, self._asked(some))))
+                self.ids.update(zip(some, map(self._held, self._asked([word.decode() for word in some]))))
 
     def _asked(self, texts: list[str]) -> list[list[int]]:
         return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -321,6 +330,9 @@ def checksum(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+#: How the ids are compressed until they are coded.
+_FAST = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
+
 _BLOCK = "part bigint, block bigint, start bigint, n_docs bigint, n_ids bigint, ids binary, missing binary, lengths binary, words binary, states binary, places binary, checks binary"
 
 
@@ -338,7 +350,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int) -> None:
     if not 0 <= end_id <= max(vocabulary):
         raise ValueError(f"{end_id} is not an id of the tokenizer")
     kind = id_kind(max(vocabulary) + 1)
-    encoded = written(token_ids(docs, tokenizer_file, end_id), "zstd")
+    encoded = written(token_ids(docs, tokenizer_file, end_id), **_FAST)
     table = frequencies(_counts(encoded))
     names = [part.split()[0] for part in _BLOCK.split(", ")]
 
@@ -399,15 +411,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
-                ids = coder.decode(row, row["n_ids"]).astype("<u4").tobytes()
+                ids = coder.decode(row, row["n_ids"]).astype("<u4")
                 lengths = expand(row["lengths"], np.int64)
                 ends = np.cumsum(lengths)
+                # Documents follow each other in the block: one buffer holds the ids of all of them.
+                places = np.concatenate([[0], ends * 4]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(expand(row["ids"], np.int64), mask=expand(row["missing"], np.uint8).astype(bool)),
                         pa.array(row["start"] + ends - lengths),
                         pa.array(lengths),
-                        pa.array([ids[4 * a : 4 * b] for a, b in zip((ends - lengths).tolist(), ends.tolist())], pa.binary()),
+                        pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(places), pa.py_buffer(ids)]),
                     ],
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
