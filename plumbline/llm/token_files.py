@@ -78,6 +78,7 @@ class Encoder:
         self.of_words.normalizer = None
         self.of_words.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [token.content.lower().encode() for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.opening = os.path.commonprefix(self.special) or b""
         self.remembered = remembered
         self.ids: dict[bytes, bytes] = {}
 
@@ -102,7 +103,7 @@ class Encoder:
     def _lowered(self, text: bytes) -> bytes:
         """The text with ASCII letters in lower case, unless that makes a special token of anything."""
         low = text.lower()
-        return text if any(each in low for each in self.special) else low
+        return text if self.opening in low and any(each in low for each in self.special) else low
 
     def _learn(self, pieces: list[bytes]) -> None:
         known = self.ids
