@@ -45,7 +45,7 @@ BLOCK_IDS = 1 << 20
 #: Coder states stay at or above this; below it the decoder takes another word.
 _LOW = np.uint64(1 << 31)
 #: Distinct pieces of text whose ids a Python worker remembers, from one task to the next.
-REMEMBERED = 800_000
+REMEMBERED = 1_600_000
 #: Words that go to the tokenizer in one call.
 _TOGETHER = 1000
 
