@@ -129,11 +129,22 @@ def whole_texts(data: Dataset, shown: dict[int, set[str]]) -> dict[tuple[int, st
     wanted = [{"pos": p, "form": value} for p, values in shown.items() for value in values if _SHORTENED.fullmatch(value)]
     if not wanted:
         return {}
+    found: dict[tuple[int, str], str] = {}
+    for row in _distinct_wholes(data, wanted).collect():
+        found[row.pos, row.form] = min(row.whole, found.get((row.pos, row.form), row.whole))
+    return found
+
+
+def _distinct_wholes(data: Dataset, wanted: list[dict]) -> DataFrame:
+    """``pos, form, whole``: the texts behind some short forms, each once.
+
+    Texts are keys of a grouping, which hashes them. The least text of a form, as an aggregate, would sort every cell.
+    """
     schema = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("form", T.StringType())])
     cells = text_cells(data, sorted({row["pos"] for row in wanted})).filter(F.length("s") > SHOWN_OF_LONG)
     texts = cells.select("pos", F.explode(F.array_distinct(F.array("s", tx.trim(F.col("s"))))).alias("whole"))
     named = texts.withColumn("form", short_form(F.col("whole"))).join(F.broadcast(small_table(data.spark, wanted, schema)), ["pos", "form"])
-    return {(row.pos, row.form): row.whole for row in named.groupBy("pos", "form").agg(F.min("whole").alias("whole")).collect()}
+    return named.select("pos", "form", "whole").distinct()
 
 
 def folded_form(value: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import naming
 from plumbline.functions.severity import proposal_id
-from plumbline.operators.dataset import ROW_ID, Dataset, first_per_group, materialise, pinned, small_table
+from plumbline.operators.dataset import ROW_ID, Dataset, first_per_group, lookup, materialise, pinned, small_table
 from plumbline.operators.dependencies import find_determinants, lookup_table
 from plumbline.operators.findings import worst_first
 from plumbline.operators.frequency import text_cells
@@ -97,7 +97,7 @@ def _spelled_out(mapped: DataFrame, data: Dataset) -> DataFrame:
     positions = [row.pos for row in wanted.select("pos").distinct().collect()]
     if not positions:
         return mapped.withColumn("to_value", F.col("winner.s"))
-    whole = text_cells(data, positions).join(wanted, ["pos", ROW_ID]).groupBy("pos", F.col(ROW_ID).alias("__row")).agg(F.first("s").alias("__whole"))
+    whole = text_cells(data, positions).join(lookup(wanted), ["pos", ROW_ID]).groupBy("pos", F.col(ROW_ID).alias("__row")).agg(F.first("s").alias("__whole"))
     long = F.col("winner.is_long") & (F.col("winner.first_row") == F.col("__row"))
     joined = mapped.join(whole.withColumnRenamed("pos", "__pos"), long & (F.col("pos") == F.col("__pos")), "left")
     return joined.withColumn("to_value", F.coalesce("__whole", "winner.s")).drop("__whole", "__row", "__pos")
