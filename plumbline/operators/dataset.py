@@ -173,6 +173,22 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows from which a table is worth a task of its own, when each is judged cell by cell.
+ROWS_PER_TASK = 25_000
+
+
+def spread(data: Dataset, rows: int, parts: int) -> Dataset:
+    """A table of ``rows`` rows that is read in ``parts`` parts, computed once in as many as keep the cores busy.
+
+    A compressed file of a few MB is one part of a scan, though it may unpack to millions of rows, and every
+    pass over them would be one task. Tables that come in parts enough, or are small, stay as they are.
+    """
+    wanted = min(rows // ROWS_PER_TASK, 2 * data.spark.sparkContext.defaultParallelism)
+    if 3 * parts >= wanted:
+        return data
+    return data.with_frame(materialise(data.frame.repartition(wanted, col(ROW_ID))))
+
+
 def lookup(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` marked for broadcast when its bytes are counted and few.
 

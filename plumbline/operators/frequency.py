@@ -25,7 +25,7 @@ from plumbline.functions import text as tx
 from plumbline.functions.dates import date_steps
 from plumbline.functions.numbers import number_steps
 from plumbline.functions.steps import Steps, read_with, side_by_side
-from plumbline.operators.dataset import ROW_ID, Dataset, col, first_per_group, lookup, materialise, small_table
+from plumbline.operators.dataset import ROW_ID, Dataset, col, first_per_group, lookup, materialise, small_table, spread
 
 #: Text longer than this travels in a short form plus the judgements made on the whole text.
 LONG_TEXT = 256
@@ -196,11 +196,12 @@ def with_judgements(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Sketch:
-    """What one pass tells of a column: rows, about how many distinct values, and the longest text."""
+    """What one pass tells of a column: rows, about how many distinct values, the longest text, and the parts it was read in."""
 
     rows: int
     distinct: int
     longest: int
+    parts: int = 1
 
     def near_unique(self, kind: str, least: int) -> bool:
         share = TEXT_SHARE if kind == "text" else NATIVE_SHARE
@@ -212,14 +213,14 @@ def column_sketches(data: Dataset, positions: Iterable[int]) -> dict[int, Sketch
     kinds = {p: kind_of(data.type_of(data.columns[p])) for p in positions}
     if not kinds:
         return {}
-    sums = [F.count(F.lit(1)).alias("rows")]
+    sums = [F.count(F.lit(1)).alias("rows"), F.max("__part").alias("last")]
     for p, kind in kinds.items():
         if kind != "other":
             sums.append(F.approx_count_distinct(col(data.columns[p])).alias(f"d{p}"))
         if kind == "text":
             sums.append(F.max(F.length(col(data.columns[p]))).alias(f"w{p}"))
-    row = data.frame.agg(*sums).first().asDict()
-    return {p: Sketch(row["rows"], row.get(f"d{p}") or 0, row.get(f"w{p}") or 0) for p in kinds}
+    row = data.frame.withColumn("__part", F.spark_partition_id()).agg(*sums).first().asDict()
+    return {p: Sketch(row["rows"], row.get(f"d{p}") or 0, row.get(f"w{p}") or 0, (row["last"] or 0) + 1) for p in kinds}
 
 
 def text_cells(data: Dataset, positions: list[int]) -> DataFrame:
@@ -426,10 +427,15 @@ class Frequencies:
 
 
 def frequencies(data: Dataset, least: int = NEAR_UNIQUE, positions: list[int] | None = None) -> Frequencies:
-    """Count the values of all or some columns; of nearly unique ones (more than ``least`` values) only those of interest."""
+    """Count the values of all or some columns; of nearly unique ones (more than ``least`` values) only those of interest.
+
+    The ``data`` of the result is the same table, spread over the cores where few tasks read it.
+    """
     positions = list(range(len(data.columns))) if positions is None else positions
     kinds = {p: kind_of(data.type_of(data.columns[p])) for p in positions}
     sketches = column_sketches(data, positions)
+    for sketch in list(sketches.values())[:1]:
+        data = spread(data, sketch.rows, sketch.parts)
     near = [p for p in positions if sketches[p].near_unique(kinds[p], least)]
     ordinary = [p for p in positions if p not in near]
     longest = {p: sketches[p].longest for p in positions}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import date, datetime, timezone
 from functools import reduce
 
@@ -65,9 +65,13 @@ class Analysis:
     analysis_id: str = field(default_factory=lambda: uuid.uuid4().hex)
     created_at: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
     intermediates: Intermediates = field(default_factory=Intermediates)
+    given: Dataset | None = None
 
     def release(self) -> None:
         """Give back the space of the tables computed on the way; findings, profiles and scores stay."""
+        if self.given is not None:
+            # The data may be such a table; from here on it is read as it was given.
+            self.review = replace(self.review, data=self.given)
         self.intermediates.release()
 
     @property
@@ -101,6 +105,7 @@ def measure(data: Dataset, as_of: date | None = None, least: int = NEAR_UNIQUE)
     """
     as_of = as_of or date.today()
     known = frequencies(data, least)
+    data = known.data
     trimmed = materialise(trimmed_counts(known.values))
     return reviewed(data, as_of, known, trimmed, column_facts(data, as_of, known, trimmed))
 
@@ -199,14 +204,14 @@ def analyze(
     only = None if only is None else list(only)
     with collecting() as intermediates:
         review = measure(data, as_of, near_unique)
-        context = Context(data, review.facts, review.row_count, review.as_of, rules, row_ids, data.notes)
+        context = Context(review.data, review.facts, review.row_count, review.as_of, rules, row_ids, data.notes)
         run = run_isolated(context, only)
         found = run.findings
         if row_ids:
             found, _ = pinned(attach_rows(review, found))
         scores, _ = pinned(column_scores(found, review.profiles))
         total, _ = pinned(quality_score(found, scores))
-    return Analysis(review, found, scores, total, run.skipped, rules, row_ids, only, near_unique, intermediates=intermediates)
+    return Analysis(review, found, scores, total, run.skipped, rules, row_ids, only, near_unique, intermediates=intermediates, given=data)
 
 
 def structural_findings(data: Dataset, rules: RuleSet | None = None, as_of: date | None = None) -> DataFrame:

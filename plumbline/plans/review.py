@@ -95,7 +95,7 @@ def analyze_again(analysis: Analysis, data: Dataset, proposals: Proposals, appli
             found, _ = pinned(small_table(data.spark, same, found.schema).unionByName(attach_rows(review, small_table(data.spark, others, found.schema))))
         scores, _ = pinned(column_scores(found, review.profiles))
         total, _ = pinned(quality_score(found, scores))
-    return Analysis(review, found, scores, total, run.skipped, analysis.rules, analysis.row_ids, analysis.only, analysis.near_unique, intermediates=intermediates)
+    return Analysis(review, found, scores, total, run.skipped, analysis.rules, analysis.row_ids, analysis.only, analysis.near_unique, intermediates=intermediates, given=data)
 
 
 def _measured_again(analysis: Analysis, data: Dataset, proposals: Proposals, applied: list[dict]) -> Review:
