@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
-from plumbline.operators.dataset import Dataset, col
+from plumbline.operators.dataset import Dataset, col, spread
 
 #: Fewer jointly filled rows than this are no evidence.
 MIN_EVIDENCE = 20
@@ -39,43 +39,56 @@ def pair_statistics(data: Dataset, targets: list[str], determinants: list[str] |
 
 
 def _statistics(data: Dataset, targets: list[str], names: list[str]) -> DataFrame:
-    keys = [F.struct(F.lit(name).alias("determinant"), _digest(_normal(data, name)).alias("key")) for name in names]
-    values = [_digest(_normal(data, target)).alias(f"v{i}") for i, target in enumerate(targets)]
-    cells = data.frame.select(*values, F.inline(F.array(*keys)))
+    keys = [_digest(_normal(data, name)).alias(f"k{n}") for n, name in enumerate(names)]
+    values = [hashed.alias(f"{letter}{i}") for i, target in enumerate(targets) for letter, hashed in zip("vw", _hashes(_normal(data, target)))]
+    listed = ", ".join(f"k{n} AS `{n}`" for n in range(len(names)))
+    # UNPIVOT becomes an Expand operator, inside generated code.
+    cells = data.spark.sql(f"SELECT * FROM {{rows}} UNPIVOT INCLUDE NULLS (key FOR determinant IN ({listed}))", rows=data.frame.select(*values, *keys))
     sums = [F.count(F.lit(1)).alias("rows")]
     for i in range(len(targets)):
-        sums += [F.count(f"v{i}").alias(f"n{i}"), F.min(f"v{i}").alias(f"a{i}"), F.max(f"v{i}").alias(f"z{i}")]
+        sums.append(F.count(f"v{i}").alias(f"n{i}"))
+        sums += [least(f"{letter}{i}").alias(f"{name}_{letter}{i}") for letter in "vw" for name, least in (("min", F.min), ("max", F.max))]
     per_key = cells.groupBy("determinant", "key").agg(*sums)
     totals = []
     for i, target in enumerate(targets):
         filled, gaps = F.col(f"n{i}"), F.col("rows") - F.col(f"n{i}")
         taught = F.col("key").isNotNull() & (filled > 0)
+        one_value = (F.col(f"min_v{i}") == F.col(f"max_v{i}")) & (F.col(f"min_w{i}") == F.col(f"max_w{i}"))
         totals.append(
             F.struct(
                 F.lit(target).alias("target"),
                 F.coalesce(F.sum(F.when(taught, filled)), F.lit(0)).alias("evidence_rows"),
                 F.count_if(taught).alias("distinct_keys"),
-                F.coalesce(F.bool_and(F.when(taught, F.col(f"a{i}") == F.col(f"z{i}"))), F.lit(False)).alias("decides"),
+                F.coalesce(F.bool_and(F.when(taught, one_value)), F.lit(False)).alias("decides"),
                 F.coalesce(F.sum(F.when(taught, gaps)), F.lit(0)).alias("recoverable_rows"),
                 F.sum(gaps).alias("gap_rows"),
-                F.min(f"a{i}").alias("lowest"),
-                F.max(f"z{i}").alias("highest"),
+                ((F.min(f"min_v{i}") != F.max(f"max_v{i}")) | (F.min(f"min_w{i}") != F.max(f"max_w{i}"))).alias("varies"),
             )
         )
-    pairs = per_key.groupBy("determinant").agg(F.array(*totals).alias("pairs")).select("determinant", F.inline("pairs"))
+    named = F.element_at(F.array(*map(F.lit, names)), F.col("determinant").cast("int") + 1)
+    pairs = per_key.groupBy("determinant").agg(F.array(*totals).alias("pairs")).select(named.alias("determinant"), F.inline("pairs"))
     return pairs.filter("determinant <> target").withColumn("unrecoverable_rows", F.col("gap_rows") - F.col("recoverable_rows"))
 
 
 def _digest(text: Column) -> Column:
-    """Long keys and values travel as digests; only their equality matters here."""
+    """Long keys travel as digests; only their equality matters here."""
     return F.when(F.length(text) <= 64, text).otherwise(F.md5(text))
 
 
+def _hashes(text: Column) -> tuple[Column, Column]:
+    """Two independent hashes of a value, together 128 bits; null for null.
+
+    Only the equality of values matters. The least and greatest number of a key are kept in place while
+    rows are grouped; the least text would have every expanded row sorted first.
+    """
+    return F.when(text.isNotNull(), F.xxhash64(text)), F.when(text.isNotNull(), F.xxhash64(F.md5(text)))
+
+
 def dependencies(statistics: DataFrame) -> DataFrame:
     """Pairs where the target has gaps and every key maps to exactly one value."""
     return statistics.filter(
         (F.col("gap_rows") > 0)
-        & (F.col("lowest") != F.col("highest"))
+        & F.col("varies")
         & (F.col("evidence_rows") >= MIN_EVIDENCE)
         & (F.col("distinct_keys") >= 2)
         & (F.col("distinct_keys") <= MAX_KEY_SHARE * F.col("evidence_rows"))
@@ -103,6 +116,10 @@ def find_determinants(data: Dataset, targets: list[str], facts: list[dict] | Non
         known = {fact["column"]: fact for fact in facts}
         names = [name for name in names if any(_may_decide(known[name], known[target]) for target in targets)]
     paired = any(name != target for name in names for target in targets)
+    if facts is None:
+        # Nothing is known of the table; a measured one is spread already.
+        size = data.frame.select(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.max("part").alias("last")).first()
+        data = spread(data, size.rows, (size.last or 0) + 1)
     if not paired:
         return data.spark.createDataFrame(
             [], "determinant string, target string, evidence_rows bigint, distinct_keys bigint, "
@@ -122,7 +139,7 @@ def lookup_table(data: Dataset, determinant: str, target: str, needed_only: bool
     """``key, value`` for every key seen beside a value; optionally only keys of rows with gaps."""
     pairs = data.frame.select(_normal(data, determinant).alias("key"), _normal(data, target).alias("value")).filter(
         "key IS NOT NULL"
-    )
+    ).distinct()
     grouped = pairs.groupBy("key").agg(
         F.min("value").alias("value"), F.bool_or(F.col("value").isNull()).alias("needed")
     ).filter("value IS NOT NULL")
