@@ -732,10 +732,18 @@ def _with_rows(found: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _identities(data: Dataset, columns: list[str]) -> DataFrame:
-    """Each row's id, identity key and folded digest."""
-    return data.frame.select(
-        ROW_ID, tx.blocking_key([col(name) for name in columns]).alias("identity"), _folded_digest(data).alias("digest")
-    )
+    """The id, identity key and folded digest of each row that has a key."""
+    return _with_identity(data, columns, _folded_digest(data).alias("digest"))
+
+
+def _with_identity(data: Dataset, columns: list[str], *others: Column) -> DataFrame:
+    """``others`` of each row that has an identity key, beside it and the row id.
+
+    The key is taken out of an array. A plain column would be worked out anew in every filter that the
+    optimizer moves to the scan, such as that of a join by it, and several times over in each.
+    """
+    keys = F.array(tx.blocking_key([col(name) for name in columns])).alias("keys")
+    return data.frame.select(ROW_ID, *others, keys).withColumn("identity", F.explode(F.array_compact("keys"))).drop("keys")
 
 
 def _distinct_rows(identities: DataFrame) -> DataFrame:
@@ -758,7 +766,7 @@ def colliding_identities(data: Dataset, columns: list[str]) -> DataFrame:
             F.count_if(single).alias("singles"),
             F.min(F.when(single, F.col(ROW_ID))).alias("first_single"),
         )
-        .filter("identity IS NOT NULL AND rows > 1 AND singles > 0")
+        .filter("rows > 1 AND singles > 0")
     )
 
 
@@ -802,12 +810,8 @@ def probable_duplicates(context: Context) -> DataFrame:
 def _identity_examples(data: Dataset, columns: list[str], first: DataFrame, groups: int = 5, rows: int = 4) -> DataFrame:
     """The first few groups with the first rows of each, as one array."""
     chosen = first.orderBy("first_single").limit(groups)
-    keyed = data.frame.select(
-        ROW_ID,
-        tx.blocking_key([col(name) for name in columns]).alias("identity"),
-        F.struct(*[F.coalesce(col(name).cast("string"), F.lit("")).alias(name) for name in columns]).alias("shown"),
-    )
-    members = keyed.join(F.broadcast(chosen), "identity")
+    shown = F.struct(*[F.coalesce(col(name).cast("string"), F.lit("")).alias(name) for name in columns]).alias("shown")
+    members = _with_identity(data, columns, shown).join(F.broadcast(chosen), "identity")
     ranked = first_per_group(members, ["identity"], [F.asc(ROW_ID)], rows)
     sorted_rows = F.array_sort(F.collect_list(F.struct("__rank", ROW_ID, "shown")))
     per_group = ranked.groupBy("identity", "first_single").agg(

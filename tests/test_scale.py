@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import dataset, dependencies, frequency
+from plumbline.operators import checks, dataset, dependencies, frequency
 from plumbline.operators.dataset import ROW_ID, Dataset
 from plumbline.plans.analysis import analyze, measure
 
@@ -80,3 +80,14 @@ def test_long_texts_are_looked_up_without_sorting_them(one_part):
     assert "SortAggregate" not in plan(found)
     assert [len(row.whole) for row in found.collect()] == [360]
     assert frequency.whole_texts(one_part, {3: {form, "short"}}) == {(3, form): found.first().whole}
+
+
+def test_identity_keys_are_worked_out_once(spark):
+    names = ["Ann", "ann ", "Bo", "Bo", None, "", "Cy", "CY.", "Cy"]
+    data = Dataset(spark.createDataFrame([(i, name, i % 2) for i, name in enumerate(names)], f"{ROW_ID} bigint, full_name string, side int"))
+    colliding = checks.colliding_identities(data, ["full_name"])
+    joined = checks._identities(data, ["full_name"]).join(F.broadcast(colliding), "identity")
+    for found in (colliding, joined):
+        assert not [line for line in plan(found).splitlines() if "Filter" in line and "regexp_replace" in line]
+    assert sorted(map(tuple, colliding.collect())) == [("ann", 2, 2, 0), ("bo", 2, 2, 2), ("cy", 3, 1, 7)]
+    assert sorted(row[ROW_ID] for row in joined.collect()) == [0, 1, 2, 3, 6, 7, 8]
