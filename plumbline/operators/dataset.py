@@ -178,10 +178,11 @@ ROWS_PER_TASK = 25_000
 
 
 def spread(data: Dataset, rows: int, parts: int) -> Dataset:
-    """A table of ``rows`` rows that is read in ``parts`` parts, computed once in as many as keep the cores busy.
+    """A table of ``rows`` rows, all of them in ``parts`` parts of its scan, computed once in as many as keep the cores busy.
 
     A compressed file of a few MB is one part of a scan, though it may unpack to millions of rows, and every
-    pass over them would be one task. Tables that come in parts enough, or are small, stay as they are.
+    pass over them would be one task, however many parts the file's bytes are split into. Tables that come
+    in parts enough, or are small, stay as they are.
     """
     wanted = min(rows // ROWS_PER_TASK, 2 * data.spark.sparkContext.defaultParallelism)
     if 3 * parts >= wanted:

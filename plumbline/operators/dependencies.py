@@ -118,8 +118,8 @@ def find_determinants(data: Dataset, targets: list[str], facts: list[dict] | Non
     paired = any(name != target for name in names for target in targets)
     if facts is None:
         # Nothing is known of the table; a measured one is spread already.
-        size = data.frame.select(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.max("part").alias("last")).first()
-        data = spread(data, size.rows, (size.last or 0) + 1)
+        size = data.frame.select(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.size(F.collect_set("part")).alias("parts")).first()
+        data = spread(data, size.rows, size.parts)
     if not paired:
         return data.spark.createDataFrame(
             [], "determinant string, target string, evidence_rows bigint, distinct_keys bigint, "

@@ -196,7 +196,7 @@ def with_judgements(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Sketch:
-    """What one pass tells of a column: rows, about how many distinct values, the longest text, and the parts it was read in."""
+    """What one pass tells of a column: rows, about how many distinct values, the longest text, and the parts that hold rows."""
 
     rows: int
     distinct: int
@@ -213,14 +213,14 @@ def column_sketches(data: Dataset, positions: Iterable[int]) -> dict[int, Sketch
     kinds = {p: kind_of(data.type_of(data.columns[p])) for p in positions}
     if not kinds:
         return {}
-    sums = [F.count(F.lit(1)).alias("rows"), F.max("__part").alias("last")]
+    sums = [F.count(F.lit(1)).alias("rows"), F.size(F.collect_set("__part")).alias("parts")]
     for p, kind in kinds.items():
         if kind != "other":
             sums.append(F.approx_count_distinct(col(data.columns[p])).alias(f"d{p}"))
         if kind == "text":
             sums.append(F.max(F.length(col(data.columns[p]))).alias(f"w{p}"))
     row = data.frame.withColumn("__part", F.spark_partition_id()).agg(*sums).first().asDict()
-    return {p: Sketch(row["rows"], row.get(f"d{p}") or 0, row.get(f"w{p}") or 0, (row["last"] or 0) + 1) for p in kinds}
+    return {p: Sketch(row["rows"], row.get(f"d{p}") or 0, row.get(f"w{p}") or 0, row["parts"]) for p in kinds}
 
 
 def text_cells(data: Dataset, positions: list[int]) -> DataFrame:
@@ -348,17 +348,24 @@ def judged_cells(data: Dataset, positions: list[int]) -> DataFrame:
     kinds = {p: kind_of(data.type_of(data.columns[p])) for p in positions}
     texts = [p for p, kind in kinds.items() if kind == "text"]
     natives = {p: kind for p, kind in kinds.items() if kind != "text"}
-    once = {"n": F.lit(1).cast("bigint"), "first_row": F.col(ROW_ID)}
     parts = []
     if texts:
-        judged = with_judgements(text_cells(data, texts)).withColumns({"s": short_form(F.col("s")), **once})
-        parts.append(_judged_text(judged))
+        parts.append(_judged_text_cells(text_cells(data, texts)))
     if natives:
         slots, letters = _slots(data, natives)
-        parts.append(_judged_natives(_unpivot(data, slots, letters).withColumns(once), natives, letters))
+        parts.append(_judged_natives(_unpivot(data, slots, letters).withColumns(_once()), natives, letters))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _once() -> dict[str, Column]:
+    return {"n": F.lit(1).cast("bigint"), "first_row": F.col(ROW_ID)}
+
+
+def _judged_text_cells(cells: DataFrame) -> DataFrame:
+    """Cells of :func:`text_cells` as rows of the frequency table."""
+    return _judged_text(with_judgements(cells).withColumns({"s": short_form(F.col("s")), **_once()}))
+
+
 @dataclass(frozen=True)
 class Distinct:
     """How many distinct values a nearly unique column has: as given, trimmed, and without letter case."""
@@ -575,12 +582,24 @@ def _near_unique_texts(data: Dataset, positions: list[int], rows: int, early: di
         wanted = wanted.unionByName(first.select("pos", "digest"))
     if many or late:
         wanted = materialise(wanted.distinct())
-    chosen = cells.filter("present").withColumn("digest", digest).join(lookup(wanted), ["pos", "digest"], "left_semi").drop("digest")
+    chosen = _cells_of_forms(data, positions, wanted)
     keys = [name for name in VALUE_COLUMNS if name not in ("n", "first_row")]
     kept = chosen.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("first_row").alias("first_row")).select(*VALUE_COLUMNS)
     return materialise(kept), distinct
 
 
+def _cells_of_forms(data: Dataset, positions: list[int], wanted: DataFrame) -> DataFrame:
+    """The judged present cells of some text columns whose folded forms are ``wanted``: ``pos, digest``."""
+    few = lookup(wanted)
+    if few is wanted:
+        # Joined by shuffle: cells are judged where they are read, so that long ones travel in their short form.
+        judged = judged_cells(data, positions).withColumn("digest", F.unhex(F.md5("fold")))
+        return judged.filter("present").join(few, ["pos", "digest"], "left_semi").drop("digest")
+    # Only chosen cells are judged.
+    folded = text_cells(data, positions).withColumn("digest", F.unhex(F.md5(folded_form(F.col("s")))))
+    return _judged_text_cells(folded.join(few, ["pos", "digest"], "left_semi").drop("digest")).filter("present")
+
+
 def recounted(values: DataFrame, name: str, data_type: T.DataType, pos: int) -> DataFrame:
     """The frequency table of one column from values with weights: ``values`` has column ``name``, ``n`` and ``first_row``."""
     weights = [F.sum("n").alias("n"), F.min("first_row").alias("first_row")]

@@ -82,6 +82,16 @@ def test_long_texts_are_looked_up_without_sorting_them(one_part):
     assert frequency.whole_texts(one_part, {3: {form, "short"}}) == {(3, form): found.first().whole}
 
 
+def test_parts_without_rows_are_no_tasks(spark, one_part, monkeypatch):
+    monkeypatch.setattr(dataset, "ROWS_PER_TASK", 10)
+    empty = spark.range(0, 40, 1, 40).filter("id < 0").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in one_part.frame.schema])
+    split = Dataset(empty.union(one_part.frame), "rows in one of many parts")
+    assert {sketch.parts for sketch in frequency.column_sketches(split, [0, 1]).values()} == {1}
+    review = measure(split, AS_OF)
+    assert review.data.frame.select(F.spark_partition_id()).distinct().count() > 1
+    assert facts_of(review) == facts_of(measure(one_part, AS_OF))
+
+
 def test_identity_keys_are_worked_out_once(spark):
     names = ["Ann", "ann ", "Bo", "Bo", None, "", "Cy", "CY.", "Cy"]
     data = Dataset(spark.createDataFrame([(i, name, i % 2) for i, name in enumerate(names)], f"{ROW_ID} bigint, full_name string, side int"))
@@ -91,3 +101,16 @@ def test_identity_keys_are_worked_out_once(spark):
         assert not [line for line in plan(found).splitlines() if "Filter" in line and "regexp_replace" in line]
     assert sorted(map(tuple, colliding.collect())) == [("ann", 2, 2, 0), ("bo", 2, 2, 2), ("cy", 3, 1, 7)]
     assert sorted(row[ROW_ID] for row in joined.collect()) == [0, 1, 2, 3, 6, 7, 8]
+
+
+def test_only_chosen_cells_are_judged(spark, one_part, monkeypatch):
+    cells = frequency.judged_cells(one_part, [1, 2, 3])
+    wanted = cells.filter("t IN ('name 3', 'n7') OR is_long").select("pos", F.unhex(F.md5("fold")).alias("digest")).distinct()
+    few = frequency._cells_of_forms(one_part, [1, 2, 3], wanted)
+    monkeypatch.setattr(frequency, "lookup", lambda df: df)
+    many = frequency._cells_of_forms(one_part, [1, 2, 3], wanted)
+    rows = lambda df: sorted(map(repr, df.select(*frequency.VALUE_COLUMNS).collect()))
+    assert rows(few) == rows(many) and len(rows(few)) > 400
+    lines = few._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(lines) if "Join LeftSemi" in line)
+    assert any("RLIKE" in line for line in lines[:at]) and not any("RLIKE" in line for line in lines[at:])
