@@ -752,7 +752,7 @@ def ground_rules(spark, sf_dir):
         F.lit("allowed_values").alias("rule_type"), "column", F.lit(None).cast("double").alias("minimum"),
         F.lit(None).cast("double").alias("maximum"), F.array(F.lit("eur"), F.lit("rome")).alias("allowed_values"), F.lit(0.8).alias("confidence"),
     )
-    levels = _named(review, review.trimmed)
+    levels = _named(review, review.frequencies.levels())
     return ground.ground_rules(bounds.unionByName(words), review.profiles.select("column"), levels).select("name", "accepted")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
 from plumbline.functions.severity import proposal_id
-from plumbline.operators.dataset import materialise
+from plumbline.operators.dataset import lookup, materialise
 from plumbline.operators.findings import ADVISORY, as_findings, details, finding, phrase
 
 MINIMUM_CONFIDENCE = 0.6
@@ -118,16 +118,17 @@ def ground_rules(suggestions: DataFrame, columns: DataFrame, levels: DataFrame,
     """Suggested rules that are well formed, about real columns and true to the data.
 
     ``suggestions``: ``suggestion, name, rule_type, column, minimum, maximum, allowed_values,
-    confidence``.
+    confidence``. ``levels`` has the ``column, t`` that occur, all of them.
     """
     exists = columns.select("column", F.lit(True).alias("column_exists"))
     proposed = suggestions.filter("rule_type = 'allowed_values'").select(
         "suggestion", "column", F.explode_outer("allowed_values").alias("value")
-    )
-    occurring = levels.select("column", tx.fold(F.col("t")).alias("folded")).distinct()
+    ).withColumn("folded", tx.fold(tx.trim(F.col("value"))))
+    # Levels may be as many as rows, proposed values are few: only levels that are proposed go on.
+    asked = lookup(proposed.select("column", "folded").distinct())
+    occurring = levels.select("column", tx.fold(F.col("t")).alias("folded")).join(asked, ["column", "folded"], "left_semi").distinct()
     overlap = (
-        proposed.withColumn("folded", tx.fold(tx.trim(F.col("value"))))
-        .join(occurring, ["column", "folded"], "left_semi")
+        proposed.join(occurring, ["column", "folded"], "left_semi")
         .select("suggestion")
         .distinct()
         .withColumn("overlaps", F.lit(True))

@@ -5,7 +5,8 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import checks, dataset, dependencies, frequency
+from plumbline.catalogue import queries, views
+from plumbline.operators import checks, dataset, dependencies, frequency, ground
 from plumbline.operators.dataset import ROW_ID, Dataset
 from plumbline.plans.analysis import analyze, measure
 
@@ -114,3 +115,34 @@ def test_only_chosen_cells_are_judged(spark, one_part, monkeypatch):
     lines = few._jdf.queryExecution().optimizedPlan().toString().splitlines()
     at = next(i for i, line in enumerate(lines) if "Join LeftSemi" in line)
     assert any("RLIKE" in line for line in lines[:at]) and not any("RLIKE" in line for line in lines[at:])
+
+
+@pytest.fixture
+def many_names(spark, tmp_path):
+    """Customers of as many names as rows, one of them a proposed word; it is neither early nor frequent."""
+    names = F.when(F.col("id") == 260, " rOME ").otherwise(F.concat(F.lit("Name "), F.col("id")))
+    rows = spark.range(300).select(F.col("id").alias("c_custkey"), names.alias("c_name"), F.concat(F.lit("SEGMENT"), F.col("id") % 4).alias("c_mktsegment"))
+    rows.write.parquet(f"{tmp_path}/customer.parquet")
+    return str(tmp_path)
+
+
+def test_rules_are_grounded_in_every_value_of_nearly_unique_columns(spark, many_names, monkeypatch):
+    review = measure(views.dataset(spark, many_names, "dirty_customer"), AS_OF, 30)
+    assert {0, 1, 2} <= review.frequencies.near_unique.keys()
+    monkeypatch.setattr(queries, "review_of", lambda spark, sf_dir, name: review)
+    accepted = dict(map(tuple, queries.ground_rules(spark, many_names).collect()))
+    assert len(accepted) == 18
+    assert {name for name, known in accepted.items() if known and name.endswith("_words")} == {"full_name_words", "city_words", "currency_words"}
+
+
+def test_only_proposed_levels_are_told_apart(spark):
+    schema = "suggestion bigint, name string, rule_type string, `column` string, minimum double, maximum double, allowed_values array<string>, confidence double"
+    words = [["v7", "nowhere"], [" V399 ", None], ["v400"], [None], []]
+    rules = spark.createDataFrame([(i, f"r{i}", "allowed_values", "c", None, None, each, 0.9) for i, each in enumerate(words)], schema)
+    levels = spark.range(400).select(F.lit("c").alias("column"), F.concat(F.lit("v"), F.col("id")).alias("t"))
+    grounded = ground.ground_rules(rules, spark.createDataFrame([("c",)], "`column` string"), levels)
+    assert sorted(row.suggestion for row in grounded.filter("accepted").collect()) == [0, 1]
+    lines = grounded._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    above = lines[next(i for i, line in enumerate(lines) if "Range (" in line)::-1]
+    first = next(line for line in above if "Join" in line or "Aggregate" in line)
+    assert "Join LeftSemi" in first
